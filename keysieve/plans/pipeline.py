@@ -1,0 +1,37 @@
+"""From files to analysed candidates and ranked findings, as one lazy plan."""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame
+
+from keysieve import catalog as C
+from keysieve.operators.context import add_context
+from keysieve.operators.features import add_features
+from keysieve.operators.heuristic import Scorer, baseline_scorer
+from keysieve.operators.recover import SEGMENT_CHARS, first_wins, recover_candidates
+from keysieve.operators.report import build_findings, rank_findings
+
+
+def analyze(
+    files: DataFrame,
+    scorer: Scorer | None = None,
+    signatures: Sequence[C.Signature] = C.SIGNATURES,
+    segment_chars: int = SEGMENT_CHARS,
+) -> DataFrame:
+    """Every distinct candidate with context, features and decision.
+
+    Recovery, context and features need nothing but the file's own row, so all
+    of them run in the scan's stage. The only exchange drops duplicates and
+    carries finished rows: a later sort or a second use reads them back instead
+    of deriving them again.
+    """
+    found = recover_candidates(files, signatures, segment_chars)
+    rows = first_wins(add_features(add_context(found)))
+    return (scorer or baseline_scorer())(rows)
+
+
+def find(files: DataFrame, scorer: Scorer | None = None) -> DataFrame:
+    """Approved findings, highest risk first."""
+    return rank_findings(build_findings(analyze(files, scorer)))
