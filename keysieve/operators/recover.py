@@ -293,6 +293,7 @@ def recover_candidates(
     files: DataFrame,
     signatures: Sequence[C.Signature] = C.SIGNATURES,
     segment_chars: int = SEGMENT_CHARS,
+    keep: Sequence[str] = (),
 ) -> DataFrame:
     """One row per candidate string of every file.
 
@@ -302,12 +303,14 @@ def recover_candidates(
     files, the facts its context is derived from.
 
     Other signatures than the catalogue's may match any character, so their
-    files are searched whole instead of by segment and token run.
+    files are searched whole instead of by segment and token run. ``keep`` names
+    more file columns to carry along.
     """
     standard = tuple(signatures) == C.SIGNATURES
     chars = segment_chars if standard else None
     if "pattern_source" not in files.columns:
         files = files.withColumn("pattern_source", F.lit(None).cast("string"))
+    columns = (*_FILE_COLUMNS, *keep)
     content = F.col("content")
     rows = files.withColumnsRenamed({"path": "file_path"}).withColumn(
         "language", paths.language(F.col("file_path"))
@@ -318,7 +321,7 @@ def recover_candidates(
     is_python = F.col("language") == "python"
     rows = rows.withColumn("py_all", python_facts(F.when(is_python, content), only_runs=standard))
     segments = rows.select(
-        *_FILE_COLUMNS,
+        *columns,
         F.when(is_python, asset_matches(content)).alias("file_assets"),
         F.explode(_file_segments(chars)).alias("seg"),
     )
@@ -326,13 +329,13 @@ def recover_candidates(
         segments = segments.where(F.col("seg.whole") | F.col("seg.text").rlike(_RUN))
 
     found = segments.select(
-        *_FILE_COLUMNS,
+        *columns,
         F.struct(F.col("seg.py").alias("facts"), F.col("file_assets")).alias("py"),
         F.explode(_candidates_in_segment(tuple(signatures), standard)).alias("c"),
     )
     trusted = F.col("signature_confidence").isin(*C.TRUSTED_TIERS)
     return (
-        found.select(*_FILE_COLUMNS, "c.*", "py")
+        found.select(*columns, "c.*", "py")
         .withColumn("entropy", shannon_entropy(F.col("value")))
         .where(trusted | (F.col("entropy") >= C.MIN_ENTROPY))
     )
