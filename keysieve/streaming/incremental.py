@@ -24,12 +24,12 @@ def incremental_analyses(
 ) -> DataFrame:
     """Analyses of a stream of files; repeats within ``memory`` are dropped.
 
-    State is one key per candidate and ages out with the watermark.
+    State is one key per candidate and ages out with the watermark. Among
+    signatures that find the very same text, a stream keeps any one.
     """
     late = arriving.withWatermark(arrival, memory)
-    found = recover_candidates(late, keep=(arrival,))
-    fresh = found.dropDuplicatesWithinWatermark(IDENTITY)
-    return (scorer or baseline_scorer())(add_features(add_context(fresh)))
+    found = add_features(add_context(recover_candidates(late, keep=(arrival,))))
+    return (scorer or baseline_scorer())(found.dropDuplicatesWithinWatermark(IDENTITY))
 
 
 def report_each_batch(analyses: DataFrame, sink: Callable[[DataFrame, int], None]):

@@ -54,7 +54,8 @@ _PY_CALL = (
 CONTENT = f"""CASE
   WHEN {KIND} = 0 THEN 'import requests' || {_LF} || name || ' = ' || {_QUOTED} || {_LF} || {_PY_CALL}
     || 'NOTES = ' || {_TRIPLE} || {_ESCAPED} || {_TRIPLE} || {_LF}
-  WHEN {KIND} = 3 AND doc_id % 40 = 3 THEN 'def broken(:' || {_LF} || name || ' = ' || {_QUOTED} || {_LF} || text
+  WHEN {KIND} = 3 AND doc_id % 40 = 3 THEN 'def broken(:' || {_LF} || name || ' = ' || {_QUOTED} || {_LF}
+    || 'NOTES = ' || {_TRIPLE} || {_ESCAPED} || {_TRIPLE} || {_LF}
   WHEN {KIND} = 3 THEN 'class TestKeys:' || {_LF} || '    def test_login(self):' || {_LF}
     || '        connect_client(' || name || '=' || {_QUOTED} || ')' || {_LF}
     || 'NOTES = ' || {_TRIPLE} || {_ESCAPED} || {_TRIPLE} || {_LF}
