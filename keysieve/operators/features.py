@@ -227,10 +227,13 @@ def redact(text: Column, value: Column) -> Column:
     return F.replace(text, value, mask(value))
 
 
-def feature_rows(analyses: DataFrame, include_raw: bool = False, redacted: bool = True) -> DataFrame:
+def feature_rows(
+    analyses: DataFrame, include_raw: bool = False, redacted: bool = True, keep: tuple[str, ...] = ()
+) -> DataFrame:
     """The 50-column feature table of all candidates, approved or not.
 
     The context window shows the value in clear; ``redacted`` masks it there too.
+    ``keep`` names further columns, such as a row id, to carry along.
     """
     value = F.col("value")
     window = redact(F.col("context_window"), value) if redacted and not include_raw else F.col("context_window")
@@ -246,4 +249,4 @@ def feature_rows(analyses: DataFrame, include_raw: bool = False, redacted: bool
     columns += [special.get(name, F.col(name)).alias(name) for name in _GROUPS]
     if include_raw:
         columns.append(value.alias("Raw Value"))
-    return analyses.select(*columns)
+    return analyses.select(*columns, *keep)

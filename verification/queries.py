@@ -11,11 +11,21 @@ from keysieve import catalog as C
 from keysieve.functions import paths
 from keysieve.functions.assets import asset_matches, kinds, references
 from keysieve.functions.text import line_at, mask, shannon_entropy
+from keysieve.functions.lineage import checkpointed
 from keysieve.operators.context import add_context
+from keysieve.operators.encode import encoded
+from keysieve.operators.evaluate import evaluate
 from keysieve.operators.features import add_features, feature_rows
+from keysieve.operators.labeling import bootstrap_labels, bootstrap_summary, review_queue, suggested
+from keysieve.operators.labels import labelled_rows, resolved_labels, with_label
 from keysieve.operators.recover import first_wins, recover_candidates
-from keysieve.operators.report import build_findings, rank_findings, remaining_count, report_rows, top_findings
+from keysieve.operators.report import build_findings, remaining_count, report_rows, top_findings
+from keysieve.operators.routing import outcome, resolve_service, route_findings
+from keysieve.operators.search import attach_content, newest_per_pattern, pattern_hits, scan_hits
+from keysieve.operators.supervised import approval_threshold, supervised_scorer
+from keysieve.operators.training import class_weights, stratified_split, train
 from keysieve.plans.pipeline import analyze, find
+from keysieve.sources.readers import clean_patterns
 from verification import oracle as O
 from verification.driver_tables import source_files, table
 
@@ -278,14 +288,14 @@ def all_feature_rows(spark: SparkSession, sf: str) -> DataFrame:
     "baseline_scores",
     O.chain(
         "decided",
-        f"SELECT {_KEY}, label, approved, round(confidence, 6) AS confidence, round(raw_score, 6) AS raw_score, "
+        f"SELECT {_KEY}, label, approved, round(confidence, 6) AS confidence, round(raw_score, 6) + 0.0 AS raw_score, "
         "reasons, confidence >= 0.82::DOUBLE AS may_validate FROM decided",
     ),
 )
 def baseline_scores(spark: SparkSession, sf: str) -> DataFrame:
     return _analyses(spark, sf).select(
         "file_id", "sig_ord", "start_index", "label", "approved", F.round("confidence", 6).alias("confidence"),
-        F.round("raw_score", 6).alias("raw_score"), "reasons",
+        (F.round("raw_score", 6) + F.lit(0.0)).alias("raw_score"), "reasons",
         (F.col("confidence") >= C.VALIDATION_THRESHOLD).alias("may_validate"),
     )
 
@@ -299,4 +309,485 @@ def evidence(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-__all__ = ["ORACLES", "QUERIES", "rank_findings"]
+# --- Search -------------------------------------------------------------------
+
+_PATTERNS = [p for name in ("shodan", "openai", "scrapingbee") for p in C.SEARCH_PATTERNS[name]]
+_PATTERN_VALUES = ", ".join(f"({i}, {O.text(p)})" for i, p in enumerate(_PATTERNS))
+_HITS = f"""patterns(pattern_ord, pattern) AS (VALUES {_PATTERN_VALUES}),
+found AS (
+  SELECT p.pattern_ord, p.pattern, f.* FROM src f JOIN patterns p ON contains(lower(f.content), lower(p.pattern))),
+top_hits AS (
+  SELECT *, CAST(pattern_ord * 100 + hit_rank AS BIGINT) AS hit_ord FROM (
+    SELECT *, row_number() OVER (PARTITION BY pattern_ord ORDER BY file_ord DESC, file_id) AS hit_rank FROM found) r
+  WHERE hit_rank <= 100),
+raw_hits AS (
+  SELECT repository AS "Repository", path AS "File Path", url AS "URL", pattern AS "Pattern Source",
+    replace(replace(url, 'github.com', 'raw.githubusercontent.com'), '/blob/', '/') AS "Raw URL", hit_ord
+  FROM top_hits)"""
+
+
+def _patterns(spark: SparkSession) -> DataFrame:
+    return clean_patterns(
+        spark.createDataFrame([(i, p) for i, p in enumerate(_PATTERNS)], "pattern_ord int, pattern string")
+    )
+
+
+def _raw_hits(spark: SparkSession, sf: str) -> DataFrame:
+    return scan_hits(newest_per_pattern(pattern_hits(source_files(spark, sf), _patterns(spark))))
+
+
+def _attached(spark: SparkSession, sf: str) -> DataFrame:
+    return attach_content(_raw_hits(spark, sf), source_files(spark, sf).select("raw_url", "content"))
+
+
+@query(
+    "pattern_file_hits",
+    f"WITH {O.SRC}, {_HITS.split('top_hits AS')[0].rstrip().rstrip(',')} "
+    "SELECT pattern_ord, pattern, file_id FROM found",
+)
+def pattern_file_hits(spark: SparkSession, sf: str) -> DataFrame:
+    return pattern_hits(source_files(spark, sf), _patterns(spark)).select("pattern_ord", "pattern", "file_id")
+
+
+@query("raw_hits", f"WITH {O.SRC}, {_HITS} SELECT * FROM raw_hits")
+def raw_hits(spark: SparkSession, sf: str) -> DataFrame:
+    return _raw_hits(spark, sf)
+
+
+_ATTACHED = f"""{_HITS}, attached AS (
+  SELECT h.hit_ord AS file_id, h.hit_ord AS file_ord, h."Repository" AS repository, h."File Path" AS path,
+    h."URL" AS url, h."Raw URL" AS raw_url, s.content, h."Pattern Source" AS pattern_source,
+    CAST(NULL AS BIGINT) AS doc_id, CAST(NULL AS BIGINT) AS kind
+  FROM raw_hits h JOIN src s ON s.raw_url = h."Raw URL" WHERE h."Raw URL" <> '')"""
+
+
+@query(
+    "attached_sources",
+    f"WITH {O.SRC}, {_ATTACHED} SELECT file_id, repository, path, pattern_source, length(content) AS chars, "
+    "md5(content) AS digest FROM attached",
+)
+def attached_sources(spark: SparkSession, sf: str) -> DataFrame:
+    return _attached(spark, sf).select(
+        "file_id", "repository", "path", "pattern_source", F.length("content").cast("long").alias("chars"),
+        F.md5("content").alias("digest"),
+    )
+
+
+# Files hit by several patterns come in several times; the first hit keeps the finding.
+@query(
+    "first_wins_over_hits",
+    f"WITH {O.SRC}, {_ATTACHED}, {O.hits_cte('attached')}, "
+    f"{O.CAND.replace('JOIN src s', 'JOIN attached s').replace('s.repository', 's.pattern_source, s.repository')}, "
+    f"{O.FIRST} SELECT file_id, pattern_source, path, provider, value, line_number FROM firsts",
+)
+def first_wins_over_hits(spark: SparkSession, sf: str) -> DataFrame:
+    found = recover_candidates(_attached(spark, sf)).drop("py", "line_facts", "window")
+    return first_wins(found).select(
+        "file_id", "pattern_source", F.col("file_path").alias("path"), "provider", "value", "line_number"
+    )
+
+
+# --- Model inputs and thresholds ---------------------------------------------
+
+
+def _sql_number(name: str) -> str:
+    return f"CAST({name} AS DOUBLE)"
+
+
+def _encoded_sql(name: str) -> str:
+    tiers = " ".join(f"WHEN {O.text(t)} THEN {v}" for t, v in C.TIER_SCORES)
+    special = {
+        "entropy": "entropy_4",
+        "signature_confidence_score": f"CASE tier {tiers} ELSE 0 END",
+        "provider_is_generic": "starts_with(lower(provider), 'generic')",
+        "provider_is_critical_type": O.any_of("lower(provider)", C.CRITICAL_PROVIDER_TERMS),
+        "secret_term_proximity_score":
+            "coalesce(greatest(0, 1 - least(nearest_secret_term_distance::DOUBLE, 120::DOUBLE) / 120::DOUBLE), 0)",
+        "language_is_python": "language = 'python'",
+        "language_is_config": "language = 'config'",
+        "language_is_documentation": "language = 'documentation'",
+        "parse_error_present": "parse_error IS NOT NULL",
+        "is_template_file": "template_file",
+        "is_documentation_or_test_path": "doc_or_test",
+    }
+    return _sql_number(special.get(name, name))
+
+
+@query(
+    "encoded_features",
+    O.chain(
+        "decided",
+        f"SELECT {_KEY}, " + ", ".join(f"round({_encoded_sql(n)}, 6) AS {n}" for n in C.FEATURE_ORDER) + " FROM decided",
+    ),
+)
+def encoded_features(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _features(spark, sf)
+    return rows.select(
+        "file_id", "sig_ord", "start_index",
+        *[F.round(column, 6).alias(name) for name, column in encoded(rows).items()],
+    )
+
+
+_GENERIC = "(starts_with(provider, 'Generic') OR provider = 'UUID-like Secret')"
+_BOUND = "(variable_is_sensitive OR has_secret_term_nearby)"
+_THRESHOLD = f"""CASE
+  WHEN NOT {_GENERIC} THEN 0.62
+  WHEN provider = 'UUID-like Secret' AND {O.any_of('lower(context_window)', C.OPERATIONAL_UUID_TERMS)} THEN 0.995
+  WHEN has_placeholder_signal OR has_template_language OR has_hash_or_identifier_term THEN 0.995
+  WHEN contains(lower(path), 'reconx/keys.md') OR doc_or_test THEN 0.995
+  WHEN is_assignment_context AND ({_BOUND} OR has_asset_reference) THEN 0.90
+  WHEN {_BOUND} AND has_asset_reference THEN 0.94 ELSE 0.995 END::DOUBLE"""
+
+
+@query("approval_thresholds", O.chain("decided", f"SELECT {_KEY}, {_THRESHOLD} AS threshold FROM decided"))
+def approval_thresholds(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _features(spark, sf)
+    return rows.select("file_id", "sig_ord", "start_index", approval_threshold(rows).alias("threshold"))
+
+
+# --- Routes and gate -----------------------------------------------------------
+
+_PASSIVE = O.one_of("lower(provider)", C.PASSIVE_TYPES)
+_ROUTE = f"""CASE WHEN {_PASSIVE} THEN 'passive' WHEN contains(lower(provider), 'shodan') THEN 'shodan'
+  WHEN contains(lower(provider), 'google') THEN 'google' WHEN contains(lower(provider), 'scrapingbee') THEN 'scrapingbee'
+  ELSE 'generic' END"""
+_DETAILS = f"""CASE {_ROUTE} WHEN 'passive' THEN {O.text(C.PASSIVE_DETAILS[0])} || provider || {O.text(C.PASSIVE_DETAILS[1])}
+  WHEN 'generic' THEN CASE WHEN length(value) > 20 THEN {O.text(C.GENERIC_LONG_DETAILS)}
+    ELSE {O.text(C.GENERIC_SHORT_DETAILS)} END ELSE '' END"""
+_STATUS = f"""CASE {_ROUTE} WHEN 'passive' THEN 'skipped' WHEN 'generic' THEN 'unsupported'
+  ELSE 'external_check_required' END"""
+
+
+@query(
+    "check_routes",
+    O.chain(
+        "decided",
+        f"SELECT {_KEY}, {_ROUTE} AS service, {_DETAILS} AS details, {_STATUS} AS status, false AS valid FROM decided",
+    ),
+)
+def check_routes(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _features(spark, sf).withColumn("service", resolve_service(F.col("provider")))
+    rows = rows.withColumn("outcome", outcome(F.col("service"), F.col("value"), F.col("provider")))
+    return rows.select("file_id", "sig_ord", "start_index", "service", "outcome.*")
+
+
+@query(
+    "validation_gate",
+    O.chain(
+        "findings",
+        f"SELECT file_ord, sig_ord, start_index, {_ROUTE} AS service, false AS valid, {_STATUS} AS status, "
+        f"CASE WHEN {_DETAILS} <> '' THEN {_ROUTE} || ': ' || {_DETAILS} END AS validation_details "
+        "FROM findings WHERE findings.confidence >= 0.82::DOUBLE",
+    ),
+)
+def validation_gate(spark: SparkSession, sf: str) -> DataFrame:
+    return route_findings(build_findings(_analyses(spark, sf))).select(
+        "file_ord", "sig_ord", "start_index", "service", "valid", "status", "validation_details"
+    )
+
+
+# --- Labels ---------------------------------------------------------------------
+
+# Feature rows joined with the truth table: quality 1 is a seed positive, toxic 1 a
+# seed negative, everything else is open.
+_SEEDED = O.chain(
+    "decided",
+    f"""SELECT file_id * 100000 + sig_ord * 1000 + start_index % 1000 AS row_id, l.real_secret, l.false_positive, f.*
+    FROM (SELECT file_id, sig_ord, start_index, {FEATURE_ROW.removeprefix('SELECT ')}) f LEFT JOIN (
+      SELECT doc_id * 2 AS label_id, CASE WHEN quality = 1 AND doc_id % 20 = 1 THEN 1 ELSE 0 END AS real_secret,
+        CASE WHEN quality = 0 OR toxic = 1 THEN 1 ELSE 0 END AS false_positive FROM labels) l
+    ON l.label_id = f.file_id""",
+)
+
+
+def _seeded(spark: SparkSession, sf: str) -> DataFrame:
+    analyses = _analyses(spark, sf)
+    named = feature_rows(
+        analyses.withColumn(
+            "row_id", F.col("file_id") * 100000 + F.col("sig_ord") * 1000 + F.col("start_index") % 1000
+        ),
+        keep=("row_id", "file_id"),
+    )
+    truth = table(spark, sf, "labels").select(
+        (F.col("doc_id") * 2).alias("file_id"),
+        F.when((F.col("quality") == 1) & (F.col("doc_id") % 20 == 1), 1).otherwise(0).alias("real_secret"),
+        F.when((F.col("quality") == 0) | (F.col("toxic") == 1), 1).otherwise(0).alias("false_positive"),
+    )
+    return named.join(truth, "file_id", "left").drop("file_id")
+
+
+_FLAGS = f"""flags AS (
+  SELECT *, lower(context_window) AS win, lower("File") AS low_path,
+    CASE WHEN real_secret = 1 AND false_positive <> 1 THEN 'real_secret'
+         WHEN false_positive = 1 AND real_secret <> 1 THEN 'false_positive' END AS known FROM seeded),
+flagged AS (
+  SELECT *, is_documentation_or_test_path OR {O.any_of('low_path', C.DOC_PATH_HINTS)} AS doc,
+    {O.any_of('low_path', C.CODE_PATH_HINTS)} OR {O.one_of('lower(language)', C.CODE_LANGUAGES)} AS code,
+    has_placeholder_signal OR has_template_language AS placeholder,
+    {O.any_of('win', C.REALISTIC_TERMS)} AS realistic,
+    has_hash_or_identifier_term OR {O.any_of('win', C.HASH_NOISE_TERMS)} AS hashy,
+    {O.any_of('win', C.EXPLICIT_PLACEHOLDER_TERMS)} AS explicit_placeholder,
+    {O.one_of('"Secret Type"', C.PROVIDER_SPECIFIC_TYPES)} AS specific,
+    {O.one_of('"Secret Type"', C.GENERIC_TYPES)} AS g,
+    regexp_matches("Associated Variable", '(?i)' || {O.text(C.SENSITIVE_NAME_REGEX)})
+      OR regexp_matches(win, '(?i)' || {O.text(C.SENSITIVE_BINDING_REGEX)}) AS binding,
+    contains(low_path, 'reconx/keys.md') AS dump,
+    "Secret Type" = 'UUID-like Secret' AND {O.any_of('win', C.OPERATIONAL_ID_TERMS)} AS operational,
+    contains(win, 'fake_key') OR contains(win, 'false_key') AS fake
+  FROM flags),
+summed AS (
+  SELECT *, (((((CASE WHEN specific THEN 0.75::DOUBLE ELSE 0 END + CASE WHEN realistic THEN 0.30::DOUBLE ELSE 0 END)
+      + CASE WHEN code THEN 0.20::DOUBLE ELSE 0 END) + CASE WHEN has_asset_reference THEN 0.10::DOUBLE ELSE 0 END)
+      + least("Classifier Confidence", 0.60::DOUBLE))
+      + CASE WHEN g AND code AND (binding OR variable_is_sensitive) AND "Classifier Confidence" >= 0.30::DOUBLE
+             THEN 0.20::DOUBLE ELSE 0 END) AS pos,
+    ((((((CASE WHEN placeholder OR explicit_placeholder THEN 0.90::DOUBLE ELSE 0 END
+      + CASE WHEN hashy THEN 0.45::DOUBLE ELSE 0 END)
+      + CASE WHEN doc AND NOT realistic AND NOT has_asset_reference THEN 0.30::DOUBLE ELSE 0 END)
+      + CASE WHEN fake THEN 0.60::DOUBLE ELSE 0 END) + CASE WHEN g AND doc THEN 0.40::DOUBLE ELSE 0 END)
+      + CASE WHEN g AND dump THEN 0.25::DOUBLE ELSE 0 END)
+      + CASE WHEN operational THEN 0.95::DOUBLE ELSE 0 END) AS neg
+  FROM flagged),
+ruled AS (
+  SELECT *, pos - neg AS score, CASE
+    WHEN g AND operational THEN 'operational_ids'
+    WHEN neg >= 0.80::DOUBLE THEN 'docs_placeholders'
+    WHEN g AND dump THEN CASE WHEN realistic AND NOT placeholder AND NOT hashy
+      THEN 'near_miss_high_confidence' ELSE 'low_priority_noise' END
+    WHEN g AND doc THEN CASE WHEN realistic AND binding AND NOT placeholder AND NOT hashy
+      THEN 'near_miss_high_confidence' ELSE 'low_priority_noise' END
+    WHEN g AND NOT code THEN CASE WHEN realistic AND binding AND NOT hashy
+      THEN 'near_miss_high_confidence' ELSE 'low_priority_noise' END
+    WHEN g AND NOT (binding OR variable_is_sensitive OR is_assignment_context) THEN CASE WHEN pos - neg >= 0.80::DOUBLE
+      THEN 'near_miss_high_confidence' ELSE 'low_priority_noise' END
+    WHEN pos - neg >= 0.95::DOUBLE THEN CASE WHEN code THEN 'code_config_real_key' ELSE 'docs_real_keys' END
+    WHEN pos - neg >= 0.70::DOUBLE THEN 'near_miss_high_confidence' ELSE 'low_priority_noise' END AS bucket
+  FROM summed),
+sorted_out AS (
+  SELECT *, CASE bucket WHEN 'near_miss_high_confidence' THEN 'review'
+      WHEN 'code_config_real_key' THEN 'real_secret' WHEN 'docs_real_keys' THEN 'real_secret'
+      ELSE 'false_positive' END AS suggestion FROM ruled),
+quota AS (
+  SELECT count(*) FILTER (known = 'real_secret') AS existing,
+    count(*) FILTER (known IS DISTINCT FROM 'real_secret' AND suggestion = 'real_secret') AS open_real FROM sorted_out),
+first_round AS (
+  SELECT row_id FROM sorted_out WHERE known IS DISTINCT FROM 'real_secret' AND suggestion = 'real_secret'
+  ORDER BY score DESC, row_id LIMIT (SELECT greatest(0, 25 - existing) FROM quota)),
+second_round AS (
+  SELECT row_id FROM sorted_out WHERE known IS DISTINCT FROM 'real_secret' AND bucket = 'near_miss_high_confidence'
+  ORDER BY score DESC, row_id
+  LIMIT (SELECT greatest(0, 25 - existing - least(open_real, greatest(0, 25 - existing))) FROM quota)),
+placed AS (
+  SELECT *, CASE WHEN row_id IN (SELECT row_id FROM first_round) THEN 'bootstrap_positive'
+      WHEN row_id IN (SELECT row_id FROM second_round) THEN 'bootstrap_near_miss_positive'
+      WHEN known = 'real_secret' THEN 'manual_seed'
+      WHEN suggestion = 'false_positive' THEN 'bootstrap_negative'
+      WHEN bucket = 'near_miss_high_confidence' THEN 'needs_review' ELSE '' END AS src_label FROM sorted_out),
+labelled AS (
+  SELECT row_id, "File", "Secret Type", suggestion AS suggested_label, bucket AS review_bucket,
+    round(score, 4) + 0.0 AS review_score,
+    CASE WHEN bucket IN ('code_config_real_key', 'docs_real_keys') THEN 1
+         WHEN bucket = 'near_miss_high_confidence' THEN 2 ELSE 4 END AS review_priority,
+    src_label AS label_source,
+    CASE WHEN src_label IN ('bootstrap_positive', 'bootstrap_near_miss_positive') THEN 1
+         WHEN src_label = 'bootstrap_negative' THEN 0 WHEN src_label = 'needs_review' THEN NULL
+         ELSE real_secret END AS real_secret,
+    CASE WHEN src_label IN ('bootstrap_positive', 'bootstrap_near_miss_positive') THEN 0
+         WHEN src_label = 'bootstrap_negative' THEN 1 WHEN src_label = 'needs_review' THEN NULL
+         ELSE false_positive END AS false_positive,
+    CASE WHEN src_label IN ('bootstrap_positive', 'bootstrap_near_miss_positive', 'manual_seed') THEN 'real_secret'
+         WHEN src_label = 'bootstrap_negative' THEN 'false_positive' WHEN src_label = 'needs_review' THEN ''
+         ELSE coalesce(known, '') END AS label, known
+  FROM placed)"""
+
+
+def _label_sql(select: str) -> str:
+    return f"WITH seeded AS ({_SEEDED}), {_FLAGS} {select}"
+
+
+_LABEL_COLUMNS = (
+    "row_id", "File", "Secret Type", "suggested_label", "review_bucket", "review_score", "review_priority",
+    "label_source", "real_secret", "false_positive", "label",
+)
+
+
+def _label_columns(rows: DataFrame) -> DataFrame:
+    return rows.select(
+        *[
+            (F.col(c) + F.lit(0.0)).alias(c) if c == "review_score" else F.col(c)
+            for c in _LABEL_COLUMNS
+        ]
+    )
+
+
+@query(
+    "review_buckets",
+    _label_sql(
+        "SELECT row_id, suggestion AS suggested_label, bucket AS review_bucket, round(score, 4) + 0.0 AS review_score "
+        "FROM sorted_out"
+    ),
+)
+def review_buckets(spark: SparkSession, sf: str) -> DataFrame:
+    return suggested(_seeded(spark, sf)).select(
+        "row_id", "suggested_label", "review_bucket", (F.col("review_score") + F.lit(0.0)).alias("review_score")
+    )
+
+
+_LABEL_SELECT = ", ".join(f'"{c}"' for c in _LABEL_COLUMNS)
+
+
+@query("bootstrap_labels", _label_sql(f"SELECT {_LABEL_SELECT} FROM labelled"))
+def bootstrap(spark: SparkSession, sf: str) -> DataFrame:
+    return _label_columns(bootstrap_labels(_seeded(spark, sf)))
+
+
+@query(
+    "bootstrap_summary",
+    _label_sql(
+        """SELECT CAST(count(*) AS BIGINT) AS rows, count(*) FILTER (known = 'real_secret') AS existing_positive_rows,
+        count(*) FILTER (label_source IN ('bootstrap_positive', 'bootstrap_near_miss_positive')) AS promoted_positive_rows,
+        count(*) FILTER (real_secret = 1) AS final_positive_rows FROM labelled"""
+    ),
+)
+def summary(spark: SparkSession, sf: str) -> DataFrame:
+    return bootstrap_summary(bootstrap_labels(_seeded(spark, sf))).drop("review_buckets")
+
+
+@query(
+    "bucket_counts",
+    _label_sql("SELECT review_bucket, count(*) AS n FROM labelled GROUP BY review_bucket"),
+)
+def bucket_counts(spark: SparkSession, sf: str) -> DataFrame:
+    row = bootstrap_summary(bootstrap_labels(_seeded(spark, sf)))
+    return row.select(F.explode("review_buckets").alias("review_bucket", "n"))
+
+
+@query(
+    "review_queue",
+    _label_sql(
+        f"SELECT {_LABEL_SELECT} FROM labelled WHERE label_source = 'needs_review' "
+        "ORDER BY review_priority, review_score DESC, row_id LIMIT 80"
+    ),
+)
+def queue(spark: SparkSession, sf: str) -> DataFrame:
+    return _label_columns(review_queue(bootstrap_labels(_seeded(spark, sf))))
+
+
+# --- Training and evaluation ------------------------------------------------------
+
+# A label in text form for every document file: spelled, blank or under review.
+_TEXT_LABEL = """CASE WHEN quality = 1 AND toxic = 1 THEN 'review' WHEN quality = 1 THEN ' Real_Secret '
+  WHEN quality = 0 THEN 'FP' END"""
+_TRUTH = f"SELECT doc_id * 2 AS file_id, {_TEXT_LABEL} AS label FROM labels"
+
+
+def _with_truth(spark: SparkSession, sf: str, rows: DataFrame) -> DataFrame:
+    truth = table(spark, sf, "labels").selectExpr("doc_id * 2 AS file_id", f"{_TEXT_LABEL} AS label")
+    return rows.join(truth, "file_id", "left").withColumn("label", F.coalesce("label", F.lit("")))
+
+
+def _labelled_features(spark: SparkSession, sf: str) -> DataFrame:
+    named = feature_rows(
+        _analyses(spark, sf).withColumn(
+            "row_id", F.col("file_id") * 100000 + F.col("sig_ord") * 1000 + F.col("start_index") % 1000
+        ),
+        keep=("row_id", "file_id"),
+    )
+    return _with_truth(spark, sf, named)
+
+
+_Y = "CASE WHEN lower(trim(t.label)) = 'real_secret' THEN 1 WHEN lower(trim(t.label)) = 'fp' THEN 0 END"
+_LABELLED = f"""labelled_features AS (SELECT d.*, {_Y} AS y FROM decided d LEFT JOIN ({_TRUTH}) t USING (file_id))"""
+
+
+@query(
+    "label_values",
+    f"SELECT doc_id, CASE WHEN lower(trim(label)) = 'real_secret' THEN 1 ELSE 0 END AS resolved, "
+    "CASE WHEN lower(trim(label)) = 'real_secret' THEN 1 WHEN lower(trim(label)) = 'fp' THEN 0 END AS usable "
+    f"FROM (SELECT doc_id, {_TEXT_LABEL} AS label FROM labels) t",
+)
+def label_values(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "labels").selectExpr("doc_id", f"{_TEXT_LABEL} AS label")
+    resolved = resolved_labels(rows).withColumnRenamed("y", "resolved")
+    return with_label(resolved).select("doc_id", "resolved", F.col("y").alias("usable"))
+
+
+@query(
+    "one_hot_labels",
+    "SELECT doc_id, quality AS y FROM labels WHERE quality IN (0, 1)",
+)
+def one_hot_labels(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "labels").selectExpr(
+        "doc_id", "quality AS real_secret", "1 - quality AS false_positive"
+    )
+    return labelled_rows(rows).select("doc_id", "y")
+
+
+@query(
+    "class_weights",
+    "SELECT doc_id, quality AS y, round(t.n / (2.0 * c.k), 6) AS weight FROM labels "
+    "JOIN (SELECT quality, count(*)::DOUBLE AS k FROM labels GROUP BY quality) c USING (quality) "
+    "CROSS JOIN (SELECT count(*)::DOUBLE AS n FROM labels) t",
+)
+def weights(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "labels").selectExpr("doc_id", "quality AS y")
+    return class_weights(rows).select("doc_id", "y", F.round("weight", 6).alias("weight"))
+
+
+# The hash differs between engines, the size of each class does not.
+@query("split_classes", "SELECT quality AS y, count(*) AS n FROM labels GROUP BY quality")
+def split_classes(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "labels").selectExpr("doc_id", "quality AS y")
+    return stratified_split(rows, ["doc_id"]).groupBy("y").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("stratified_split")
+def split(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "labels").selectExpr("doc_id", "quality AS y")
+    return stratified_split(rows, ["doc_id"])
+
+
+@query("supervised_scores")
+def supervised_scores(spark: SparkSession, sf: str) -> DataFrame:
+    rows = checkpointed(_labelled_features(spark, sf))
+    model, _ = train(rows)
+    return supervised_scorer(model)(rows).select(
+        "row_id", "label", "approved", F.round("confidence", 6).alias("confidence"), "model_name", "reasons"
+    )
+
+
+_METRIC_SQL = O.chain(
+    "decided",
+    f"""SELECT * FROM (WITH {_LABELLED}, counted AS (
+      SELECT count(*) AS input_rows, count(y) AS rows, avg(confidence) FILTER (y IS NOT NULL) AS average_confidence,
+        count(*) FILTER (y = 0 AND NOT approved) AS tn, count(*) FILTER (y = 0 AND approved) AS fp,
+        count(*) FILTER (y = 1 AND NOT approved) AS fn, count(*) FILTER (y = 1 AND approved) AS tp
+      FROM labelled_features)
+    SELECT 'heuristic-baseline-v1' AS model, input_rows, rows, input_rows - rows AS ignored_review_rows,
+      round((tn + tp)::DOUBLE / rows, 6) AS accuracy, tn, fp, fn, tp,
+      round(CASE WHEN tp + fp = 0 THEN 0 ELSE tp::DOUBLE / (tp + fp) END, 6) AS precision_1,
+      round(CASE WHEN tp + fn = 0 THEN 0 ELSE tp::DOUBLE / (tp + fn) END, 6) AS recall_1,
+      round(CASE WHEN tn + fn = 0 THEN 0 ELSE tn::DOUBLE / (tn + fn) END, 6) AS precision_0,
+      round(CASE WHEN tn + fp = 0 THEN 0 ELSE tn::DOUBLE / (tn + fp) END, 6) AS recall_0,
+      round(CASE WHEN 2 * tp + fp + fn = 0 THEN 0 ELSE 2.0 * tp / (2 * tp + fp + fn) END, 6) AS f1_1,
+      round(CASE WHEN 2 * tn + fp + fn = 0 THEN 0 ELSE 2.0 * tn / (2 * tn + fp + fn) END, 6) AS f1_0,
+      round(average_confidence, 6) AS average_confidence FROM counted) m""",
+)
+
+
+@query("evaluation_report", _METRIC_SQL)
+def evaluation_report(spark: SparkSession, sf: str) -> DataFrame:
+    row = evaluate(_labelled_features(spark, sf))
+    report, matrix = F.col("classification_report"), F.col("confusion_matrix")
+
+    def metric(name: str, kind: str):
+        return F.round(report[kind][name], 6)
+
+    return row.select(
+        "model", "input_rows", "rows", "ignored_review_rows", F.round("accuracy", 6).alias("accuracy"),
+        matrix[0][0].alias("tn"), matrix[0][1].alias("fp"), matrix[1][0].alias("fn"), matrix[1][1].alias("tp"),
+        metric("precision", "1").alias("precision_1"), metric("recall", "1").alias("recall_1"),
+        metric("precision", "0").alias("precision_0"), metric("recall", "0").alias("recall_0"),
+        metric("f1_score", "1").alias("f1_1"), metric("f1_score", "0").alias("f1_0"),
+        F.round("average_confidence", 6).alias("average_confidence"),
+    )
