@@ -488,14 +488,14 @@ def validation_gate(spark: SparkSession, sf: str) -> DataFrame:
 
 # --- Labels ---------------------------------------------------------------------
 
-# Feature rows joined with the truth table: quality 1 is a seed positive, toxic 1 a
-# seed negative, everything else is open.
+# Feature rows joined with the truth table. Of the low-quality documents the toxic
+# ones act as seed positives and the others as seed negatives; the rest is open.
 _SEEDED = O.chain(
     "decided",
     f"""SELECT file_id * 100000 + sig_ord * 1000 + start_index % 1000 AS row_id, l.real_secret, l.false_positive, f.*
     FROM (SELECT file_id, sig_ord, start_index, {FEATURE_ROW.removeprefix('SELECT ')}) f LEFT JOIN (
-      SELECT doc_id * 2 AS label_id, CASE WHEN quality = 1 AND doc_id % 20 = 1 THEN 1 ELSE 0 END AS real_secret,
-        CASE WHEN quality = 0 OR toxic = 1 THEN 1 ELSE 0 END AS false_positive FROM labels) l
+      SELECT doc_id * 2 AS label_id, CASE WHEN quality = 0 AND toxic = 1 THEN 1 ELSE 0 END AS real_secret,
+        CASE WHEN quality = 0 AND toxic = 0 THEN 1 ELSE 0 END AS false_positive FROM labels) l
     ON l.label_id = f.file_id""",
 )
 
@@ -510,8 +510,8 @@ def _seeded(spark: SparkSession, sf: str) -> DataFrame:
     )
     truth = table(spark, sf, "labels").select(
         (F.col("doc_id") * 2).alias("file_id"),
-        F.when((F.col("quality") == 1) & (F.col("doc_id") % 20 == 1), 1).otherwise(0).alias("real_secret"),
-        F.when((F.col("quality") == 0) | (F.col("toxic") == 1), 1).otherwise(0).alias("false_positive"),
+        F.when((F.col("quality") == 0) & (F.col("toxic") == 1), 1).otherwise(0).alias("real_secret"),
+        F.when((F.col("quality") == 0) & (F.col("toxic") == 0), 1).otherwise(0).alias("false_positive"),
     )
     return named.join(truth, "file_id", "left").drop("file_id")
 
