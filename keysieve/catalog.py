@@ -16,7 +16,8 @@ class Signature(NamedTuple):
     are necessary conditions only: a string without any of the anchors, or
     shorter than ``min_length``, cannot match. They spare the regex engine and
     never change the result. ``scan_regex`` is an equivalent form that the JVM
-    engine runs in linear time, where the plain one would not.
+    engine runs in linear time, where the plain one would not. ``short_run``
+    marks values that need no run of LONG_RUN characters of RUN_CLASS.
     """
 
     provider: str
@@ -25,6 +26,7 @@ class Signature(NamedTuple):
     anchors: tuple[str, ...] = ()
     min_length: int = 0
     scan_regex: str | None = None
+    short_run: bool = False
 
 
 # Provider, pattern and confidence tier, in priority order.
@@ -35,6 +37,7 @@ SIGNATURES: tuple[Signature, ...] = (
         "CRITICAL",
         anchors=("A3T", "AKIA", "AGPA", "AIDA", "AROA", "AIPA", "ANPA", "ANVA", "ASIA"),
         min_length=20,
+        short_run=True,
     ),
     Signature("Google API Key", r"AIza[0-9A-Za-z\-_]{35}", "CRITICAL", ("AIza",), 39),
     Signature(
@@ -44,11 +47,11 @@ SIGNATURES: tuple[Signature, ...] = (
         ("ghp_", "gho_", "ghu_", "ghs_", "ghr_"),
         40,
     ),
-    Signature("GitLab Personal Access Token", r"glpat-[0-9a-zA-Z\-_]{20}", "CRITICAL", ("glpat-",), 26),
+    Signature("GitLab Personal Access Token", r"glpat-[0-9a-zA-Z\-_]{20}", "CRITICAL", ("glpat-",), 26, short_run=True),
     Signature("Stripe Live Key", r"sk_live_[0-9a-zA-Z]{24}", "CRITICAL", ("sk_live_",), 32),
     Signature("OpenAI API Key", r"sk-[a-zA-Z0-9]{48}", "CRITICAL", ("sk-",), 51),
-    Signature("OpenAI Project Key", r"sk-proj-[a-zA-Z0-9\-_]{20,}", "CRITICAL", ("sk-proj-",), 28),
-    Signature("Slack Token", r"xox[baprs]-([0-9a-zA-Z]{10,48})?", "HIGH", ("xox",), 16),
+    Signature("OpenAI Project Key", r"sk-proj-[a-zA-Z0-9\-_]{20,}", "CRITICAL", ("sk-proj-",), 28, short_run=True),
+    Signature("Slack Token", r"xox[baprs]-([0-9a-zA-Z]{10,48})?", "HIGH", ("xox",), 16, short_run=True),
     Signature("Twilio Account SID", r"AC[a-f0-9]{32}", "HIGH", ("AC",), 34),
     Signature("Mailgun API Key", r"key-[0-9a-zA-Z]{32}", "HIGH", ("key-",), 36),
     Signature("PyPI Upload Token", r"pypi-AgEI[a-zA-Z0-9\-_]{50,}", "CRITICAL", ("pypi-AgEI",), 59),
@@ -59,6 +62,7 @@ SIGNATURES: tuple[Signature, ...] = (
         (".",),
         59,
         r"(?<![A-Za-z0-9])[A-Za-z0-9]{24,}+\.[A-Za-z0-9]{6}\.[A-Za-z0-9_-]{27,}",
+        short_run=True,
     ),
     Signature("Telegram Bot Token", r"[0-9]{8,10}:[a-zA-Z0-9_-]{35}", "HIGH", (":",), 44),
     Signature(
@@ -79,6 +83,7 @@ SIGNATURES: tuple[Signature, ...] = (
 # (Here \w is ASCII, as on the JVM.)
 TOKEN_CLASS = r"[\w.:\-]"
 RUN_CLASS = r"[\w\-]"
+LONG_RUN = 32
 
 # Noise rule.
 MIN_VALUE_LENGTH = 16

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from keysieve import catalog as C
-from keysieve.functions.text import contains_any
+from keysieve.functions.text import rlike_any
 
 
 def _forward(path: Column) -> Column:
@@ -46,11 +46,11 @@ def grammar(path: Column) -> Column:
 
 
 def is_doc_or_test(path: Column) -> Column:
-    return contains_any(_forward(path), C.DOC_OR_TEST_PATH_MARKERS)
+    return rlike_any(_forward(path), C.DOC_OR_TEST_PATH_MARKERS)
 
 
 def is_template_file(path: Column) -> Column:
-    return contains_any(F.substring_index(_forward(path), "/", -1), C.TEMPLATE_NAME_MARKERS)
+    return rlike_any(F.substring_index(_forward(path), "/", -1), C.TEMPLATE_NAME_MARKERS)
 
 
 def raw_url(url: Column) -> Column:

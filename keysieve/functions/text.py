@@ -43,6 +43,11 @@ def contains_any(text: Column, terms: Iterable[str]) -> Column:
     return any_of(text.contains(t) for t in terms)
 
 
+def rlike_any(text: Column, terms: Iterable[str]) -> Column:
+    """``contains_any`` in one expression: for short texts that are expensive to spell out."""
+    return text.rlike("|".join(rf"\Q{t}\E" for t in terms))
+
+
 def strip(text: Column) -> Column:
     return F.btrim(text, F.lit(WHITE_SPACE))
 

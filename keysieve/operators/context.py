@@ -13,7 +13,7 @@ from keysieve import catalog as C
 from keysieve.functions import paths
 from keysieve.functions.assets import ASSET_TYPE, asset_matches, kinds, references
 from keysieve.functions.reuse import built_once
-from keysieve.functions.text import keep_present
+from keysieve.functions.text import keep_present, let
 
 _STRINGS = "array<string>"
 
@@ -32,12 +32,9 @@ def with_literal(candidates: DataFrame) -> DataFrame:
     return candidates.withColumn("literal", F.get(literals, F.lit(0)))
 
 
-def with_usage_slice(candidates: DataFrame) -> DataFrame:
-    """Calls that use the literal's variable from its line on, and the assets they name.
-
-    When no call names an asset, the innermost function or class around the
-    line is read instead, and the whole file when there is none.
-    """
+@built_once
+def _usage_steps() -> tuple[dict[str, Column], ...]:
+    """Columns of the usage slice in steps; a step may use the ones before."""
     line = F.col("line_number")
     variable = F.col("literal.variable")
     calls = F.when(
@@ -50,9 +47,6 @@ def with_usage_slice(candidates: DataFrame) -> DataFrame:
     scopes = F.filter(
         F.col("py.facts.scopes"), lambda s: (s["start_line"] <= line) & (s["end_line"] >= line)
     )
-    sliced = candidates.withColumn("_calls", calls).withColumn(
-        "_scope", F.get(scopes, F.size(scopes) - 1)
-    )
     used = F.flatten(F.transform(F.col("_calls"), lambda c: asset_matches(c["source"])))
     around = F.when(F.col("_scope").isNotNull(), asset_matches(F.col("_scope.source"))).otherwise(
         F.col("py.file_assets")
@@ -64,15 +58,26 @@ def with_usage_slice(candidates: DataFrame) -> DataFrame:
         )
     )
     return (
-        sliced.withColumn("downstream_calls", F.array_distinct(names))
-        .withColumn("_used", F.coalesce(used, F.array().cast(ASSET_TYPE)))
-        .withColumn("_assets", F.when(F.size("_used") > 0, F.col("_used")).otherwise(around))
-        .withColumn("asset_references", references(F.col("_assets")))
-        .withColumn("asset_kinds", kinds(F.col("_assets")))
-        .drop("_calls", "_scope", "_used", "_assets")
+        # The last scope in parse order is the innermost one.
+        {"_calls": calls, "_scope": let(scopes, lambda s: F.get(s, F.size(s) - 1))},
+        {"downstream_calls": F.array_distinct(names), "_used": F.coalesce(used, F.array().cast(ASSET_TYPE))},
+        {"_assets": F.when(F.size("_used") > 0, F.col("_used")).otherwise(around)},
+        {"asset_references": references(F.col("_assets")), "asset_kinds": kinds(F.col("_assets"))},
     )
 
 
+def with_usage_slice(candidates: DataFrame) -> DataFrame:
+    """Calls that use the literal's variable from its line on, and the assets they name.
+
+    When no call names an asset, the innermost function or class around the
+    line is read instead, and the whole file when there is none.
+    """
+    rows = candidates
+    for columns in _usage_steps():
+        rows = rows.withColumns(columns)
+    return rows.drop("_calls", "_scope", "_used", "_assets")
+
+
 def _quoted(before: str, value: Column, after: str) -> Column:
     """A sentence around a value; null when the value is."""
     return F.concat(F.lit(before), value, F.lit(after))

@@ -11,7 +11,7 @@ from keysieve import catalog as C
 from keysieve.functions import paths
 from keysieve.functions.assets import asset_matches
 from keysieve.functions.reuse import built_once
-from keysieve.functions.text import contains_any, keep_present, let, mask, strip
+from keysieve.functions.text import contains_any, keep_present, let, mask, rlike_any, strip
 
 
 def statistical(value: Column, entropy: Column) -> dict[str, Column]:
@@ -37,15 +37,15 @@ def statistical(value: Column, entropy: Column) -> dict[str, Column]:
 
 def syntactic() -> dict[str, Column]:
     """What the code context says about the binding and use of the value."""
-    variable = F.lower(F.coalesce(F.col("variable_name"), F.lit("")))
-    call = F.lower(F.coalesce(F.col("call_name"), F.lit("")))
+    variable = F.lower(F.coalesce("variable_name", F.lit("")))
+    call = F.lower(F.coalesce("call_name", F.lit("")))
     node = F.coalesce(F.col("ast_node_type"), F.lit(""))
     parent = F.coalesce(F.col("parent_node_type"), F.lit(""))
     return {
         "has_ast_context": F.col("parse_error").isNull(),
         "has_variable_name": variable != "",
-        "variable_is_sensitive": contains_any(variable, C.SENSITIVE_NAME_TERMS),
-        "call_is_auth_related": contains_any(call, C.AUTH_CALL_TERMS),
+        "variable_is_sensitive": rlike_any(variable, C.SENSITIVE_NAME_TERMS),
+        "call_is_auth_related": rlike_any(call, C.AUTH_CALL_TERMS),
         "downstream_call_count": F.size("downstream_calls"),
         "has_downstream_usage": F.size("downstream_calls") > 0,
         "downstream_calls_text": F.array_join(F.slice("downstream_calls", 1, 5), " | "),
@@ -82,8 +82,13 @@ def secret_list_shape(context: Column) -> Column:
     return hits >= 2
 
 
-def placeholder_signal(context: Column) -> Column:
-    return contains_any(F.replace(F.lower(context), F.lit(" "), F.lit("_")), C.PLACEHOLDER_TERMS)
+def joined_words(context: Column) -> Column:
+    return F.replace(F.lower(context), F.lit(" "), F.lit("_"))
+
+
+def placeholder_signal(joined: Column) -> Column:
+    """Placeholder terms in a text whose words are joined by underscores."""
+    return contains_any(joined, C.PLACEHOLDER_TERMS)
 
 
 def context_text() -> Column:
@@ -98,7 +103,7 @@ def context_text() -> Column:
 
 
 def contextual() -> dict[str, Column]:
-    """Signals in the text around the value and in the path; needs ``context_lower``."""
+    """Signals in the text around the value and in the path; needs ``context_lower`` and ``context_joined``."""
     lower = F.col("context_lower")
     path = F.col("file_path")
     weak = (paths.is_doc_or_test(path) | paths.is_template_file(path)) & ~secret_list_shape(lower)
@@ -107,7 +112,7 @@ def contextual() -> dict[str, Column]:
         "nearest_secret_term_distance": nearest_term_distance(lower),
         "has_secret_term_nearby": contains_any(lower, C.SECRET_TERMS),
         "has_hash_or_identifier_term": contains_any(lower, C.HASH_OR_ID_TERMS),
-        "has_placeholder_signal": placeholder_signal(lower),
+        "has_placeholder_signal": placeholder_signal(F.col("context_joined")),
         "has_template_language": contains_any(lower, C.TEMPLATE_TERMS),
         "is_template_file": paths.is_template_file(path),
         "is_documentation_or_test_path": paths.is_doc_or_test(path),
@@ -182,7 +187,11 @@ def _feature_steps() -> tuple[dict[str, Column], ...]:
     """Feature columns in steps; a step may use the columns of the ones before."""
     return (
         {**statistical(F.col("value"), F.col("entropy")), **syntactic(), "context_raw": context_text()},
-        {"context_lower": F.lower("context_raw"), "near": nearby_assets()},
+        {
+            "context_lower": F.lower("context_raw"),
+            "context_joined": joined_words(F.col("context_raw")),
+            "near": nearby_assets(),
+        },
         {**contextual(), **assets()},
         {"evidence": evidence()},
     )
@@ -194,7 +203,7 @@ def add_features(candidates: DataFrame) -> DataFrame:
     for columns in _feature_steps():
         rows = rows.withColumns(columns)
     rows = rows.drop(
-        "context_raw", "context_lower", "window", "window_lead",
+        "context_raw", "context_lower", "context_joined", "window", "window_lead",
         "context_asset_references", "context_asset_kinds", "context_evidence",
     )
     return rows.withColumnRenamed("near", "assets_near")

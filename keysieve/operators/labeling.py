@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from keysieve import catalog as C
 from keysieve.functions.lineage import checkpointed
-from keysieve.functions.text import any_of, contains_any, strip, truthy
+from keysieve.functions.text import any_of, contains_any, rlike_any, strip, truthy
 
 NEAR_MISS = "near_miss_high_confidence"
 # Promoted rows are marked by a broadcast join up to this many.
@@ -42,19 +42,26 @@ def current_label(rows: DataFrame) -> Column:
     )
 
 
+def _texts(rows: DataFrame) -> dict[str, Column]:
+    """The texts the flags search, each made once."""
+    return {
+        "_window": F.lower(_first_present(rows, ("context_window",))),
+        "_path": F.lower(_first_present(rows, ("File", "file_path"))),
+        "_kind": _first_present(rows, ("Secret Type", "provider")),
+        "_variable": strip(_first_present(rows, ("Associated Variable", "variable_name"))),
+    }
+
+
 def review_flags(rows: DataFrame, named_dumps: Sequence[str] = C.NAMED_DUMP_PATHS) -> dict[str, Column]:
-    """The flags the review buckets are decided on."""
-    window = F.lower(_first_present(rows, ("context_window",)))
-    path = F.lower(_first_present(rows, ("File", "file_path")))
-    kind = _first_present(rows, ("Secret Type", "provider"))
-    variable = strip(_first_present(rows, ("Associated Variable", "variable_name")))
+    """The flags the review buckets are decided on, over the columns of ``_texts``."""
+    window, path, kind, variable = (F.col(c) for c in ("_window", "_path", "_kind", "_variable"))
 
     def flag(name: str) -> Column:
         return _present_flag(rows, name)
 
     return {
-        "is_doc_path": flag("is_documentation_or_test_path") | contains_any(path, C.DOC_PATH_HINTS),
-        "is_code_or_config": contains_any(path, C.CODE_PATH_HINTS)
+        "is_doc_path": flag("is_documentation_or_test_path") | rlike_any(path, C.DOC_PATH_HINTS),
+        "is_code_or_config": rlike_any(path, C.CODE_PATH_HINTS)
         | F.lower(_first_present(rows, ("language",))).isin(*C.CODE_LANGUAGES),
         "has_placeholder": flag("has_placeholder_signal") | flag("has_template_language"),
         "has_realistic_terms": contains_any(window, C.REALISTIC_TERMS),
@@ -86,7 +93,8 @@ def with_suggestion(rows: DataFrame, named_dumps: Sequence[str] = C.NAMED_DUMP_P
     raw = _first_present(rows, ("Classifier Confidence",), "0")
     confidence = F.coalesce(raw.try_cast("double"), F.lit(0.0))
     flags = {f"_{k}": v for k, v in review_flags(rows, named_dumps).items()}
-    flagged = rows.withColumns({**flags, "_confidence": confidence})
+    texts = _texts(rows)
+    flagged = rows.withColumns(texts).withColumns({**flags, "_confidence": confidence}).drop(*texts)
     f = {k[1:]: F.col(k) for k in flags}
     confidence = F.col("_confidence")
     generic, code, doc = f["generic_type"], f["is_code_or_config"], f["is_doc_path"]

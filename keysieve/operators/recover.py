@@ -22,6 +22,7 @@ from keysieve.functions.text import (
     SPACE,
     WORD,
     any_of,
+    contains_any,
     count_of,
     find_all,
     first_group,
@@ -42,6 +43,7 @@ LONG_LINE = 8192
 # Both are tried at the start of a run only.
 _RUN = "(?<!{0}){0}{{{1},}}".format(C.RUN_CLASS, C.MIN_VALUE_LENGTH)
 _TOKEN = "(?<!{0}){0}{{{1},}}".format(C.TOKEN_CLASS, C.MIN_VALUE_LENGTH)
+_LONG_RUN = "(?<!{0}){0}{{{1},}}".format(C.RUN_CLASS, C.LONG_RUN)
 _HIT_TYPE = "array<struct<sig_ord:int,provider:string,tier:string,value:string,start:int>>"
 
 _LINE_TOKENS = "struct<usage:string,config_key:string,variable:string,call:string>"
@@ -61,6 +63,24 @@ ATTRIBUTE_NAME = rf"\.({_NAME})[{SPACE}]*=[{SPACE}]*['\"]"
 CALLED_NAME = rf"{_NAME_START}([A-Za-z_$][{WORD}$.]*)[{SPACE}]*\("
 
 
+def may_hold_value(text: Column) -> Column:
+    """Necessary condition for any match of the catalogue, cheap enough for every file.
+
+    Most values need a long run of characters; the few that do not start with a
+    rare literal or, lacking one, are searched for themselves.
+    """
+    short = [s for s in C.SIGNATURES if s.short_run]
+    literals = [a for s in short for a in s.anchors if len(a) > 2]
+    unanchored = [s.scan_regex or s.regex for s in short if not any(len(a) > 2 for a in s.anchors)]
+    # Bound, because a filter is pushed to where ``text`` may be a long expression.
+    return let(
+        text,
+        lambda t: t.rlike(_LONG_RUN)
+        | (contains_any(t, literals) & t.rlike(_RUN))
+        | any_of(t.rlike(regex) for regex in unanchored),
+    )
+
+
 def line_tokens(line: Column, language: Column) -> Column:
     """What the line-based context rules read from one line."""
     is_config = language == "config"
@@ -263,6 +283,7 @@ def _candidates_in_segment(signatures: Sequence[C.Signature], tokenise: bool) ->
                 hit["provider"].alias("provider"),
                 hit["tier"].alias("signature_confidence"),
                 hit["value"].alias("value"),
+                shannon_entropy(hit["value"]).alias("entropy"),
                 (seg["offset"] + hit["start"]).alias("start_index"),
                 (seg["offset"] + hit["start"] + F.length(hit["value"])).alias("end_index"),
                 (line + 1).alias("line_number"),
@@ -316,7 +337,7 @@ def recover_candidates(
         "language", paths.language(F.col("file_path"))
     )
     if standard:
-        rows = rows.where(content.rlike(_RUN))
+        rows = rows.where(may_hold_value(content))
 
     is_python = F.col("language") == "python"
     rows = rows.withColumn("py_all", python_facts(F.when(is_python, content), only_runs=standard))
@@ -326,7 +347,7 @@ def recover_candidates(
         F.explode(_file_segments(chars)).alias("seg"),
     )
     if standard:
-        segments = segments.where(F.col("seg.whole") | F.col("seg.text").rlike(_RUN))
+        segments = segments.where(F.col("seg.whole") | may_hold_value(F.col("seg.text")))
 
     found = segments.select(
         *columns,
@@ -334,11 +355,7 @@ def recover_candidates(
         F.explode(_candidates_in_segment(tuple(signatures), standard)).alias("c"),
     )
     trusted = F.col("signature_confidence").isin(*C.TRUSTED_TIERS)
-    return (
-        found.select(*columns, "c.*", "py")
-        .withColumn("entropy", shannon_entropy(F.col("value")))
-        .where(trusted | (F.col("entropy") >= C.MIN_ENTROPY))
-    )
+    return found.select(*columns, "c.*", "py").where(trusted | (F.col("entropy") >= C.MIN_ENTROPY))
 
 
 def first_wins(candidates: DataFrame) -> DataFrame:

@@ -11,6 +11,8 @@ from keysieve.functions.paths import raw_url
 # Patterns checked in one pass over the text; more make further passes.
 PATTERNS_PER_PASS = 500
 _SALTS = 64
+# Hits are a few hundred bytes each, so this many are some tens of megabytes.
+BROADCAST_HITS = 100_000
 
 
 def pattern_hits(files: DataFrame, patterns: DataFrame) -> DataFrame:
@@ -91,30 +93,31 @@ def scan_hits(hits: DataFrame) -> DataFrame:
     )
 
 
-def attach_content(hits: DataFrame, contents: DataFrame, once_per_file: bool = False) -> DataFrame:
+def attach_content(
+    hits: DataFrame, contents: DataFrame, once_per_file: bool = False, most_hits: int | None = None
+) -> DataFrame:
     """Source files of raw hits; hits without an address or content are dropped.
 
     ``contents`` has ``raw_url`` and ``content``. With ``once_per_file`` only a
     file's first hit is kept, which spares reading the same text once per
     pattern and loses no candidate: later copies only repeat the first one's.
+    ``most_hits`` is the known limit of the search, if there is one; up to
+    BROADCAST_HITS the hits go to the contents, which then stay where they are.
     """
     wanted = hits.where(F.col("Raw URL").isNotNull() & (F.col("Raw URL") != ""))
     if once_per_file:
         first = Window.partitionBy("Repository", "File Path", "Raw URL").orderBy("hit_ord")
         wanted = wanted.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
-    return (
-        wanted.join(
-            contents.select(F.col("raw_url").alias("Raw URL"), "content").where(F.col("content").isNotNull()),
-            "Raw URL",
-        )
-        .select(
-            F.col("hit_ord").alias("file_id"),
-            F.col("hit_ord").alias("file_ord"),
-            F.col("Repository").alias("repository"),
-            F.col("File Path").alias("path"),
-            F.col("URL").alias("url"),
-            F.col("Raw URL").alias("raw_url"),
-            F.col("content"),
-            F.col("Pattern Source").alias("pattern_source"),
-        )
+    if most_hits is not None and most_hits <= BROADCAST_HITS:
+        wanted = F.broadcast(wanted)
+    texts = contents.select(F.col("raw_url").alias("Raw URL"), "content").where(F.col("content").isNotNull())
+    return texts.join(wanted, "Raw URL").select(
+        F.col("hit_ord").alias("file_id"),
+        F.col("hit_ord").alias("file_ord"),
+        F.col("Repository").alias("repository"),
+        F.col("File Path").alias("path"),
+        F.col("URL").alias("url"),
+        F.col("Raw URL").alias("raw_url"),
+        F.col("content"),
+        F.col("Pattern Source").alias("pattern_source"),
     )

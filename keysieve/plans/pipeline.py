@@ -12,6 +12,7 @@ from keysieve.operators.features import add_features
 from keysieve.operators.heuristic import Scorer, baseline_scorer
 from keysieve.operators.recover import SEGMENT_CHARS, first_wins, recover_candidates
 from keysieve.operators.report import build_findings, rank_findings
+from keysieve.operators.search import attach_content, newest_per_pattern, pattern_hits, scan_hits
 
 
 def analyze(
@@ -35,3 +36,18 @@ def analyze(
 def find(files: DataFrame, scorer: Scorer | None = None) -> DataFrame:
     """Approved findings, highest risk first."""
     return rank_findings(build_findings(analyze(files, scorer)))
+
+
+def search(files: DataFrame, patterns: DataFrame, pages: int = 1) -> DataFrame:
+    """Raw hits of every pattern, newest files first, up to ``pages`` of them."""
+    return scan_hits(newest_per_pattern(pattern_hits(files, patterns), pages))
+
+
+def scan(
+    files: DataFrame, patterns: DataFrame, pages: int = 1, scorer: Scorer | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """Raw hits, and the analyses of the files they name."""
+    hits = search(files, patterns, pages)
+    most = patterns.count() * pages * C.HITS_PER_PAGE
+    sources = attach_content(hits, files.select("raw_url", "content"), once_per_file=True, most_hits=most)
+    return hits, analyze(sources, scorer)

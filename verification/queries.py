@@ -337,7 +337,10 @@ def _raw_hits(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _attached(spark: SparkSession, sf: str) -> DataFrame:
-    return attach_content(_raw_hits(spark, sf), source_files(spark, sf).select("raw_url", "content"))
+    most = len(_PATTERNS) * C.HITS_PER_PAGE
+    return attach_content(
+        _raw_hits(spark, sf), source_files(spark, sf).select("raw_url", "content"), most_hits=most
+    )
 
 
 @query(
