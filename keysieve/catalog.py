@@ -6,6 +6,7 @@ counterparts both read it from here, so a change shows up on both sides.
 
 from __future__ import annotations
 
+import string
 from typing import NamedTuple
 
 
@@ -17,7 +18,8 @@ class Signature(NamedTuple):
     shorter than ``min_length``, cannot match. They spare the regex engine and
     never change the result. ``scan_regex`` is an equivalent form that the JVM
     engine runs in linear time, where the plain one would not. ``short_run``
-    marks values that need no run of LONG_RUN characters of RUN_CLASS.
+    marks values that need no run of LONG_RUN characters of RUN_CLASS; ``hint``
+    is a cheap necessary pattern for one of those without a rare literal.
     """
 
     provider: str
@@ -27,6 +29,7 @@ class Signature(NamedTuple):
     min_length: int = 0
     scan_regex: str | None = None
     short_run: bool = False
+    hint: str | None = None
 
 
 # Provider, pattern and confidence tier, in priority order.
@@ -63,6 +66,7 @@ SIGNATURES: tuple[Signature, ...] = (
         59,
         r"(?<![A-Za-z0-9])[A-Za-z0-9]{24,}+\.[A-Za-z0-9]{6}\.[A-Za-z0-9_-]{27,}",
         short_run=True,
+        hint=r"\.[A-Za-z0-9]{6}\.[A-Za-z0-9_-]{27}",
     ),
     Signature("Telegram Bot Token", r"[0-9]{8,10}:[a-zA-Z0-9_-]{35}", "HIGH", (":",), 44),
     Signature(
@@ -80,9 +84,9 @@ SIGNATURES: tuple[Signature, ...] = (
 # Every pattern above only consumes characters of TOKEN_CLASS, and every match
 # that survives the length rule holds a run of MIN_VALUE_LENGTH characters of
 # RUN_CLASS. Recovery uses both facts to look at long runs only.
-# (Here \w is ASCII, as on the JVM.)
-TOKEN_CLASS = r"[\w.:\-]"
-RUN_CLASS = r"[\w\-]"
+# Listed one by one, the JVM engine tests a class with a single bit lookup.
+RUN_CLASS = "[" + string.ascii_letters + string.digits + r"_\-]"
+TOKEN_CLASS = "[" + string.ascii_letters + string.digits + r"_.:\-]"
 LONG_RUN = 32
 
 # Noise rule.

@@ -180,7 +180,7 @@ def python_facts(content, only_runs: bool = True):
     are left out: none of the catalogue's values can lie inside them.
     """
     least = C.MIN_VALUE_LENGTH
-    run = re.compile("%s{%d}" % (C.RUN_CLASS, least), re.ASCII)
+    run = re.compile("%s{%d}" % (C.RUN_CLASS, least))
 
     def holds_value(value: str) -> bool:
         return bool(run.search(value)) if only_runs else len(value) >= least

@@ -70,14 +70,14 @@ def may_hold_value(text: Column) -> Column:
     rare literal or, lacking one, are searched for themselves.
     """
     short = [s for s in C.SIGNATURES if s.short_run]
-    literals = [a for s in short for a in s.anchors if len(a) > 2]
-    unanchored = [s.scan_regex or s.regex for s in short if not any(len(a) > 2 for a in s.anchors)]
+    literals = [a for s in short if not s.hint for a in s.anchors]
+    hints = [s.hint for s in short if s.hint]
     # Bound, because a filter is pushed to where ``text`` may be a long expression.
     return let(
         text,
         lambda t: t.rlike(_LONG_RUN)
         | (contains_any(t, literals) & t.rlike(_RUN))
-        | any_of(t.rlike(regex) for regex in unanchored),
+        | any_of(t.rlike(hint) for hint in hints),
     )
 
 
