@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from keysieve import catalog as C
 from keysieve.functions.paths import raw_url
+from keysieve.functions.text import let
 
 # Patterns checked in one pass over the text; more make further passes.
 PATTERNS_PER_PASS = 500
@@ -15,6 +16,36 @@ _SALTS = 64
 BROADCAST_HITS = 100_000
 
 
+def _stem(pattern: str) -> str:
+    """Leading word of a pattern, or the whole of it when that word says little."""
+    word = pattern.split("_", 1)[0]
+    return word if len(word) > 3 else pattern
+
+
+def _found_by_stem(text: Column, patterns: list) -> list[Column]:
+    """Patterns within ``text``, one array per shared stem.
+
+    A text without the stem holds none of its patterns, so most texts are
+    searched for a few stems only.
+    """
+    groups: dict[str, list] = {}
+    for row in patterns:
+        folded = row["pattern"].lower()
+        groups.setdefault(_stem(folded), []).append((folded, row["pattern"], row["pattern_ord"]))
+
+    def found(stem: str, group: list) -> Column:
+        known = F.array(*[
+            F.struct(F.lit(f).alias("folded"), F.lit(p).alias("pattern"), F.lit(o).alias("pattern_ord"))
+            for f, p, o in group
+        ])
+        none = F.array().cast("array<struct<folded:string,pattern:string,pattern_ord:int>>")
+        return F.when(
+            F.contains(text, F.lit(stem)), F.filter(known, lambda p: F.contains(text, p["folded"]))
+        ).otherwise(none)
+
+    return [found(stem, group) for stem, group in groups.items()]
+
+
 def pattern_hits(files: DataFrame, patterns: DataFrame) -> DataFrame:
     """One row per file and pattern whose text the file contains, in any case.
 
@@ -30,20 +61,7 @@ def pattern_hits(files: DataFrame, patterns: DataFrame) -> DataFrame:
         batches[-1].append(row)
 
     def contained(batch: list) -> Column:
-        known = F.array(
-            *[
-                F.struct(
-                    F.lit(r["pattern"]).alias("pattern"),
-                    F.lit(r["pattern"].lower()).alias("folded"),
-                    F.lit(r["pattern_ord"]).alias("pattern_ord"),
-                )
-                for r in batch
-            ]
-        )
-        text = F.lower("content")
-        return F.get(
-            F.transform(F.array(text), lambda t: F.filter(known, lambda p: F.contains(t, p["folded"]))), 0
-        )
+        return let(F.lower("content"), lambda text: F.concat(*_found_by_stem(text, batch)))
 
     kept = [c for c in files.columns if c != "content"]
     out = None

@@ -60,7 +60,7 @@ def fit(training: DataFrame, rows: int, max_iter: int = 1000) -> PipelineModel:
     stages = [
         StandardScaler(inputCol="features", outputCol="scaled", withMean=True, withStd=True),
         LogisticRegression(
-            featuresCol="scaled", labelCol="y", weightCol="weight", maxIter=max_iter, tol=1e-8,
+            featuresCol="scaled", labelCol="y", weightCol="weight", maxIter=max_iter, tol=1e-7,
             regParam=(rows - 1) / rows**2, elasticNetParam=0.0, standardization=False,
         ),
     ]

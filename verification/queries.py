@@ -18,6 +18,7 @@ from keysieve.operators.evaluate import evaluate
 from keysieve.operators.features import add_features, feature_rows
 from keysieve.operators.labeling import bootstrap_labels, bootstrap_summary, review_queue, suggested
 from keysieve.operators.labels import labelled_rows, resolved_labels, with_label
+from keysieve.operators.python_facts import python_facts
 from keysieve.operators.recover import first_wins, recover_candidates
 from keysieve.operators.report import build_findings, remaining_count, report_rows, top_findings
 from keysieve.operators.routing import outcome, resolve_service, route_findings
@@ -27,7 +28,7 @@ from keysieve.operators.training import class_weights, stratified_split, train
 from keysieve.plans.pipeline import analyze, find
 from keysieve.sources.readers import clean_patterns
 from verification import oracle as O
-from verification.driver_tables import source_files, table
+from verification.driver_tables import NAME, VALUE, source_files, spread, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -127,7 +128,7 @@ def first_candidates(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("text_entropy", f"SELECT doc_id, round({O.entropy('text')}, 6) AS entropy FROM documents")
 def text_entropy(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select("doc_id", F.round(shannon_entropy(F.col("text")), 6).alias("entropy"))
+    return spread(table(spark, sf, "documents")).select("doc_id", F.round(shannon_entropy(F.col("text")), 6).alias("entropy"))
 
 
 @query(
@@ -163,7 +164,7 @@ def raw_urls(spark: SparkSession, sf: str) -> DataFrame:
 )
 def line_texts(spark: SparkSession, sf: str) -> DataFrame:
     number = (F.col("doc_id") % 7 + 1).cast("int")
-    return table(spark, sf, "documents").select("doc_id", line_at(F.col("text"), number).alias("line"))
+    return spread(table(spark, sf, "documents")).select("doc_id", line_at(F.col("text"), number).alias("line"))
 
 
 @query(
@@ -179,6 +180,75 @@ def asset_references(spark: SparkSession, sf: str) -> DataFrame:
 
 # --- Context and features -----------------------------------------------------
 
+# What the Python files hold is known from how they are made.
+_PY = f"""py AS (
+  SELECT doc_id * 2 AS file_id, text, source, {VALUE} AS planted, {NAME} AS name,
+    CASE WHEN doc_id % 8 = 0 THEN 'assigned' WHEN doc_id % 40 = 3 THEN 'broken' ELSE 'argument' END AS made
+  FROM documents WHERE doc_id % 8 IN (0, 3))"""
+
+
+def _python_facts(spark: SparkSession, sf: str, kind: str) -> DataFrame:
+    python = source_files(spark, sf).where(paths.language(F.col("path")) == "python")
+    facts = python.select("file_id", python_facts(F.col("content")).alias("facts"))
+    return facts.select("file_id", F.explode(f"facts.{kind}").alias("f")).select("file_id", "f.*")
+
+
+@query(
+    "python_literals",
+    f"""WITH {_PY} SELECT file_id, CAST(CASE made WHEN 'assigned' THEN 2 ELSE 3 END AS INTEGER) AS start_line,
+      CAST(CASE made WHEN 'assigned' THEN 2 ELSE 3 END AS INTEGER) AS end_line, planted AS value,
+      'Constant' AS node_type, CASE made WHEN 'assigned' THEN 'Assign' ELSE 'keyword' END AS parent_type,
+      name AS variable, CASE made WHEN 'argument' THEN 'test_login' END AS enclosing_function,
+      CASE made WHEN 'argument' THEN 'connect_client' END AS call_name,
+      CASE made WHEN 'assigned' THEN name || ' = "' ELSE name || '="' END || planted || '"' AS usage
+    FROM py WHERE made <> 'broken'
+    UNION ALL
+    SELECT file_id, 4, CAST(4 + length(text) - length(replace(text, chr(10), '')) AS INTEGER), text, 'Constant',
+      'Assign', 'NOTES', NULL, NULL,
+      left({O.strip(
+        "'NOTES = ' || chr(34) || chr(34) || chr(34) || replace(replace(text, chr(92), chr(92) || chr(92)), chr(34), "
+        "chr(92) || chr(34)) || chr(34) || chr(34) || chr(34)"
+      )}, 240)
+    FROM py WHERE made <> 'broken' AND regexp_matches(text, '[A-Za-z0-9_-]{{16}}')""",
+)
+def python_literals(spark: SparkSession, sf: str) -> DataFrame:
+    return _python_facts(spark, sf, "literals").drop("node_ord")
+
+
+@query(
+    "python_calls",
+    f"""WITH {_PY} SELECT file_id, CAST(3 AS INTEGER) AS call_line, c.call_name, [name] AS names_loaded,
+      CASE c.call_name WHEN 'dict' THEN 'dict(key=' || name || ')'
+        ELSE 'requests.get("https://api.' || source || '.example.com/v1", params=dict(key=' || name || '))' END AS source
+    FROM py, (VALUES ('requests.get'), ('dict')) c(call_name) WHERE made = 'assigned'""",
+)
+def python_calls(spark: SparkSession, sf: str) -> DataFrame:
+    return _python_facts(spark, sf, "calls").drop("node_ord")
+
+
+@query(
+    "python_scopes",
+    f"""WITH {_PY}, bodies AS (
+      SELECT file_id, '    def test_login(self):' || chr(10) || '        connect_client(' || name || '="' || planted
+        || '")' AS body FROM py WHERE made = 'argument')
+    SELECT file_id, CAST(1 AS INTEGER) AS start_line, CAST(3 AS INTEGER) AS end_line,
+      'class TestKeys:' || chr(10) || body AS source FROM bodies
+    UNION ALL SELECT file_id, 2, 3, ltrim(body) FROM bodies""",
+)
+def python_scopes(spark: SparkSession, sf: str) -> DataFrame:
+    return _python_facts(spark, sf, "scopes").drop("node_ord")
+
+
+@query(
+    "python_parse_errors",
+    f"WITH {_PY} SELECT file_id, 'SyntaxError: invalid syntax' AS parse_error FROM py WHERE made = 'broken'",
+)
+def python_parse_errors(spark: SparkSession, sf: str) -> DataFrame:
+    python = source_files(spark, sf).where(paths.language(F.col("path")) == "python")
+    facts = python.select("file_id", python_facts(F.col("content")).alias("facts"))
+    return facts.select("file_id", F.col("facts.parse_error").alias("parse_error")).where("parse_error IS NOT NULL")
+
+
 _CONTEXT_COLUMNS = (
     "file_id", "sig_ord", "start_index", "language", "parser_name", "ast_node_type", "parent_node_type",
     "variable_name", "enclosing_function", "call_name", "downstream_calls", "usage_context", "parse_error",
