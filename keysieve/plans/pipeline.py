@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from keysieve import catalog as C
+from keysieve.functions.paths import raw_url
 from keysieve.operators.context import add_context
 from keysieve.operators.features import add_features
 from keysieve.operators.heuristic import Scorer, baseline_scorer
@@ -49,5 +51,6 @@ def scan(
     """Raw hits, and the analyses of the files they name."""
     hits = search(files, patterns, pages)
     most = patterns.count() * pages * C.HITS_PER_PAGE
-    sources = attach_content(hits, files.select("raw_url", "content"), once_per_file=True, most_hits=most)
+    contents = files.select(raw_url(F.col("url")).alias("raw_url"), "content")
+    sources = attach_content(hits, contents, once_per_file=True, most_hits=most)
     return hits, analyze(sources, scorer)
