@@ -19,7 +19,7 @@ class Signature(NamedTuple):
     never change the result. ``scan_regex`` is an equivalent form that the JVM
     engine runs in linear time, where the plain one would not. ``short_run``
     marks values that need no run of LONG_RUN characters of RUN_CLASS; ``hint``
-    is a cheap necessary pattern for one of those without a rare literal.
+    is a cheap necessary pattern for one of those without a single rare literal.
     """
 
     provider: str
@@ -41,6 +41,7 @@ SIGNATURES: tuple[Signature, ...] = (
         anchors=("A3T", "AKIA", "AGPA", "AIDA", "AROA", "AIPA", "ANPA", "ANVA", "ASIA"),
         min_length=20,
         short_run=True,
+        hint=r"A[3KGIRNS][A-Z0-9]{18}",
     ),
     Signature("Google API Key", r"AIza[0-9A-Za-z\-_]{35}", "CRITICAL", ("AIza",), 39),
     Signature(

@@ -25,6 +25,8 @@ _HOST = (
     r"[a-zA-Z0-9-][a-zA-Z0-9.-]*" + _DOTTED_END + rf"(?![{WORD}])"
 )
 
+_HOST_WORD = r"(?<!\S)\S*" + _DOTTED_END + r"\S*"
+
 ASSET_TYPE = "array<struct<reference:string,kind:string>>"
 
 
@@ -33,9 +35,9 @@ def asset_matches(text: Column) -> Column:
 
     none = F.array().cast(ASSET_TYPE)
 
-    def found(possible: Column, source: Column, regex: str, kind: str) -> Column:
+    def found(possible: Column, matches: Column, kind: str) -> Column:
         every = F.transform(
-            F.regexp_extract_all(source, F.lit(regex), F.lit(0)),
+            matches,
             lambda m: F.struct(
                 F.rtrim(m, F.lit(C.ASSET_TRAILING)).alias("reference"), F.lit(kind).alias("kind")
             ),
@@ -43,12 +45,17 @@ def asset_matches(text: Column) -> Column:
         # The cheap necessary condition spares most texts the full pattern.
         return F.when(possible, every).otherwise(none)
 
-    undoubled = F.regexp_replace(text, r"\.(?=\.)", ". ")
+    # Hosts hold no blanks: only the words that may end like one are searched.
+    undoubled = F.when(text.contains(".."), F.regexp_replace(text, r"\.(?=\.)", ". ")).otherwise(text)
+    words = F.regexp_extract_all(undoubled, F.lit(_HOST_WORD), F.lit(0))
+    hosts = F.flatten(
+        F.transform(words, lambda word: F.regexp_extract_all(word, F.lit(_HOST), F.lit(0)))
+    )
     addressed = text.contains("://")
     return F.concat(
-        found(addressed, text, _DATABASE, "database"),
-        found(addressed, text, _URL, "url"),
-        found(text.rlike(_DOTTED_END), undoubled, _HOST, "host"),
+        found(addressed, F.regexp_extract_all(text, F.lit(_DATABASE), F.lit(0)), "database"),
+        found(addressed, F.regexp_extract_all(text, F.lit(_URL), F.lit(0)), "url"),
+        found(text.rlike(_DOTTED_END), hosts, "host"),
     )
 
 

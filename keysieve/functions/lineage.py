@@ -10,11 +10,14 @@ from pyspark.sql import DataFrame
 def checkpointed(rows: DataFrame) -> DataFrame:
     """A copy of ``rows`` in the shared checkpoint folder, safe from lost executors.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``. Only
-    where none is named, as in tests, a temporary one is used.
+    The folder is the one the cluster names in ``spark.checkpoint.dir``. Where
+    none is named, a local session gets a temporary one; a cluster must name it,
+    since no folder of one machine outlives that machine.
     """
     context = rows.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         named = rows.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local"):
+            raise ValueError("Set spark.checkpoint.dir to a folder all executors share.")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="keysieve-checkpoint-"))
     return rows.checkpoint()

@@ -52,8 +52,9 @@ def strip(text: Column) -> Column:
     return F.btrim(text, F.lit(WHITE_SPACE))
 
 
-def count_of(text: Column, char: str) -> Column:
-    return F.length(text) - F.length(F.replace(text, F.lit(char), F.lit("")))
+def line_breaks(text: Column) -> Column:
+    """How often ``\\n`` occurs."""
+    return F.size(F.split(text, "\n", -1)) - 1
 
 
 def blank_to_null(text: Column) -> Column:

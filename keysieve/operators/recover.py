@@ -23,11 +23,11 @@ from keysieve.functions.text import (
     WORD,
     any_of,
     contains_any,
-    count_of,
     find_all,
     first_group,
     has_uncounted_break,
     let,
+    line_breaks,
     lines_of,
     portable_boundaries,
     running_ends,
@@ -114,12 +114,13 @@ def _placed_segments(content: Column, chars: int | None, lines: Column, facts: C
     """Segments with their place in the file and their surroundings.
 
     ``lines`` holds a struct per line: its text, or its tokens when it is so
-    long that every segment on it would otherwise carry a copy.
+    long that every segment on it would otherwise carry a copy. It is null for a
+    plain file, whose only segment shows every line by itself.
     """
 
     def place(segs: Column) -> Column:
         sizes = F.transform(segs, F.length)
-        breaks = F.transform(segs, lambda s: count_of(s, "\n"))
+        breaks = F.transform(segs, lambda s: line_breaks(s))
         bound = F.struct(
             running_ends(sizes).alias("offsets"),
             running_ends(breaks).alias("lines"),
@@ -149,6 +150,7 @@ def _placed_segments(content: Column, chars: int | None, lines: Column, facts: C
                     F.coalesce(F.right(F.get(segs, i - 1), F.lit(C.ASSET_WINDOW)), F.lit("")).alias("before"),
                     F.coalesce(F.left(F.get(segs, i + 1), F.lit(C.ASSET_WINDOW)), F.lit("")).alias("after"),
                     F.slice(lines, F.get(b["lines"], i) + 1, F.get(b["breaks"], i) + 1).alias("lines"),
+                    lines.isNull().alias("plain"),
                     (F.size(segs) == 1).alias("whole"),
                     _facts_in(facts, F.get(b["lines"], i) + 1, F.get(b["breaks"], i)).alias("py"),
                 ),
@@ -162,18 +164,29 @@ def _placed_segments(content: Column, chars: int | None, lines: Column, facts: C
 def _file_segments(chars: int | None) -> Column:
     """Segments of the file in ``content``, with lines and Python facts."""
     content, language = F.col("content"), F.col("language")
-    lines = F.when(has_uncounted_break(content), lines_of(content)).otherwise(
-        # Without other breaks the cheap split differs in a trailing "\r" at most.
-        F.transform(F.split(content, "\n", -1), lambda line: F.rtrim(line, F.lit("\r")))
-    )
-    carried = F.transform(
-        lines,
-        lambda line: F.when(
-            F.length(line) > LONG_LINE,
-            F.struct(F.lit(None).cast("string").alias("text"), line_tokens(line, language).alias("tokens")),
-        ).otherwise(F.struct(line.alias("text"), F.lit(None).cast(_LINE_TOKENS).alias("tokens"))),
+
+    def lines(odd: Column) -> Column:
+        every = F.when(odd, lines_of(content)).otherwise(
+            # Without other breaks the cheap split differs in a trailing "\r" at most.
+            F.transform(F.split(content, "\n", -1), lambda line: F.rtrim(line, F.lit("\r")))
+        )
+        carried = F.transform(
+            every,
+            lambda line: F.when(
+                F.length(line) > LONG_LINE,
+                F.struct(F.lit(None).cast("string").alias("text"), line_tokens(line, language).alias("tokens")),
+            ).otherwise(_text_line(line)),
+        )
+        return carried if chars is None else F.when((F.length(content) > chars) | odd, carried)
+
+    return let(
+        let(has_uncounted_break(content), lines),
+        lambda own: _placed_segments(content, chars, own, F.col("py_all")),
     )
-    return let(carried, lambda own: _placed_segments(content, chars, own, F.col("py_all")))
+
+
+def _text_line(line: Column) -> Column:
+    return F.struct(line.alias("text"), F.lit(None).cast(_LINE_TOKENS).alias("tokens"))
 
 
 def _facts_in(facts: Column, first: Column, more: Column) -> Column:
@@ -228,41 +241,38 @@ def _hits_in_segment(text: Column, signatures: Sequence[C.Signature], tokenise:
     if not tokenise:
         return _hits_in_token(text, signatures)
 
-    def in_token(token: Column, gap: Column, next_gap: Column, at: Column) -> Column:
+    def in_token(token: Column, start: Column) -> Column:
         # One character of surroundings decides the word boundaries; no
         # signature can consume it, since it is outside the token class.
-        left = F.right(gap, F.lit(1))
-        framed = F.concat(left, token, F.left(next_gap, F.lit(1)))
+        left = F.when(start > 0, F.substring(text, start, F.lit(1))).otherwise(F.lit(""))
+        right = F.substring(text, start + F.length(token) + 1, F.lit(1))
         return let(
-            F.struct(framed.alias("text"), (at - F.length(left)).alias("base")),
+            F.struct(F.concat(left, token, right).alias("text"), (start - F.length(left)).alias("base")),
             lambda f: F.transform(
                 _hits_in_token(f["text"], signatures),
                 lambda h: h.withField("start", h["start"] + f["base"]),
             ),
         )
 
-    def over(parts: Column) -> Column:
-        tokens, gaps = parts["found"], parts["gaps"]
-        steps = F.transform(tokens, lambda t, i: F.length(F.get(gaps, i)) + F.length(t))
+    def over(tokens: Column) -> Column:
+        # Tokens are maximal runs in order, so each is the first occurrence of
+        # its text after the one before.
+        ends = F.aggregate(
+            tokens,
+            F.array(F.lit(0)),
+            lambda seen, t: F.concat(
+                seen,
+                F.array(F.position(t, text, F.element_at(seen, -1) + 1) - 1 + F.length(t)),
+            ),
+        )
         return let(
-            running_ends(steps),
-            lambda ends: F.flatten(
-                F.transform(
-                    tokens,
-                    lambda t, i: in_token(
-                        t, F.get(gaps, i), F.get(gaps, i + 1), F.get(ends, i) + F.length(F.get(gaps, i))
-                    ),
-                )
+            ends,
+            lambda after: F.flatten(
+                F.transform(tokens, lambda t, i: in_token(t, F.get(after, i + 1) - F.length(t)))
             ),
         )
 
-    return let(
-        F.struct(
-            F.regexp_extract_all(text, F.lit(_TOKEN), F.lit(0)).alias("found"),
-            F.split(text, _TOKEN, -1).alias("gaps"),
-        ),
-        over,
-    )
+    return let(F.regexp_extract_all(text, F.lit(_TOKEN), F.lit(0)), over)
 
 
 @built_once
@@ -272,12 +282,14 @@ def _candidates_in_segment(signatures: Sequence[C.Signature], tokenise: bool) ->
 
     def describe(hit: Column, around: Column) -> Column:
         def build(prefix: Column) -> Column:
-            line = seg["line"] + count_of(prefix, "\n")
+            line = seg["line"] + line_breaks(prefix)
             column = F.length(F.substring_index(prefix, "\n", -1)) + F.when(
                 prefix.contains("\n"), F.lit(0)
             ).otherwise(seg["column"])
             lead = F.length(seg["before"]) + hit["start"]
             margin = F.least(lead, F.lit(C.ASSET_WINDOW))
+            rest = F.substring(seg["text"], hit["start"] + 1, F.length(seg["text"]))
+            shown = F.concat(F.substring_index(prefix, "\n", -1), F.substring_index(rest, "\n", 1))
             return F.struct(
                 hit["sig_ord"].alias("sig_ord"),
                 hit["provider"].alias("provider"),
@@ -293,7 +305,9 @@ def _candidates_in_segment(signatures: Sequence[C.Signature], tokenise: bool) ->
                 ).alias("window"),
                 margin.alias("window_lead"),
                 let(
-                    F.get(seg["lines"], line - seg["line"]),
+                    F.when(seg["plain"], _text_line(F.rtrim(shown, F.lit("\r")))).otherwise(
+                        F.get(seg["lines"], line - seg["line"])
+                    ),
                     lambda own: F.coalesce(own["tokens"], line_tokens(own["text"], language)),
                 ).alias("line_facts"),
             )

@@ -14,7 +14,7 @@ from keysieve.operators.report import build_findings, report_rows
 from keysieve.operators.routing import outcome, resolve_service, route_findings, with_verdicts, confirmed_rows
 from keysieve.operators.supervised import load_bundle, supervised_scorer
 from keysieve.operators.training import train_and_save
-from keysieve.plans.pipeline import analyze, find
+from keysieve.plans.triage import analyze, find
 
 KEY = "Lt3whkyVHH7iAtP28iNIq7hVNlK638vR"
 SETTINGS = ("src/settings.py", f'SHODAN_API_KEY = "{KEY}"\n')

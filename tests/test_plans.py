@@ -6,7 +6,7 @@ from keysieve.operators.labeling import review_queue
 from keysieve.operators.recover import recover_candidates
 from keysieve.operators.report import build_findings, top_findings
 from keysieve.operators.search import newest_per_pattern, pattern_hits
-from keysieve.plans.pipeline import analyze, find
+from keysieve.plans.triage import analyze, find
 
 KEY = "Lt3whkyVHH7iAtP28iNIq7hVNlK638vR"
 

@@ -9,7 +9,7 @@ from keysieve import catalog as C
 from keysieve.operators.features import FEATURE_ROW_COLUMNS, feature_rows
 from keysieve.operators.evaluate import evaluate, normal_rows
 from keysieve.operators.search import attach_content, newest_per_pattern, pattern_hits, scan_hits
-from keysieve.plans.pipeline import analyze, scan
+from keysieve.plans.triage import analyze, scan
 from keysieve.sources.readers import (
     builtin_patterns, read_feature_csv, read_feature_order, read_patterns, read_text_files,
 )

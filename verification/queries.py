@@ -25,7 +25,7 @@ from keysieve.operators.routing import outcome, resolve_service, route_findings
 from keysieve.operators.search import attach_content, newest_per_pattern, pattern_hits, scan_hits
 from keysieve.operators.supervised import approval_threshold, supervised_scorer
 from keysieve.operators.training import class_weights, stratified_split, train
-from keysieve.plans.pipeline import analyze, find
+from keysieve.plans.triage import analyze, find
 from keysieve.sources.readers import clean_patterns
 from verification import oracle as O
 from verification.driver_tables import NAME, VALUE, source_files, spread, table
