@@ -14,6 +14,10 @@ from keysieve.functions.reuse import built_once
 from keysieve.functions.text import contains_any, keep_present, let, mask, rlike_any, strip
 
 
+# Fixed value: how much of the context window is shown.
+WINDOW_SHOWN = 300
+
+
 def statistical(value: Column, entropy: Column) -> dict[str, Column]:
     """Length, entropy and character make-up of the value."""
     length = F.length(value)
@@ -108,7 +112,7 @@ def contextual() -> dict[str, Column]:
     path = F.col("file_path")
     weak = (paths.is_doc_or_test(path) | paths.is_template_file(path)) & ~secret_list_shape(lower)
     return {
-        "context_window": F.substring(strip(F.col("context_raw")), 1, 300),
+        "context_window": F.substring(strip(F.col("context_raw")), 1, WINDOW_SHOWN),
         "nearest_secret_term_distance": nearest_term_distance(lower),
         "has_secret_term_nearby": contains_any(lower, C.SECRET_TERMS),
         "has_hash_or_identifier_term": contains_any(lower, C.HASH_OR_ID_TERMS),
@@ -142,6 +146,7 @@ def assets() -> dict[str, Column]:
         "has_asset_reference": F.size(refs) > 0,
         "asset_reference_count": F.size(refs),
         "asset_kinds": F.array_join(kinds, ","),
+        "first_assets": F.slice(refs, 1, 5),
         "asset_references": F.array_join(F.slice(refs, 1, 5), " | "),
         "has_database_asset": F.array_contains(kinds, "database"),
         "has_url_asset": F.array_contains(kinds, "url"),
@@ -202,11 +207,10 @@ def add_features(candidates: DataFrame) -> DataFrame:
     rows = candidates
     for columns in _feature_steps():
         rows = rows.withColumns(columns)
-    rows = rows.drop(
-        "context_raw", "context_lower", "context_joined", "window", "window_lead",
+    return rows.drop(
+        "near", "context_raw", "context_lower", "context_joined", "window", "window_lead",
         "context_asset_references", "context_asset_kinds", "context_evidence",
     )
-    return rows.withColumnRenamed("near", "assets_near")
 
 
 # The exported feature row: base columns, then the groups in order.
@@ -232,8 +236,15 @@ FEATURE_ROW_COLUMNS = tuple(name for name, _ in _BASE) + _GROUPS
 
 
 def redact(text: Column, value: Column) -> Column:
-    """Replace a value inside a text by its mask."""
-    return F.replace(text, value, mask(value))
+    """Replace a value inside a text by its mask.
+
+    The context window ends after WINDOW_SHOWN characters, so a long value may
+    stand there as a head only; the text is then cut at that head.
+    """
+    whole = F.replace(text, value, mask(value))
+    head = F.position(F.left(value, F.lit(C.MIN_VALUE_LENGTH)), whole)
+    may_be_cut = F.length(value) > WINDOW_SHOWN - C.CONTEXT_WINDOW
+    return F.when(may_be_cut & (head > 0), F.concat(F.left(whole, head - 1), mask(value))).otherwise(whole)
 
 
 def feature_rows(

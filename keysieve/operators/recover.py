@@ -357,7 +357,7 @@ def recover_candidates(
     rows = rows.withColumn("py_all", python_facts(F.when(is_python, content), only_runs=standard))
     segments = rows.select(
         *columns,
-        F.when(is_python, asset_matches(content)).alias("file_assets"),
+        F.when(is_python, F.array_distinct(asset_matches(content))).alias("file_assets"),
         F.explode(_file_segments(chars)).alias("seg"),
     )
     if standard:

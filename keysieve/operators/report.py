@@ -62,7 +62,7 @@ def build_findings(analyses: DataFrame) -> DataFrame:
             "ast_node_type",
             "variable_name",
             F.col("downstream_calls").alias("usage_calls"),
-            F.slice("assets_near.references", 1, 5).alias("asset_references"),
+            F.col("first_assets").alias("asset_references"),
             "confidence",
             "risk_score",
             risk_level(F.col("risk_score")).alias("risk_level"),

@@ -170,6 +170,15 @@ def test_report_masks_the_value_everywhere(files):
     assert one(report_rows(findings, include_raw=True))["Raw Value"] == KEY
 
 
+def test_a_long_value_is_masked_where_the_window_cuts_it(files):
+    value = "sk-proj-" + "aB3_" * 100
+    findings = find(files((".env", f"API_KEY={value}\n")))
+    row = one(report_rows(findings))
+    assert "sk-proj-aB3" not in str(row) and row["Masked Value"] == "sk-p********aB3_"
+    window = one(feature_rows(analyze(files((".env", f"API_KEY={value}\n")))))["context_window"]
+    assert window == "API_KEY=sk-p********aB3_"
+
+
 def test_routes(spark):
     rows = spark.createDataFrame(
         [("GitHub Token",), ("Google API Key",), ("Shodan API Key",), ("Unknown Type",)], "kind string"
