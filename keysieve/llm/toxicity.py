@@ -27,9 +27,11 @@ from keysieve.llm import common as K
 
 WORD_BITS = 21
 STEM_BITS = 18
+#: Size of the map of labelled ids that spares other texts a shuffle.
+MAP_BITS = 22
 STEM_BYTES = 4
 TELLING = 4
-#: Labelled rows, in hash order, that the logistic curve is fitted on at most.
+#: Labels, in hash order of their ids, that the logistic curve is fitted on at most.
 CURVE_ROWS = 50_000
 FOLDS = 5
 
@@ -44,13 +46,19 @@ def fold(doc_id, folds: int = FOLDS):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % folds, F.lit(-1))
 
 
-def _words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Word hashes, stem hashes and text numbers of all words of a block, in order."""
+_REST = np.uint64(64 - STEM_BITS)
+
+
+def _words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Word numbers and text numbers of all words of a block, in order.
+
+    The first bits of a word's number are a hash of its stem, the others of the word.
+    """
     buffer, at = K.joined(texts, _LETTERS)
     starts, ends = K.runs(buffer != 32)
     hashes = K.SpanHashes(buffer)
-    text = np.searchsorted(at, starts, "right") - 1
-    return hashes.of(starts, ends), hashes.of(starts, np.minimum(ends, starts + STEM_BYTES)), text
+    stem = hashes.of(starts, np.minimum(ends, starts + STEM_BYTES)) >> _REST << _REST
+    return stem | hashes.of(starts, ends) >> np.uint64(STEM_BITS), np.searchsorted(at, starts, "right") - 1
 
 
 def _counted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -58,17 +66,16 @@ def _counted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in frames:
         texts, toxic = K.encoded(frame["text"]), frame["toxic"].to_numpy(np.int64)
         for lo, hi in K.blocks(texts):
-            word, stem, text = _words(texts[lo:hi])
+            word, text = _words(texts[lo:hi])
             if not len(word):
                 continue
-            left = np.where(np.diff(text, prepend=-1) == 0, np.roll(word, 1), np.uint64(0))
+            left = np.where(np.diff(text, prepend=-1) == 0, K.mixed(np.roll(word, 1)) >> np.uint64(32), np.uint64(0))
             pair = K.mixed(word ^ K.mixed(left + np.uint64(1)))
             _, first, which = np.unique(pair, return_index=True, return_inverse=True)
             bad = np.bincount(which, toxic[lo:hi][text], len(first)).astype(np.int64)
             yield pd.DataFrame({
-                "word": word[first].view(np.int64), "stem": stem[first].view(np.int64),
-                "prior": left[first].view(np.int64), "c1": bad,
-                "c0": np.bincount(which, minlength=len(first)) - bad,
+                "word": word[first].view(np.int64), "prior": left[first].astype(np.uint32).view(np.int32),
+                "c1": bad, "c0": np.bincount(which, minlength=len(first)) - bad,
             })
 
 
@@ -78,10 +85,10 @@ class KneserNey:
     def __init__(self, words: np.ndarray, stems: np.ndarray, totals: dict[str, float]):
         self.words, self.stems, self.totals = words, stems, totals
 
-    def ratio(self, word: np.ndarray, stem: np.ndarray) -> np.ndarray:
+    def ratio(self, word: np.ndarray) -> np.ndarray:
         """Toxic minus ordinary log-likelihood of each word."""
-        own = self.words[(word >> np.uint64(64 - WORD_BITS)).astype(np.int64)]
-        root = self.stems[(stem >> np.uint64(64 - STEM_BITS)).astype(np.int64)]
+        own = self.words[(word & np.uint64((1 << WORD_BITS) - 1)).astype(np.int64)]
+        root = self.stems[(word >> _REST).astype(np.int64)]
         t = self.totals
         shared = (own[:, 2] + 0.5) / (t["contexts"] + 0.5 * t["words"] + 1)
         shared_stem = (root[:, 2] + 0.5) / (t["contexts"] + 0.5 * t["stems"] + 1)
@@ -102,10 +109,10 @@ class KneserNey:
         """For each text: the length-normalised difference and its largest single ones."""
         out = np.zeros((len(texts), 1 + TELLING))
         for lo, hi in K.blocks(texts):
-            word, stem, text = _words(texts[lo:hi])
+            word, text = _words(texts[lo:hi])
             if not len(word):
                 continue
-            gain = self.ratio(word, stem)
+            gain = self.ratio(word)
             size = np.bincount(text, minlength=hi - lo)
             out[lo:hi, 0] = np.bincount(text, gain, hi - lo) / np.maximum(size, 1)
             order = np.lexsort((-gain, text))
@@ -121,10 +128,10 @@ def _cut(ones: float, twos: float) -> float:
     return float(np.clip(ones / (ones + 2 * twos), 0.1, 0.95)) if ones else 0.5
 
 
-def _table(rows: DataFrame, key: str, bits: int) -> np.ndarray:
+def _table(rows: DataFrame, bucket, bits: int) -> np.ndarray:
     """Sums of c0, c1 and contexts by hash bucket: at most 2**bits rows reach the driver."""
     got = (
-        rows.groupBy(F.shiftrightunsigned(key, 64 - bits).alias("bucket"))
+        rows.groupBy(bucket.alias("bucket"))
         .agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1"), F.sum("contexts").alias("contexts"))
         .toArrow()
     )
@@ -138,18 +145,15 @@ def _table(rows: DataFrame, key: str, bits: int) -> np.ndarray:
 def fit_models(labelled: DataFrame) -> KneserNey:
     """Both models from all rows of ``labelled`` (text, toxic 0/1)."""
     pairs = labelled.select("text", F.col("toxic").cast("long").alias("toxic")).mapInPandas(
-        _counted, "word long, stem long, prior long, c1 long, c0 long"
-    )
-    after = pairs.groupBy("word", "prior").agg(
-        F.min("stem").alias("stem"), F.sum("c0").alias("c0"), F.sum("c1").alias("c1")
+        _counted, "word long, prior int, c1 long, c0 long"
     )
+    after = pairs.groupBy("word", "prior").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1"))
     words = K.settled(
         after.groupBy("word").agg(
-            F.min("stem").alias("stem"), F.sum("c0").alias("c0"), F.sum("c1").alias("c1"),
-            F.count(F.lit(1)).alias("contexts"),
+            F.sum("c0").alias("c0"), F.sum("c1").alias("c1"), F.count(F.lit(1)).alias("contexts")
         )
     )
-    stems = words.groupBy("stem").agg(
+    stems = words.groupBy(F.shiftrightunsigned("word", 64 - STEM_BITS).alias("stem")).agg(
         F.sum("c0").alias("c0"), F.sum("c1").alias("c1"), F.sum("contexts").alias("contexts")
     )
 
@@ -168,7 +172,7 @@ def fit_models(labelled: DataFrame) -> KneserNey:
             f"n{c}": w[f"c{c}"], f"kinds{c}": w[f"c{c}_kinds"], f"stem_kinds{c}": s[f"c{c}_kinds"],
             f"cut{c}": _cut(w[f"c{c}_ones"], w[f"c{c}_twos"]), f"stem_cut{c}": _cut(s[f"c{c}_ones"], s[f"c{c}_twos"]),
         }
-    return KneserNey(_table(words, "word", WORD_BITS), _table(stems, "stem", STEM_BITS), totals)
+    return KneserNey(_table(words, F.col("word").bitwiseAND((1 << WORD_BITS) - 1), WORD_BITS), _table(stems, F.col("stem"), STEM_BITS), totals)
 
 
 class Scorer:
@@ -191,10 +195,8 @@ class Scorer:
         return signs(text)
 
     def fit_curve(self, labelled: DataFrame) -> None:
-        rows = (
-            labelled.withColumn("_place", F.xxhash64("doc_id", "text")).orderBy("_place").limit(CURVE_ROWS)
-            .select(self.signs_column("text").alias("signs"), F.col("toxic").cast("double").alias("toxic")).collect()
-        )
+        """Fit on ``labelled`` (text, toxic), a bounded sample."""
+        rows = labelled.select(self.signs_column("text").alias("signs"), F.col("toxic").cast("double").alias("toxic")).collect()
         y = np.array([r.toxic for r in rows])
         self.flat = float((y.sum() + 0.5) / (len(y) + 1)) if len(y) else 0.5
         if len(set(y)) == 2:
@@ -219,20 +221,40 @@ class Scorer:
         return score(text)
 
 
+def _mapped(documents: DataFrame, marks: DataFrame) -> DataFrame:
+    """Rows whose id may be in ``marks``, by a bit map of fixed size: no labelled row is lost."""
+    bucket = F.pmod(F.xxhash64("doc_id"), F.lit(1 << MAP_BITS))
+    bits = np.zeros(1 << MAP_BITS, bool)
+    bits[marks.select(bucket.alias("bucket")).distinct().toArrow()["bucket"].to_numpy()] = True
+    shared = documents.sparkSession.sparkContext.broadcast(np.packbits(bits))
+
+    @F.pandas_udf("boolean")
+    def marked(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            at = batch.to_numpy(np.int64)
+            yield pd.Series((shared.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool))
+
+    return documents.where(marked(bucket))
+
+
 def fit_scorer(documents: DataFrame, labels: DataFrame) -> Scorer:
     """Fit on labelled documents outside fold 0: fold 4 for the curve, the rest for the counts.
 
-    A label that is null, or whose id is null, teaches nothing; an id that stands more
-    than once counts once for each of its rows. Without both labels in the last fold
-    the score is the same number for every text.
+    The counts take every labelled row, the curve at most ``CURVE_ROWS`` labels. A label
+    that is null, or whose id is null, teaches nothing; an id that stands more than once
+    counts once for each of its rows. Without both labels in the last fold the score is
+    the same number for every text.
     """
     marks = labels.select("doc_id", "toxic").where("toxic IN (0, 1)").dropDuplicates(["doc_id", "toxic"])
-    known = (
-        documents.select("doc_id", "text").join(marks, "doc_id").withColumn("_fold", fold("doc_id")).where("_fold > 0")
+    marks = marks.withColumn("_fold", fold("doc_id"))
+    counting = marks.where((F.col("_fold") > 0) & (F.col("_fold") < FOLDS - 1)).drop("_fold")
+    texts = documents.select("doc_id", "text").where("doc_id IS NOT NULL")
+    inside = texts.where((fold("doc_id") > 0) & (fold("doc_id") < FOLDS - 1))
+    scorer = Scorer(documents.sparkSession, fit_models(_mapped(inside, counting).join(counting, "doc_id")))
+    curve = (
+        marks.where(F.col("_fold") == FOLDS - 1).drop("_fold").orderBy(F.xxhash64("doc_id"), "toxic").limit(CURVE_ROWS)
     )
-    known = K.settled(known)
-    scorer = Scorer(documents.sparkSession, fit_models(known.where(F.col("_fold") < FOLDS - 1)))
-    scorer.fit_curve(known.where(F.col("_fold") == FOLDS - 1))
+    scorer.fit_curve(texts.where(fold("doc_id") == FOLDS - 1).join(F.broadcast(curve), "doc_id"))
     return scorer
 
 
