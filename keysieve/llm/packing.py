@@ -177,7 +177,7 @@ def packed(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             .withColumn("sequence_id", F.lit(turn << 58) + F.col("group") * (1 << 30) + F.col("bin"))
         )
         by_group = placed.groupBy("group").agg(F.first("bins").alias("bins"), F.first("bound").alias("bound"))
-        bins, gaps = by_group.agg(F.coalesce(F.sum("bins"), F.lit(0)), F.count_if("bins > bound")).first()
+        bins, gaps = by_group.agg(F.coalesce(F.sum("bins"), F.lit(0)), F.count_if(F.col("bins") > F.col("bound"))).first()
         if earlier_bins is not None and bins >= earlier_bins:
             final.append(earlier)
             break

@@ -73,9 +73,9 @@ b AS (SELECT item_id, {_WORDS} AS ws FROM benchmark),
 win AS (SELECT DISTINCT item_id, least(10, len(ws)) AS n,
   array_to_string(ws[i:i + 9], ' ') AS phrase
   FROM b, unnest(range(1, greatest(2, len(ws) - 8))) AS t(i) WHERE len(ws) > 0),
-at AS (SELECT doc_id, i, n, array_to_string(ws[i:i + n - 1], ' ') AS phrase
+spot AS (SELECT doc_id, i, n, array_to_string(ws[i:i + n - 1], ' ') AS phrase
   FROM (SELECT doc_id, ws, n, unnest(range(1, len(ws) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM win) WHERE len(ws) >= n)),
-occ AS (SELECT doc_id, i, n, item_id FROM at JOIN win USING (n, phrase)),
+occ AS (SELECT doc_id, i, n, item_id FROM spot JOIN win USING (n, phrase)),
 hit AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM occ) GROUP BY doc_id),
 found AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
   FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM occ) GROUP BY doc_id)

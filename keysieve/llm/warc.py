@@ -84,7 +84,7 @@ class _Roller:
             name = f"{self._shard:06d}-{self._next:05d}"
             self._next += 1
             self._name = f"_temporary/{name}-{uuid.uuid4().hex}.warc.gz", f"archive/{name}.warc.gz"
-            self._out = self._fs.open_output_stream(f"{self._base}/{self._name[0]}")
+            self._out = self._fs.open_output_stream(f"{self._base}/{self._name[0]}", compression=None)
             self._records, self._size, self._sum = 0, 0, hashlib.sha256()
             info = _record("warcinfo", [
                 ("WARC-Record-ID", f"<urn:archive:{name}>"), ("WARC-Date", DATE), ("WARC-Filename", f"{name}.warc.gz"),

@@ -256,7 +256,7 @@ def wrapper_of(items: list, lows: list[int], highs: list[int], pages: int) -> li
 
 
 def _dump(wrapper: list) -> list:
-    return [[_dump(x) if isinstance(x, list) else x, opt, s and [s.low, s.high, s.pages]] for x, opt, s in wrapper]
+    return [[_dump(x) if isinstance(x, list) else x, opt, s and [int(s.low), int(s.high), int(s.pages)]] for x, opt, s in wrapper]
 
 
 def _load(stored: list) -> list:
