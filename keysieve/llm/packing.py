@@ -42,16 +42,16 @@ def piece_lengths(size: int, capacity: int) -> list[int]:
     return ([first] if first else []) + [capacity] * (size // capacity)
 
 
-def document_pieces(documents: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
+def document_pieces(documents: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, ids_as: str | None = None) -> DataFrame:
     """Pieces of every document: its token ids and ``end_id``, cut only where they exceed ``capacity``.
 
-    A null text is empty and has the end id alone. ``with_ids`` adds the ids as
-    little-endian unsigned 32-bit integers.
+    A null text is empty and has the end id alone. The checksum is that of the ids as
+    little-endian unsigned 32-bit integers; ``ids_as`` names a type to add the ids in.
     """
     schema = T.StructType([documents.schema["doc_id"]])
     for field in T._parse_datatype_string(_PIECE):
         schema.add(field)
-    if with_ids:
+    if ids_as:
         schema.add("ids", T.BinaryType())
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -77,14 +77,14 @@ def document_pieces(documents: DataFrame, tokenizer: str, capacity: int = CAPACI
                         start.append(at)
                         length.append(size)
                         crc.append(zlib.crc32(raw))
-                        if with_ids:
-                            ids.append(raw)
+                        if ids_as:
+                            ids.append(own[at : at + size].astype(ids_as).tobytes())
                         at += size
                 columns = [
                     batch.column(0).take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()),
                     pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64()),
                 ]
-                yield pa.RecordBatch.from_arrays(columns + ([pa.array(ids, pa.binary())] if with_ids else []), schema.names)
+                yield pa.RecordBatch.from_arrays(columns + ([pa.array(ids, pa.binary())] if ids_as else []), schema.names)
                 lo = hi
 
     return documents.select("doc_id", "text").mapInArrow(cut, schema)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from keysieve.llm import chat, common, decontaminate, packing, quality, simhash, toxicity, vptree, warc, wrappers
+from keysieve.llm import chat, common, decontaminate, matrices, packing, quality, simhash, toxicity, vptree, warc, wrappers
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -122,3 +122,10 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op1_html_extract")
 def op1_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wrappers.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
+@query("op6_token_matrices")
+def op6_token_matrices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = common.shared_folder(spark)
+    matrices.write_matrices(table(spark, sf_dir, "documents"), folder, TOKENIZER)
+    return matrices.read_pieces(spark, folder, TOKENIZER)
