@@ -65,22 +65,33 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 _BYTE = mixed(np.arange(1, 257, dtype=np.uint64))
 _BASE = 0x5851F42D4C957F2D
-_POWERS: dict[str, np.ndarray] = {}
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_POWERS.get("up", ())) < n:
-        size = max(n, BLOCK_BYTES + (BLOCK_BYTES >> 2))
-        _POWERS["up"] = np.full(size, _BASE, np.uint64).cumprod()
-        _POWERS["down"] = np.full(size, pow(_BASE, -1, 1 << 64), np.uint64).cumprod()
-    return _POWERS["up"], _POWERS["down"]
+class _Powers:
+    """Powers of the base and of its inverse; a copy sent to another process starts empty."""
+
+    def __init__(self) -> None:
+        self._up = self._down = np.zeros(0, np.uint64)
+
+    def __reduce__(self):
+        return _Powers, ()
+
+    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(self._up) < n:
+            size = max(n, BLOCK_BYTES + (BLOCK_BYTES >> 2))
+            self._up = np.full(size, _BASE, np.uint64).cumprod()
+            self._down = np.full(size, pow(_BASE, -1, 1 << 64), np.uint64).cumprod()
+        return self._up, self._down
+
+
+POWERS = _Powers()
 
 
 class SpanHashes:
     """Hashes of any byte spans of one buffer, from its running polynomial."""
 
     def __init__(self, buffer: np.ndarray):
-        up, self._down = _powers(len(buffer) + 1)
+        up, self._down = POWERS.upto(len(buffer) + 1)
         self._run = np.zeros(len(buffer) + 1, np.uint64)
         np.cumsum(_BYTE[buffer] * up[: len(buffer)], out=self._run[1:])
 

@@ -140,7 +140,7 @@ class BatchEncoder:
         text = np.searchsorted(stop, starts, "right")
 
         run = np.zeros(len(chars) + 1, np.uint64)
-        up, down = K._powers(len(chars) + 1)
+        up, down = K.POWERS.upto(len(chars) + 1)
         np.cumsum(K.mixed(chars.astype(np.uint64) + np.uint64(1)) * up[: len(chars)], out=run[1:])
         key = K.mixed((run[ends] - run[starts]) * down[starts] + (ends - starts).astype(np.uint64))
         keys, first, which = np.unique(key, return_index=True, return_inverse=True)

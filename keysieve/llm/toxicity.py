@@ -85,6 +85,17 @@ class KneserNey:
     def __init__(self, words: np.ndarray, stems: np.ndarray, totals: dict[str, float]):
         self.words, self.stems, self.totals = words, stems, totals
 
+    def packed(self) -> tuple:
+        """Filled buckets only, to be sent."""
+        filled = [np.flatnonzero(t.any(1)).astype(np.int32) for t in (self.words, self.stems)]
+        return filled[0], self.words[filled[0]], filled[1], self.stems[filled[1]], self.totals
+
+    @classmethod
+    def unpacked(cls, at: np.ndarray, words: np.ndarray, stem_at: np.ndarray, stems: np.ndarray, totals: dict) -> KneserNey:
+        tables = np.zeros((1 << WORD_BITS, 3), np.float32), np.zeros((1 << STEM_BITS, 3), np.float32)
+        tables[0][at], tables[1][stem_at] = words, stems
+        return cls(*tables, totals)
+
     def ratio(self, word: np.ndarray) -> np.ndarray:
         """Toxic minus ordinary log-likelihood of each word."""
         own = self.words[(word & np.uint64((1 << WORD_BITS) - 1)).astype(np.int64)]
@@ -179,7 +190,7 @@ class Scorer:
     """A model on the executors and the curve that turns its signs into scores."""
 
     def __init__(self, spark: SparkSession, model: KneserNey):
-        self.shared = spark.sparkContext.broadcast((model.words, model.stems, model.totals))
+        self.shared = spark.sparkContext.broadcast(model.packed())
         self.center, self.scale, self.weights = np.zeros(1 + TELLING), np.ones(1 + TELLING), None
         self.flat = 0.5
 
@@ -188,7 +199,7 @@ class Scorer:
 
         @F.pandas_udf("array<double>")
         def signs(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            model = KneserNey(*shared.value)
+            model = KneserNey.unpacked(*shared.value)
             for batch in batches:
                 yield pd.Series(list(model.signs(K.encoded(batch))))
 
@@ -210,7 +221,7 @@ class Scorer:
 
         @F.pandas_udf("double")
         def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            model = KneserNey(*shared.value)
+            model = KneserNey.unpacked(*shared.value)
             for batch in batches:
                 if weights is None:
                     yield pd.Series(np.full(len(batch), flat))
