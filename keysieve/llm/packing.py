@@ -49,7 +49,7 @@ def document_pieces(documents: DataFrame, tokenizer: str, capacity: int = CAPACI
     little-endian unsigned 32-bit integers; ``ids_as`` names a type to add the ids in.
     """
     schema = T.StructType([documents.schema["doc_id"]])
-    for field in T._parse_datatype_string(_PIECE):
+    for field in T.StructType.fromDDL(_PIECE):
         schema.add(field)
     if ids_as:
         schema.add("ids", T.BinaryType())
@@ -168,7 +168,7 @@ def packed(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         counts[row["length"]] = row["count"]
     bound, total = least_bins(counts, capacity), 0
     pool, waiting, final = pieces, int(counts.sum()), []
-    schema = T.StructType([*pieces.schema.fields, T.StructField("group", T.LongType()), *T._parse_datatype_string(_PLACED)])
+    schema = T.StructType([*pieces.schema.fields, T.StructField("group", T.LongType()), *T.StructType.fromDDL(_PLACED)])
     earlier, earlier_bins = None, None
     for turn in range(ROUNDS):
         groups = max(1, -(-waiting // GROUP))

@@ -57,15 +57,15 @@ def fingerprint(text: bytes) -> int:
     return int(bits.view("<u8")[0])
 
 
-@F.pandas_udf("long")
-def _prints(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for batch in batches:
-        yield pd.Series(np.array([fingerprint(t) for t in K.encoded(batch)], np.uint64).view(np.int64))
-
-
 def fingerprints(documents: DataFrame) -> DataFrame:
     """(doc_id, print) of every row; the print is the 64-bit value as a signed long."""
-    return documents.select("doc_id", _prints("text").alias("print"))
+
+    @F.pandas_udf("long")
+    def prints(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            yield pd.Series(np.array([fingerprint(t) for t in K.encoded(batch)], np.uint64).view(np.int64))
+
+    return documents.select("doc_id", prints("text").alias("print"))
 
 
 def variants(prints: DataFrame) -> DataFrame:
