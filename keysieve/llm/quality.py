@@ -6,8 +6,8 @@ lines. Forward-backward gives each line's marginal probability of being good, an
 marginals, weighted by line length, make the quality of the document. A logistic
 curve maps that to the probability of the label.
 
-The field is fitted on a bounded sample of labelled rows (``TRAIN_ROWS`` texts, of
-each a run of at most ``TRAIN_LINES`` lines); a text's label stands for its lines.
+The field is fitted on a bounded sample of labelled rows (``TRAIN_ROWS`` labels, of
+each text a run of at most ``TRAIN_LINES`` lines); a text's label stands for its lines.
 Scoring always reads every line of the whole text.
 """
 
@@ -223,22 +223,21 @@ def fit_scorer(documents: DataFrame, labels: DataFrame) -> Scorer:
     is the same number for every text.
     """
     marks = labels.select("doc_id", "quality").where("quality IN (0, 1)").dropDuplicates(["doc_id", "quality"])
-    known = (
-        documents.select("doc_id", "text").join(marks, "doc_id").withColumn("_fold", fold("doc_id"))
-        .where(F.col("_fold") != HELD_OUT)
-    )
+    marks = marks.withColumn("_fold", fold("doc_id")).where(F.col("_fold") != HELD_OUT)
 
     def sample(rows: DataFrame) -> tuple[list[bytes], np.ndarray]:
-        picked = rows.withColumn("_place", F.xxhash64("doc_id", "text")).orderBy("_place").limit(TRAIN_ROWS)
-        got = picked.select("text", F.col("quality").cast("long").alias("quality")).toArrow()
+        # At most TRAIN_ROWS labels go to the texts, so no text is shuffled.
+        picked = rows.select("doc_id", "quality").orderBy(F.xxhash64("doc_id"), "quality").limit(TRAIN_ROWS)
+        known = documents.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
+        got = known.orderBy("doc_id", "text").select("text", F.col("quality").cast("long").alias("quality")).limit(2 * TRAIN_ROWS).toArrow()
         return K.encoded(got["text"].to_pylist()), got["quality"].to_numpy().astype(np.int64)
 
-    texts, good = sample(known.where(F.col("_fold") != CURVE_FOLD))
+    texts, good = sample(marks.where(F.col("_fold") != CURVE_FOLD))
     flat = float((good.sum() + 0.5) / (len(good) + 1)) if len(good) else 0.5
     if len(set(good)) < 2:
         return Scorer(None, np.zeros(2), flat)
     field = fit_field(texts, good)
-    more, marks = sample(known.where(F.col("_fold") == CURVE_FOLD))
+    more, marks = sample(marks.where(F.col("_fold") == CURVE_FOLD))
     if len(set(marks)) < 2:
         more, marks = texts, good
     return Scorer(field, K.logistic_fit(goodness(more, *field)[:, None], marks), flat)
