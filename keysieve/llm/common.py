@@ -8,8 +8,10 @@ import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that a task turns into arrays at a time; arrays take some 50 bytes for each.
 BLOCK_BYTES = 2 << 20
@@ -37,6 +39,29 @@ def settled(rows: DataFrame) -> DataFrame:
     return spark.read.schema(rows.schema).parquet(path)
 
 
+#: Size of a map of ids: a fixed number of bits, whatever it maps.
+MAP_BITS = 22
+
+
+def may_hold(ids: DataFrame, column: str = "doc_id"):
+    """Condition that is true for every row whose ``column`` is in ``ids``, and for few others while those are few.
+
+    The ids set bits of a map of fixed size, which goes to the tasks; nulls are in no map.
+    """
+    bucket = F.pmod(F.xxhash64(column), F.lit(1 << MAP_BITS))
+    bits = np.zeros(1 << MAP_BITS, bool)
+    bits[ids.where(F.col(column).isNotNull()).select(bucket.alias("bucket")).distinct().toArrow()["bucket"].to_numpy()] = True
+    shared = ids.sparkSession.sparkContext.broadcast(np.packbits(bits))
+
+    @F.pandas_udf("boolean")
+    def marked(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            at = batch.to_numpy(np.int64)
+            yield pd.Series((shared.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool))
+
+    return F.col(column).isNotNull() & marked(bucket)
+
+
 def encoded(texts: Iterable[str | None]) -> list[bytes]:
     """UTF-8 bytes; null is empty."""
     return [t.encode("utf-8", "surrogatepass") if isinstance(t, str) else b"" for t in texts]

@@ -195,17 +195,19 @@ def kept(documents: DataFrame) -> DataFrame:
     with a null id are compared with nothing and all stay.
     """
     groups = K.settled(components(documents.where("doc_id IS NOT NULL")))
-    stays = (
+    odd = K.settled(
         groups.groupBy("doc_id").agg(
             F.count(F.lit(1)).alias("_rows"), F.max((F.col("doc_id") == F.col("component_id")).cast("int")).alias("_first")
-        ).where("_first = 1").select(F.col("doc_id").alias("_kept_id"), "_rows")
+        ).where("_first = 0 OR _rows > 1").withColumnRenamed("doc_id", "_odd")
     )
-    stays = K.settled(stays)
-    once = documents.join(stays.where("_rows = 1"), documents["doc_id"] == F.col("_kept_id"), "left_semi")
-    out = once.unionByName(documents.where("doc_id IS NULL"))
-    if not stays.where("_rows > 1").isEmpty():
-        again = documents.join(stays.where("_rows > 1"), documents["doc_id"] == F.col("_kept_id"), "left_semi")
-        out = out.unionByName(again.dropDuplicates(["doc_id"]))
+    # Rows that can't be odd stay where they are; the others meet the odd ids, which decide.
+    maybe = K.may_hold(odd.select(F.col("_odd").alias("doc_id")))
+    joined = documents.where(maybe).join(odd, F.col("doc_id") == F.col("_odd"), "left")
+    out = documents.where(~maybe).unionByName(joined.where("_odd IS NULL").select(*documents.columns))
+    again = odd.where("_first = 1")
+    if not again.isEmpty():
+        repeated = documents.where(maybe).join(again, F.col("doc_id") == F.col("_odd"), "left_semi")
+        out = out.unionByName(repeated.dropDuplicates(["doc_id"]))
     return out
 
 

@@ -27,8 +27,6 @@ from keysieve.llm import common as K
 
 WORD_BITS = 21
 STEM_BITS = 18
-#: Size of the map of labelled ids that spares other texts a shuffle.
-MAP_BITS = 22
 STEM_BYTES = 4
 TELLING = 4
 #: Labels, in hash order of their ids, that the logistic curve is fitted on at most.
@@ -232,22 +230,6 @@ class Scorer:
         return score(text)
 
 
-def _mapped(documents: DataFrame, marks: DataFrame) -> DataFrame:
-    """Rows whose id may be in ``marks``, by a bit map of fixed size: no labelled row is lost."""
-    bucket = F.pmod(F.xxhash64("doc_id"), F.lit(1 << MAP_BITS))
-    bits = np.zeros(1 << MAP_BITS, bool)
-    bits[marks.select(bucket.alias("bucket")).distinct().toArrow()["bucket"].to_numpy()] = True
-    shared = documents.sparkSession.sparkContext.broadcast(np.packbits(bits))
-
-    @F.pandas_udf("boolean")
-    def marked(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in batches:
-            at = batch.to_numpy(np.int64)
-            yield pd.Series((shared.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool))
-
-    return documents.where(marked(bucket))
-
-
 def fit_scorer(documents: DataFrame, labels: DataFrame) -> Scorer:
     """Fit on labelled documents outside fold 0: fold 4 for the curve, the rest for the counts.
 
@@ -261,7 +243,8 @@ def fit_scorer(documents: DataFrame, labels: DataFrame) -> Scorer:
     counting = marks.where((F.col("_fold") > 0) & (F.col("_fold") < FOLDS - 1)).drop("_fold")
     texts = documents.select("doc_id", "text").where("doc_id IS NOT NULL")
     inside = texts.where((fold("doc_id") > 0) & (fold("doc_id") < FOLDS - 1))
-    scorer = Scorer(documents.sparkSession, fit_models(_mapped(inside, counting).join(counting, "doc_id")))
+    # Texts without a label are not shuffled.
+    scorer = Scorer(documents.sparkSession, fit_models(inside.where(K.may_hold(counting)).join(counting, "doc_id")))
     curve = (
         marks.where(F.col("_fold") == FOLDS - 1).drop("_fold").orderBy(F.xxhash64("doc_id"), "toxic").limit(CURVE_ROWS)
     )
