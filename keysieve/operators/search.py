@@ -7,78 +7,51 @@ from pyspark.sql import functions as F
 
 from keysieve import catalog as C
 from keysieve.functions.paths import raw_url
-from keysieve.functions.text import let
 
-# Patterns checked in one pass over the text; more make further passes.
-PATTERNS_PER_PASS = 500
+# Patterns and texts meet on stretches of this many characters.
+STEM = 4
+# Files are numbered below this, so that a pattern's hits have their own range of numbers.
+FILE_ORDS = 1 << 40
 _SALTS = 64
-# Hits are a few hundred bytes each, so this many are some tens of megabytes.
-BROADCAST_HITS = 100_000
 
 
-def _stem(pattern: str) -> str:
-    """Leading word of a pattern, or the whole of it when that word says little."""
-    word = pattern.split("_", 1)[0]
-    return word if len(word) > 3 else pattern
-
-
-def _found_by_stem(text: Column, patterns: list) -> list[Column]:
-    """Patterns within ``text``, one array per shared stem.
-
-    A text without the stem holds none of its patterns, so most texts are
-    searched for a few stems only.
-    """
-    groups: dict[str, list] = {}
-    for row in patterns:
-        folded = row["pattern"].lower()
-        groups.setdefault(_stem(folded), []).append((folded, row["pattern"], row["pattern_ord"]))
-
-    def found(stem: str, group: list) -> Column:
-        known = F.array(*[
-            F.struct(F.lit(f).alias("folded"), F.lit(p).alias("pattern"), F.lit(o).alias("pattern_ord"))
-            for f, p, o in group
-        ])
-        none = F.array().cast("array<struct<folded:string,pattern:string,pattern_ord:int>>")
-        return F.when(
-            F.contains(text, F.lit(stem)), F.filter(known, lambda p: F.contains(text, p["folded"]))
-        ).otherwise(none)
-
-    return [found(stem, group) for stem, group in groups.items()]
+def _stems(text: Column) -> Column:
+    """All distinct stretches of a text, and the empty one, which shorter patterns have."""
+    every = F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{STEM}}}))"), F.lit(1))
+    return F.array_union(F.array(F.lit("")), every)
 
 
 def pattern_hits(files: DataFrame, patterns: DataFrame) -> DataFrame:
     """One row per file and pattern whose text the file contains, in any case.
 
-    Patterns are configuration: they are read once and become literals, so a
-    file is scanned where it lies and only its hits leave the task. Every
-    pattern is checked whatever their number.
+    Files and patterns are joined on a pattern's first characters, which any text
+    that holds it has too, so their number is not bounded and no file is paired
+    with a pattern it can't hold. Only file numbers go into that join; the pairs
+    it leaves are then checked against the texts. ``file_id`` is unique.
     """
-    rows = patterns.select("pattern", "pattern_ord").orderBy("pattern_ord").toLocalIterator()
-    batches: list[list] = [[]]
-    for row in rows:
-        if len(batches[-1]) == PATTERNS_PER_PASS:
-            batches.append([])
-        batches[-1].append(row)
+    folded = F.lower("pattern")
+    wanted = patterns.select(
+        "pattern", "pattern_ord", folded.alias("_folded"),
+        F.when(F.length(folded) < STEM, F.lit("")).otherwise(F.left(folded, F.lit(STEM))).alias("_stem"),
+    )
+    stems = files.where(F.col("content").isNotNull()).select("file_id", F.explode(_stems(F.lower("content"))).alias("_stem"))
+    possible = stems.join(wanted, "_stem").drop("_stem")
+    kept = [c for c in files.columns if c != "content"]
+    return (
+        files.join(possible, "file_id").where(F.contains(F.lower("content"), F.col("_folded")))
+        .select(*kept, "pattern", "pattern_ord")
+    )
 
-    def contained(batch: list) -> Column:
-        return let(F.lower("content"), lambda text: F.concat(*_found_by_stem(text, batch)))
 
-    kept = [c for c in files.columns if c != "content"]
-    out = None
-    for batch in batches:
-        if not batch:
-            continue
-        found = files.select(*kept, F.explode(contained(batch)).alias("p")).select(
-            *kept, "p.pattern", "p.pattern_ord"
-        )
-        out = found if out is None else out.unionByName(found)
-    if out is None:
-        return files.select(*kept, F.lit("").alias("pattern"), F.lit(0).alias("pattern_ord")).where(F.lit(False))
-    return out
+def numbered(hits: DataFrame, newest: str = "file_ord") -> DataFrame:
+    """All hits with ``hit_ord``, unique and in search order: patterns in turn, newest files first."""
+    return hits.withColumn("hit_ord", (F.col("pattern_ord") + 1).cast("long") * FILE_ORDS - F.col(newest))
 
 
 def newest_per_pattern(hits: DataFrame, pages: int = 1, newest: str = "file_ord") -> DataFrame:
-    """The newest ``100 * pages`` hits of each pattern, numbered by ``hit_ord``.
+    """Only the newest ``100 * pages`` hits of each pattern, numbered by ``hit_ord``.
+
+    For views of a search service's size; a scan takes all hits.
 
     A pattern may own a large part of all hits, so the limit is taken within
     salted parts of each pattern first; only what survives is ranked together.
@@ -111,23 +84,17 @@ def scan_hits(hits: DataFrame) -> DataFrame:
     )
 
 
-def attach_content(
-    hits: DataFrame, contents: DataFrame, once_per_file: bool = False, most_hits: int | None = None
-) -> DataFrame:
+def attach_content(hits: DataFrame, contents: DataFrame, once_per_file: bool = False) -> DataFrame:
     """Source files of raw hits; hits without an address or content are dropped.
 
     ``contents`` has ``raw_url`` and ``content``. With ``once_per_file`` only a
     file's first hit is kept, which spares reading the same text once per
     pattern and loses no candidate: later copies only repeat the first one's.
-    ``most_hits`` is the known limit of the search, if there is one; up to
-    BROADCAST_HITS the hits go to the contents, which then stay where they are.
     """
     wanted = hits.where(F.col("Raw URL").isNotNull() & (F.col("Raw URL") != ""))
     if once_per_file:
         first = Window.partitionBy("Repository", "File Path", "Raw URL").orderBy("hit_ord")
         wanted = wanted.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
-    if most_hits is not None and most_hits <= BROADCAST_HITS:
-        wanted = F.broadcast(wanted)
     texts = contents.select(F.col("raw_url").alias("Raw URL"), "content").where(F.col("content").isNotNull())
     return texts.join(wanted, "Raw URL").select(
         F.col("hit_ord").alias("file_id"),

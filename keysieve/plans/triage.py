@@ -8,13 +8,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keysieve import catalog as C
+from keysieve.functions.lineage import checkpointed
 from keysieve.functions.paths import raw_url
 from keysieve.operators.context import add_context
 from keysieve.operators.features import add_features
 from keysieve.operators.heuristic import Scorer, baseline_scorer
 from keysieve.operators.recover import SEGMENT_CHARS, first_wins, recover_candidates
 from keysieve.operators.report import build_findings, rank_findings
-from keysieve.operators.search import attach_content, newest_per_pattern, pattern_hits, scan_hits
+from keysieve.operators.search import attach_content, newest_per_pattern, numbered, pattern_hits, scan_hits
 
 
 def analyze(
@@ -40,17 +41,18 @@ def find(files: DataFrame, scorer: Scorer | None = None) -> DataFrame:
     return rank_findings(build_findings(analyze(files, scorer)))
 
 
-def search(files: DataFrame, patterns: DataFrame, pages: int = 1) -> DataFrame:
-    """Raw hits of every pattern, newest files first, up to ``pages`` of them."""
+def search(files: DataFrame, patterns: DataFrame) -> DataFrame:
+    """All raw hits of every pattern; ``hit_ord`` puts patterns in turn, newest files first."""
+    return scan_hits(numbered(pattern_hits(files, patterns)))
+
+
+def search_newest(files: DataFrame, patterns: DataFrame, pages: int = 1) -> DataFrame:
+    """Raw hits of every pattern up to ``pages`` of the newest, as a paging service shows them."""
     return scan_hits(newest_per_pattern(pattern_hits(files, patterns), pages))
 
 
-def scan(
-    files: DataFrame, patterns: DataFrame, pages: int = 1, scorer: Scorer | None = None
-) -> tuple[DataFrame, DataFrame]:
-    """Raw hits, and the analyses of the files they name."""
-    hits = search(files, patterns, pages)
-    most = patterns.count() * pages * C.HITS_PER_PAGE
+def scan(files: DataFrame, patterns: DataFrame, scorer: Scorer | None = None) -> tuple[DataFrame, DataFrame]:
+    """All raw hits, found once and kept in the shared folder, and the analyses of the files they name."""
+    hits = checkpointed(search(files, patterns))
     contents = files.select(raw_url(F.col("url")).alias("raw_url"), "content")
-    sources = attach_content(hits, contents, once_per_file=True, most_hits=most)
-    return hits, analyze(sources, scorer)
+    return hits, analyze(attach_content(hits, contents, once_per_file=True), scorer)
