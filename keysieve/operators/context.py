@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from keysieve import catalog as C
 from keysieve.functions import paths
-from keysieve.functions.assets import ASSET_TYPE, asset_matches, kinds, references
+from keysieve.functions.assets import ASSET_TYPE, kinds, references
 from keysieve.functions.reuse import built_once
 from keysieve.functions.text import keep_present, let
 
@@ -26,7 +26,7 @@ def with_literal(candidates: DataFrame) -> DataFrame:
     """First string literal, in parse order, on the candidate's line and holding its value."""
     line, value = F.col("line_number"), F.col("value")
     literals = F.filter(
-        F.col("py.facts.literals"),
+        F.col("py.facts.places"),
         lambda n: (n["start_line"] <= line) & (n["end_line"] >= line) & F.contains(n["value"], value),
     )
     return candidates.withColumn("literal", F.get(literals, F.lit(0)))
@@ -47,8 +47,8 @@ def _usage_steps() -> tuple[dict[str, Column], ...]:
     scopes = F.filter(
         F.col("py.facts.scopes"), lambda s: (s["start_line"] <= line) & (s["end_line"] >= line)
     )
-    used = F.flatten(F.transform(F.col("_calls"), lambda c: asset_matches(c["source"])))
-    around = F.when(F.col("_scope").isNotNull(), asset_matches(F.col("_scope.source"))).otherwise(
+    used = F.flatten(F.transform(F.col("_calls"), lambda c: c["assets"]))
+    around = F.when(F.col("_scope").isNotNull(), F.col("_scope.assets")).otherwise(
         F.col("py.file_assets")
     )
     names = F.array_compact(

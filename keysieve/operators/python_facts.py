@@ -5,15 +5,21 @@ string literals that may hold a candidate, the calls that use a variable such a
 literal is bound to, and the functions and classes around those literals.
 Everything that combines these facts with candidates is a column expression in
 ``context``.
+
+Recovery asks for literals by place: for each long token run of the file, the
+literals on its line that hold a value it may hold. So a literal as long as the
+file goes to a segment with that segment's runs only, not whole.
 """
 
 from __future__ import annotations
 
 import ast
 import re
+from bisect import bisect_left, bisect_right
 import sys
 import warnings
 
+import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
@@ -53,6 +59,11 @@ FACTS = T.StructType([
     T.StructField("scopes", T.ArrayType(_SCOPE)),
 ])
 
+_PLACE = T.StructType([T.StructField("at", T.IntegerType()), *_LITERAL.fields])
+PLACED = T.StructType([
+    FACTS["parse_error"], T.StructField("places", T.ArrayType(_PLACE)), FACTS["calls"], FACTS["scopes"],
+])
+
 _DEFS = (ast.FunctionDef, ast.AsyncFunctionDef)
 _EMPTY = {"literals": [], "calls": [], "scopes": []}
 
@@ -96,12 +107,15 @@ class _Source:
         self.raw = text.encode("utf-8")
         self.starts = [0] + [m.end() for m in re.finditer(rb"\r\n|\r|\n", self.raw)]
 
-    def of(self, node: ast.AST) -> str | None:
+    def span(self, node: ast.AST) -> tuple[int, int] | None:
         if getattr(node, "end_lineno", None) is None:
             return None
         begin = self.starts[node.lineno - 1] + node.col_offset
-        end = self.starts[node.end_lineno - 1] + node.end_col_offset
-        return self.raw[begin:end].decode("utf-8")
+        return begin, self.starts[node.end_lineno - 1] + node.end_col_offset
+
+    def of(self, node: ast.AST) -> str | None:
+        span = self.span(node)
+        return span and self.raw[span[0] : span[1]].decode("utf-8")
 
 
 def file_facts(text: str, holds_value) -> dict:
@@ -139,6 +153,7 @@ def file_facts(text: str, holds_value) -> dict:
             "node_type": type(node).__name__, "parent_type": type(parent).__name__,
             "variable": variable, "enclosing_function": function,
             "call_name": call[0] if call else None, "usage": usage.strip()[:240] or None,
+            "span": source.span(node),
         })
         if variable and variable != "subscript":
             wanted.add(variable)
@@ -173,26 +188,101 @@ def file_facts(text: str, holds_value) -> dict:
     return {"parse_error": None, "literals": literals, "calls": calls, "scopes": scopes}
 
 
-def python_facts(content, only_runs: bool = True):
-    """Facts column for Python sources; null in, null out.
+def _grams(run: str) -> set[str]:
+    return {run[i : i + C.MIN_VALUE_LENGTH] for i in range(len(run) - C.MIN_VALUE_LENGTH + 1)}
 
-    With ``only_runs`` literals without a long enough run of token characters
-    are left out: none of the catalogue's values can lie inside them.
-    """
-    least = C.MIN_VALUE_LENGTH
-    run = re.compile("%s{%d}" % (C.RUN_CLASS, least))
 
-    def holds_value(value: str) -> bool:
-        return bool(run.search(value)) if only_runs else len(value) >= least
+def placed_literals(text: str, literals: list[dict]) -> list[dict]:
+    """For each long token run, the literals on its line that share a possible value with it.
 
-    @F.arrow_udf(FACTS)
+    An entry is the literal with ``at``, the run's place, and as ``value`` the
+    literal's own text of that value. A run inside a literal that is spelt as it
+    reads is that text. Other runs are looked up by what literals hold.
+    """
+    raw = text.encode("utf-8")
+    token = "%s{%d,}" % (C.TOKEN_CLASS, C.MIN_VALUE_LENGTH)
+    runs = [m.span() for m in re.finditer(token.encode(), raw)]
+    if not runs or not literals:
+        return []
+    begins = [a for a, _ in runs]
+    breaks = np.flatnonzero(np.frombuffer(raw, np.uint8) == 10)
+    lines = (np.searchsorted(breaks, begins, "left") + 1).tolist()
+    chars = np.cumsum((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)
+    at = (chars[begins] - 1).tolist()
+    texts = [raw[a:b].decode() for a, b in runs]
+
+    found: dict[tuple[int, int], list[str]] = {}
+    ranges, others = [], np.zeros(len(runs) + 1, np.int64)
+    for k, literal in enumerate(literals):
+        low, high = bisect_left(lines, literal["start_line"]), bisect_right(lines, literal["end_line"])
+        first = last = low
+        if literal["span"]:
+            begin, end = literal["span"]
+            value = literal["value"].encode("utf-8")
+            inside = raw.find(value, begin, end)
+            if inside >= 0:
+                first = min(max(bisect_left(begins, inside), low), high)
+                last = min(max(bisect_left(begins, inside + len(value)), first), high)
+        for i in range(first, last):
+            found[k, i] = [texts[i]]
+        for a, b in ((low, first), (last, high)):
+            others[a] += 1
+            others[b] -= 1
+        ranges.append((low, first, last, high))
+
+    holders: dict[str, list[int]] = {}
+    for i in np.flatnonzero(np.cumsum(others)[:-1] > 0).tolist():
+        for gram in _grams(texts[i]):
+            holders.setdefault(gram, []).append(i)
+    if holders:
+        for k, (literal, (low, first, last, high)) in enumerate(zip(literals, ranges)):
+            if low == first and last == high:
+                continue
+            for m in re.finditer(token, literal["value"]):
+                for i in {i for gram in _grams(m[0]) for i in holders.get(gram, ())}:
+                    if low <= i < first or last <= i < high:
+                        found.setdefault((k, i), []).append(m[0])
+    return [{**literals[k], "at": at[i], "value": "\n".join(own)} for (k, i), own in sorted(found.items())]
+
+
+def _facts_udf(schema: T.StructType, facts_of):
+    @F.arrow_udf(schema)
     def facts(texts: pa.Array) -> pa.Array:
         from pyspark.sql.pandas.types import to_arrow_type
 
-        rows = [None if t is None else file_facts(t, holds_value) for t in texts.to_pylist()]
-        return pa.array(rows, type=to_arrow_type(FACTS))
+        rows = [None if t is None else facts_of(t) for t in texts.to_pylist()]
+        return pa.array(rows, type=to_arrow_type(schema))
+
+    return facts
+
+
+def _holds_run(value: str) -> bool:
+    return bool(re.search("%s{%d}" % (C.RUN_CLASS, C.MIN_VALUE_LENGTH), value))
+
+
+def _holds_any(value: str) -> bool:
+    return len(value) >= C.MIN_VALUE_LENGTH
+
+
+def python_facts(content):
+    """Facts column for Python sources; null in, null out.
+
+    Literals without a long enough run of token characters are left out: none
+    of the catalogue's values can lie inside them.
+    """
+    return _facts_udf(FACTS, lambda text: file_facts(text, _holds_run))(content)
+
+
+def placed_facts(content, by_run: bool = True):
+    """Facts column whose literals stand by place; without ``by_run`` each is whole, at the start."""
+
+    def facts_of(text: str) -> dict:
+        facts = file_facts(text, _holds_run if by_run else _holds_any)
+        literals = facts.pop("literals")
+        places = placed_literals(text, literals) if by_run else [{**own, "at": 0} for own in literals]
+        return {**facts, "places": places}
 
-    return facts(content)
+    return _facts_udf(PLACED, facts_of)(content)
 
 
 # The function travels to the executors whole, so they need no installed package.

@@ -34,7 +34,7 @@ from keysieve.functions.text import (
     shannon_entropy,
     strip,
 )
-from keysieve.operators.python_facts import python_facts
+from keysieve.operators.python_facts import placed_facts
 
 SEGMENT_CHARS = 8192
 USAGE_CHARS = 240
@@ -152,7 +152,9 @@ def _placed_segments(content: Column, chars: int | None, lines: Column, facts: C
                     F.slice(lines, F.get(b["lines"], i) + 1, F.get(b["breaks"], i) + 1).alias("lines"),
                     lines.isNull().alias("plain"),
                     (F.size(segs) == 1).alias("whole"),
-                    _facts_in(facts, F.get(b["lines"], i) + 1, F.get(b["breaks"], i)).alias("py"),
+                    _facts_in(
+                        facts, F.get(b["offsets"], i), F.get(sizes, i), F.get(b["lines"], i) + 1, F.get(b["breaks"], i)
+                    ).alias("py"),
                 ),
             ),
         )
@@ -189,18 +191,43 @@ def _text_line(line: Column) -> Column:
     return F.struct(line.alias("text"), F.lit(None).cast(_LINE_TOKENS).alias("tokens"))
 
 
-def _facts_in(facts: Column, first: Column, more: Column) -> Column:
-    """The Python facts a segment's lines can ask for."""
+def _with_assets(facts: Column) -> Column:
+    """Python facts with the assets that calls and scopes name instead of their text."""
+    calls = F.transform(
+        facts["calls"],
+        lambda c: F.struct(
+            c["call_line"].alias("call_line"), c["call_name"].alias("call_name"),
+            c["names_loaded"].alias("names_loaded"), asset_matches(c["source"]).alias("assets"),
+        ),
+    )
+    scopes = F.transform(
+        facts["scopes"],
+        lambda s: F.struct(
+            s["start_line"].alias("start_line"), s["end_line"].alias("end_line"),
+            F.array_distinct(asset_matches(s["source"])).alias("assets"),
+        ),
+    )
+    return F.when(
+        facts.isNotNull(),
+        F.struct(
+            facts["parse_error"].alias("parse_error"), facts["places"].alias("places"),
+            calls.alias("calls"), scopes.alias("scopes"),
+        ),
+    )
+
+
+def _facts_in(facts: Column, offset: Column, size: Column, first: Column, more: Column) -> Column:
+    """The Python facts a segment's candidates can ask for."""
     last = first + more
 
-    def near(literals: Column) -> Column:
+    def near(places: Column) -> Column:
         return F.struct(
             facts["parse_error"].alias("parse_error"),
-            literals.alias("literals"),
+            places.alias("places"),
             F.filter(
                 facts["calls"],
                 lambda c: F.arrays_overlap(
-                    c["names_loaded"], F.array_compact(F.transform(literals, lambda n: n["variable"]))
+                    c["names_loaded"], F.array_compact(F.transform(places, lambda n: n["variable"]))
                 ),
             ).alias("calls"),
             F.filter(
@@ -208,9 +235,7 @@ def _facts_in(facts: Column, first: Column, more: Column) -> Column:
             ).alias("scopes"),
         )
 
-    found = F.filter(
-        facts["literals"], lambda n: (n["start_line"] <= last) & (n["end_line"] >= first)
-    )
+    found = F.filter(facts["places"], lambda n: (n["at"] >= offset) & (n["at"] < offset + size))
     return F.when(facts.isNotNull(), let(found, near))
 
 
@@ -354,7 +379,8 @@ def recover_candidates(
         rows = rows.where(may_hold_value(content))
 
     is_python = F.col("language") == "python"
-    rows = rows.withColumn("py_all", python_facts(F.when(is_python, content), only_runs=standard))
+    rows = rows.withColumn("py_all", placed_facts(F.when(is_python, content), by_run=standard))
+    rows = rows.withColumn("py_all", _with_assets(F.col("py_all")))
     segments = rows.select(
         *columns,
         F.when(is_python, F.array_distinct(asset_matches(content))).alias("file_assets"),

@@ -112,3 +112,27 @@ def test_facts_reach_every_segment(files):
     first, second = contexts(files, source)
     assert (first["variable_name"], first["downstream_calls"]) == ("a", ["use"])
     assert (second["variable_name"], second["downstream_calls"]) == ("b", ["late"])
+
+
+def test_a_value_found_elsewhere_in_a_literal_of_its_line(files):
+    source = 'x = """KEY\\t\n"""; y = ["KEY", KEY_KEY]  # KEY\n'
+    rows = contexts(files, source)
+    # All places on the literal's two lines find the literal that holds their value first in parse order.
+    assert {r["variable_name"] for r in rows if r["line_number"] == 1} == {"x"}
+    assert {r["variable_name"] for r in rows if r["line_number"] == 2} <= {"x", None}
+
+
+def test_cost_of_one_long_literal_follows_its_size(files):
+    """A literal as long as its file goes to each segment with that segment's runs only."""
+    from keysieve.operators.python_facts import _holds_run, file_facts, placed_literals
+
+    def carried(lines):
+        text = 'NOTES = """' + "".join(f"word {i:05d} {KEY}{i:05d} more\n" * 4 for i in range(lines)) + '"""\n'
+        facts = file_facts(text, _holds_run)
+        places = placed_literals(text, facts["literals"])
+        assert len(places) == 4 * lines
+        return sum(len(p["value"]) for p in places) / len(text)
+
+    assert carried(2000) < 1.1 * carried(500) < 1.1
+    rows = add_context(recover_candidates(files(("a.py", 'NOTES = """' + f"word {KEY} more\n" * 3000 + '"""\n'))))
+    assert rows.where("variable_name = 'NOTES'").count() == 3000
