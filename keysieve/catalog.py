@@ -92,6 +92,13 @@ LONG_RUN = 32
 
 # Noise rule.
 MIN_VALUE_LENGTH = 16
+# Anything that any signature matches, to hide it in text that is shown.
+ANY_VALUE = "|".join(f"(?:{s.regex})" for s in SIGNATURES).replace(r"\b[", "(?<![A-Za-z0-9_])[").replace(
+    r"\b)", "(?![A-Za-z0-9_]))"
+)
+HIDDEN = "********"
+RUN_AT_AN_END = "^{0}{{{1},}}|{0}{{{1},}}$".format(RUN_CLASS, MIN_VALUE_LENGTH)
+WINDOW_SENTENCE = "Context: "
 TRUSTED_TIERS = ("CRITICAL", "HIGH")
 MIN_ENTROPY = 2.5
 

@@ -232,11 +232,21 @@ _GROUPS = (
     "has_database_asset", "has_url_asset", "has_host_asset",
     "provider", "signature_confidence", "file_path", "language",
 )
+# Columns with text from files, which may hold values.
+_FREE_TEXT = (
+    "Repository", "File", "URL", "Associated Variable", "variable_name", "call_name", "downstream_calls",
+    "parse_error", "asset_references", "file_path",
+)
 FEATURE_ROW_COLUMNS = tuple(name for name, _ in _BASE) + _GROUPS
 
 
+def candidate_id() -> Column:
+    """Identity of a candidate: file, signature and start, which no two candidates share."""
+    return F.concat_ws(":", "file_id", "sig_ord", "start_index")
+
+
 def redact(text: Column, value: Column) -> Column:
-    """Replace a value inside a text by its mask.
+    """Replace a value inside a text by its mask, and whatever else a signature matches by stars.
 
     The context window ends after WINDOW_SHOWN characters, so a long value may
     stand there as a head only; the text is then cut at that head.
@@ -244,19 +254,40 @@ def redact(text: Column, value: Column) -> Column:
     whole = F.replace(text, value, mask(value))
     head = F.position(F.left(value, F.lit(C.MIN_VALUE_LENGTH)), whole)
     may_be_cut = F.length(value) > WINDOW_SHOWN - C.CONTEXT_WINDOW
-    return F.when(may_be_cut & (head > 0), F.concat(F.left(whole, head - 1), mask(value))).otherwise(whole)
+    own = F.when(may_be_cut & (head > 0), F.concat(F.left(whole, head - 1), mask(value))).otherwise(whole)
+    return F.regexp_replace(own, C.ANY_VALUE, C.HIDDEN)
+
+
+def redact_window(window: Column, value: Column) -> Column:
+    """A redacted window, without long runs at its ends: they may be parts of values that it cuts."""
+    return F.regexp_replace(redact(window, value), C.RUN_AT_AN_END, C.HIDDEN)
+
+
+def redact_evidence(evidence: Column, value: Column) -> Column:
+    """Redacted sentences; the one that quotes the window is treated like it."""
+    quoted = C.WINDOW_SENTENCE
+
+    def sentence(e: Column) -> Column:
+        window = F.substring(e, len(quoted) + 1, F.length(e))
+        return F.when(F.startswith(e, F.lit(quoted)), F.concat(F.lit(quoted), redact_window(window, value))).otherwise(redact(e, value))
+
+    return F.transform(evidence, sentence)
 
 
 def feature_rows(
-    analyses: DataFrame, include_raw: bool = False, redacted: bool = True, keep: tuple[str, ...] = ()
+    analyses: DataFrame, include_raw: bool = False, redacted: bool = True, keep: tuple[str, ...] = (),
+    identified: bool = False,
 ) -> DataFrame:
     """The 50-column feature table of all candidates, approved or not.
 
-    The context window shows the value in clear; ``redacted`` masks it there too.
-    ``keep`` names further columns, such as a row id, to carry along.
+    Unless ``redacted`` is off or raw values are asked for, no text column shows a
+    value in clear, neither the row's own nor another. ``identified`` adds
+    ``row_id``, which labelling, queue and training go by. ``keep`` names further
+    columns to carry along; they stay as they are.
     """
     value = F.col("value")
-    window = redact(F.col("context_window"), value) if redacted and not include_raw else F.col("context_window")
+    hide = redacted and not include_raw
+    window = redact_window(F.col("context_window"), value) if hide else F.col("context_window")
     special = {
         "Masked Value": mask(value),
         "AST Node": F.coalesce(F.col("ast_node_type"), F.lit("")),
@@ -265,8 +296,14 @@ def feature_rows(
         "context_window": window,
         "downstream_calls": F.col("downstream_calls_text"),
     }
-    columns = [special.get(name, F.col(source or name)).alias(name) for name, source in _BASE]
-    columns += [special.get(name, F.col(name)).alias(name) for name in _GROUPS]
+
+    def shown(name: str, source: str | None) -> Column:
+        column = special.get(name, F.col(source or name))
+        return (redact(column, value) if hide and name in _FREE_TEXT else column).alias(name)
+
+    columns = [shown(name, source) for name, source in (*_BASE, *((g, g) for g in _GROUPS))]
     if include_raw:
         columns.append(value.alias("Raw Value"))
+    if identified:
+        columns.append(candidate_id().alias("row_id"))
     return analyses.select(*columns, *keep)

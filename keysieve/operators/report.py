@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from keysieve import catalog as C
 from keysieve.functions.text import any_of, mask
-from keysieve.operators.features import redact
+from keysieve.operators.features import redact, redact_evidence
 
 
 def approved_only(analyses: DataFrame) -> DataFrame:
@@ -86,22 +86,25 @@ def rank_findings(findings: DataFrame) -> DataFrame:
 
 
 def report_rows(findings: DataFrame, include_raw: bool = False, redacted: bool = True) -> DataFrame:
-    """The 16 report columns. Values inside the evidence are masked unless asked otherwise."""
+    """The 16 report columns. Values inside any text are masked unless asked otherwise."""
     value = F.col("raw_value")
-    evidence = F.array_join("evidence", " | ")
-    if redacted and not include_raw:
-        evidence = redact(evidence, value)
+    hide = redacted and not include_raw
+
+    def shown(text: Column) -> Column:
+        return redact(text, value) if hide else text
+
+    evidence = F.array_join(redact_evidence(F.col("evidence"), value) if hide else F.col("evidence"), " | ")
     columns = [
-        F.col("repository").alias("Repository"),
-        F.col("file_path").alias("File"),
-        F.col("url").alias("URL"),
+        shown(F.col("repository")).alias("Repository"),
+        shown(F.col("file_path")).alias("File"),
+        shown(F.col("url")).alias("URL"),
         F.col("line_number").alias("Line"),
         F.col("masked_value").alias("Masked Value"),
         F.col("secret_type").alias("Secret Type"),
         F.coalesce(F.col("ast_node_type"), F.lit("")).alias("AST Node"),
-        F.coalesce(F.col("variable_name"), F.lit("")).alias("Associated Variable"),
-        F.array_join("usage_calls", " | ").alias("Usage Calls"),
-        F.array_join("asset_references", " | ").alias("Asset References"),
+        shown(F.coalesce(F.col("variable_name"), F.lit(""))).alias("Associated Variable"),
+        shown(F.array_join("usage_calls", " | ")).alias("Usage Calls"),
+        shown(F.array_join("asset_references", " | ")).alias("Asset References"),
         F.round("confidence", 4).alias("Confidence"),
         F.round("risk_score", 4).alias("Risk Score"),
         F.col("risk_level").alias("Risk Level"),

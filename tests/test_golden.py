@@ -170,6 +170,27 @@ def test_report_masks_the_value_everywhere(files):
     assert one(report_rows(findings, include_raw=True))["Raw Value"] == KEY
 
 
+def test_no_text_column_shows_any_value(files):
+    aws, token = "AKIA" + "Q7W8E9R0T1Y2U3I4", "ghp_" + "aB3" * 12
+    source = (
+        f'ACCESS = "{aws}"\nTOKEN = "{token}"\n'
+        f'requests.get("https://api.acme.io/v1?key={aws}&t={token}", ACCESS, TOKEN)\n'
+    )
+    analyses = analyze(files((f"src/{token}.py", source)))
+    rows = [*report_rows(find(files((f"src/{token}.py", source)))).collect(), *feature_rows(analyses, identified=True).collect()]
+    assert len(rows) >= 4
+    for row in rows:
+        assert aws not in str(row) and token not in str(row)
+
+
+def test_candidates_a_thousand_characters_apart_have_their_own_ids(files):
+    lines = f"a: {KEY}\n"
+    text = lines + ("pad " * 241)[: 1000 - len(lines) - 1] + "\n" + lines.replace(KEY, KEY[::-1])
+    rows = feature_rows(analyze(files(("a.yml", text))), identified=True).collect()
+    starts = sorted(int(r["row_id"].rsplit(":", 1)[1]) for r in rows)
+    assert starts[1] - starts[0] == 1000 and len({r["row_id"] for r in rows}) == 2
+
+
 def test_a_long_value_is_masked_where_the_window_cuts_it(files):
     value = "sk-proj-" + "aB3_" * 100
     findings = find(files((".env", f"API_KEY={value}\n")))
