@@ -3,8 +3,27 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def stored(rows: DataFrame) -> DataFrame:
+    """``rows`` as a Parquet table in the shared checkpoint folder, so that each reader takes its columns only."""
+    spark = rows.sparkSession
+    path = f"{_shared_folder(spark).rstrip('/')}/{uuid.uuid4().hex}"
+    rows.write.parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)
+
+
+def _shared_folder(spark: SparkSession) -> str:
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("Set spark.checkpoint.dir to a folder all executors share.")
+        named = tempfile.mkdtemp(prefix="keysieve-checkpoint-")
+        spark.conf.set("spark.checkpoint.dir", named)
+    return named
 
 
 def checkpointed(rows: DataFrame) -> DataFrame:
@@ -16,8 +35,5 @@ def checkpointed(rows: DataFrame) -> DataFrame:
     """
     context = rows.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        named = rows.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not named and not context.master.startswith("local"):
-            raise ValueError("Set spark.checkpoint.dir to a folder all executors share.")
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="keysieve-checkpoint-"))
+        context.setCheckpointDir(_shared_folder(rows.sparkSession))
     return rows.checkpoint()

@@ -167,6 +167,8 @@ def portable_boundaries(regex: str) -> str:
 
 
 def truthy(value: Column) -> Column:
-    """1/1.0/true/yes/y in any case; everything else, null included, is false."""
+    """Text 1/1.0/true/yes/y in any case and numbers other than zero; all else, null and NaN included, is false."""
     text = F.lower(strip(value.cast("string")))
-    return F.coalesce(text.isin("1", "1.0", "true", "yes", "y"), F.lit(False))
+    number = F.when(~F.typeof(value).isin("string", "boolean"), text.try_cast("double"))
+    other = (number != 0) & ~F.isnan(number)
+    return F.coalesce(text.isin("1", "1.0", "true", "yes", "y"), F.lit(False)) | F.coalesce(other, F.lit(False))

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from keysieve import catalog as C
 from keysieve.functions.text import contains_any, strip
@@ -19,15 +20,24 @@ ALTERNATE_NAMES = {
 }
 
 
-def numeric(value: Column) -> Column:
-    """Lenient number: blanks 0, truth words 1 and 0, numbers as they are, the rest 0."""
+_NUMBER = r"[+-]?(?:\d+\.?\d*|\.\d+)(?:e[+-]?\d+)?|[+-]?inf(?:inity)?"
+
+
+def numeric(value: Column, kind: T.DataType | None = None) -> Column:
+    """Number of a boolean or numeric column, else a lenient one: blanks 0, truth words 1 and 0, the rest 0.
+
+    Null and NaN are 0.
+    """
+    if isinstance(kind, T.BooleanType):
+        return as_double(value)
+    if isinstance(kind, T.NumericType):
+        return F.coalesce(F.nanvl(value.cast("double"), F.lit(0.0)), F.lit(0.0))
     text = strip(F.lower(value.cast("string")))
-    number = F.coalesce(text.try_cast("double"), F.lit(0.0))
+    number = F.when(text.rlike(f"^(?:{_NUMBER})$"), text.try_cast("double")).otherwise(0.0)
     return (
         F.when(value.isNull() | (text == ""), F.lit(0.0))
         .when(text.isin(*C.NUMERIC_TRUE), F.lit(1.0))
         .when(text.isin(*C.NUMERIC_FALSE), F.lit(0.0))
-        .when(F.isnan(number), F.lit(0.0))
         .otherwise(number)
     )
 
@@ -69,7 +79,7 @@ def encoded(rows: DataFrame, order: Sequence[str] = C.FEATURE_ORDER) -> dict[str
     }
     return {
         name: derived[name]() if name in derived
-        else numeric(F.col(f"`{name}`")) if name in have
+        else numeric(F.col(f"`{name}`"), rows.schema[name].dataType) if name in have
         else F.lit(0.0)
         for name in order
     }

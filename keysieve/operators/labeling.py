@@ -8,12 +8,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keysieve import catalog as C
-from keysieve.functions.lineage import checkpointed
-from keysieve.functions.text import any_of, contains_any, rlike_any, strip, truthy
+from keysieve.functions.lineage import stored
+from keysieve.functions.text import SPACE, any_of, contains_any, rlike_any, strip, truthy
 
 NEAR_MISS = "near_miss_high_confidence"
 # Promoted rows are marked by a broadcast join up to this many.
-_BROADCAST_ROWS = 100_000
 
 
 def _first_present(rows: DataFrame, names: tuple[str, ...], default: str = "") -> Column:
@@ -73,7 +72,7 @@ def review_flags(rows: DataFrame, named_dumps: Sequence[str] = C.NAMED_DUMP_PATH
         "sensitive_variable": flag("variable_is_sensitive"),
         "is_assignment": flag("is_assignment_context"),
         "has_binding": variable.rlike("(?i)" + C.SENSITIVE_NAME_REGEX)
-        | window.rlike("(?i)" + C.SENSITIVE_BINDING_REGEX),
+        | window.rlike("(?i)" + C.SENSITIVE_BINDING_REGEX.replace(r"\s", f"[{SPACE}]")),
         "is_named_dump": any_of(path.contains(d) for d in named_dumps),
         "is_operational_id": (kind == C.UUID_PROVIDER) & contains_any(window, C.OPERATIONAL_ID_TERMS),
         "is_fake_key": window.contains("fake_key") | window.contains("false_key"),
@@ -222,7 +221,7 @@ def _promotions(rows: DataFrame, target: int, order: Sequence[str]) -> DataFrame
     out = best(first, needed, "bootstrap_positive")
     if needed - taken:
         out = out.unionByName(best(second, needed - taken, "bootstrap_near_miss_positive"))
-    return F.broadcast(out) if needed <= _BROADCAST_ROWS else out
+    return out
 
 
 def bootstrap_labels(
@@ -236,7 +235,9 @@ def bootstrap_labels(
     ``row_id`` identifies a row and ``order`` settles ties. The suggestions are
     written once, since counting, ranking and marking each read them.
     """
-    known = checkpointed(suggested(rows, named_dumps))
+    known = stored(suggested(rows, named_dumps))
+    if not known.groupBy("row_id").count().where("count > 1").isEmpty():
+        raise ValueError("row_id must be unique: a repeated one would be promoted with every row it names.")
     chosen = _promotions(known, target, order)
     marked = (
         known.join(chosen, "row_id", "left")

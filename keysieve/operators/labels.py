@@ -12,10 +12,10 @@ BOTH_FLAGS = "A row marks both 'real_secret' and 'false_positive'; keep one true
 
 
 def normal_label(value: Column) -> Column:
-    """1 for a positive spelling or the number one, else 0."""
+    """1 for a positive spelling, a text that spells the number one, or a number that truncates to it, else 0."""
     text = strip(F.lower(value.cast("string")))
     number = text.try_cast("double")
-    is_one = (number >= 1) & (number < 2)
+    is_one = F.when(F.typeof(value).isin("string", "boolean"), number == 1).otherwise((number >= 1) & (number < 2))
     return F.when(F.coalesce(text.isin(*C.POSITIVE_LABELS) | is_one, F.lit(False)), F.lit(1)).otherwise(F.lit(0))
 
 
@@ -29,10 +29,9 @@ def _one_hot(rows: DataFrame, label_column: str) -> tuple[Column, Column]:
     yes, no = (
         normal_label(F.col(c)) if c in present else F.lit(0) for c in ("real_secret", "false_positive")
     )
-    both = rows.where((yes == 1) & (no == 1)).limit(1)
-    if not both.isEmpty():
-        raise ValueError(BOTH_FLAGS)
-    return yes, no
+    # Checked as rows are read, so that no pass over the table is needed before.
+    checked = F.when((yes == 1) & (no == 1), F.raise_error(F.lit(BOTH_FLAGS)).cast("int")).otherwise(yes)
+    return checked, no
 
 
 def with_label(rows: DataFrame, label_column: str = "label") -> DataFrame:

@@ -14,7 +14,7 @@ from keysieve import catalog as C
 from keysieve.functions.lineage import checkpointed
 from keysieve.operators.encode import assemble
 from keysieve.operators.evaluate import report_of
-from keysieve.operators.labels import labelled_rows
+from keysieve.operators.labels import with_label
 from keysieve.operators.supervised import save_bundle
 
 _BUCKETS = 10_000
@@ -25,11 +25,12 @@ def stratified_split(
 ) -> DataFrame:
     """Add ``is_test``: the same share of each class, fixed by a hash of ``key``.
 
-    Rows fall into hash buckets; per class the lowest buckets that make up the
+    Rows fall into buckets by the MD5 of their key, which any engine can tell; per class the lowest buckets that make up the
     share are the test part. The bucket table has a known bound, so no class is
     ever sorted as a whole and the split does not depend on partitions.
     """
-    bucketed = rows.withColumn("_bucket", F.pmod(F.xxhash64(*key, F.lit(seed)), F.lit(_BUCKETS)))
+    digest = F.md5(F.concat_ws(":", *key, F.lit(seed)).cast("binary"))
+    bucketed = rows.withColumn("_bucket", F.conv(F.left(digest, F.lit(8)), 16, 10).cast("long") % _BUCKETS)
     whole = Window.partitionBy("y")
     upto = whole.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)
     share = F.greatest(F.lit(1.0), F.round(F.sum("n").over(whole) * test_fraction))
@@ -60,7 +61,7 @@ def fit(training: DataFrame, rows: int, max_iter: int = 1000) -> PipelineModel:
     stages = [
         StandardScaler(inputCol="features", outputCol="scaled", withMean=True, withStd=True),
         LogisticRegression(
-            featuresCol="scaled", labelCol="y", weightCol="weight", maxIter=max_iter, tol=1e-7,
+            featuresCol="scaled", labelCol="y", weightCol="weight", maxIter=max_iter, tol=1e-6,
             regParam=(rows - 1) / rows**2, elasticNetParam=0.0, standardization=False,
         ),
     ]
@@ -75,12 +76,14 @@ def train(
     key: Sequence[str] = ("row_id",),
 ) -> tuple[PipelineModel, dict]:
     """Fit on labelled rows; returns the model and its metrics."""
-    labelled = labelled_rows(rows, label_column)
-    vectors = checkpointed(assemble(labelled, feature_order).select(*key, "y", "features"))
-    totals = {r["y"]: r["count"] for r in vectors.groupBy("y").count().collect()}
+    # Rows without a usable label are kept until they are counted, so the input is read once.
+    every = checkpointed(assemble(with_label(rows, label_column), feature_order).select(*key, "y", "features"))
+    totals = {r["y"]: r["count"] for r in every.groupBy("y").count().collect()}
+    seen = sum(totals.values())
+    n = seen - totals.pop(None, 0)
     if len(totals) < 2:
         raise ValueError("Training data must contain at least one positive and one negative example.")
-    n, seen = sum(totals.values()), rows.count()
+    vectors = every.where(F.col("y").isNotNull())
     metrics: dict = {
         "input_rows": seen,
         "training_rows": n,

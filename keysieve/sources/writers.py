@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keysieve import catalog as C
+from keysieve.functions.lineage import stored
 
 
 def write_csv(rows: DataFrame, path: str) -> str:
@@ -21,6 +22,7 @@ def write_report(rows: DataFrame, directory: str, kind: str, now: datetime | Non
 
     ``kind`` is ``raw_hits``, ``findings`` or ``confirmed``.
     """
+    rows = stored(rows)
     if rows.isEmpty():
         return None
     stamp = (now or datetime.now()).strftime("%Y%m%d_%H%M")

@@ -9,7 +9,7 @@ from keysieve import catalog as C
 from keysieve.operators.features import FEATURE_ROW_COLUMNS, feature_rows
 from keysieve.operators.evaluate import evaluate, normal_rows
 from keysieve.operators.search import attach_content, newest_per_pattern, pattern_hits, scan_hits
-from keysieve.plans.triage import analyze, scan
+from keysieve.plans.triage import analyze, scan, search
 from keysieve.sources.readers import (
     builtin_patterns, read_feature_csv, read_feature_order, read_patterns, read_text_files,
 )
@@ -28,6 +28,19 @@ def test_patterns(spark, tmp_path):
     assert builtin_patterns(spark, "openai").count() == 18
 
 
+def test_rows_of_several_csv_files_are_numbered_by_file_and_place(spark, tmp_path):
+    for name, rows in (("b.csv", ["3", "4"]), ("a.csv", ["1", '"2\n2"']), ("c.csv", ["5"])):
+        (tmp_path / name).write_text("pattern\n" + "\n".join(rows) + "\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1")
+    try:
+        got = read_patterns(spark, str(tmp_path)).orderBy("pattern_ord").collect()
+        ids = {r["pattern"]: r["row_id"] for r in read_feature_csv(spark, str(tmp_path)).collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert [(r["pattern_ord"], r["pattern"]) for r in got] == [(0, "1"), (1, "2\n2"), (2, "3"), (3, "4"), (4, "5")]
+    assert ids == {"1": 0, "2\n2": 1, "3": 2, "4": 3, "5": 4}
+
+
 def patterns(spark, *names):
     return spark.createDataFrame(list(enumerate(names)), "pattern_ord int, pattern string")
 
@@ -44,12 +57,15 @@ def test_search_is_any_case_and_newest_first(spark, files):
     assert pattern_hits(landed, patterns(spark)).count() == 0
 
 
-def test_more_patterns_than_one_pass(spark, files, monkeypatch):
-    monkeypatch.setattr("keysieve.operators.search.PATTERNS_PER_PASS", 2)
-    landed = files(("a.txt", "k0 k3 k4"), ("b.txt", "k4"))
-    hits = pattern_hits(landed, patterns(spark, *[f"k{i}" for i in range(5)]))
-    assert sorted((r["path"], r["pattern"]) for r in hits.collect()) == [
-        ("a.txt", "k0"), ("a.txt", "k3"), ("a.txt", "k4"), ("b.txt", "k4")]
+def test_all_hits_whatever_the_pattern_looks_like(spark, files):
+    landed = files(("a.txt", "k0 k3 k4 Straße-key"), ("b.txt", "k4\nin\nlines _x"), ("c.txt", ""), ("d.txt", None))
+    names = [*(f"k{i}" for i in range(5)), "4\nIN\nl", "STRAßE", "ße-k", "lines _x and more", "_X"]
+    got = search(landed, patterns(spark, *names)).orderBy("hit_ord").collect()
+    assert [(r["File Path"], r["Pattern Source"]) for r in got] == [
+        ("a.txt", "k0"), ("a.txt", "k3"), ("b.txt", "k4"), ("a.txt", "k4"), ("b.txt", "4\nIN\nl"), ("a.txt", "STRAßE"),
+        ("a.txt", "ße-k"), ("b.txt", "_X")]
+    many = files(*[(f"f{i}.txt", "SHODAN_KEY") for i in range(260)])
+    assert search(many, patterns(spark, "SHODAN_KEY")).count() == 260
 
 
 def test_content_is_attached_by_address(spark):
@@ -60,7 +76,7 @@ def test_content_is_attached_by_address(spark):
     contents = spark.createDataFrame([("raw1", "text"), ("other", "x"), ("raw2", None)], "raw_url string, content string")
     every = attach_content(hits, contents).orderBy("file_ord").collect()
     assert [(r["path"], r["pattern_source"], r["content"]) for r in every] == [("a", "P", "text"), ("a", "Q", "text")]
-    once = attach_content(hits, contents, once_per_file=True, most_hits=300).collect()
+    once = attach_content(hits, contents, once_per_file=True).collect()
     assert [r["pattern_source"] for r in once] == ["P"]
 
 

@@ -6,7 +6,7 @@ from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from keysieve.operators.evaluate import report_of
-from keysieve.operators.labels import BOTH_FLAGS, labelled_rows
+from keysieve.operators.labels import BOTH_FLAGS, labelled_rows, resolved_labels
 from keysieve.operators.supervised import supervised_scorer
 from keysieve.operators.training import class_weights, fit, stratified_split, train
 
@@ -83,10 +83,14 @@ def test_guards(spark):
         train(sample(spark, 6).where("label = 'fp'"))
     with pytest.raises(ValueError, match="Available columns: x"):
         labelled_rows(spark.createDataFrame([(1,)], "x int"))
-    with pytest.raises(ValueError, match=BOTH_FLAGS[:20]):
-        labelled_rows(spark.createDataFrame([(1, 1)], "real_secret int, false_positive int"))
+    with pytest.raises(Exception, match=BOTH_FLAGS[:20]):
+        labelled_rows(spark.createDataFrame([(1, 1)], "real_secret int, false_positive int")).collect()
     only = labelled_rows(spark.createDataFrame([("1.0",), ("0",), ("",)], "real_secret string"))
     assert [r["y"] for r in only.collect()] == [1]
+    for kind, values in (("string", ("1.5", "1", " Yes", "2")), ("double", (1.5, 1.0, float("nan"), 2.0))):
+        rows = spark.createDataFrame([(v,) for v in values], f"label {kind}")
+        want = [0, 1, 1, 0] if kind == "string" else [1, 1, 0, 0]
+        assert [r.y for r in resolved_labels(rows).collect()] == want
 
 
 def test_report_averages_and_zero_division(spark):
