@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from verification.queries import ORACLES, QUERIES
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = ("documents", "pages", "labels")
@@ -36,11 +37,15 @@ def rows_of(names, rows):
     return sorted(repr([plain(row[i]) for i in order]) for row in rows)
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+def test_all_queries_are_registered():
+    assert set(QUERIES) <= set(entry.queries()) and set(ORACLES) <= set(entry.oracle_sql()) <= set(entry.queries())
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_equals_its_sql(spark, duck, name):
-    got = entry.queries()[name](spark, SF)
+    got = QUERIES[name](spark, SF)
     rows = got.collect()
-    sql = entry.oracle_sql().get(name)
+    sql = ORACLES.get(name)
     if sql is None:
         assert rows
         return

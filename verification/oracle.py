@@ -45,6 +45,29 @@ def mask(column: str) -> str:
     )
 
 
+# Look-around is spelled as word boundaries here: the engines' boundaries agree on what the values hold.
+_ANY_VALUE = "|".join(f"(?:{s.regex})" for s in C.SIGNATURES)
+_AT_AN_END = "^[A-Za-z0-9_\\-]{16,}|[A-Za-z0-9_\\-]{16,}$"
+
+
+def hide(column: str) -> str:
+    """A text without the row's value and without what any signature matches."""
+    own = f"replace({column}, value, {mask('value')})"
+    return f"regexp_replace({own}, {text(_ANY_VALUE)}, '********', 'g')"
+
+
+def hide_window(column: str) -> str:
+    return f"regexp_replace({hide(column)}, {text(_AT_AN_END)}, '********', 'g')"
+
+
+def hide_evidence(column: str) -> str:
+    window = hide_window("substr(e, 10)")
+    return (
+        f"list_transform({column}, lambda e: CASE WHEN starts_with(e, 'Context: ') THEN 'Context: ' || {window} "
+        f"ELSE {hide('e')} END)"
+    )
+
+
 def entropy(column: str) -> str:
     share = f"((length({column}) - length(replace({column}, c, '')))::DOUBLE / length({column}))"
     return (

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,7 +14,7 @@ from keysieve.functions.assets import asset_matches, kinds, references
 from keysieve.functions.text import line_at, mask, shannon_entropy
 from keysieve.functions.lineage import checkpointed
 from keysieve.operators.context import add_context
-from keysieve.operators.encode import encoded
+from keysieve.operators.encode import assemble, encoded
 from keysieve.operators.evaluate import evaluate
 from keysieve.operators.features import add_features, feature_rows
 from keysieve.operators.labeling import bootstrap_labels, bootstrap_summary, review_queue, suggested
@@ -22,10 +23,10 @@ from keysieve.operators.python_facts import python_facts
 from keysieve.operators.recover import first_wins, recover_candidates
 from keysieve.operators.report import build_findings, remaining_count, report_rows, top_findings
 from keysieve.operators.routing import outcome, resolve_service, route_findings
-from keysieve.operators.search import attach_content, newest_per_pattern, pattern_hits, scan_hits
+from keysieve.operators.search import attach_content, pattern_hits
 from keysieve.operators.supervised import approval_threshold, supervised_scorer
 from keysieve.operators.training import class_weights, stratified_split, train
-from keysieve.plans.triage import analyze, find
+from keysieve.plans.triage import analyze, find, search, search_newest
 from keysieve.sources.readers import clean_patterns
 from verification import oracle as O
 from verification.driver_tables import NAME, VALUE, source_files, spread, table
@@ -51,12 +52,14 @@ def _analyses(spark: SparkSession, sf: str) -> DataFrame:
 
 # --- Findings -------------------------------------------------------------
 
-_REPORT = f"""SELECT repository AS "Repository", path AS "File", url AS "URL", line_number AS "Line",
+_REPORT = f"""SELECT {O.hide('repository')} AS "Repository", {O.hide('path')} AS "File", {O.hide('url')} AS "URL",
+  line_number AS "Line",
   {O.mask('value')} AS "Masked Value", provider AS "Secret Type", coalesce(ast_node_type, '') AS "AST Node",
-  coalesce(variable_name, '') AS "Associated Variable", array_to_string(downstream_calls, ' | ') AS "Usage Calls",
-  array_to_string(refs[1:5], ' | ') AS "Asset References", round(confidence, 4) AS "Confidence",
+  {O.hide("coalesce(variable_name, '')")} AS "Associated Variable",
+  {O.hide("array_to_string(downstream_calls, ' | ')")} AS "Usage Calls",
+  {O.hide("array_to_string(refs[1:5], ' | ')")} AS "Asset References", round(confidence, 4) AS "Confidence",
   round(risk_score, 4) AS "Risk Score", risk_level AS "Risk Level", 'heuristic-baseline-v1' AS "Model",
-  replace(array_to_string(finding_evidence, ' | '), value, {O.mask('value')}) AS "Contextual Evidence",
+  array_to_string({O.hide_evidence('finding_evidence')}, ' | ') AS "Contextual Evidence",
   '' AS "Validation Details" FROM findings"""
 
 
@@ -335,18 +338,22 @@ def asset_features(spark: SparkSession, sf: str) -> DataFrame:
 
 
 # The feature row in SQL; later queries build on it.
-FEATURE_ROW = f"""SELECT repository AS "Repository", path AS "File", url AS "URL", line_number AS "Line",
+FEATURE_ROW = f"""SELECT {O.hide('repository')} AS "Repository", {O.hide('path')} AS "File", {O.hide('url')} AS "URL",
+  line_number AS "Line",
   {O.mask('value')} AS "Masked Value", provider AS "Secret Type", node_text AS "AST Node",
-  coalesce(variable_name, '') AS "Associated Variable", label AS "Classifier Label",
+  {O.hide("coalesce(variable_name, '')")} AS "Associated Variable", label AS "Classifier Label",
   round(confidence, 4) AS "Classifier Confidence",
   length, entropy_4 AS entropy, digit_ratio, alpha_ratio, symbol_ratio, is_hex, is_uuid_like,
-  has_ast_context, has_variable_name, variable_name, variable_is_sensitive, call_name, call_is_auth_related,
-  downstream_call_count, has_downstream_usage, downstream_calls_text AS downstream_calls,
-  node_text AS ast_node_type, parent_text AS parent_node_type, is_assignment_context, parse_error,
-  replace(context_window, value, {O.mask('value')}) AS context_window, has_secret_term_nearby,
+  has_ast_context, has_variable_name, {O.hide('variable_name')} AS variable_name, variable_is_sensitive,
+  {O.hide('call_name')} AS call_name, call_is_auth_related,
+  downstream_call_count, has_downstream_usage, {O.hide('downstream_calls_text')} AS downstream_calls,
+  node_text AS ast_node_type, parent_text AS parent_node_type, is_assignment_context,
+  {O.hide('parse_error')} AS parse_error,
+  {O.hide_window('context_window')} AS context_window, has_secret_term_nearby,
   nearest_secret_term_distance, has_hash_or_identifier_term, has_placeholder_signal, has_template_language,
   template_file AS is_template_file, doc_or_test AS is_documentation_or_test_path, is_weak_documentation_context,
-  {', '.join(_ASSETS)}, provider, tier AS signature_confidence, path AS file_path, language FROM decided"""
+  {', '.join(f"{O.hide(c)} AS {c}" if c == 'asset_references' else c for c in _ASSETS)}, provider,
+  tier AS signature_confidence, {O.hide('path')} AS file_path, language FROM decided"""
 
 
 @query("feature_rows", O.chain("decided", FEATURE_ROW))
@@ -386,14 +393,17 @@ _PATTERN_VALUES = ", ".join(f"({i}, {O.text(p)})" for i, p in enumerate(_PATTERN
 _HITS = f"""patterns(pattern_ord, pattern) AS (VALUES {_PATTERN_VALUES}),
 found AS (
   SELECT p.pattern_ord, p.pattern, f.* FROM src f JOIN patterns p ON contains(lower(f.content), lower(p.pattern))),
-top_hits AS (
-  SELECT *, CAST(pattern_ord * 100 + hit_rank AS BIGINT) AS hit_ord FROM (
-    SELECT *, row_number() OVER (PARTITION BY pattern_ord ORDER BY file_ord DESC, file_id) AS hit_rank FROM found) r
-  WHERE hit_rank <= 100),
+top_hits AS (SELECT *, CAST((pattern_ord + 1) * 1099511627776 - file_ord AS BIGINT) AS hit_ord FROM found),
 raw_hits AS (
   SELECT repository AS "Repository", path AS "File Path", url AS "URL", pattern AS "Pattern Source",
     replace(replace(url, 'github.com', 'raw.githubusercontent.com'), '/blob/', '/') AS "Raw URL", hit_ord
   FROM top_hits)"""
+_NEWEST = _HITS.replace(
+    "SELECT *, CAST((pattern_ord + 1) * 1099511627776 - file_ord AS BIGINT) AS hit_ord FROM found",
+    """SELECT *, CAST(pattern_ord * 100 + hit_rank AS BIGINT) AS hit_ord FROM (
+    SELECT *, row_number() OVER (PARTITION BY pattern_ord ORDER BY file_ord DESC, file_id) AS hit_rank FROM found) r
+  WHERE hit_rank <= 100""",
+)
 
 
 def _patterns(spark: SparkSession) -> DataFrame:
@@ -403,14 +413,11 @@ def _patterns(spark: SparkSession) -> DataFrame:
 
 
 def _raw_hits(spark: SparkSession, sf: str) -> DataFrame:
-    return scan_hits(newest_per_pattern(pattern_hits(source_files(spark, sf), _patterns(spark))))
+    return search(source_files(spark, sf), _patterns(spark))
 
 
 def _attached(spark: SparkSession, sf: str) -> DataFrame:
-    most = len(_PATTERNS) * C.HITS_PER_PAGE
-    return attach_content(
-        _raw_hits(spark, sf), source_files(spark, sf).select("raw_url", "content"), most_hits=most
-    )
+    return attach_content(_raw_hits(spark, sf), source_files(spark, sf).select("raw_url", "content"))
 
 
 @query(
@@ -427,6 +434,11 @@ def raw_hits(spark: SparkSession, sf: str) -> DataFrame:
     return _raw_hits(spark, sf)
 
 
+@query("newest_hits", f"WITH {O.SRC}, {_NEWEST} SELECT * FROM raw_hits")
+def newest_hits(spark: SparkSession, sf: str) -> DataFrame:
+    return search_newest(source_files(spark, sf), _patterns(spark))
+
+
 _ATTACHED = f"""{_HITS}, attached AS (
   SELECT h.hit_ord AS file_id, h.hit_ord AS file_ord, h."Repository" AS repository, h."File Path" AS path,
     h."URL" AS url, h."Raw URL" AS raw_url, s.content, h."Pattern Source" AS pattern_source,
@@ -565,7 +577,7 @@ def validation_gate(spark: SparkSession, sf: str) -> DataFrame:
 # ones act as seed positives and the others as seed negatives; the rest is open.
 _SEEDED = O.chain(
     "decided",
-    f"""SELECT file_id * 100000 + sig_ord * 1000 + start_index % 1000 AS row_id, l.real_secret, l.false_positive, f.*
+    f"""SELECT concat_ws(':', file_id, sig_ord, start_index) AS row_id, l.real_secret, l.false_positive, f.*
     FROM (SELECT file_id, sig_ord, start_index, {FEATURE_ROW.removeprefix('SELECT ')}) f LEFT JOIN (
       SELECT doc_id * 2 AS label_id, CASE WHEN quality = 0 AND toxic = 1 THEN 1 ELSE 0 END AS real_secret,
         CASE WHEN quality = 0 AND toxic = 0 THEN 1 ELSE 0 END AS false_positive FROM labels) l
@@ -574,13 +586,7 @@ _SEEDED = O.chain(
 
 
 def _seeded(spark: SparkSession, sf: str) -> DataFrame:
-    analyses = _analyses(spark, sf)
-    named = feature_rows(
-        analyses.withColumn(
-            "row_id", F.col("file_id") * 100000 + F.col("sig_ord") * 1000 + F.col("start_index") % 1000
-        ),
-        keep=("row_id", "file_id"),
-    )
+    named = feature_rows(_analyses(spark, sf), keep=("file_id",), identified=True)
     truth = table(spark, sf, "labels").select(
         (F.col("doc_id") * 2).alias("file_id"),
         F.when((F.col("quality") == 0) & (F.col("toxic") == 1), 1).otherwise(0).alias("real_secret"),
@@ -760,12 +766,7 @@ def _with_truth(spark: SparkSession, sf: str, rows: DataFrame) -> DataFrame:
 
 
 def _labelled_features(spark: SparkSession, sf: str) -> DataFrame:
-    named = feature_rows(
-        _analyses(spark, sf).withColumn(
-            "row_id", F.col("file_id") * 100000 + F.col("sig_ord") * 1000 + F.col("start_index") % 1000
-        ),
-        keep=("row_id", "file_id"),
-    )
+    named = feature_rows(_analyses(spark, sf), keep=("file_id",), identified=True)
     return _with_truth(spark, sf, named)
 
 
@@ -807,17 +808,58 @@ def weights(spark: SparkSession, sf: str) -> DataFrame:
     return class_weights(rows).select("doc_id", "y", F.round("weight", 6).alias("weight"))
 
 
-# The hash differs between engines, the size of each class does not.
-@query("split_classes", "SELECT quality AS y, count(*) AS n FROM labels GROUP BY quality")
-def split_classes(spark: SparkSession, sf: str) -> DataFrame:
+_SPLIT = f"""bucketed AS (
+  SELECT doc_id, quality AS y, ('0x' || substr(md5(doc_id || ':{C.SPLIT_SEED}'), 1, 8))::BIGINT % 10000 AS bucket FROM labels),
+cut AS (
+  SELECT y, bucket, sum(n) OVER (PARTITION BY y ORDER BY bucket) <=
+    greatest(1, round(sum(n) OVER (PARTITION BY y) * {C.TEST_FRACTION}::DOUBLE)) AS is_test
+  FROM (SELECT y, bucket, count(*) AS n FROM bucketed GROUP BY y, bucket) counted),
+parts AS (SELECT doc_id, y, is_test FROM bucketed JOIN cut USING (y, bucket))"""
+
+
+def _split(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "labels").selectExpr("doc_id", "quality AS y")
-    return stratified_split(rows, ["doc_id"]).groupBy("y").agg(F.count(F.lit(1)).alias("n"))
+    return stratified_split(rows, ["doc_id"]).select("doc_id", "y", "is_test")
+
 
+@query("split_classes", f"WITH {_SPLIT} SELECT y, is_test, count(*) AS n FROM parts GROUP BY y, is_test")
+def split_classes(spark: SparkSession, sf: str) -> DataFrame:
+    return _split(spark, sf).groupBy("y", "is_test").agg(F.count(F.lit(1)).alias("n"))
 
-@query("stratified_split")
+
+@query("stratified_split", f"WITH {_SPLIT} SELECT * FROM parts")
 def split(spark: SparkSession, sf: str) -> DataFrame:
-    rows = table(spark, sf, "labels").selectExpr("doc_id", "quality AS y")
-    return stratified_split(rows, ["doc_id"])
+    return _split(spark, sf)
+
+
+# What training reports, and that the slope of its objective vanishes where it ended.
+@query(
+    "training_report",
+    O.chain(
+        "decided",
+        f"""SELECT * FROM (WITH {_LABELLED}
+        SELECT count(*) AS input_rows, count(y) AS training_rows, count(*) FILTER (y = 1) AS positive_rows,
+          count(*) FILTER (y = 0) AS negative_rows, count(*) - count(y) AS ignored_review_rows, TRUE AS at_optimum
+        FROM labelled_features) counted""",
+    ),
+)
+def training_report(spark: SparkSession, sf: str) -> DataFrame:
+    rows = checkpointed(_labelled_features(spark, sf))
+    model, metrics = train(rows)
+    used = stratified_split(assemble(labelled_rows(rows)).select("row_id", "y", "features"), ["row_id"]).where("NOT is_test")
+    fitted, n = model.stages[-1], used.count()
+    slope_at = model.transform(class_weights(used)).select(
+        "weight", (F.col("weight") * (vector_to_array("probability")[1] - F.col("y"))).alias("pull"),
+        F.concat(vector_to_array("scaled"), F.array(F.lit(1.0))).alias("x"),
+    )
+    pulls = slope_at.select("weight", "pull", F.posexplode("x").alias("j", "x")).groupBy("j").agg(
+        (F.sum(F.col("pull") * F.col("x")) / F.sum("weight")).alias("slope")
+    )
+    held = F.array(*(F.lit(float(b)) for b in [*fitted.coefficients, 0.0]))
+    slope = F.col("slope") + F.get(held, F.col("j")) * F.lit((n - 1) / n**2)
+    counts = [F.lit(metrics[k]).cast("long").alias(k) for k in (
+        "input_rows", "training_rows", "positive_rows", "negative_rows", "ignored_review_rows")]
+    return pulls.agg((F.max(F.abs(slope)) < 1e-4).alias("at_optimum")).select(*counts, "at_optimum")
 
 
 @query("supervised_scores")
