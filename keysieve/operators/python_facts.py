@@ -64,6 +64,11 @@ PLACED = T.StructType([
     FACTS["parse_error"], T.StructField("places", T.ArrayType(_PLACE)), FACTS["calls"], FACTS["scopes"],
 ])
 
+# Tasks use these and not the catalogue, which they can't import.
+_LEAST = C.MIN_VALUE_LENGTH
+_TOKEN_RUN = "%s{%d,}" % (C.TOKEN_CLASS, _LEAST)
+_RUN = "%s{%d}" % (C.RUN_CLASS, _LEAST)
+
 _DEFS = (ast.FunctionDef, ast.AsyncFunctionDef)
 _EMPTY = {"literals": [], "calls": [], "scopes": []}
 
@@ -189,7 +194,7 @@ def file_facts(text: str, holds_value) -> dict:
 
 
 def _grams(run: str) -> set[str]:
-    return {run[i : i + C.MIN_VALUE_LENGTH] for i in range(len(run) - C.MIN_VALUE_LENGTH + 1)}
+    return {run[i : i + _LEAST] for i in range(len(run) - _LEAST + 1)}
 
 
 def placed_literals(text: str, literals: list[dict]) -> list[dict]:
@@ -200,8 +205,7 @@ def placed_literals(text: str, literals: list[dict]) -> list[dict]:
     reads is that text. Other runs are looked up by what literals hold.
     """
     raw = text.encode("utf-8")
-    token = "%s{%d,}" % (C.TOKEN_CLASS, C.MIN_VALUE_LENGTH)
-    runs = [m.span() for m in re.finditer(token.encode(), raw)]
+    runs = [m.span() for m in re.finditer(_TOKEN_RUN.encode(), raw)]
     if not runs or not literals:
         return []
     begins = [a for a, _ in runs]
@@ -238,7 +242,7 @@ def placed_literals(text: str, literals: list[dict]) -> list[dict]:
         for k, (literal, (low, first, last, high)) in enumerate(zip(literals, ranges)):
             if low == first and last == high:
                 continue
-            for m in re.finditer(token, literal["value"]):
+            for m in re.finditer(_TOKEN_RUN, literal["value"]):
                 for i in {i for gram in _grams(m[0]) for i in holders.get(gram, ())}:
                     if low <= i < first or last <= i < high:
                         found.setdefault((k, i), []).append(m[0])
@@ -257,11 +261,11 @@ def _facts_udf(schema: T.StructType, facts_of):
 
 
 def _holds_run(value: str) -> bool:
-    return bool(re.search("%s{%d}" % (C.RUN_CLASS, C.MIN_VALUE_LENGTH), value))
+    return bool(re.search(_RUN, value))
 
 
 def _holds_any(value: str) -> bool:
-    return len(value) >= C.MIN_VALUE_LENGTH
+    return len(value) >= _LEAST
 
 
 def python_facts(content):

@@ -136,3 +136,12 @@ def test_cost_of_one_long_literal_follows_its_size(files):
     assert carried(2000) < 1.1 * carried(500) < 1.1
     rows = add_context(recover_candidates(files(("a.py", 'NOTES = """' + f"word {KEY} more\n" * 3000 + '"""\n'))))
     assert rows.where("variable_name = 'NOTES'").count() == 3000
+
+
+def test_task_functions_need_no_installed_package():
+    from pyspark import cloudpickle
+
+    from keysieve.operators import python_facts as P
+
+    for function in (P.file_facts, P.placed_literals, P._holds_run, P._holds_any):
+        assert b"keysieve.catalog" not in cloudpickle.dumps(function)
