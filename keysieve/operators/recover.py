@@ -349,11 +349,33 @@ def _candidates_in_segment(signatures: Sequence[C.Signature], tokenise: bool) ->
     )
 
 
+def _is_kept(candidate: Column) -> Column:
+    return candidate["signature_confidence"].isin(*C.TRUSTED_TIERS) | (candidate["entropy"] >= C.MIN_ENTROPY)
+
+
+def _first_on_line(candidates: Column) -> Column:
+    """Of the kept candidates of a segment, the first by signature and place for each value and line."""
+
+    def firsts(found: Column) -> Column:
+        names = F.transform(found, lambda c: F.struct(c["value"], c["line_number"]))
+        return let(
+            names,
+            lambda own: F.filter(found, lambda c, i: F.array_position(own, F.struct(c["value"], c["line_number"])) == i + 1),
+        )
+
+    def earlier(a: Column, b: Column) -> Column:
+        order = lambda c: F.struct(c["sig_ord"], c["start_index"])
+        return F.when(order(a) < order(b), -1).when(order(a) > order(b), 1).otherwise(0)
+
+    return let(F.array_sort(F.filter(candidates, _is_kept), earlier), firsts)
+
+
 def recover_candidates(
     files: DataFrame,
     signatures: Sequence[C.Signature] = C.SIGNATURES,
     segment_chars: int = SEGMENT_CHARS,
     keep: Sequence[str] = (),
+    once_per_line: bool = False,
 ) -> DataFrame:
     """One row per candidate string of every file.
 
@@ -364,7 +386,8 @@ def recover_candidates(
 
     Other signatures than the catalogue's may match any character, so their
     files are searched whole instead of by segment and token run. ``keep`` names
-    more file columns to carry along.
+    more file columns to carry along. With ``once_per_line`` a value comes once
+    for its line and segment, by its first signature, as a stream needs it.
     """
     standard = tuple(signatures) == C.SIGNATURES
     chars = segment_chars if standard else None
@@ -389,13 +412,13 @@ def recover_candidates(
     if standard:
         segments = segments.where(F.col("seg.whole") | may_hold_value(F.col("seg.text")))
 
+    every = _candidates_in_segment(tuple(signatures), standard)
     found = segments.select(
         *columns,
         F.struct(F.col("seg.py").alias("facts"), F.col("file_assets")).alias("py"),
-        F.explode(_candidates_in_segment(tuple(signatures), standard)).alias("c"),
+        F.explode(let(every, _first_on_line) if once_per_line else every).alias("c"),
     )
-    trusted = F.col("signature_confidence").isin(*C.TRUSTED_TIERS)
-    return found.select(*columns, "c.*", "py").where(trusted | (F.col("entropy") >= C.MIN_ENTROPY))
+    return found.where(_is_kept(F.col("c"))).select(*columns, "c.*", "py")
 
 
 def first_wins(candidates: DataFrame) -> DataFrame:

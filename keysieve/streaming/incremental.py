@@ -24,11 +24,12 @@ def incremental_analyses(
 ) -> DataFrame:
     """Analyses of a stream of files; repeats within ``memory`` are dropped.
 
-    State is one key per candidate and ages out with the watermark. Among
-    signatures that find the very same text, a stream keeps any one.
+    State is one key per candidate and ages out with the watermark. Which of
+    several signatures keeps a text is settled inside its file, before state, so
+    only copies of a file are left to it.
     """
     late = arriving.withWatermark(arrival, memory)
-    found = add_features(add_context(recover_candidates(late, keep=(arrival,))))
+    found = add_features(add_context(recover_candidates(late, keep=(arrival,), once_per_line=True)))
     return (scorer or baseline_scorer())(found.dropDuplicatesWithinWatermark(IDENTITY))
 
 

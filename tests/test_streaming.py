@@ -2,12 +2,23 @@
 
 from pyspark.sql import functions as F
 
+from keysieve.operators.recover import first_wins, recover_candidates
 from keysieve.streaming.incremental import incremental_analyses, report_each_batch
 from tests.conftest import SOURCE_SCHEMA
 
 KEY = "Lt3whkyVHH7iAtP28iNIq7hVNlK638vR"
 
 
+def test_the_first_signature_keeps_a_value_in_a_stream_too(files):
+    value = "a" * 8 + "0123456789abcdef" * 2
+    source = files(("a.env", f"x = key-{KEY} {value[:40]} key-{KEY}\n"))
+    every = recover_candidates(source)
+    once = recover_candidates(source, once_per_line=True)
+    wanted = {(r.value, r.sig_ord, r.start_index) for r in first_wins(every).collect()}
+    assert {(r.value, r.sig_ord, r.start_index) for r in once.collect()} == wanted
+    assert every.count() > once.count() == len(wanted)
+
+
 def test_repeats_are_reported_once(spark, tmp_path):
     landing, schema = str(tmp_path / "in"), SOURCE_SCHEMA + ", arrived_at timestamp"
 
