@@ -220,7 +220,7 @@ def fit_scorer(documents: DataFrame, labels: DataFrame) -> Scorer:
     """Fit on labelled documents outside the held-out fold: one fold for the curve, two for the field.
 
     Labels that are null or on null ids teach nothing. Without both labels the score
-    is the same number for every text.
+    is the same number for every text, the share of good ones; without any label it is one.
     """
     marks = labels.select("doc_id", "quality").where("quality IN (0, 1)").dropDuplicates(["doc_id", "quality"])
     marks = marks.withColumn("_fold", fold("doc_id")).where(F.col("_fold") != HELD_OUT)
@@ -233,7 +233,7 @@ def fit_scorer(documents: DataFrame, labels: DataFrame) -> Scorer:
         return K.encoded(got["text"].to_pylist()), got["quality"].to_numpy().astype(np.int64)
 
     texts, good = sample(marks.where(F.col("_fold") != CURVE_FOLD))
-    flat = float((good.sum() + 0.5) / (len(good) + 1)) if len(good) else 0.5
+    flat = float((good.sum() + 1) / (len(good) + 1))
     if len(set(good)) < 2:
         return Scorer(None, np.zeros(2), flat)
     field = fit_field(texts, good)

@@ -190,7 +190,7 @@ class Scorer:
     def __init__(self, spark: SparkSession, model: KneserNey):
         self.shared = spark.sparkContext.broadcast(model.packed())
         self.center, self.scale, self.weights = np.zeros(1 + TELLING), np.ones(1 + TELLING), None
-        self.flat = 0.5
+        self.flat = 0.0
 
     def signs_column(self, text):
         shared = self.shared
@@ -207,7 +207,7 @@ class Scorer:
         """Fit on ``labelled`` (text, toxic), a bounded sample."""
         rows = labelled.select(self.signs_column("text").alias("signs"), F.col("toxic").cast("double").alias("toxic")).collect()
         y = np.array([r.toxic for r in rows])
-        self.flat = float((y.sum() + 0.5) / (len(y) + 1)) if len(y) else 0.5
+        self.flat = float(y.sum() / (len(y) + 1))
         if len(set(y)) == 2:
             x = np.array([r.signs for r in rows])
             self.center, self.scale = x.mean(0), x.std(0) + 1e-9
@@ -236,7 +236,7 @@ def fit_scorer(documents: DataFrame, labels: DataFrame) -> Scorer:
     The counts take every labelled row, the curve at most ``CURVE_ROWS`` labels. A label
     that is null, or whose id is null, teaches nothing; an id that stands more than once
     counts once for each of its rows. Without both labels in the last fold the score is
-    the same number for every text.
+    the same number for every text, the share of toxic ones; without any label it is zero.
     """
     marks = labels.select("doc_id", "toxic").where("toxic IN (0, 1)").dropDuplicates(["doc_id", "toxic"])
     marks = marks.withColumn("_fold", fold("doc_id"))

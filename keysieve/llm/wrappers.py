@@ -54,8 +54,11 @@ _AROUND_NAMES = frozenset(
     " navbar navigation menu menus breadcrumb breadcrumbs footer sidebar sidebars aside notice notices cookie cookies consent gdpr"
     " alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended"
     " recommendations comment comments reply replies respond discussion disqus widget widgets toolbar pagination pager copyright"
-    " disclaimer form skip".split()
+    " disclaimer form skip commentlist usercomment usercomments readercomments adslot adunit adblock adcontainer cookiebar"
+    " cookiebanner topnav sidenav subnav searchbox searchform".split()
 )
+#: An article or main part of these names is a reader's or an advertiser's.
+_NOT_MAIN = frozenset("comment comments reply replies respond discussion ad ads advert adverts advertisement sponsored promo".split())
 _HEADER = frozenset(("header", "masthead", "topbar"))
 _REGIONS = (
     lambda tag, role, names: tag == "article" or role == "article",
@@ -295,7 +298,10 @@ def _contexts(wrapper: list) -> list[tuple[Slot, bool, list[bool]]]:
                     close(_SIBLINGS[name], frozenset(("ul", "ol", "dl", "table")))
                 if name not in _VOID:
                     around = name in _AROUND or role in _AROUND_ROLES or not parts.isdisjoint(_AROUND_NAMES)
-                    around = around and name not in ("html", "body", "article", "main")
+                    if name in ("html", "body"):
+                        around = False
+                    elif name in ("article", "main"):
+                        around = not parts.isdisjoint(_NOT_MAIN)
                     header = name == "header" or not parts.isdisjoint(_HEADER)
                     stack.append((name, around, [r(name, role, parts) and not around for r in _REGIONS], header))
 

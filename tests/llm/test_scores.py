@@ -55,6 +55,7 @@ def test_labels_missing_or_of_one_class_give_one_score(spark, module):
     docs, labels = corpus(spark, 40)
     for few in (labels.limit(0), labels.where("toxic = 0 AND quality = 1")):
         assert len({r.score for r in module.scored(docs, few).collect()}) == 1
+    assert module.kept(docs, labels.limit(0)).count() == docs.count()
     assert module.scored(docs.limit(0), labels).count() == 0
     assert module.kept(docs.limit(0), labels).columns == docs.columns
 

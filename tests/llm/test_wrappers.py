@@ -45,6 +45,7 @@ def test_article_without_its_surroundings(spark):
         (1, "http://a.test/1", ARTICLE), (2, "http://a.test/2", None), (3, "http://a.test/3", ""), (4, "http://b.test", "just text &lt;b&gt;"),
         (5, None, "<main><p>main <i>part</i>.</p><header><p>kept</p></header></main><header>top</header><p>out"), (None, "::bad::", "<p>no id</p>"),
         (6, "http://c.test", "<p>a</p> <p>b</p>" + "<p>long</p>" * 20_000), (1, "http://a.test/1", ARTICLE),
+        (9, "http://f.test", "<article><p>own</p></article><article class='comment'><p>reader</p></article><div class='comment-list'>x</div>"),
         (7, "http://d.test", "<article>broken <p title='>' class=x>tail <!-- never closed"), (8, "http://e.test", "<" * 50 + "a<b" * 50),
     ]
     got = texts(spark, rows)
@@ -54,6 +55,7 @@ def test_article_without_its_surroundings(spark):
     assert got[5] == "main part. kept"
     assert got[None] == "no id"
     assert got[6] == "a b" + " long" * 20_000
+    assert got[9] == "own"
     assert got[7] == "broken tail"
     assert texts(spark, []) == {}
 
