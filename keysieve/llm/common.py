@@ -43,6 +43,14 @@ def settled(rows: DataFrame) -> DataFrame:
 MAP_BITS = 22
 
 
+def fresh(name: str, rows: DataFrame) -> str:
+    """``name``, longer by underscores until no column of ``rows`` has it."""
+    taken = {c.lower() for c in rows.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def may_hold(ids: DataFrame, column: str = "doc_id"):
     """Condition that is true for every row whose ``column`` is in ``ids``, and for few others while those are few.
 

@@ -230,15 +230,15 @@ def cleaned(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
                 todo = again
             yield pd.Series(out, dtype=object)
 
-    rows = documents.withColumn("_clean", clean("text"))
-    changed = ~F.col("_clean").eqNullSafe(F.col("text"))
+    new = K.fresh("clean", documents)
+    changed = ~F.col(new).eqNullSafe(F.col("text"))
     columns = [
-        F.col("_clean").alias("text") if c == "text"
-        else F.when(changed, F.length("_clean")).otherwise(F.col(c)).cast(documents.schema[c].dataType).alias(c) if c == "n_chars"
-        else F.col(c)
+        F.col(new).alias("text") if c == "text"
+        else F.when(changed, F.length(new)).otherwise(F.col(c)).cast(documents.schema[c].dataType).alias(c) if c == "n_chars"
+        else F.col(f"`{c}`")
         for c in documents.columns
     ]
-    return rows.select(*columns)
+    return documents.withColumn(new, clean("text")).select(*columns)
 
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -195,18 +195,21 @@ def kept(documents: DataFrame) -> DataFrame:
     with a null id are compared with nothing and all stay.
     """
     groups = K.settled(components(documents.where("doc_id IS NOT NULL")))
+    odd_id = K.fresh("odd_id", documents)
     odd = K.settled(
         groups.groupBy("doc_id").agg(
-            F.count(F.lit(1)).alias("_rows"), F.max((F.col("doc_id") == F.col("component_id")).cast("int")).alias("_first")
-        ).where("_first = 0 OR _rows > 1").withColumnRenamed("doc_id", "_odd")
+            F.count(F.lit(1)).alias("rows"), F.max((F.col("doc_id") == F.col("component_id")).cast("int")).alias("first")
+        ).where("first = 0 OR rows > 1")
     )
+    ids = odd.select(F.col("doc_id").alias(odd_id))
     # Rows that can't be odd stay where they are; the others meet the odd ids, which decide.
-    maybe = K.may_hold(odd.select(F.col("_odd").alias("doc_id")))
-    joined = documents.where(maybe).join(odd, F.col("doc_id") == F.col("_odd"), "left")
-    out = documents.where(~maybe).unionByName(joined.where("_odd IS NULL").select(*documents.columns))
-    again = odd.where("_first = 1")
+    maybe = K.may_hold(odd)
+    out = documents.where(~maybe).unionByName(
+        documents.where(maybe).join(ids, F.col("doc_id") == F.col(odd_id), "left_anti")
+    )
+    again = odd.where("first = 1").select(F.col("doc_id").alias(odd_id))
     if not again.isEmpty():
-        repeated = documents.where(maybe).join(again, F.col("doc_id") == F.col("_odd"), "left_semi")
+        repeated = documents.where(maybe).join(again, F.col("doc_id") == F.col(odd_id), "left_semi")
         out = out.unionByName(repeated.dropDuplicates(["doc_id"]))
     return out
 

@@ -8,7 +8,7 @@ import pytest
 from keysieve.llm import decontaminate as D
 from keysieve.llm.fmindex import FMIndex, suffix_order
 
-DOCS = "doc_id long, text string, lang string, n_chars int, found string"
+DOCS = "doc_id long, text string, lang string, n_chars int, clean string"
 
 
 @pytest.mark.parametrize("n, symbols", [(1, 2), (7, 2), (300, 3), (2000, 60)])

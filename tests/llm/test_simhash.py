@@ -87,8 +87,8 @@ def test_large_groups_walk_neighbours_like_small_ones(monkeypatch, tag, reach):
 def test_components_of_texts_ties_nulls_and_repeats(spark):
     long = " ".join(f"w{i}" for i in range(400))
     rows = [(9, long), (4, long), (4, long), (7, long + " tail"), (5, None), (2, ""), (8, "alone here now"), (None, long), (None, "nobody")]
-    docs = spark.createDataFrame([(*r, "en") for r in rows], "doc_id long, text string, print string")
-    got = simhash.components(docs.select("doc_id", "text", "print")).collect()
+    docs = spark.createDataFrame([(*r, "en", 1) for r in rows], "doc_id long, text string, print string, odd_id int")
+    got = simhash.components(docs).collect()
     assert len(got) == len(rows)
     prints = [plain_print((t or "").encode()) for _, t in rows]
     name = plain_components(prints)
