@@ -14,7 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a task turns into arrays at a time; arrays take some 50 bytes for each.
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
+#: Texts that go to a Python worker at a time.
+BATCH_ROWS = 1_000
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -39,6 +41,14 @@ def settled(rows: DataFrame) -> DataFrame:
     return spark.read.schema(rows.schema).parquet(path)
 
 
+def in_batches(texts: DataFrame) -> DataFrame:
+    """``texts`` as they are; from now on the session sends at most ``BATCH_ROWS`` rows to a worker at a time."""
+    conf, name = texts.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name)) <= BATCH_ROWS:
+        conf.set(name, str(BATCH_ROWS))
+    return texts
+
+
 #: Size of a map of ids: a fixed number of bits, whatever it maps.
 MAP_BITS = 22
 

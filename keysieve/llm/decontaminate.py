@@ -177,7 +177,7 @@ def found_column(benchmark: DataFrame, text="text"):
     def find(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             texts, out = K.encoded(batch), []
-            for lo, hi in K.blocks(texts, 2 * K.BLOCK_BYTES):
+            for lo, hi in K.blocks(texts, 4 * K.BLOCK_BYTES):
                 out += _search_all(shared, texts[lo:hi])
             yield pd.DataFrame(out, columns=["n_words", "starts", "ends", "items"])
 
@@ -186,7 +186,7 @@ def found_column(benchmark: DataFrame, text="text"):
 
 def report(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Per row of ``documents``: words, hit words, items found and their digest, spans."""
-    rows = documents.select("doc_id", found_column(benchmark).alias("found"))
+    rows = K.in_batches(documents).select("doc_id", found_column(benchmark).alias("found"))
     hits = F.aggregate(
         F.arrays_zip("found.starts", "found.ends"), F.lit(0).cast("long"), lambda sum_, x: sum_ + (x["ends"] - x["starts"])
     )
@@ -220,7 +220,7 @@ def cleaned(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
             todo = list(range(len(texts)))
             while todo:
                 again = []
-                for lo, hi in K.blocks([texts[i] for i in todo], 2 * K.BLOCK_BYTES):
+                for lo, hi in K.blocks([texts[i] for i in todo], 4 * K.BLOCK_BYTES):
                     own = todo[lo:hi]
                     for i, f in zip(own, _search_all(shared, [texts[i] for i in own])):
                         if f["starts"]:
@@ -238,7 +238,7 @@ def cleaned(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
         else F.col(f"`{c}`")
         for c in documents.columns
     ]
-    return documents.withColumn(new, clean("text")).select(*columns)
+    return K.in_batches(documents).withColumn(new, clean("text")).select(*columns)
 
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])

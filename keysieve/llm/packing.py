@@ -87,7 +87,7 @@ def document_pieces(documents: DataFrame, tokenizer: str, capacity: int = CAPACI
                 yield pa.RecordBatch.from_arrays(columns + ([pa.array(ids, pa.binary())] if ids_as else []), schema.names)
                 lo = hi
 
-    return documents.select("doc_id", "text").mapInArrow(cut, schema)
+    return K.in_batches(documents).select("doc_id", "text").mapInArrow(cut, schema)
 
 
 def best_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -222,6 +222,7 @@ def fit_scorer(documents: DataFrame, labels: DataFrame) -> Scorer:
     Labels that are null or on null ids teach nothing. Without both labels the score
     is the same number for every text, the share of good ones; without any label it is one.
     """
+    documents = K.in_batches(documents)
     marks = labels.select("doc_id", "quality").where("quality IN (0, 1)").dropDuplicates(["doc_id", "quality"])
     marks = marks.withColumn("_fold", fold("doc_id")).where(F.col("_fold") != HELD_OUT)
 

@@ -65,7 +65,7 @@ def fingerprints(documents: DataFrame) -> DataFrame:
         for batch in batches:
             yield pd.Series(np.array([fingerprint(t) for t in K.encoded(batch)], np.uint64).view(np.int64))
 
-    return documents.select("doc_id", prints("text").alias("print"))
+    return K.in_batches(documents).select("doc_id", prints("text").alias("print"))
 
 
 def variants(prints: DataFrame) -> DataFrame:

@@ -15,6 +15,7 @@ corpus, and words that share a bucket share their counts.
 from __future__ import annotations
 
 import sys
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -84,15 +85,12 @@ class KneserNey:
         self.words, self.stems, self.totals = words, stems, totals
 
     def packed(self) -> tuple:
-        """Filled buckets only, to be sent."""
-        filled = [np.flatnonzero(t.any(1)).astype(np.int32) for t in (self.words, self.stems)]
-        return filled[0], self.words[filled[0]], filled[1], self.stems[filled[1]], self.totals
+        """Compressed, to be sent: most buckets hold small counts or none."""
+        return zlib.compress(self.words.tobytes(), 1), zlib.compress(self.stems.tobytes(), 1), self.totals
 
     @classmethod
-    def unpacked(cls, at: np.ndarray, words: np.ndarray, stem_at: np.ndarray, stems: np.ndarray, totals: dict) -> KneserNey:
-        tables = np.zeros((1 << WORD_BITS, 3), np.float32), np.zeros((1 << STEM_BITS, 3), np.float32)
-        tables[0][at], tables[1][stem_at] = words, stems
-        return cls(*tables, totals)
+    def unpacked(cls, words: bytes, stems: bytes, totals: dict) -> KneserNey:
+        return cls(*(np.frombuffer(zlib.decompress(t), np.float32).reshape(-1, 3) for t in (words, stems)), totals)
 
     def ratio(self, word: np.ndarray) -> np.ndarray:
         """Toxic minus ordinary log-likelihood of each word."""
@@ -238,6 +236,7 @@ def fit_scorer(documents: DataFrame, labels: DataFrame) -> Scorer:
     counts once for each of its rows. Without both labels in the last fold the score is
     the same number for every text, the share of toxic ones; without any label it is zero.
     """
+    documents = K.in_batches(documents)
     marks = labels.select("doc_id", "toxic").where("toxic IN (0, 1)").dropDuplicates(["doc_id", "toxic"])
     marks = marks.withColumn("_fold", fold("doc_id"))
     counting = marks.where((F.col("_fold") > 0) & (F.col("_fold") < FOLDS - 1)).drop("_fold")

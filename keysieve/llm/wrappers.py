@@ -483,7 +483,7 @@ def extract(pages: DataFrame) -> DataFrame:
 
     A null html is empty and has no text; pages with a null or odd url are one host "".
     """
-    choices, _ = infer(pages)
+    choices, _ = infer(K.in_batches(pages))
     id_type = pages.schema["page_id"].dataType.simpleString()
 
     def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
