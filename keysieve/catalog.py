@@ -249,8 +249,8 @@ GENERIC_LONG_DETAILS = "No provider-specific validator available; format-only re
 GENERIC_SHORT_DETAILS = "Candidate too short for provider-agnostic review."
 
 # Label bootstrap.
-PROVIDER_SPECIFIC_TYPES = tuple(s.provider for s in SIGNATURES[:13])
-GENERIC_TYPES = tuple(s.provider for s in SIGNATURES[13:])
+PROVIDER_SPECIFIC_TYPES = tuple(s.provider for s in SIGNATURES if s.tier in ("CRITICAL", "HIGH"))
+GENERIC_TYPES = tuple(s.provider for s in SIGNATURES if s.tier not in ("CRITICAL", "HIGH"))
 CODE_PATH_HINTS = (".env", ".py", ".sh", ".yml", ".yaml", ".go", ".php", ".c", ".conf", "docker-compose")
 CODE_LANGUAGES = ("python", "config", "yaml", "shell", "tree_sitter_candidate")
 DOC_PATH_HINTS = (".md", "readme", "usage", "api_keys", "keys.md", "docs/")

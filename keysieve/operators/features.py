@@ -95,15 +95,17 @@ def placeholder_signal(joined: Column) -> Column:
     return contains_any(joined, C.PLACEHOLDER_TERMS)
 
 
-def context_text() -> Column:
-    """The +-120 character window, cut from the wider one."""
-    lead = F.least(F.col("window_lead"), F.lit(C.CONTEXT_WINDOW))
-    cut = F.substring(
-        F.col("window"),
-        F.col("window_lead") - lead + 1,
-        lead + F.length("value") + C.CONTEXT_WINDOW,
-    )
-    return F.replace(cut, F.lit("\n"), F.lit(" "))
+def _around(width: int) -> Column:
+    """The value with ``width`` characters on each side, cut from the window that recovery took."""
+    if width > C.ASSET_WINDOW:
+        raise ValueError(f"Recovery keeps {C.ASSET_WINDOW} characters on each side, {width} are asked for.")
+    lead = F.least(F.col("window_lead"), F.lit(width))
+    return F.substring(F.col("window"), F.col("window_lead") - lead + 1, lead + F.length("value") + width)
+
+
+def context_text(width: int = C.CONTEXT_WINDOW) -> Column:
+    """The window of ``width`` characters on each side, on one line."""
+    return F.replace(_around(width), F.lit("\n"), F.lit(" "))
 
 
 def contextual() -> dict[str, Column]:
@@ -124,10 +126,10 @@ def contextual() -> dict[str, Column]:
     }
 
 
-def nearby_assets() -> Column:
-    """References and kinds from the context and the +-360 character window."""
+def nearby_assets(width: int = C.ASSET_WINDOW) -> Column:
+    """References and kinds from the context and the window of ``width`` characters on each side."""
     return let(
-        asset_matches(F.col("window")),
+        asset_matches(F.col("window") if width == C.ASSET_WINDOW else _around(width)),
         lambda found: F.struct(
             F.array_distinct(
                 F.concat(F.col("context_asset_references"), F.transform(found, lambda a: a["reference"]))
@@ -188,24 +190,30 @@ def evidence() -> Column:
 
 
 @built_once
-def _feature_steps() -> tuple[dict[str, Column], ...]:
+def _feature_steps(context_width: int, asset_width: int) -> tuple[dict[str, Column], ...]:
     """Feature columns in steps; a step may use the columns of the ones before."""
     return (
-        {**statistical(F.col("value"), F.col("entropy")), **syntactic(), "context_raw": context_text()},
+        {**statistical(F.col("value"), F.col("entropy")), **syntactic(), "context_raw": context_text(context_width)},
         {
             "context_lower": F.lower("context_raw"),
             "context_joined": joined_words(F.col("context_raw")),
-            "near": nearby_assets(),
+            "near": nearby_assets(asset_width),
         },
         {**contextual(), **assets()},
         {"evidence": evidence()},
     )
 
 
-def add_features(candidates: DataFrame) -> DataFrame:
-    """Add the four feature groups and the evidence to candidates with context."""
+def add_features(
+    candidates: DataFrame, context_width: int = C.CONTEXT_WINDOW, asset_width: int = C.ASSET_WINDOW
+) -> DataFrame:
+    """Add the four feature groups and the evidence to candidates with context.
+
+    The widths say how many characters on each side of a value its context and its
+    assets are read from, up to the ``ASSET_WINDOW`` that recovery keeps.
+    """
     rows = candidates
-    for columns in _feature_steps():
+    for columns in _feature_steps(context_width, asset_width):
         rows = rows.withColumns(columns)
     return rows.drop(
         "near", "context_raw", "context_lower", "context_joined", "window", "window_lead",

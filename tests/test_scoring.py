@@ -3,6 +3,8 @@
 import itertools
 import random
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from keysieve import catalog as C
@@ -157,3 +159,18 @@ def test_signature_order_is_total():
     assert len(C.FEATURE_ORDER) == 34
     assert [len(v) for v in C.SEARCH_PATTERNS.values()] == [48, 18, 19]
     assert all(len(list(g)) == 1 for _, g in itertools.groupby(sorted(C.FEATURE_ORDER)))
+
+
+def test_window_widths_are_arguments(files):
+    from keysieve.operators.context import add_context
+    from keysieve.operators.features import add_features
+    from keysieve.operators.recover import recover_candidates
+
+    key = "Lt3whkyVHH7iAtP28iNIq7hVNlK638vR"
+    text = "https://far.acme.io " + "pad " * 30 + "left token " + key + " right " + "pad " * 20
+    found = add_context(recover_candidates(files(("a.txt", text))))
+    wide, narrow = add_features(found).first(), add_features(found, context_width=6, asset_width=20).first()
+    assert narrow["context_window"] == f"token {key} right" and narrow["asset_reference_count"] == 0
+    assert len(wide["context_window"]) > 200 and wide["asset_reference_count"] == 2
+    with pytest.raises(ValueError):
+        add_features(found, context_width=5000)
