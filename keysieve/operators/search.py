@@ -15,26 +15,32 @@ FILE_ORDS = 1 << 40
 _SALTS = 64
 
 
-def _stems(text: Column) -> Column:
-    """All distinct stretches of a text, and the empty one, which shorter patterns have."""
-    every = F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{STEM}}}))"), F.lit(1))
+def _stems(text: Column, first: str) -> Column:
+    """All distinct stretches of a text that start with ``first``, and the empty one, which shorter patterns have."""
+    every = F.regexp_extract_all(text, F.lit(f"(?s)(?=({first}.{{{STEM - 1}}}))"), F.lit(1))
     return F.array_union(F.array(F.lit("")), every)
 
 
 def pattern_hits(files: DataFrame, patterns: DataFrame) -> DataFrame:
     """One row per file and pattern whose text the file contains, in any case.
 
-    Files and patterns are joined on a pattern's first characters, which any text
-    that holds it has too, so their number is not bounded and no file is paired
-    with a pattern it can't hold. Only file numbers go into that join; the pairs
-    it leaves are then checked against the texts. ``file_id`` is unique.
+    Files and patterns are joined on a stretch of the pattern, which any text that
+    holds it has too, so their number is not bounded and no file is paired with a
+    pattern it can't hold. The stretch is the one at the pattern's first underscore,
+    which texts have few of; other patterns take their start, and only if there are
+    such do texts give all their stretches. Only file numbers go into that join; the
+    pairs it leaves are then checked against the texts. ``file_id`` is unique.
     """
     folded = F.lower("pattern")
+    marked = F.regexp_extract(folded, f"(?s)_.{{{STEM - 1}}}", 0)
+    start = F.when(F.length(folded) < STEM, F.lit("")).otherwise(F.left(folded, F.lit(STEM)))
     wanted = patterns.select(
-        "pattern", "pattern_ord", folded.alias("_folded"),
-        F.when(F.length(folded) < STEM, F.lit("")).otherwise(F.left(folded, F.lit(STEM))).alias("_stem"),
+        "pattern", "pattern_ord", folded.alias("_folded"), F.when(marked != "", marked).otherwise(start).alias("_stem")
+    )
+    first = "_" if wanted.where(~F.startswith("_stem", F.lit("_"))).isEmpty() else "."
+    stems = files.where(F.col("content").isNotNull()).select(
+        "file_id", F.explode(_stems(F.lower("content"), first)).alias("_stem")
     )
-    stems = files.where(F.col("content").isNotNull()).select("file_id", F.explode(_stems(F.lower("content"))).alias("_stem"))
     possible = stems.join(wanted, "_stem").drop("_stem")
     kept = [c for c in files.columns if c != "content"]
     return (
