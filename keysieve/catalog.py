@@ -97,6 +97,7 @@ ANY_VALUE = "|".join(f"(?:{s.regex})" for s in SIGNATURES).replace(r"\b[", "(?<!
     r"\b)", "(?![A-Za-z0-9_]))"
 )
 HIDDEN = "********"
+VALUE_RUN = "%s{%d}" % (RUN_CLASS, MIN_VALUE_LENGTH)
 RUN_AT_AN_END = "^{0}{{{1},}}|{0}{{{1},}}$".format(RUN_CLASS, MIN_VALUE_LENGTH)
 WINDOW_SENTENCE = "Context: "
 TRUSTED_TIERS = ("CRITICAL", "HIGH")
