@@ -7,15 +7,16 @@ expression weighs about the same in both. A text is judged by the difference of
 its length-normalised log-likelihoods and by its few most telling words; a logistic
 curve, fitted on labelled rows that gave no counts, turns these into a score.
 
-Counts come from every labelled row of the counting folds. They are kept in a fixed
-number of hash buckets, so the model that goes to the executors is as large for any
-corpus, and words that share a bucket share their counts.
+Counts come from every labelled row of the counting folds and are exact: words are told
+apart by 64-bit hashes, stems by their bytes. The table of all words and stems is stored
+and grows with the corpus. Its most frequent rows, a bounded number, go to the tasks;
+texts meet the others by a join on the words that a map of bits does not rule out.
 """
 
 from __future__ import annotations
 
+import math
 import sys
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,9 +27,12 @@ from pyspark.sql import functions as F
 
 from keysieve.llm import common as K
 
-WORD_BITS = 21
-STEM_BITS = 18
 STEM_BYTES = 4
+#: Rows of each kind, the most frequent, that go to the tasks at most; the others are joined.
+TOP_ROWS = 1 << 19
+#: Size of the map of all words: it only spares texts the join, whatever it holds.
+MAP_BITS = 26
+WORD, STEM, TEXT = 0, 1, 9
 TELLING = 4
 #: Labels, in hash order of their ids, that the logistic curve is fitted on at most.
 CURVE_ROWS = 50_000
@@ -45,19 +49,26 @@ def fold(doc_id, folds: int = FOLDS):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % folds, F.lit(-1))
 
 
-_REST = np.uint64(64 - STEM_BITS)
+def _words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Word numbers, stems and text numbers of all words of a block, in order.
 
-
-def _words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Word numbers and text numbers of all words of a block, in order.
-
-    The first bits of a word's number are a hash of its stem, the others of the word.
+    A word's number is its 64-bit hash, its stem the first four bytes themselves.
     """
     buffer, at = K.joined(texts, _LETTERS)
     starts, ends = K.runs(buffer != 32)
-    hashes = K.SpanHashes(buffer)
-    stem = hashes.of(starts, np.minimum(ends, starts + STEM_BYTES)) >> _REST << _REST
-    return stem | hashes.of(starts, ends) >> np.uint64(STEM_BITS), np.searchsorted(at, starts, "right") - 1
+    stem = np.zeros(len(starts), np.int64)
+    for k in range(STEM_BYTES):
+        stem = stem << 8 | np.where(starts + k < ends, buffer[np.minimum(starts + k, len(buffer) - 1)], 0)
+    return K.SpanHashes(buffer).of(starts, ends), stem, np.searchsorted(at, starts, "right") - 1
+
+
+def _prior(word: np.ndarray, text: np.ndarray) -> np.ndarray:
+    """The word before each word; 0 at a text's start."""
+    return np.where(np.diff(text, prepend=-1) == 0, np.roll(word, 1), np.uint64(0))
+
+
+def _pair(prior: np.ndarray, word: np.ndarray) -> np.ndarray:
+    return K.mixed(word ^ K.mixed(prior + np.uint64(1)))
 
 
 def _counted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -65,69 +76,165 @@ def _counted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in frames:
         texts, toxic = K.encoded(frame["text"]), frame["toxic"].to_numpy(np.int64)
         for lo, hi in K.blocks(texts):
-            word, text = _words(texts[lo:hi])
+            word, stem, text = _words(texts[lo:hi])
             if not len(word):
                 continue
-            left = np.where(np.diff(text, prepend=-1) == 0, K.mixed(np.roll(word, 1)) >> np.uint64(32), np.uint64(0))
-            pair = K.mixed(word ^ K.mixed(left + np.uint64(1)))
-            _, first, which = np.unique(pair, return_index=True, return_inverse=True)
+            prior = _prior(word, text)
+            _, first, which = np.unique(_pair(prior, word), return_index=True, return_inverse=True)
             bad = np.bincount(which, toxic[lo:hi][text], len(first)).astype(np.int64)
             yield pd.DataFrame({
-                "word": word[first].view(np.int64), "prior": left[first].astype(np.uint32).view(np.int32),
+                "word": word[first].view(np.int64), "stem": stem[first], "prior": prior[first].view(np.int64),
                 "c1": bad, "c0": np.bincount(which, minlength=len(first)) - bad,
             })
 
 
+class Top:
+    """The most frequent rows of one kind: gains by number."""
+
+    def __init__(self, number: np.ndarray, gain: np.ndarray):
+        order = np.argsort(number)
+        self.number, self.gain = number[order], gain[order]
+
+    def find(self, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Whether each number is here, and its gain if so."""
+        if not len(self.number):
+            return np.zeros(len(number), bool), np.zeros(len(number))
+        at = np.minimum(np.searchsorted(self.number, number), len(self.number) - 1)
+        return self.number[at] == number, self.gain[at]
+
+
+def _top_of(text: np.ndarray, gain: np.ndarray, times: np.ndarray, texts: int) -> np.ndarray:
+    """The ``TELLING`` largest gains of each text, each as often as it stands there; NaN where there are fewer."""
+    out = np.full((texts, TELLING), np.nan)
+    again = np.minimum(times, TELLING)
+    text, gain = np.repeat(text, again), np.repeat(gain, again)
+    order = np.lexsort((-gain, text))
+    text, gain = text[order], gain[order]
+    place = np.arange(len(text)) - np.searchsorted(text, text)
+    few = place < TELLING
+    out[text[few], place[few]] = gain[few]
+    return out
+
+
+_NEEDS = "key long, kind byte, number long, of long, times long, other double, known array<double>"
+
+
 class KneserNey:
-    """Both class models over hash buckets; ``ratio`` compares them word by word."""
-
-    def __init__(self, words: np.ndarray, stems: np.ndarray, totals: dict[str, float]):
-        self.words, self.stems, self.totals = words, stems, totals
-
-    def packed(self) -> tuple:
-        """Compressed, to be sent: most buckets hold small counts or none."""
-        return zlib.compress(self.words.tobytes(), 1), zlib.compress(self.stems.tobytes(), 1), self.totals
-
-    @classmethod
-    def unpacked(cls, words: bytes, stems: bytes, totals: dict) -> KneserNey:
-        return cls(*(np.frombuffer(zlib.decompress(t), np.float32).reshape(-1, 3) for t in (words, stems)), totals)
-
-    def ratio(self, word: np.ndarray) -> np.ndarray:
-        """Toxic minus ordinary log-likelihood of each word."""
-        own = self.words[(word & np.uint64((1 << WORD_BITS) - 1)).astype(np.int64)]
-        root = self.stems[(word >> _REST).astype(np.int64)]
-        t = self.totals
-        shared = (own[:, 2] + 0.5) / (t["contexts"] + 0.5 * t["words"] + 1)
-        shared_stem = (root[:, 2] + 0.5) / (t["contexts"] + 0.5 * t["stems"] + 1)
-        ending = np.minimum(1.0, shared / shared_stem)
-        likelihood = []
-        for c in (0, 1):
-            n = max(1.0, t[f"n{c}"])
-            backed = (
-                np.maximum(root[:, c] - t[f"stem_cut{c}"], 0) / n
-                + t[f"stem_cut{c}"] * max(1.0, t[f"stem_kinds{c}"]) / n * shared_stem
-            )
-            likelihood.append(
-                np.maximum(own[:, c] - t[f"cut{c}"], 0) / n + t[f"cut{c}"] * max(1.0, t[f"kinds{c}"]) / n * backed * ending
-            )
-        return np.log(likelihood[1] / likelihood[0])
-
-    def signs(self, texts: list[bytes]) -> np.ndarray:
-        """For each text: the length-normalised difference and its largest single ones."""
-        out = np.zeros((len(texts), 1 + TELLING))
-        for lo, hi in K.blocks(texts):
-            word, text = _words(texts[lo:hi])
-            if not len(word):
-                continue
-            gain = self.ratio(word)
-            size = np.bincount(text, minlength=hi - lo)
-            out[lo:hi, 0] = np.bincount(text, gain, hi - lo) / np.maximum(size, 1)
-            order = np.lexsort((-gain, text))
-            ranked, first = gain[order], np.cumsum(size) - size
-            for k in range(TELLING):
-                has = size > k
-                out[lo:hi, 1 + k][has] = ranked[first[has] + k]
-        return out
+    """Both class models: ``rows`` (kind, number, gain) holds the log-ratio of every word and stem.
+
+    A gain is a word's toxic minus ordinary log-likelihood. A word that stands in no
+    labelled text has the gain of its stem, a new stem has ``unseen``.
+    """
+
+    def __init__(self, rows: DataFrame, totals: dict[str, float]):
+        self.rows, self.totals = rows, totals
+        self.unseen = _unseen(totals)
+        self.top, self.least = {}, {}
+        for kind in (WORD, STEM):
+            self.top[kind], self.least[kind] = _most_frequent(rows.where(F.col("kind") == kind))
+        self.bits = _bits(rows.where(F.col("kind") != STEM))
+
+    def _needs(self, shared):
+        """What texts say by themselves, one row each, and what they need from the table."""
+
+        def needs(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            top, bits, unseen = shared.value
+            seen: set[int] = set()
+            for frame in frames:
+                # Copies need to be looked up once.
+                new = ~(frame["key"].duplicated() | frame["key"].isin(seen)).to_numpy()
+                seen.update(frame["key"][new])
+                keys, texts = frame["key"].to_numpy(np.int64)[new], K.encoded(frame["text"][new])
+                for lo, hi in K.blocks(texts):
+                    yield from _asked(keys[lo:hi], texts[lo:hi], top, bits, unseen)
+
+        return needs
+
+    def signs(self, documents: DataFrame) -> DataFrame:
+        """(key, signs) of each different text: the length-normalised difference and its largest single ones.
+
+        ``key`` is the 64-bit hash of a text.
+        """
+        shared = documents.sparkSession.sparkContext.broadcast((self.top, self.bits, self.unseen))
+        asked = documents.select(F.xxhash64("text").alias("key"), "text").mapInPandas(self._needs(shared), _NEEDS)
+        rare = F.lit(False)
+        for kind, least in self.least.items():
+            rare = rare | ((F.col("kind") == kind) & (F.col("count") < least))
+        table = self.rows.where(rare).select("kind", "number", "gain")
+        told = asked.join(table, ["kind", "number"], "left").repartition("key")
+        # A word that the table lacks has its stem's gain; copies of a text say the same.
+        one = told.groupBy("key", F.coalesce("of", "number").alias("of"), (F.col("kind") == TEXT).alias("whole")).agg(
+            F.max("known").alias("known"), F.max("times").alias("times"),
+            F.coalesce(
+                F.max(F.when(F.col("kind") == WORD, F.col("gain"))), F.max(F.when(F.col("kind") == STEM, F.col("gain"))), F.max("other")
+            ).alias("gain"),
+        )
+        largest = F.array_repeat("gain", F.least("times", F.lit(TELLING)).cast("int"))
+        signs = one.groupBy("key").agg(
+            F.max("known").alias("known"), F.sum(F.when(~F.col("whole"), F.col("gain") * F.col("times"))).alias("more"),
+            F.flatten(F.collect_list(F.when(~F.col("whole"), largest))).alias("gains"),
+        )
+        ranked = F.sort_array(F.concat(F.slice("known", 3, TELLING), "gains"), asc=False)
+        ranked = F.filter(ranked, lambda x: ~F.isnan(x) & x.isNotNull())
+        mean = (F.get("known", F.lit(1)) + F.coalesce("more", F.lit(0.0))) / F.greatest(F.get("known", F.lit(0)), F.lit(1.0))
+        return signs.select("key", F.concat(F.array(mean), *(
+            F.array(F.coalesce(F.get(ranked, F.lit(k)), F.lit(0.0))) for k in range(TELLING)
+        )).alias("signs"))
+
+
+def _asked(keys: np.ndarray, texts: list[bytes], top: dict, bits: np.ndarray, unseen: float) -> Iterator[pd.DataFrame]:
+    """Rows of ``_NEEDS`` for one block."""
+    n = len(texts)
+    word, stem, text = _words(texts)
+    _, first, times = np.unique(_pair(text.astype(np.uint64), word), return_index=True, return_counts=True)
+    size, word, stem, text = np.bincount(text, minlength=n), word[first].view(np.int64), stem[first], text[first]
+    has, gain = top[WORD].find(word)
+    root, other = top[STEM].find(stem)
+    other = np.where(root, other, unseen)
+    maybe = ~has & _marked(bits, word)
+    final = has | (~maybe & root)
+    gain = np.where(has, gain, other)
+    known = np.column_stack([
+        size, np.bincount(text[final], gain[final] * times[final], n), _top_of(text[final], gain[final], times[final], n)
+    ])
+    none = np.zeros(n, np.int64)
+    yield pd.DataFrame({
+        "key": keys, "kind": none + TEXT, "number": keys, "of": pd.array(keys, "Int64"), "times": none, "other": np.nan, "known": list(known)
+    })
+    for kind, ask, number in ((WORD, maybe, word), (STEM, ~has & ~root, stem)):
+        yield pd.DataFrame({
+            "key": keys[text[ask]], "kind": np.full(ask.sum(), kind), "number": number[ask], "of": pd.array(word[ask], "Int64"),
+            "times": times[ask], "other": other[ask], "known": None,
+        })
+
+
+def _marked(bits: np.ndarray, number: np.ndarray) -> np.ndarray:
+    at = number.view(np.uint64) >> np.uint64(64 - MAP_BITS)
+    return (bits[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+
+def _bits(rows: DataFrame) -> np.ndarray:
+    """A map of fixed size with the bit of every number set."""
+    at = F.shiftrightunsigned("number", 64 - MAP_BITS)
+    got = rows.groupBy(F.shiftright(at, 6).alias("at")).agg(
+        F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(63).cast("int"))).alias("set")
+    ).toArrow()
+    bits = np.zeros(1 << (MAP_BITS - 6), np.int64)
+    bits[got["at"].to_numpy()] = got["set"].to_numpy()
+    return bits.view(np.uint64)
+
+
+def _most_frequent(rows: DataFrame) -> tuple[Top, int]:
+    """At most ``TOP_ROWS`` rows, and the least count that they have; all rows with that count are among them."""
+    found = rows.groupBy(F.floor(F.log2("count")).cast("int").alias("power")).agg(F.count(F.lit(1)).alias("n")).collect()
+    least, room = 63, TOP_ROWS
+    for power, n in sorted(found, reverse=True):
+        room -= n
+        if room < 0:
+            break
+        least = power
+    got = rows.where(F.col("count") >= 1 << least if least < 63 else F.lit(False)).select("number", "gain").toArrow()
+    return Top(got["number"].to_numpy(), got["gain"].to_numpy()), 1 << min(least, 62)
 
 
 def _cut(ones: float, twos: float) -> float:
@@ -135,34 +242,35 @@ def _cut(ones: float, twos: float) -> float:
     return float(np.clip(ones / (ones + 2 * twos), 0.1, 0.95)) if ones else 0.5
 
 
-def _table(rows: DataFrame, bucket, bits: int) -> np.ndarray:
-    """Sums of c0, c1 and contexts by hash bucket: at most 2**bits rows reach the driver."""
-    got = (
-        rows.groupBy(bucket.alias("bucket"))
-        .agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1"), F.sum("contexts").alias("contexts"))
-        .toArrow()
-    )
-    table = np.zeros((1 << bits, 3), np.float32)
-    at = got["bucket"].to_numpy()
-    for i, name in enumerate(("c0", "c1", "contexts")):
-        table[at, i] = got[name].to_numpy()
-    return table
+def _backed(t: dict, c: int, stem_count, shared_stem):
+    """Likelihood of a stem in class ``c``."""
+    n = max(1.0, t[f"n{c}"])
+    return F.greatest(stem_count - t[f"stem_cut{c}"], F.lit(0.0)) / n + t[f"stem_cut{c}"] * max(1.0, t[f"stem_kinds{c}"]) / n * shared_stem
+
+
+def _left(t: dict, c: int) -> float:
+    """What the discount of class ``c`` leaves for stems."""
+    return t[f"cut{c}"] * max(1.0, t[f"kinds{c}"]) / max(1.0, t[f"n{c}"])
+
+
+def _unseen(t: dict) -> float:
+    """Gain of a word whose stem stands in no labelled text."""
+    left = [_left(t, c) * t[f"stem_cut{c}"] * max(1.0, t[f"stem_kinds{c}"]) / max(1.0, t[f"n{c}"]) for c in (0, 1)]
+    return math.log(left[1] / left[0])
 
 
 def fit_models(labelled: DataFrame) -> KneserNey:
     """Both models from all rows of ``labelled`` (text, toxic 0/1)."""
     pairs = labelled.select("text", F.col("toxic").cast("long").alias("toxic")).mapInPandas(
-        _counted, "word long, prior int, c1 long, c0 long"
+        _counted, "word long, stem long, prior long, c1 long, c0 long"
     )
-    after = pairs.groupBy("word", "prior").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1"))
+    after = pairs.groupBy("word", "prior").agg(F.first("stem").alias("stem"), F.sum("c0").alias("c0"), F.sum("c1").alias("c1"))
     words = K.settled(
         after.groupBy("word").agg(
-            F.sum("c0").alias("c0"), F.sum("c1").alias("c1"), F.count(F.lit(1)).alias("contexts")
+            F.first("stem").alias("stem"), F.sum("c0").alias("c0"), F.sum("c1").alias("c1"), F.count(F.lit(1)).alias("contexts")
         )
     )
-    stems = words.groupBy(F.shiftrightunsigned("word", 64 - STEM_BITS).alias("stem")).agg(
-        F.sum("c0").alias("c0"), F.sum("c1").alias("c1"), F.sum("contexts").alias("contexts")
-    )
+    stems = K.settled(words.groupBy("stem").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1"), F.sum("contexts").alias("contexts")))
 
     def summed(rows: DataFrame) -> dict:
         parts = [F.count(F.lit(1)).alias("kinds"), F.sum("contexts").alias("contexts")]
@@ -173,59 +281,57 @@ def fit_models(labelled: DataFrame) -> KneserNey:
         return {k: v or 0 for k, v in rows.agg(*parts).first().asDict().items()}
 
     w, s = summed(words), summed(stems)
-    totals = {"contexts": w["contexts"], "words": w["kinds"], "stems": s["kinds"]}
+    t = {"contexts": w["contexts"], "words": w["kinds"], "stems": s["kinds"]}
     for c in (0, 1):
-        totals |= {
+        t |= {
             f"n{c}": w[f"c{c}"], f"kinds{c}": w[f"c{c}_kinds"], f"stem_kinds{c}": s[f"c{c}_kinds"],
             f"cut{c}": _cut(w[f"c{c}_ones"], w[f"c{c}_twos"]), f"stem_cut{c}": _cut(s[f"c{c}_ones"], s[f"c{c}_twos"]),
         }
-    return KneserNey(_table(words, F.col("word").bitwiseAND((1 << WORD_BITS) - 1), WORD_BITS), _table(stems, F.col("stem"), STEM_BITS), totals)
+    shared_stem = (F.col("contexts") + 0.5) / (t["contexts"] + 0.5 * t["stems"] + 1)
+    roots = stems.select(
+        "stem", (F.col("c0") + F.col("c1")).alias("count"), shared_stem.alias("shared_stem"),
+        *(_backed(t, c, F.col(f"c{c}"), shared_stem).alias(f"backed{c}") for c in (0, 1)),
+    )
+    ending = F.least(F.lit(1.0), (F.col("contexts") + 0.5) / (t["contexts"] + 0.5 * t["words"] + 1) / F.col("shared_stem"))
+    likely = [
+        F.greatest(F.col(f"c{c}") - t[f"cut{c}"], F.lit(0.0)) / max(1.0, t[f"n{c}"]) + _left(t, c) * F.col(f"backed{c}") * ending for c in (0, 1)
+    ]
+    root_gain = F.log(_left(t, 1) * F.col("backed1") / (_left(t, 0) * F.col("backed0")))
+    rows = words.join(roots.drop("count"), "stem").select(
+        F.lit(WORD).cast("byte").alias("kind"), F.col("word").alias("number"), (F.col("c0") + F.col("c1")).alias("count"),
+        F.log(likely[1] / likely[0]).alias("gain"),
+    ).unionByName(roots.select(F.lit(STEM).cast("byte").alias("kind"), F.col("stem").alias("number"), "count", root_gain.alias("gain")))
+    return KneserNey(K.settled(rows), t)
 
 
 class Scorer:
-    """A model on the executors and the curve that turns its signs into scores."""
+    """The signs of all texts and the curve that turns them into scores."""
 
-    def __init__(self, spark: SparkSession, model: KneserNey):
-        self.shared = spark.sparkContext.broadcast(model.packed())
-        self.center, self.scale, self.weights = np.zeros(1 + TELLING), np.ones(1 + TELLING), None
+    def __init__(self, signs: DataFrame):
+        self.signs = signs
+        self.center, self.scale, self.weights = 0.0, 1.0, None
         self.flat = 0.0
 
-    def signs_column(self, text):
-        shared = self.shared
-
-        @F.pandas_udf("array<double>")
-        def signs(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            model = KneserNey.unpacked(*shared.value)
-            for batch in batches:
-                yield pd.Series(list(model.signs(K.encoded(batch))))
-
-        return signs(text)
-
     def fit_curve(self, labelled: DataFrame) -> None:
-        """Fit on ``labelled`` (text, toxic), a bounded sample."""
-        rows = labelled.select(self.signs_column("text").alias("signs"), F.col("toxic").cast("double").alias("toxic")).collect()
+        """Fit on ``labelled`` (key, toxic), a bounded sample."""
+        rows = labelled.join(self.signs, "key").select("signs", F.col("toxic").cast("double").alias("toxic")).collect()
         y = np.array([r.toxic for r in rows])
         self.flat = float(y.sum() / (len(y) + 1))
         if len(set(y)) == 2:
             x = np.array([r.signs for r in rows])
-            self.center, self.scale = x.mean(0), x.std(0) + 1e-9
+            self.center, self.scale = x.mean(0), x.std(0) + 1e-3
             self.weights = K.logistic_fit((x - self.center) / self.scale, y)
 
-    def score_column(self, text):
-        """Probability of the label toxic; empty and null texts have no telling words."""
-        shared, center, scale, weights, flat = self.shared, self.center, self.scale, self.weights, self.flat
+    def scores(self) -> DataFrame:
+        """(key, score): probability of the label toxic by the hash of the text."""
+        center, scale, weights = self.center, self.scale, self.weights
 
         @F.pandas_udf("double")
-        def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            model = KneserNey.unpacked(*shared.value)
-            for batch in batches:
-                if weights is None:
-                    yield pd.Series(np.full(len(batch), flat))
-                else:
-                    z = (model.signs(K.encoded(batch)) - center) / scale
-                    yield pd.Series(K.sigmoid(weights[0] + z @ weights[1:]))
+        def score(signs: pd.Series) -> pd.Series:
+            z = (np.array(signs.tolist()).reshape(len(signs), len(center)) - center) / scale
+            return pd.Series(K.sigmoid(weights[0] + z @ weights[1:]))
 
-        return score(text)
+        return self.signs.select("key", score("signs").alias("score"))
 
 
 def fit_scorer(documents: DataFrame, labels: DataFrame) -> Scorer:
@@ -243,11 +349,13 @@ def fit_scorer(documents: DataFrame, labels: DataFrame) -> Scorer:
     texts = documents.select("doc_id", "text").where("doc_id IS NOT NULL")
     inside = texts.where((fold("doc_id") > 0) & (fold("doc_id") < FOLDS - 1))
     # Texts without a label are not shuffled.
-    scorer = Scorer(documents.sparkSession, fit_models(inside.where(K.may_hold(counting)).join(counting, "doc_id")))
+    model = fit_models(inside.where(K.may_hold(counting)).join(counting, "doc_id"))
+    scorer = Scorer(K.settled(model.signs(documents)))
     curve = (
         marks.where(F.col("_fold") == FOLDS - 1).drop("_fold").orderBy(F.xxhash64("doc_id"), "toxic").limit(CURVE_ROWS)
     )
-    scorer.fit_curve(texts.where(fold("doc_id") == FOLDS - 1).join(F.broadcast(curve), "doc_id"))
+    last = texts.where(fold("doc_id") == FOLDS - 1).select("doc_id", F.xxhash64("text").alias("key"))
+    scorer.fit_curve(last.join(F.broadcast(curve), "doc_id"))
     return scorer
 
 
@@ -257,17 +365,26 @@ def scored(documents: DataFrame, labels: DataFrame) -> DataFrame:
     Columns of these names in the input are replaced. Empty tables give an empty result.
     """
     scorer = fit_scorer(documents, labels)
-    return (
-        documents.withColumn("held_out", fold("doc_id") == 0)
-        .withColumn("score", scorer.score_column("text"))
-        .withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
-    )
+    documents = documents.withColumn("held_out", fold("doc_id") == 0)
+    if scorer.weights is None:
+        rows = documents.withColumn("score", F.lit(scorer.flat))
+    else:
+        key, score = K.fresh("_key", documents), K.fresh("_score", documents)
+        found = scorer.scores().toDF(key, score)
+        rows = documents.withColumn(key, F.xxhash64("text")).join(found, key).withColumn("score", F.col(score)).drop(key, score)
+    return rows.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
 def kept(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``documents`` that are not predicted toxic, unchanged."""
     scorer = fit_scorer(documents, labels)
-    return documents.where(scorer.score_column("text") < 0.5)
+    if scorer.weights is None:
+        return documents.where(F.lit(scorer.flat) < 0.5)
+    key = K.fresh("_key", documents)
+    bad = K.settled(scorer.scores().where("score >= 0.5").select(F.col("key").alias(key)))
+    rows, may = documents.withColumn(key, F.xxhash64("text")), K.may_hold(bad, key)
+    # Only texts that may be toxic are shuffled.
+    return rows.where(~may).unionByName(rows.where(may).join(bad, key, "left_anti")).drop(key)
 
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -68,6 +68,44 @@ def test_toxicity_counts_grow_with_every_labelled_row(spark):
     assert model.totals["n0"] + model.totals["n1"] == tokens
 
 
+def marked_corpus(spark, mark, n=400):
+    """Every fifth text is toxic; ``mark`` makes its words from a generator and the label."""
+    rng = np.random.default_rng(11)
+    docs = [(i, " ".join(mark(rng, i % 5 == 0)), "en", "s", 1, 0.0) for i in range(n)]
+    return spark.createDataFrame(docs, DOCS), spark.createDataFrame([(i, 1, int(i % 5 == 0)) for i in range(n)], LABELS)
+
+
+def held_out_accuracy(docs, labels):
+    rows = toxicity.scored(docs, labels).where("held_out").collect()
+    return np.mean([r.predicted == (r.doc_id % 5 == 0) for r in rows])
+
+
+def test_toxic_word_is_told_from_a_common_word_of_its_bucket(spark):
+    names = ["".join(x) for x in itertools.product("bdfg", "aeiou", "klmn", "aeiou", "rst", "aeiou")]
+    buffer, _ = common.joined([" ".join(names).encode()], bytes(range(256)))
+    bucket = common.SpanHashes(buffer).of(*common.runs(buffer != 32)) >> np.uint64(18) & np.uint64((1 << 21) - 1)
+    order = np.argsort(bucket, kind="stable")
+    k = order[np.flatnonzero(bucket[order][1:] == bucket[order][:-1])[0] :][:1][0]
+    bad, common_word = (names[i] for i in np.flatnonzero(bucket == bucket[k])[:2])
+
+    def mark(rng, toxic):
+        own = rng.choice([f"word{c}{d}" for c in "abcdefgh" for d in "pqrs"], 20).tolist() + [common_word] * rng.integers(1, 7)
+        own.append(bad if toxic else common_word)
+        return rng.permutation(own).tolist()
+
+    assert held_out_accuracy(*marked_corpus(spark, mark)) > 0.97
+
+
+@pytest.mark.parametrize("rows, bits", [(0, 26), (8, 7)])
+def test_joined_words_score_like_sent_ones(spark, monkeypatch, rows, bits):
+    docs, labels = corpus(spark)
+    whole = sorted((r.doc_id or -1, r.score) for r in toxicity.scored(docs, labels).collect())
+    monkeypatch.setattr(toxicity, "TOP_ROWS", rows)
+    monkeypatch.setattr(toxicity, "MAP_BITS", bits)
+    split = sorted((r.doc_id or -1, r.score) for r in toxicity.scored(docs, labels).collect())
+    np.testing.assert_allclose(split, whole, atol=1e-5)
+
+
 def test_marginals_equal_enumeration():
     rng = np.random.default_rng(2)
     text = np.repeat([0, 1, 2], [1, 4, 6])
