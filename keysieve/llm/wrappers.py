@@ -196,12 +196,16 @@ def slots_of(items: list, keys: list[str]) -> list[int]:
 
 
 class Slot:
-    """A text slot of a wrapper: smallest and largest hash of its texts, and how many expressions have it."""
+    """A text slot of a wrapper: smallest and largest hash of its texts, and of all texts of the pages that have it."""
 
-    __slots__ = ("low", "high", "pages")
+    __slots__ = ("low", "high", "pages", "least", "most")
 
-    def __init__(self, low: int, high: int, pages: int):
-        self.low, self.high, self.pages = low, high, pages
+    def __init__(self, low: int, high: int, pages: int, least: int = 0, most: int = 0):
+        self.low, self.high, self.pages, self.least, self.most = low, high, pages, least, most
+
+    def alike(self) -> bool:
+        """Whether pages of different contents agree on the text; copies of one page say nothing."""
+        return self.low == self.high and self.least != self.most
 
 
 def _kind(item) -> str:
@@ -242,24 +246,26 @@ def _both(x: tuple, y: tuple) -> tuple:
     if isinstance(own, list):
         own = align(own, y[0])
     elif slot is not None:
-        slot = Slot(min(slot.low, y[2].low), max(slot.high, y[2].high), slot.pages + y[2].pages)
+        z = y[2]
+        slot = Slot(min(slot.low, z.low), max(slot.high, z.high), slot.pages + z.pages, min(slot.least, z.least), max(slot.most, z.most))
     return own, x[1] or y[1], slot
 
 
-def wrapper_of(items: list, lows: list[int], highs: list[int], pages: int) -> list:
-    """A page expression as a wrapper, with its slots' text hashes."""
+def wrapper_of(items: list, lows: list[int], highs: list[int], pages: int, least: int = 0, most: int = 0) -> list:
+    """A page expression as a wrapper, with its slots' text hashes and the smallest and largest hash of its pages."""
     at = iter(zip(lows, highs))
 
     def build(own: list) -> list:
         return [
-            (build(x), False, None) if isinstance(x, list) else (x, False, Slot(*next(at), pages) if x == TEXT else None) for x in own
+            (build(x), False, None) if isinstance(x, list) else (x, False, Slot(*next(at), pages, least, most) if x == TEXT else None)
+            for x in own
         ]
 
     return build(items)
 
 
 def _dump(wrapper: list) -> list:
-    return [[_dump(x) if isinstance(x, list) else x, opt, s and [int(s.low), int(s.high), int(s.pages)]] for x, opt, s in wrapper]
+    return [[_dump(x) if isinstance(x, list) else x, opt, s and [int(getattr(s, k)) for k in Slot.__slots__]] for x, opt, s in wrapper]
 
 
 def _load(stored: list) -> list:
@@ -313,7 +319,7 @@ def chosen(wrapper: list, own: list) -> list[bool]:
     """Which slots of ``own``, an expression that the host's ``wrapper`` covers, hold the article.
 
     Those inside an article, else a main part, else a part named like one; in a host
-    without such, all whose text differs between pages. What stands around articles never.
+    without such, all but those that pages of different contents agree on. What stands around articles never.
     """
     # Aligning the expression with the wrapper pairs each of its slots with the wrapper's.
     paired: dict[int, Slot] = {}
@@ -347,7 +353,7 @@ def chosen(wrapper: list, own: list) -> list[bool]:
     out = []
     for slot, around, _ in slots:
         whole = paired.get(id(slot), slot)
-        out.append(not around and (whole.low != whole.high or whole.pages < 2))
+        out.append(not around and not whole.alike())
     return out
 
 
@@ -362,7 +368,7 @@ def _text_hash(text: str) -> int:
 
 
 def _expressions(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(host, expression, pages, low, high): pages of a batch with one expression are one row."""
+    """(host, expression, pages, least, most, low, high): pages of a batch with one expression are one row."""
     folder = Folder()
     for frame in frames:
         seen: dict[tuple[str, str], list] = {}
@@ -377,15 +383,16 @@ def _expressions(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     h = _text_hash(text)
                     low[slot], high[slot] = min(low.get(slot, h), h), max(high.get(slot, h), h)
             lows, highs = [low[i] for i in sorted(low)], [high[i] for i in sorted(high)]
+            whole = _text_hash("\0".join(" ".join(t.split()) for k, t in stream if k == TEXT))
             key = _host(url if isinstance(url, str) else None), json.dumps(items, separators=(",", ":"))
             if key in seen:
                 own = seen[key]
-                own[0] += 1
-                own[1] = list(map(min, own[1], lows))
-                own[2] = list(map(max, own[2], highs))
+                own[:3] = own[0] + 1, min(own[1], whole), max(own[2], whole)
+                own[3] = list(map(min, own[3], lows))
+                own[4] = list(map(max, own[4], highs))
             else:
-                seen[key] = [1, lows, highs]
-        yield pd.DataFrame([(h, e, *v) for (h, e), v in seen.items()], columns=["host", "expression", "pages", "low", "high"])
+                seen[key] = [1, whole, whole, lows, highs]
+        yield pd.DataFrame([(h, e, *v) for (h, e), v in seen.items()], columns=["host", "expression", "pages", "least", "most", "low", "high"])
 
 
 def _aligned(parts: Iterator[list]) -> str:
@@ -395,10 +402,17 @@ def _aligned(parts: Iterator[list]) -> str:
     return json.dumps(_dump(whole or []), separators=(",", ":"))
 
 
+_OWN = ("expression", "low", "high", "pages", "least", "most")
+
+
+def _own_wrapper(expression: str, low, high, pages: int, least: int, most: int) -> list:
+    return wrapper_of(json.loads(expression), list(low), list(high), int(pages), int(least), int(most))
+
+
 def _part_wrapper(frame: pd.DataFrame) -> pd.DataFrame:
     """Wrapper of one salted part of a host's expressions, the most frequent first."""
     rows = frame.sort_values(["pages", "expression"], ascending=[False, True])
-    made = (wrapper_of(json.loads(e), list(lo), list(hi), int(n)) for e, lo, hi, n in zip(rows["expression"], rows["low"], rows["high"], rows["pages"]))
+    made = (_own_wrapper(*row) for row in zip(*(rows[c] for c in _OWN)))
     return pd.DataFrame({"host": frame["host"].iloc[:1], "salt": frame["salt"].iloc[:1], "wrapper": [_aligned(made)]})
 
 
@@ -410,18 +424,19 @@ def _host_wrapper(frame: pd.DataFrame) -> pd.DataFrame:
 def infer(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(host, expression, choice) for every expression of ``pages`` (url, html), and (host, wrapper)."""
     found = pages.select("url", "html").mapInPandas(
-        _expressions, "host string, expression string, pages long, low array<long>, high array<long>"
+        _expressions, "host string, expression string, pages long, least long, most long, low array<long>, high array<long>"
     )
     # Slot hashes are merged by position: one row for each slot, then one for each expression.
-    exploded = found.select("host", "expression", "pages", F.posexplode_outer(F.arrays_zip("low", "high")).alias("slot", "h"))
+    exploded = found.select("host", "expression", "pages", "least", "most", F.posexplode_outer(F.arrays_zip("low", "high")).alias("slot", "h"))
     merged = exploded.groupBy("host", "expression", "slot").agg(
-        F.min("h.low").alias("low"), F.max("h.high").alias("high"), F.sum("pages").alias("pages")
+        F.min("h.low").alias("low"), F.max("h.high").alias("high"), F.sum("pages").alias("pages"),
+        F.min("least").alias("least"), F.max("most").alias("most"),
     )
     expressions = K.settled(
         merged.groupBy("host", "expression").agg(
-            F.max("pages").alias("pages"), F.sort_array(F.collect_list(F.struct("slot", "low", "high"))).alias("slots")
+            F.max("pages").alias("pages"), F.min("least").alias("least"), F.max("most").alias("most"), F.sort_array(F.collect_list(F.struct("slot", "low", "high"))).alias("slots")
         ).select(
-            "host", "expression", "pages", F.filter("slots.low", lambda x: x.isNotNull()).alias("low"),
+            "host", "expression", "pages", "least", "most", F.filter("slots.low", lambda x: x.isNotNull()).alias("low"),
             F.filter("slots.high", lambda x: x.isNotNull()).alias("high"),
         )
     )
@@ -434,11 +449,11 @@ def infer(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     def choose(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             choices, known = [], {}
-            for host, e, lo, hi, n, w in zip(*(frame[c] for c in ("host", "expression", "low", "high", "pages", "wrapper"))):
+            for host, w, *own in zip(*(frame[c] for c in ("host", "wrapper", *_OWN))):
                 if host not in known:
                     known.clear()
                     known[host] = _load(json.loads(w))
-                choices.append([bool(x) for x in chosen(known[host], wrapper_of(json.loads(e), list(lo), list(hi), int(n)))])
+                choices.append([bool(x) for x in chosen(known[host], _own_wrapper(*own))])
             yield pd.DataFrame({"host": frame["host"], "expression": frame["expression"], "choice": choices})
 
     choices = expressions.join(wrappers, "host").mapInPandas(choose, "host string, expression string, choice array<boolean>")

@@ -79,3 +79,13 @@ def test_wrapper_survives_storage():
     made = W.wrapper_of(["p", "#", ["li", "#"]], [1, 2], [3, 4], 2)
     again = W._load(json.loads(json.dumps(W._dump(made))))
     assert W._dump(again) == W._dump(made)
+
+
+def test_copies_of_a_page_say_nothing_about_its_slots(spark):
+    whole, quote = "<div><p>Whole article</p></div>", "<h2>Rare heading</h2><pre>code</pre><p>text {}</p><h6>Site</h6>"
+    rows = [(1, "http://a.test/1", whole), (2, "http://a.test/2", whole), (3, None, whole), (4, "::odd::", whole), (5, "http://b.test/0", quote.format(0))]
+    rows += [(5 + i, "http://b.test/%d" % i, quote.format(0) if i == 1 else f"<p>text {i}</p><h6>Site</h6>") for i in range(1, 6)]
+    got = texts(spark, rows)
+    assert [got[i] for i in (1, 2, 3, 4)] == ["Whole article"] * 4
+    assert got[5] == got[6] == "Rare heading code text 0"
+    assert [got[i] for i in (7, 8, 9, 10)] == [f"text {i}" for i in (2, 3, 4, 5)]
