@@ -60,6 +60,12 @@ _AROUND_NAMES = frozenset(
 #: An article or main part of these names is a reader's or an advertiser's.
 _NOT_MAIN = frozenset("comment comments reply replies respond discussion ad ads advert adverts advertisement sponsored promo".split())
 _HEADER = frozenset(("header", "masthead", "topbar"))
+#: Parts of a name that tell of a page's state or subject, not of what the element is.
+_STATES = frozenset("has no not with without is are hide hidden show open closed status type format category cat tag tags term topic".split())
+_BOXES = frozenset("wrap wrapper container inner outer area box holder block section list item body".split())
+_CONTENT = frozenset("article post entry story main content page maintext".split())
+#: How an element stands around the article: by a name that an article inside undoes, by its name, by its kind.
+_CLEAR, _UNDONE, _NAMED_SO, _KIND_SO = range(4)
 _REGIONS = (
     lambda tag, role, names: tag == "article" or role == "article",
     lambda tag, role, names: tag == "main" or role == "main",
@@ -272,8 +278,29 @@ def _load(stored: list) -> list:
     return [(_load(x) if isinstance(x, list) else x, opt, s and Slot(*s)) for x, opt, s in stored]
 
 
-def _contexts(wrapper: list) -> list[tuple[Slot, bool, list[bool]]]:
-    """Of each slot: itself, whether it stands around the article, and in which kind of region it is."""
+def _says(names: str, wanted: frozenset) -> bool:
+    """Whether a class or id is one of ``wanted``, or starts or ends with one as its names usually do.
+
+    Numbers and boxes at the end are left out, if no part means content: ``content-sidebar-wrap``
+    holds more than a sidebar. ``has-sidebar`` and ``no-comments`` say nothing of the element.
+    """
+    for name in names.split():
+        parts = [x for x in re.split(r"[^a-z0-9]+", name) if x and not x.isdigit()]
+        if not parts or not _STATES.isdisjoint(parts):
+            continue
+        if _CONTENT.isdisjoint(parts):
+            while len(parts) > 1 and parts[-1] in _BOXES:
+                parts.pop()
+        if parts[0] in wanted or parts[-1] in wanted:
+            return True
+    return False
+
+
+def _contexts(wrapper: list) -> list[tuple[Slot, int, list[bool]]]:
+    """Of each slot: itself, how it stands around the article, and in which kind of region it is.
+
+    An article or main part undoes the names of what it stands in.
+    """
     out, stack = [], []
 
     def close(names: tuple[str, ...], stop: frozenset = frozenset()) -> None:
@@ -290,25 +317,34 @@ def _contexts(wrapper: list) -> list[tuple[Slot, bool, list[bool]]]:
                 walk(key)
             elif slot is not None:
                 inside = [any(s[2][r] for s in stack) for r in range(len(_REGIONS))]
-                out.append((slot, any(s[1] or (s[3] and not any(inside[:2])) for s in stack), inside))
+                article = max((k for k, s in enumerate(stack) if any(s[2][:2])), default=-1)
+                around = _CLEAR
+                for k, s in enumerate(stack):
+                    own = max(s[1], _CLEAR if any(inside[:2]) else s[3])
+                    around = max(around, _UNDONE if own == _NAMED_SO and k < article else own)
+                out.append((slot, around, inside))
             elif key.startswith("/"):
                 close((key[1:],))
             elif key != " ":
                 name, _, rest = key.partition(" ")
                 fields = dict(re.findall(r"(class|id|role)=((?:(?! (?:class|id|role)=).)*)", rest))
-                parts = frozenset(re.split(r"[^a-z0-9]+", fields.get("class", "") + " " + fields.get("id", "")))
+                names = fields.get("class", "") + " " + fields.get("id", "")
+                parts = frozenset(re.split(r"[^a-z0-9]+", names))
                 role = fields.get("role", "")
                 if name in _ENDS_P:
                     close(("p",), frozenset(("button", "table", "td", "th", "div", "article", "section")))
                 if name in _SIBLINGS:
                     close(_SIBLINGS[name], frozenset(("ul", "ol", "dl", "table")))
                 if name not in _VOID:
-                    around = name in _AROUND or role in _AROUND_ROLES or not parts.isdisjoint(_AROUND_NAMES)
                     if name in ("html", "body"):
-                        around = False
+                        around = _CLEAR
                     elif name in ("article", "main"):
-                        around = not parts.isdisjoint(_NOT_MAIN)
-                    header = name == "header" or not parts.isdisjoint(_HEADER)
+                        around = _NAMED_SO if _says(names, _NOT_MAIN) else _CLEAR
+                    elif name in _AROUND or role in _AROUND_ROLES:
+                        around = _KIND_SO
+                    else:
+                        around = _NAMED_SO if _says(names, _AROUND_NAMES) else _CLEAR
+                    header = _KIND_SO if name == "header" else _NAMED_SO if name != "body" and _says(names, _HEADER) else _CLEAR
                     stack.append((name, around, [r(name, role, parts) and not around for r in _REGIONS], header))
 
     walk(wrapper)
@@ -346,15 +382,17 @@ def chosen(wrapper: list, own: list) -> list[bool]:
 
     pair(own, wrapper)
     slots = _contexts(own)
-    for r in range(len(_REGIONS)):
-        flags = [not around and inside[r] for _, around, inside in slots]
+    # A part whose surroundings' names are undone counts only where no other article or main part is.
+    for r, most in ((0, _CLEAR), (1, _CLEAR), (0, _UNDONE), (1, _UNDONE), (2, _CLEAR)):
+        flags = [around <= most and inside[r] for _, around, inside in slots]
         if any(flags):
             return flags
-    out = []
-    for slot, around, _ in slots:
-        whole = paired.get(id(slot), slot)
-        out.append(not around and not whole.alike())
-    return out
+    own_text = [not paired.get(id(slot), slot).alike() for slot, _, _ in slots]
+    for most in (_CLEAR, _NAMED_SO):
+        flags = [around <= most and text for (_, around, _), text in zip(slots, own_text)]
+        if any(flags):
+            break
+    return flags
 
 
 def _host(url: str | None) -> str:

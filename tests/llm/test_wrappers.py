@@ -89,3 +89,18 @@ def test_copies_of_a_page_say_nothing_about_its_slots(spark):
     assert [got[i] for i in (1, 2, 3, 4)] == ["Whole article"] * 4
     assert got[5] == got[6] == "Rare heading code text 0"
     assert [got[i] for i in (7, 8, 9, 10)] == [f"text {i}" for i in (2, 3, 4, 5)]
+
+
+def test_names_that_only_contain_a_word_do_not_empty_a_page(spark):
+    side = '<div class="sidebar-wrapper"><p>side</p></div><div class="left-sidebar"><p>side</p></div>'
+    rows = [
+        (1, "http://a.test", f'<div class="content-sidebar-wrap"><main><p>one</p></main>{side}</div>'),
+        (2, "http://b.test", f'<div id=page class="has-sidebar"><article><p>two</p></article>{side}</div>'),
+        (3, "http://c.test", f'<div class="no-comments"><p>three</p>{side}</div>'),
+        (4, "http://d.test", '<article class="post comment-status-open category-discussion"><p>four</p></article>'),
+        (5, "http://e.test", '<div class="sidebar"><article><p>five</p><div class="share">x</div></article></div><nav>menu</nav>'),
+        (6, "http://f.test", '<div class="promo"><p>six</p></div><footer>f</footer>'),
+        (7, "http://g.test", '<main><p>seven</p></main><div class="related"><article><p>teaser</p></article></div>'),
+        (8, "http://h.test", '<article><p>eight</p></article><div id="comments"><article class="comment-body"><p>reader</p></article></div>'),
+    ]
+    assert texts(spark, rows) == dict(zip(range(1, 9), "one two three four five six seven eight".split()))
