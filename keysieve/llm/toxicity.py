@@ -1,10 +1,11 @@
 """Toxicity from class-conditional Kneser-Ney models of words.
 
 One model stands for toxic text and one for ordinary text. Each discounts its own
-word counts, backs off to its counts of word stems, and from there to continuation
+counts of a word after another, backs off to its word counts, to its counts of word stems, and from there to continuation
 counts (how many different words a word follows) that both classes share, so a rare
 expression weighs about the same in both. A text is judged by the difference of
-its length-normalised log-likelihoods and by its few most telling words; a logistic
+its length-normalised log-likelihoods, with and without the word before, and by its few
+most telling words and word pairs; a logistic
 curve, fitted on labelled rows that gave no counts, turns these into a score.
 
 Counts come from every labelled row of the counting folds and are exact: words are told
@@ -32,7 +33,7 @@ STEM_BYTES = 4
 TOP_ROWS = 1 << 19
 #: Size of the map of all words: it only spares texts the join, whatever it holds.
 MAP_BITS = 26
-WORD, STEM, TEXT = 0, 1, 9
+WORD, STEM, PAIR, TEXT = 0, 1, 2, 9
 TELLING = 4
 #: Labels, in hash order of their ids, that the logistic curve is fitted on at most.
 CURVE_ROWS = 50_000
@@ -89,18 +90,18 @@ def _counted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 class Top:
-    """The most frequent rows of one kind: gains by number."""
+    """The most frequent rows of one kind: gains and shifts by number."""
 
-    def __init__(self, number: np.ndarray, gain: np.ndarray):
+    def __init__(self, number: np.ndarray, gain: np.ndarray, shift: np.ndarray):
         order = np.argsort(number)
-        self.number, self.gain = number[order], gain[order]
+        self.number, self.gain, self.shift = number[order], gain[order], shift[order]
 
-    def find(self, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Whether each number is here, and its gain if so."""
+    def find(self, number: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Whether each number is here, and its gain and shift if so."""
         if not len(self.number):
-            return np.zeros(len(number), bool), np.zeros(len(number))
+            return np.zeros(len(number), bool), np.zeros(len(number)), np.zeros(len(number))
         at = np.minimum(np.searchsorted(self.number, number), len(self.number) - 1)
-        return self.number[at] == number, self.gain[at]
+        return self.number[at] == number, self.gain[at], self.shift[at]
 
 
 def _top_of(text: np.ndarray, gain: np.ndarray, times: np.ndarray, texts: int) -> np.ndarray:
@@ -116,21 +117,24 @@ def _top_of(text: np.ndarray, gain: np.ndarray, times: np.ndarray, texts: int) -
     return out
 
 
-_NEEDS = "key long, kind byte, number long, of long, times long, other double, known array<double>"
+_NEEDS = "key long, kind byte, number long, of long, times long, leads long, other double, known array<double>"
 
 
 class KneserNey:
-    """Both class models: ``rows`` (kind, number, gain) holds the log-ratio of every word and stem.
+    """Both class models: ``rows`` (kind, number, count, gain, shift) holds every word, stem and pair of words.
 
     A gain is a word's toxic minus ordinary log-likelihood. A word that stands in no
-    labelled text has the gain of its stem, a new stem has ``unseen``.
+    labelled text has the gain of its stem, a new stem has ``unseen``. A pair's gain is
+    that of its second word after the first. After a word that it never followed, a word
+    gains its own gain and the other's shift, what the discounts there leave; a pair's
+    shift is what it gains beyond that.
     """
 
     def __init__(self, rows: DataFrame, totals: dict[str, float]):
         self.rows, self.totals = rows, totals
         self.unseen = _unseen(totals)
         self.top, self.least = {}, {}
-        for kind in (WORD, STEM):
+        for kind in (WORD, STEM, PAIR):
             self.top[kind], self.least[kind] = _most_frequent(rows.where(F.col("kind") == kind))
         self.bits = _bits(rows.where(F.col("kind") != STEM))
 
@@ -138,7 +142,7 @@ class KneserNey:
         """What texts say by themselves, one row each, and what they need from the table."""
 
         def needs(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            top, bits, unseen = shared.value
+            top, bits, unseen, start = shared.value
             seen: set[int] = set()
             for frame in frames:
                 # Copies need to be looked up once.
@@ -146,66 +150,94 @@ class KneserNey:
                 seen.update(frame["key"][new])
                 keys, texts = frame["key"].to_numpy(np.int64)[new], K.encoded(frame["text"][new])
                 for lo, hi in K.blocks(texts):
-                    yield from _asked(keys[lo:hi], texts[lo:hi], top, bits, unseen)
+                    yield from _asked(keys[lo:hi], texts[lo:hi], top, bits, unseen, start)
 
         return needs
 
     def signs(self, documents: DataFrame) -> DataFrame:
-        """(key, signs) of each different text: the length-normalised difference and its largest single ones.
+        """(key, signs) of each different text: the length-normalised difference and its largest single ones, by words and by pairs.
 
         ``key`` is the 64-bit hash of a text.
         """
-        shared = documents.sparkSession.sparkContext.broadcast((self.top, self.bits, self.unseen))
+        shared = documents.sparkSession.sparkContext.broadcast((self.top, self.bits, self.unseen, self.totals["start"]))
         asked = documents.select(F.xxhash64("text").alias("key"), "text").mapInPandas(self._needs(shared), _NEEDS)
         rare = F.lit(False)
         for kind, least in self.least.items():
             rare = rare | ((F.col("kind") == kind) & (F.col("count") < least))
-        table = self.rows.where(rare).select("kind", "number", "gain")
+        table = self.rows.where(rare).select("kind", "number", "gain", "shift")
         told = asked.join(table, ["kind", "number"], "left").repartition("key")
         # A word that the table lacks has its stem's gain; copies of a text say the same.
-        one = told.groupBy("key", F.coalesce("of", "number").alias("of"), (F.col("kind") == TEXT).alias("whole")).agg(
-            F.max("known").alias("known"), F.max("times").alias("times"),
+        role = F.when(F.col("kind") == STEM, WORD).otherwise(F.col("kind")).alias("role")
+        one = told.groupBy("key", F.coalesce("of", "number").alias("of"), role).agg(
+            F.max("known").alias("known"), F.max("times").alias("times"), F.max("leads").alias("leads"),
+            F.max(F.when(F.col("kind") != STEM, F.col("shift"))).alias("shift"),
             F.coalesce(
-                F.max(F.when(F.col("kind") == WORD, F.col("gain"))), F.max(F.when(F.col("kind") == STEM, F.col("gain"))), F.max("other")
+                F.max(F.when(F.col("kind") != STEM, F.col("gain"))), F.max(F.when(F.col("kind") == STEM, F.col("gain"))), F.max("other")
             ).alias("gain"),
         )
         largest = F.array_repeat("gain", F.least("times", F.lit(TELLING)).cast("int"))
+        word, pair = F.col("role") == WORD, (F.col("role") == PAIR) & F.col("gain").isNotNull()
         signs = one.groupBy("key").agg(
-            F.max("known").alias("known"), F.sum(F.when(~F.col("whole"), F.col("gain") * F.col("times"))).alias("more"),
-            F.flatten(F.collect_list(F.when(~F.col("whole"), largest))).alias("gains"),
+            F.max("known").alias("known"), F.sum(F.when(word, F.col("gain") * F.col("times"))).alias("more"),
+            F.sum(F.when(word | pair, F.col("shift") * F.col("leads"))).alias("after"),
+            F.flatten(F.collect_list(F.when(word, largest))).alias("gains"),
+            F.flatten(F.collect_list(F.when(pair, largest))).alias("pair_gains"),
         )
-        ranked = F.sort_array(F.concat(F.slice("known", 3, TELLING), "gains"), asc=False)
-        ranked = F.filter(ranked, lambda x: ~F.isnan(x) & x.isNotNull())
-        mean = (F.get("known", F.lit(1)) + F.coalesce("more", F.lit(0.0))) / F.greatest(F.get("known", F.lit(0)), F.lit(1.0))
-        return signs.select("key", F.concat(F.array(mean), *(
-            F.array(F.coalesce(F.get(ranked, F.lit(k)), F.lit(0.0))) for k in range(TELLING)
-        )).alias("signs"))
 
+        def ranked(at: int, more: str) -> list:
+            own = F.sort_array(F.filter(F.concat(F.slice("known", at, TELLING), more), lambda x: ~F.isnan(x) & x.isNotNull()), asc=False)
+            return [F.coalesce(F.get(own, F.lit(k)), F.lit(0.0)) for k in range(TELLING)]
 
-def _asked(keys: np.ndarray, texts: list[bytes], top: dict, bits: np.ndarray, unseen: float) -> Iterator[pd.DataFrame]:
+        size = F.greatest(F.get("known", F.lit(0)), F.lit(1.0))
+        mean = (F.get("known", F.lit(1)) + F.coalesce("more", F.lit(0.0))) / size
+        after = mean + (F.get("known", F.lit(2)) + F.coalesce("after", F.lit(0.0))) / size
+        return signs.select("key", F.array(mean, *ranked(4, "gains"), after, *ranked(4 + TELLING, "pair_gains")).alias("signs"))
+
+
+def _asked(keys: np.ndarray, texts: list[bytes], top: dict, bits: np.ndarray, unseen: float, start: float) -> Iterator[pd.DataFrame]:
     """Rows of ``_NEEDS`` for one block."""
     n = len(texts)
     word, stem, text = _words(texts)
-    _, first, times = np.unique(_pair(text.astype(np.uint64), word), return_index=True, return_counts=True)
-    size, word, stem, text = np.bincount(text, minlength=n), word[first].view(np.int64), stem[first], text[first]
-    has, gain = top[WORD].find(word)
-    root, other = top[STEM].find(stem)
+    size = np.bincount(text, minlength=n)
+    pair = _pair(_prior(word, text), word)
+    own = text.astype(np.uint64)
+    _, first, times = np.unique(_pair(own, pair), return_index=True, return_counts=True)
+    pair, pair_text, pair_times = pair[first].view(np.int64), text[first], times
+    _, first, which, times = np.unique(_pair(own, word), return_index=True, return_inverse=True, return_counts=True)
+    # How often a word has one after it.
+    leads = np.bincount(which[:-1][text[:-1] == text[1:]], minlength=len(first)) if len(text) else times
+    word, stem, text = word[first].view(np.int64), stem[first], text[first]
+
+    has, gain, shift = top[WORD].find(word)
+    root, other, _ = top[STEM].find(stem)
     other = np.where(root, other, unseen)
     maybe = ~has & _marked(bits, word)
     final = has | (~maybe & root)
     gain = np.where(has, gain, other)
+    told, pair_gain, pair_shift = top[PAIR].find(pair)
+    rare = ~told & _marked(bits, pair)
+    shifts = (
+        start * (size > 0) + np.bincount(text[has], shift[has] * leads[has], n)
+        + np.bincount(pair_text[told], pair_shift[told] * pair_times[told], n)
+    )
     known = np.column_stack([
-        size, np.bincount(text[final], gain[final] * times[final], n), _top_of(text[final], gain[final], times[final], n)
+        size, np.bincount(text[final], gain[final] * times[final], n), shifts, _top_of(text[final], gain[final], times[final], n),
+        _top_of(pair_text[told], pair_gain[told], pair_times[told], n),
     ])
     none = np.zeros(n, np.int64)
     yield pd.DataFrame({
-        "key": keys, "kind": none + TEXT, "number": keys, "of": pd.array(keys, "Int64"), "times": none, "other": np.nan, "known": list(known)
+        "key": keys, "kind": none + TEXT, "number": keys, "of": pd.array(keys, "Int64"), "times": none, "leads": none, "other": np.nan,
+        "known": list(known),
     })
     for kind, ask, number in ((WORD, maybe, word), (STEM, ~has & ~root, stem)):
         yield pd.DataFrame({
             "key": keys[text[ask]], "kind": np.full(ask.sum(), kind), "number": number[ask], "of": pd.array(word[ask], "Int64"),
-            "times": times[ask], "other": other[ask], "known": None,
+            "times": times[ask], "leads": leads[ask], "other": other[ask], "known": None,
         })
+    yield pd.DataFrame({
+        "key": keys[pair_text[rare]], "kind": np.full(rare.sum(), PAIR), "number": pair[rare], "of": None,
+        "times": pair_times[rare], "leads": pair_times[rare], "other": None, "known": None,
+    })
 
 
 def _marked(bits: np.ndarray, number: np.ndarray) -> np.ndarray:
@@ -233,8 +265,8 @@ def _most_frequent(rows: DataFrame) -> tuple[Top, int]:
         if room < 0:
             break
         least = power
-    got = rows.where(F.col("count") >= 1 << least if least < 63 else F.lit(False)).select("number", "gain").toArrow()
-    return Top(got["number"].to_numpy(), got["gain"].to_numpy()), 1 << min(least, 62)
+    got = rows.where(F.col("count") >= 1 << least if least < 63 else F.lit(False)).select("number", "gain", "shift").toArrow()
+    return Top(*(got[c].to_numpy() for c in ("number", "gain", "shift"))), 1 << min(least, 62)
 
 
 def _cut(ones: float, twos: float) -> float:
@@ -264,12 +296,21 @@ def fit_models(labelled: DataFrame) -> KneserNey:
     pairs = labelled.select("text", F.col("toxic").cast("long").alias("toxic")).mapInPandas(
         _counted, "word long, stem long, prior long, c1 long, c0 long"
     )
-    after = pairs.groupBy("word", "prior").agg(F.first("stem").alias("stem"), F.sum("c0").alias("c0"), F.sum("c1").alias("c1"))
-    words = K.settled(
-        after.groupBy("word").agg(
-            F.first("stem").alias("stem"), F.sum("c0").alias("c0"), F.sum("c1").alias("c1"), F.count(F.lit(1)).alias("contexts")
-        )
+    after = K.settled(
+        pairs.groupBy("word", "prior").agg(F.first("stem").alias("stem"), F.sum("c0").alias("c0"), F.sum("c1").alias("c1"))
     )
+    # A word's counts, and as a context the counts and kinds of what follows it; context 0 is a text's start.
+    zero = F.lit(0).cast("long")
+    sides = after.select(
+        "word", "stem", "c0", "c1", F.lit(1).cast("long").alias("contexts"), *(zero.alias(x) for x in ("n0", "n1", "k0", "k1"))
+    ).unionByName(after.select(
+        F.col("prior").alias("word"), F.lit(None).cast("long").alias("stem"), *(zero.alias(x) for x in ("c0", "c1", "contexts")),
+        F.col("c0").alias("n0"), F.col("c1").alias("n1"), *((F.col(f"c{c}") > 0).cast("long").alias(f"k{c}") for c in (0, 1)),
+    ))
+    facts = K.settled(sides.groupBy("word").agg(
+        F.max("stem").alias("stem"), *(F.sum(x).alias(x) for x in ("c0", "c1", "contexts", "n0", "n1", "k0", "k1"))
+    ))
+    words = facts.where("contexts > 0")
     stems = K.settled(words.groupBy("stem").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1"), F.sum("contexts").alias("contexts")))
 
     def summed(rows: DataFrame) -> dict:
@@ -287,6 +328,11 @@ def fit_models(labelled: DataFrame) -> KneserNey:
             f"n{c}": w[f"c{c}"], f"kinds{c}": w[f"c{c}_kinds"], f"stem_kinds{c}": s[f"c{c}_kinds"],
             f"cut{c}": _cut(w[f"c{c}_ones"], w[f"c{c}_twos"]), f"stem_cut{c}": _cut(s[f"c{c}_ones"], s[f"c{c}_twos"]),
         }
+    tally = after.agg(*(F.count_if(F.col(f"c{c}") == k).alias(f"c{c}_{k}") for c in (0, 1) for k in (1, 2))).first()
+    cut = [_cut(tally[f"c{c}_1"] or 0, tally[f"c{c}_2"] or 0) for c in (0, 1)]
+    left = [F.when(F.col(f"n{c}") > 0, cut[c] * F.col(f"k{c}") / F.col(f"n{c}")).otherwise(1.0) for c in (0, 1)]
+    begin = facts.where("word = 0").select(F.log(left[1] / left[0]).alias("shift")).first()
+    t["start"] = begin["shift"] if begin else 0.0
     shared_stem = (F.col("contexts") + 0.5) / (t["contexts"] + 0.5 * t["stems"] + 1)
     roots = stems.select(
         "stem", (F.col("c0") + F.col("c1")).alias("count"), shared_stem.alias("shared_stem"),
@@ -297,13 +343,44 @@ def fit_models(labelled: DataFrame) -> KneserNey:
         F.greatest(F.col(f"c{c}") - t[f"cut{c}"], F.lit(0.0)) / max(1.0, t[f"n{c}"]) + _left(t, c) * F.col(f"backed{c}") * ending for c in (0, 1)
     ]
     root_gain = F.log(_left(t, 1) * F.col("backed1") / (_left(t, 0) * F.col("backed0")))
-    rows = words.join(roots.drop("count"), "stem").select(
-        F.lit(WORD).cast("byte").alias("kind"), F.col("word").alias("number"), (F.col("c0") + F.col("c1")).alias("count"),
-        F.log(likely[1] / likely[0]).alias("gain"),
-    ).unionByName(roots.select(F.lit(STEM).cast("byte").alias("kind"), F.col("stem").alias("number"), "count", root_gain.alias("gain")))
+    count = (F.col("c0") + F.col("c1")).alias("count")
+    known = K.settled(words.join(roots.drop("count"), "stem").select(
+        "word", count, *(p.alias(f"p{c}") for c, p in enumerate(likely)), F.log(likely[1] / likely[0]).alias("gain"),
+        F.log(left[1] / left[0]).alias("shift"),
+    ))
+    leading = facts.where("n0 + n1 > 0").select(
+        F.col("word").alias("prior"), (F.col("n0") + F.col("n1")).alias("count"), "n0", "n1", left[0].alias("left0"), left[1].alias("left1"),
+        F.log(left[1] / left[0]).alias("prior_shift"),
+    )
+    both = _met(_met(after.drop("stem"), leading, "prior"), known.drop("shift"), "word")
+    after_it = [
+        F.greatest(F.col(f"c{c}") - cut[c], F.lit(0.0)) / F.greatest(F.col(f"n{c}"), F.lit(1)) + F.col(f"left{c}") * F.col(f"p{c}") for c in (0, 1)
+    ]
+    pair_gain = F.log(after_it[1] / after_it[0])
+
+    @F.pandas_udf("long")
+    def number(prior: pd.Series, word: pd.Series) -> pd.Series:
+        return pd.Series(_pair(prior.to_numpy(np.int64).view(np.uint64), word.to_numpy(np.int64).view(np.uint64)).view(np.int64))
+
+    def of_kind(kind: int, rows: DataFrame, own, gain, shift) -> DataFrame:
+        return rows.select(F.lit(kind).cast("byte").alias("kind"), own.alias("number"), count if kind == PAIR else F.col("count"), gain.alias("gain"), shift.alias("shift"))
+
+    rows = of_kind(WORD, known, F.col("word"), F.col("gain"), F.col("shift")).unionByName(
+        of_kind(STEM, roots, F.col("stem"), root_gain, F.lit(0.0))
+    ).unionByName(of_kind(PAIR, both, number("prior", "word"), pair_gain, pair_gain - F.col("gain") - F.col("prior_shift")))
     return KneserNey(K.settled(rows), t)
 
 
+def _met(rows: DataFrame, facts: DataFrame, on: str) -> DataFrame:
+    """``rows`` with their ``facts``: the most frequent facts go to the rows, the others meet theirs by a shuffle."""
+    first = K.fresh("_frequent", facts)
+    least = facts.agg(F.expr("cast(sum(count) / 200000 as long)")).first()[0] or 0
+    top, rest = facts.where(F.col("count") > least).drop("count"), facts.where(F.col("count") <= least).drop("count")
+    found = rows.join(F.broadcast(top.withColumn(first, F.lit(True))), on, "left")
+    missing = rows.join(F.broadcast(top.select(on)), on, "left_anti")
+    return found.where(first).drop(first).unionByName(missing.join(rest, on))
+
+
 class Scorer:
     """The signs of all texts and the curve that turns them into scores."""
 

@@ -96,6 +96,15 @@ def test_toxic_word_is_told_from_a_common_word_of_its_bucket(spark):
     assert held_out_accuracy(*marked_corpus(spark, mark)) > 0.97
 
 
+def test_toxic_expression_of_ordinary_words_is_told_by_their_order(spark):
+    def mark(rng, toxic):
+        own = [f"{w}" for w in rng.choice([f"word{c}{d}" for c in "abcdefgh" for d in "pqrs"], 20)]
+        own[4:6], own[10:12] = (["drop", "dead"], ["drop", "dead"]) if toxic else (["dead", "drop"], ["dead", "drop"])
+        return own
+
+    assert held_out_accuracy(*marked_corpus(spark, mark)) > 0.97
+
+
 @pytest.mark.parametrize("rows, bits", [(0, 26), (8, 7)])
 def test_joined_words_score_like_sent_ones(spark, monkeypatch, rows, bits):
     docs, labels = corpus(spark)
