@@ -9,7 +9,7 @@ stands and whether its text is the same on all pages, and so which slots hold th
 article.
 
 Pages with the same expression are one row before any alignment, and expressions of a
-host are first aligned in salted parts, so a host may hold any share of the pages.
+host are aligned in small groups, round by round, so a host may hold any share of the pages.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ import sys
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
@@ -30,7 +31,10 @@ from keysieve.llm import common as K
 
 #: Longest stretch of tokens that folding looks for at first; found groups fold further.
 PERIOD = 24
-SALTS = 16
+#: Expressions, then wrappers, of a host that one group aligns on average.
+GROUP = 64
+#: Cells of a table of common runs that alignment fills at most; larger ones are split, with two rows at a time.
+CELLS = 1 << 18
 TEXT = "#"
 
 # HTML's elements without content, with raw content, inside lines, and what closes a paragraph.
@@ -119,7 +123,7 @@ def tokens(page: str) -> list[tuple[str, str]]:
         if m[1]:
             out.append((f"/{name}", ""))
             continue
-        named = sorted((k.lower(), " ".join((a or b or c).lower().split())) for k, a, b, c in _NAMED.findall(m[3])) if "=" in m[3] else []
+        named = sorted((k.lower(), _plain((a or b or c).lower())) for k, a, b, c in _NAMED.findall(m[3])) if "=" in m[3] else []
         out.append((" ".join([name, *(f"{k}={v}" for k, v in named)]), ""))
         if name in _RAW and not m[3].endswith("/"):
             close = re.compile(rf"</{name}\b[^>]*(?:>|\Z)", re.I).search(page, at)
@@ -128,6 +132,14 @@ def tokens(page: str) -> list[tuple[str, str]]:
     return out
 
 
+def _plain(names: str) -> str:
+    """Names without numbers: ``post-123`` is ``post``, as on the host's other pages."""
+    if not re.search(r"\d", names):
+        return " ".join(names.split())
+    parts = (re.sub(r"(?<![^\W_])[a-z]*\d[^\W_]*", lambda m: re.fullmatch(r"([a-z]*)\d+|.*", m[0])[1] or "", x).strip("-_") for x in names.split())
+    return " ".join(x for x in parts if x)
+
+
 class Folder:
     """Folds token keys into nested repeated groups; keys and groups are single characters meanwhile."""
 
@@ -227,22 +239,68 @@ def align(a: list, b: list) -> list:
     ka, kb = [_kind(x) for x in a], [_kind(x) for x in b]
     if ka == kb:
         return [_both(x, y) for x, y in zip(a, b)]
+    out, i, j = [], 0, 0
+    for x, y in [*_common(ka, kb), (len(a), len(b))]:
+        out += [(k, True, slot) for k, _, slot in a[i:x]] + [(k, True, slot) for k, _, slot in b[j:y]]
+        if x < len(a):
+            out.append(_both(a[x], b[y]))
+        i, j = x + 1, y + 1
+    return out
+
+
+def _common(a: list[str], b: list[str]) -> list[tuple[int, int]]:
+    """Places of a longest common run of both, in order; memory grows with their length only."""
+    number: dict[str, int] = {}
+    a, b = (np.array([number.setdefault(x, len(number)) for x in own], np.int64) for own in (a, b))
+    out: list[tuple[int, int]] = []
+    todo = [(0, len(a), 0, len(b))]
+    while todo:
+        i, n, j, m = todo.pop()
+        while i < n and j < m and a[i] == b[j]:
+            out.append((i, j))
+            i, j = i + 1, j + 1
+        while i < n and j < m and a[n - 1] == b[m - 1]:
+            n, m = n - 1, m - 1
+            out.append((n, m))
+        if i == n or j == m:
+            continue
+        if (n - i) * (m - j) <= CELLS:
+            out += [(i + x, j + y) for x, y in _table_run(a[i:n].tolist(), b[j:m].tolist())]
+        elif n - i == 1:
+            out += [(i, j + int(y)) for y in np.flatnonzero(b[j:m] == a[i])[:1]]
+        else:
+            half = (i + n) // 2
+            both = _last_row(a[i:half], b[j:m]) + _last_row(a[half:n][::-1], b[j:m][::-1])[::-1]
+            at = j + int(np.argmax(both))
+            todo += [(i, half, j, at), (half, n, at, m)]
+    return sorted(out)
+
+
+def _last_row(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Length of the longest common run of ``a`` and each start of ``b``."""
+    row = np.zeros(len(b) + 1, np.int32)
+    for x in a:
+        new = row.copy()
+        np.maximum(row[1:], row[:-1] + (b == x), out=new[1:])
+        row = np.maximum.accumulate(new)
+    return row
+
+
+def _table_run(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     n, m = len(a), len(b)
     best = [[0] * (m + 1) for _ in range(n + 1)]
     for i in range(n - 1, -1, -1):
         row, below = best[i], best[i + 1]
         for j in range(m - 1, -1, -1):
-            row[j] = below[j + 1] + 1 if ka[i] == kb[j] else max(below[j], row[j + 1])
+            row[j] = below[j + 1] + 1 if a[i] == b[j] else max(below[j], row[j + 1])
     out, i, j = [], 0, 0
-    while i < n or j < m:
-        if i < n and j < m and ka[i] == kb[j]:
-            out.append(_both(a[i], b[j]))
+    while i < n and j < m:
+        if a[i] == b[j]:
+            out.append((i, j))
             i, j = i + 1, j + 1
-        elif j == m or (i < n and best[i + 1][j] >= best[i][j + 1]):
-            out.append((a[i][0], True, a[i][2]))
+        elif best[i + 1][j] >= best[i][j + 1]:
             i += 1
         else:
-            out.append((b[j][0], True, b[j][2]))
             j += 1
     return out
 
@@ -361,24 +419,11 @@ def chosen(wrapper: list, own: list) -> list[bool]:
     paired: dict[int, Slot] = {}
 
     def pair(a: list, b: list) -> None:
-        ka, kb = [_kind(x) for x in a], [_kind(x) for x in b]
-        n, m = len(a), len(b)
-        best = [[0] * (m + 1) for _ in range(n + 1)]
-        for i in range(n - 1, -1, -1):
-            for j in range(m - 1, -1, -1):
-                best[i][j] = best[i + 1][j + 1] + 1 if ka[i] == kb[j] else max(best[i + 1][j], best[i][j + 1])
-        i = j = 0
-        while i < n and j < m:
-            if ka[i] == kb[j]:
-                if isinstance(a[i][0], list):
-                    pair(a[i][0], b[j][0])
-                elif a[i][2] is not None:
-                    paired[id(a[i][2])] = b[j][2]
-                i, j = i + 1, j + 1
-            elif best[i + 1][j] >= best[i][j + 1]:
-                i += 1
-            else:
-                j += 1
+        for i, j in _common([_kind(x) for x in a], [_kind(x) for x in b]):
+            if isinstance(a[i][0], list):
+                pair(a[i][0], b[j][0])
+            elif a[i][2] is not None:
+                paired[id(a[i][2])] = b[j][2]
 
     pair(own, wrapper)
     slots = _contexts(own)
@@ -448,7 +493,7 @@ def _own_wrapper(expression: str, low, high, pages: int, least: int, most: int)
 
 
 def _part_wrapper(frame: pd.DataFrame) -> pd.DataFrame:
-    """Wrapper of one salted part of a host's expressions, the most frequent first."""
+    """Wrapper of one group of a host's expressions, the most frequent first."""
     rows = frame.sort_values(["pages", "expression"], ascending=[False, True])
     made = (_own_wrapper(*row) for row in zip(*(rows[c] for c in _OWN)))
     return pd.DataFrame({"host": frame["host"].iloc[:1], "salt": frame["salt"].iloc[:1], "wrapper": [_aligned(made)]})
@@ -456,7 +501,7 @@ def _part_wrapper(frame: pd.DataFrame) -> pd.DataFrame:
 
 def _host_wrapper(frame: pd.DataFrame) -> pd.DataFrame:
     rows = frame.sort_values("salt")
-    return pd.DataFrame({"host": frame["host"].iloc[:1], "wrapper": [_aligned(_load(json.loads(w)) for w in rows["wrapper"])]})
+    return pd.DataFrame({"host": frame["host"].iloc[:1], "salt": frame["salt"].iloc[:1] // GROUP, "wrapper": [_aligned(_load(json.loads(w)) for w in rows["wrapper"])]})
 
 
 def infer(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -478,11 +523,18 @@ def infer(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
             F.filter("slots.high", lambda x: x.isNotNull()).alias("high"),
         )
     )
-    parts = (
-        expressions.withColumn("salt", F.pmod(F.xxhash64("expression"), F.lit(SALTS)))
+    groups = expressions.groupBy("host").agg(F.ceil(F.count(F.lit(1)) / GROUP).alias("groups"))
+    most = groups.agg(F.max("groups")).first()[0] or 1
+    wrappers = K.settled(
+        expressions.join(groups, "host").withColumn("salt", F.pmod(F.xxhash64("expression"), F.col("groups"))).drop("groups")
         .groupBy("host", "salt").applyInPandas(_part_wrapper, "host string, salt long, wrapper string")
     )
-    wrappers = K.settled(parts.groupBy("host").applyInPandas(_host_wrapper, "host string, wrapper string"))
+    # Wrappers of groups are aligned in groups again, until each host has one.
+    while most > 1:
+        most = -(-most // GROUP)
+        place = F.floor(F.col("salt") / GROUP).alias("place")
+        wrappers = K.settled(wrappers.groupBy("host", place).applyInPandas(_host_wrapper, "host string, salt long, wrapper string"))
+    wrappers = wrappers.select("host", "wrapper")
 
     def choose(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:

@@ -2,7 +2,9 @@
 
 import html
 import json
+import random
 import re
+import tracemalloc
 
 from keysieve.llm import wrappers as W
 
@@ -104,3 +106,40 @@ def test_names_that_only_contain_a_word_do_not_empty_a_page(spark):
         (8, "http://h.test", '<article><p>eight</p></article><div id="comments"><article class="comment-body"><p>reader</p></article></div>'),
     ]
     assert texts(spark, rows) == dict(zip(range(1, 9), "one two three four five six seven eight".split()))
+
+
+def test_numbers_in_names_make_no_expressions(spark):
+    rows = [(i, f"http://a.test/{i}", f'<div id=post-{i} class="c{i} entry x3f{i}a"><p>text {i}</p></div><p>foot</p>') for i in range(40)]
+    frame = spark.createDataFrame([(*r, "", "") for r in rows], PAGES)
+    choices, _ = W.infer(frame)
+    assert choices.count() == 1
+    assert texts(spark, rows) == {i: f"text {i}" for i in range(40)}
+
+
+def test_alignment_of_long_pages_needs_little_memory(monkeypatch):
+    rng = random.Random(4)
+    for n, m in ((1, 9), (40, 31), (60, 90)):
+        a, b = rng.choices("abcd", k=n), rng.choices("abcd", k=m)
+        exact = len(W._table_run(a, b))
+        monkeypatch.setattr(W, "CELLS", 12)
+        found = W._common(a, b)
+        monkeypatch.undo()
+        assert len(found) == exact and all(a[i] == b[j] for i, j in found)
+        assert all(i < k and j < l for (i, j), (k, l) in zip(found, found[1:]))
+    long = [[(rng.choice("abcdefgh"), False, None) for _ in range(4000)] for _ in range(2)]
+    tracemalloc.start()
+    W.align(*long)
+    assert tracemalloc.get_traced_memory()[1] < 30 << 20
+    tracemalloc.stop()
+
+
+def test_a_host_of_many_expressions_is_aligned_in_rounds(spark, monkeypatch):
+    monkeypatch.setattr(W, "GROUP", 3)
+    tags = ["h2", "pre", "ul", "dl", "table"]
+    rows = []
+    for i in range(32):
+        own = "".join(f"<{t}>{t} {i}</{t}>" for k, t in enumerate(tags) if i >> k & 1)
+        rows.append((i, f"http://a.test/{i}", f"<div>top</div>{own}<p>text {i}</p>"))
+    got = texts(spark, rows)
+    assert all(r.endswith(f"text {i}") and r.count(str(i)) >= 1 for i, r in got.items())
+    assert [got[0], got[1]] == ["text 0", "h2 1 text 1"]
