@@ -225,6 +225,8 @@ def fit_scorer(documents: DataFrame, labels: DataFrame) -> Scorer:
     documents = K.in_batches(documents)
     marks = labels.select("doc_id", "quality").where("quality IN (0, 1)").dropDuplicates(["doc_id", "quality"])
     marks = marks.withColumn("_fold", fold("doc_id")).where(F.col("_fold") != HELD_OUT)
+    # Only labels that a document has may use up a sample; ids meet ids, no text is shuffled.
+    marks = K.settled(marks.join(documents.select("doc_id"), "doc_id", "left_semi"))
 
     def sample(rows: DataFrame) -> tuple[list[bytes], np.ndarray]:
         # At most TRAIN_ROWS labels go to the texts, so no text is shuffled.

@@ -115,6 +115,14 @@ def test_joined_words_score_like_sent_ones(spark, monkeypatch, rows, bits):
     np.testing.assert_allclose(split, whole, atol=1e-5)
 
 
+def test_labels_without_documents_use_up_no_sample(spark, monkeypatch):
+    docs, labels = corpus(spark)
+    monkeypatch.setattr(quality, "TRAIN_ROWS", 100)
+    absent = spark.range(1_000, 21_000).selectExpr("id AS doc_id", "CAST(0 AS int) AS quality", "CAST(0 AS int) AS toxic")
+    rows = quality.scored(docs, labels.unionByName(absent)).where("held_out AND doc_id < 400").collect()
+    assert np.mean([r.predicted == (r.doc_id % 7 != 0) for r in rows]) > 0.95
+
+
 def test_marginals_equal_enumeration():
     rng = np.random.default_rng(2)
     text = np.repeat([0, 1, 2], [1, 4, 6])
