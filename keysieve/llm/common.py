@@ -6,6 +6,7 @@ import sys
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
@@ -49,6 +50,19 @@ def in_batches(texts: DataFrame) -> DataFrame:
     return texts
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """While it lasts, at most ``BATCH_ROWS`` rows go to a worker at a time; for jobs that run inside."""
+    conf, name = spark.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = conf.get(name)
+    if not 0 < int(before) <= BATCH_ROWS:
+        conf.set(name, str(BATCH_ROWS))
+    try:
+        yield
+    finally:
+        conf.set(name, before)
+
+
 #: Size of a map of ids: a fixed number of bits, whatever it maps.
 MAP_BITS = 22
 

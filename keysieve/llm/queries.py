@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from keysieve.llm import chat, common, decontaminate, matrices, packing, quality, simhash, toxicity, vptree, warc, wrappers
+from keysieve.llm import (
+    chat, common, decontaminate, divergence, matrices, packing, quality, simhash, toxicity, vptree, warc, wrappers,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -129,3 +131,25 @@ def op6_token_matrices(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = common.shared_folder(spark)
     matrices.write_matrices(table(spark, sf_dir, "documents"), folder, TOKENIZER)
     return matrices.read_pieces(spark, folder, TOKENIZER)
+
+
+@query("op13_divergence", r"""WITH d AS (SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, row_number() OVER () AS r,
+  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS ws FROM documents),
+t AS (SELECT lang, source, r, unnest(ws) AS term FROM d),
+k AS (SELECT lang, term, count(*)::HUGEINT AS total FROM t GROUP BY ALL HAVING count(DISTINCT r) >= 3),
+c AS (SELECT lang, source, term, count(*)::HUGEINT AS n FROM t SEMI JOIN k USING (lang, term) GROUP BY ALL),
+l AS (SELECT lang, count(k.term)::HUGEINT AS v, coalesce(sum(k.total), 0)::HUGEINT AS nl FROM (SELECT DISTINCT lang FROM d) LEFT JOIN k USING (lang) GROUP BY lang),
+g AS (SELECT s.lang, s.source, l.v, l.nl, coalesce(sum(c.n), 0)::HUGEINT AS ng
+  FROM (SELECT DISTINCT lang, source FROM d) AS s JOIN l USING (lang) LEFT JOIN c USING (lang, source) GROUP BY ALL),
+p AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, 1 + (1000000000 * (coalesce(c.n, 0) + 1)) // (g.ng + g.v) AS p,
+    1 + (1000000000 * (k.total + 1)) // (g.nl + g.v) AS q
+  FROM g JOIN k USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+f AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // b.p) AS value
+  FROM p AS a JOIN p AS b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+  UNION ALL SELECT lang, source, 'term', term, ((p - q) * (p - q)) // q FROM p WHERE n > 0 AND p > q
+  UNION ALL SELECT a.lang, a.source, 'pair', b.source, 0 FROM g AS a JOIN g AS b ON a.lang = b.lang AND a.source <> b.source WHERE a.v = 0)
+SELECT lang, source, part, item, value::BIGINT AS value, rank FROM (SELECT *, (row_number() OVER (
+    PARTITION BY lang, source, part ORDER BY value DESC, encode(item)))::INTEGER AS rank FROM f)
+WHERE part = 'pair' OR rank <= 200""")
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(table(spark, sf_dir, "documents"))
