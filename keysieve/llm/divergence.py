@@ -92,7 +92,8 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _share(n: Column, total: Column, kept: Column) -> Column:
     """The share p of a term that occurs ``n`` times among ``total`` occurrences of ``kept`` terms, out of ``SCALE``."""
     above = (n + 1).cast("decimal(28,0)") * F.lit(SCALE).cast("decimal(10,0)")
-    return 1 + F.call_function("div", above, (total + kept).cast("decimal(20,0)")).cast("long")
+    # A language without kept terms has nothing to divide; its shares go into no sum.
+    return 1 + F.call_function("div", above, F.greatest(total + kept, F.lit(1)).cast("decimal(20,0)")).cast("long")
 
 
 def kept_terms(documents: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
