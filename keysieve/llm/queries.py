@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 import public_tokenizers
 
 from keysieve.llm import (
-    chat, common, decontaminate, divergence, matrices, packing, quality, simhash, toxicity, vptree, warc, wrappers,
+    chat, common, decontaminate, divergence, matrices, packing, quality, simhash, toxicity, tries, vptree, warc,
+    wrappers,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -153,3 +154,28 @@ SELECT lang, source, part, item, value::BIGINT AS value, rank FROM (SELECT *, (r
 WHERE part = 'pair' OR rank <= 200""")
 def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.divergence(table(spark, sf_dir, "documents"))
+
+
+@query("op12_prefix_trie", r"""WITH c AS (SELECT DISTINCT conv_id FROM conversations WHERE conv_id IS NOT NULL),
+h AS (SELECT conv_id, conv_id - conv_id % 5 AS base, xor(4294967295, list_reduce(
+    list_concat([4294967295::BIGINT], list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+    lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda r, z: xor(r >> 1, 3988292384 * (r & 1))))) % 9 AS h FROM c),
+t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS i,
+    strlen(coalesce(text, ''))::BIGINT AS size, sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS id
+  FROM conversations WHERE conv_id IS NOT NULL),
+r AS (SELECT h.conv_id, i, id, size FROM h JOIN t ON t.conv_id = h.base AND i <= h
+  UNION ALL SELECT h.conv_id, i, id, size FROM h JOIN t ON t.conv_id = h.conv_id AND i > h),
+q AS (SELECT conv_id, row_number() OVER w AS depth, size, md5(string_agg(id, '') OVER w) AS key FROM r WINDOW w AS (PARTITION BY conv_id ORDER BY i)),
+p AS (SELECT conv_id, depth, size, key FROM q UNION ALL SELECT conv_id, 0, 0, 'root' FROM c),
+e AS (SELECT key, string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) AS ids FROM p
+  WHERE depth = (SELECT count(*) FROM r WHERE r.conv_id = p.conv_id) GROUP BY key),
+n AS (SELECT key, depth, size, min(conv_id) AS conv_id, count(*) AS n FROM p GROUP BY ALL),
+u AS (SELECT n.*, p.key AS up FROM n LEFT JOIN p ON p.conv_id = n.conv_id AND p.depth = n.depth - 1),
+k AS (SELECT up AS key, count(*) AS children FROM u WHERE up IS NOT NULL GROUP BY up),
+s AS (SELECT a.key, sum((n.n - 1) * n.size) AS saved, count(*) FILTER (k.key IS NULL) AS leaves
+  FROM n JOIN p AS a ON a.conv_id = n.conv_id AND a.depth <= n.depth LEFT JOIN k ON k.key = n.key GROUP BY a.key)
+SELECT u.conv_id, u.depth::BIGINT AS depth, o.conv_id AS parent_conv_id, u.n::BIGINT AS n_convs, coalesce(children, 0)::BIGINT AS n_children,
+  leaves::BIGINT AS n_leaves, saved::BIGINT AS saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+FROM u JOIN s USING (key) LEFT JOIN n AS o ON o.key = u.up LEFT JOIN k ON k.key = u.key LEFT JOIN e ON e.key = u.key""")
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tries.conversation_trie(table(spark, sf_dir, "conversations"))
