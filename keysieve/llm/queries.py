@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 import public_tokenizers
 
 from keysieve.llm import (
-    chat, common, decontaminate, divergence, matrices, packing, quality, simhash, toxicity, tries, vptree, warc,
+    chat, common, decontaminate, divergence, matrices, packing, pii, quality, simhash, toxicity, tries, vptree, warc,
     wrappers,
 )
 
@@ -179,3 +179,8 @@ SELECT u.conv_id, u.depth::BIGINT AS depth, o.conv_id AS parent_conv_id, u.n::BI
 FROM u JOIN s USING (key) LEFT JOIN n AS o ON o.key = u.up LEFT JOIN k ON k.key = u.key LEFT JOIN e ON e.key = u.key""")
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tries.conversation_trie(table(spark, sf_dir, "conversations"))
+
+
+@query("op11_pii")
+def op11_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digests(pii.detect(table(spark, sf_dir, "documents")))
