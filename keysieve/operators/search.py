@@ -2,51 +2,77 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import from_arrow_type
+from pyspark.sql.types import ArrayType
 
 from keysieve import catalog as C
 from keysieve.functions.paths import raw_url
+from keysieve.operators.anchors import Patterns, held_by
 
-# Patterns and texts meet on stretches of this many characters.
-STEM = 4
+# Characters of patterns that go to the tasks at a time.
+PART_CHARS = 1 << 22
 # Files are numbered below this, so that a pattern's hits have their own range of numbers.
 FILE_ORDS = 1 << 40
 _SALTS = 64
 
 
-def _stems(text: Column, first: str) -> Column:
-    """All distinct stretches of a text that start with ``first``, and the empty one, which shorter patterns have."""
-    every = F.regexp_extract_all(text, F.lit(f"(?s)(?=({first}.{{{STEM - 1}}}))"), F.lit(1))
-    return F.array_union(F.array(F.lit("")), every)
+def _holds(part: pa.Table, context: SparkContext) -> Callable[[Column], Column]:
+    """Array of the (pattern, pattern_ord) of a part that a folded text holds; null holds none."""
+    folded = part["folded"].to_pylist()
+    known = [i for i, p in enumerate(folded) if p is not None]
+    fields = pa.struct([part.schema.field(n) for n in ("pattern", "pattern_ord")])
+    named = part.select(["pattern", "pattern_ord"]).take(pa.array(known, pa.int64())).combine_chunks()
+    rows = pa.StructArray.from_arrays([pa.concat_arrays([pa.array([], f.type), *c.chunks]) for f, c in zip(fields, named.columns)], fields=list(fields))
+    empty = np.array([i for i, k in enumerate(known) if folded[k] == ""], np.int64)
+    shared = context.broadcast((Patterns([folded[k].encode() for k in known]), rows, empty))
+
+    def holds(texts: pa.Array) -> pa.Array:
+        patterns, rows, always = shared.value
+        offsets, found = held_by(texts, patterns)
+        if len(always):
+            # The empty pattern is in every text, null apart.
+            there = np.flatnonzero(texts.is_valid().to_numpy(zero_copy_only=False))
+            row = np.concatenate([np.repeat(np.arange(len(texts)), np.diff(offsets)), np.repeat(there, len(always))])
+            found = np.concatenate([found, np.tile(always, len(there))])
+            pairs = np.unique(np.column_stack([row, found]), axis=0)
+            found = pairs[:, 1]
+            offsets = np.concatenate([[0], np.cumsum(np.bincount(pairs[:, 0], minlength=len(texts)))])
+        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), rows.take(pa.array(found, pa.int64())))
+
+    return F.arrow_udf(holds, ArrayType(from_arrow_type(fields)))
 
 
 def pattern_hits(files: DataFrame, patterns: DataFrame) -> DataFrame:
     """One row per file and pattern whose text the file contains, in any case.
 
-    Files and patterns are joined on a stretch of the pattern, which any text that
-    holds it has too, so their number is not bounded and no file is paired with a
-    pattern it can't hold. The stretch is the one at the pattern's first underscore,
-    which texts have few of; other patterns take their start, and only if there are
-    such do texts give all their stretches. Only file numbers go into that join; the
-    pairs it leaves are then checked against the texts. ``file_id`` is unique.
+    Patterns go to the texts: as flat tables, ``PART_CHARS`` characters of them at a
+    time, so that neither the driver nor a task ever holds more. Each part is searched
+    in one pass over the files, which look for all its patterns at once; no text is
+    shuffled and no file is paired with a pattern it doesn't hold. Null texts hold
+    nothing, null patterns are nowhere, the empty pattern is in every text; a repeated
+    pattern row is a pattern of its own.
     """
-    folded = F.lower("pattern")
-    marked = F.regexp_extract(folded, f"(?s)_.{{{STEM - 1}}}", 0)
-    start = F.when(F.length(folded) < STEM, F.lit("")).otherwise(F.left(folded, F.lit(STEM)))
-    wanted = patterns.select(
-        "pattern", "pattern_ord", folded.alias("_folded"), F.when(marked != "", marked).otherwise(start).alias("_stem")
-    )
-    first = "_" if wanted.where(~F.startswith("_stem", F.lit("_"))).isEmpty() else "."
-    stems = files.where(F.col("content").isNotNull()).select(
-        "file_id", F.explode(_stems(F.lower("content"), first)).alias("_stem")
-    )
-    possible = stems.join(wanted, "_stem").drop("_stem")
-    kept = [c for c in files.columns if c != "content"]
-    return (
-        files.join(possible, "file_id").where(F.contains(F.lower("content"), F.col("_folded")))
-        .select(*kept, "pattern", "pattern_ord")
-    )
+    wanted = patterns.select("pattern", "pattern_ord", F.lower("pattern").alias("folded"))
+    kept = [c for c in files.columns if c not in ("content", "pattern", "pattern_ord")]
+    parts = 1 + (wanted.agg(F.sum(F.octet_length("folded"))).first()[0] or 0) // PART_CHARS
+    number = F.pmod(F.xxhash64("pattern", "pattern_ord"), F.lit(parts))
+
+    def hits(part: int) -> DataFrame:
+        held = wanted if parts == 1 else wanted.where(number == part)
+        holds = _holds(held.toArrow(), files.sparkSession.sparkContext)
+        return files.select(*kept, F.explode(holds(F.lower("content"))).alias("_hit")).select(
+            *kept, "_hit.pattern", "_hit.pattern_ord"
+        )
+
+    return reduce(DataFrame.unionAll, map(hits, range(parts)))
 
 
 def numbered(hits: DataFrame, newest: str = "file_ord") -> DataFrame:
