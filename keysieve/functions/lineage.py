@@ -11,11 +11,16 @@ from pyspark.sql import DataFrame, SparkSession
 def stored(rows: DataFrame) -> DataFrame:
     """``rows`` as a Parquet table in the shared checkpoint folder, so that each reader takes its columns only."""
     spark = rows.sparkSession
-    path = f"{_shared_folder(spark).rstrip('/')}/{uuid.uuid4().hex}"
+    path = new_path(spark)
     rows.write.parquet(path)
     return spark.read.schema(rows.schema).parquet(path)
 
 
+def new_path(spark: SparkSession) -> str:
+    """A path under the shared checkpoint folder that nothing has."""
+    return f"{_shared_folder(spark).rstrip('/')}/{uuid.uuid4().hex}"
+
+
 def _shared_folder(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:

@@ -119,7 +119,8 @@ def scan_hits(hits: DataFrame) -> DataFrame:
 def attach_content(hits: DataFrame, contents: DataFrame, once_per_file: bool = False) -> DataFrame:
     """Source files of raw hits; hits without an address or content are dropped.
 
-    ``contents`` has ``raw_url`` and ``content``. With ``once_per_file`` only a
+    ``contents`` has ``raw_url`` and ``content``; files of ``land_by_address`` are
+    joined where they lie, so only hits move. With ``once_per_file`` only a
     file's first hit is kept, which spares reading the same text once per
     pattern and loses no candidate: later copies only repeat the first one's.
     """
@@ -127,14 +128,14 @@ def attach_content(hits: DataFrame, contents: DataFrame, once_per_file: bool = F
     if once_per_file:
         first = Window.partitionBy("Repository", "File Path", "Raw URL").orderBy("hit_ord")
         wanted = wanted.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
-    texts = contents.select(F.col("raw_url").alias("Raw URL"), "content").where(F.col("content").isNotNull())
-    return texts.join(wanted, "Raw URL").select(
+    texts = contents.select("raw_url", "content").where(F.col("content").isNotNull())
+    return texts.join(wanted, texts["raw_url"] == wanted["Raw URL"]).select(
         F.col("hit_ord").alias("file_id"),
         F.col("hit_ord").alias("file_ord"),
         F.col("Repository").alias("repository"),
         F.col("File Path").alias("path"),
         F.col("URL").alias("url"),
-        F.col("Raw URL").alias("raw_url"),
+        texts["raw_url"],
         F.col("content"),
         F.col("Pattern Source").alias("pattern_source"),
     )

@@ -8,8 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keysieve import catalog as C
-from keysieve.functions.lineage import checkpointed
-from keysieve.functions.paths import raw_url
+from keysieve.functions.lineage import stored
 from keysieve.operators.context import add_context
 from keysieve.operators.features import add_features
 from keysieve.operators.heuristic import Scorer, baseline_scorer
@@ -52,7 +51,10 @@ def search_newest(files: DataFrame, patterns: DataFrame, pages: int = 1) -> Data
 
 
 def scan(files: DataFrame, patterns: DataFrame, scorer: Scorer | None = None) -> tuple[DataFrame, DataFrame]:
-    """All raw hits, found once and kept in the shared folder, and the analyses of the files they name."""
-    hits = checkpointed(search(files, patterns))
-    contents = files.select(raw_url(F.col("url")).alias("raw_url"), "content")
-    return hits, analyze(attach_content(hits, contents, once_per_file=True), scorer)
+    """All raw hits, found once and kept in the shared folder, and the analyses of the files they name.
+
+    Files of ``land_by_address`` are searched and attached where they lie. For others
+    Spark decides by the size of the stored hits whether they go to the texts.
+    """
+    hits = stored(search(files, patterns))
+    return hits, analyze(attach_content(hits, files.select("raw_url", "content"), once_per_file=True), scorer)

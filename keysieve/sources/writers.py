@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import uuid
 from datetime import datetime
 
 from pyspark.sql import DataFrame
@@ -9,6 +11,7 @@ from pyspark.sql import functions as F
 
 from keysieve import catalog as C
 from keysieve.functions.lineage import stored
+from keysieve.sources.readers import landed_by_address
 
 
 def write_csv(rows: DataFrame, path: str) -> str:
@@ -66,3 +69,23 @@ def write_source_files(files: DataFrame, path: str) -> str:
         .parquet(path)
     )
     return path
+
+
+def land_by_address(files: DataFrame, path: str, buckets: int | None = None) -> DataFrame:
+    """Land files in buckets of their ``raw_url``, a Parquet file for each bucket, and read them back.
+
+    Texts are shuffled here, once; joins on ``raw_url`` then read them where they lie.
+    Files without an address or content can't be attached to anything and are left
+    out. ``buckets`` is the number of tasks that such a join has, by default the
+    session's number of shuffle partitions.
+    """
+    spark = files.sparkSession
+    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    usable = files.where((F.col("raw_url") != "") & F.col("content").isNotNull())
+    (
+        usable.repartition(buckets, "raw_url").write.mode("overwrite").bucketBy(buckets, "raw_url")
+        .option("path", path).format("parquet").saveAsTable(f"landed_{uuid.uuid4().hex}")
+    )
+    about = json.dumps({"buckets": buckets, "schema": files.schema.jsonValue()})
+    spark.createDataFrame([(about,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/_buckets")
+    return landed_by_address(spark, path)

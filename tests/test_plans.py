@@ -5,8 +5,10 @@ import re
 from keysieve.operators.labeling import review_queue
 from keysieve.operators.recover import recover_candidates
 from keysieve.operators.report import build_findings, top_findings
-from keysieve.operators.search import newest_per_pattern, pattern_hits
-from keysieve.plans.triage import analyze, find
+from keysieve.operators.search import attach_content, newest_per_pattern, pattern_hits
+from keysieve.plans.triage import analyze, find, search
+from keysieve.sources.readers import landed_by_address
+from keysieve.sources.writers import land_by_address
 
 KEY = "Lt3whkyVHH7iAtP28iNIq7hVNlK638vR"
 
@@ -63,6 +65,25 @@ def test_search_moves_no_text(spark, files, tmp_path):
     assert "content" not in plan[: plan.index("ArrowEvalPython")]
 
 
+def test_landed_texts_are_attached_where_they_lie(spark, files, tmp_path):
+    own = files(*[(f"src/f{i}.py", f'API_KEY = "{KEY}"\n') for i in range(20)], ("src/none.py", None))
+    path = str(tmp_path / "landed")
+    written = land_by_address(own, path, buckets=4)
+    assert written.count() == 20 and len(list((tmp_path / "landed").glob("*.parquet"))) <= 4
+    patterns = spark.createDataFrame([(0, "API_KEY")], "pattern_ord int, pattern string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        again = landed_by_address(spark, path)
+        rows = attach_content(search(again, patterns), again)
+        ops, plan = nodes(rows)
+        (at,) = [m.start() for m in re.finditer("Exchange hashpartitioning", plan)]
+        assert "Raw URL" in plan[at : at + 60] and "SelectedBucketsCount: 4 out of 4" in plan
+        assert not re.search(r"\bcontent#", plan[at : plan.index("ArrowEvalPython")])
+        assert sorted(r.content for r in rows.collect()) == [f'API_KEY = "{KEY}"\n'] * 20
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_queue_is_a_top_k(spark):
     rows = spark.createDataFrame([(1, "needs_review", 2, 0.5)], "row_id int, label_source string, review_priority int, review_score double")
     assert "TakeOrderedAndProject" in nodes(review_queue(rows))[0]

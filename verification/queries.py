@@ -12,7 +12,7 @@ from keysieve import catalog as C
 from keysieve.functions import paths
 from keysieve.functions.assets import asset_matches, kinds, references
 from keysieve.functions.text import line_at, mask, shannon_entropy
-from keysieve.functions.lineage import checkpointed
+from keysieve.functions.lineage import checkpointed, new_path
 from keysieve.operators.context import add_context
 from keysieve.operators.encode import assemble, encoded
 from keysieve.operators.evaluate import evaluate
@@ -28,6 +28,7 @@ from keysieve.operators.supervised import approval_threshold, supervised_scorer
 from keysieve.operators.training import class_weights, stratified_split, train
 from keysieve.plans.triage import analyze, find, search, search_newest
 from keysieve.sources.readers import clean_patterns
+from keysieve.sources.writers import land_by_address
 from verification import oracle as O
 from verification.driver_tables import NAME, VALUE, source_files, spread, table
 
@@ -417,7 +418,9 @@ def _raw_hits(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _attached(spark: SparkSession, sf: str) -> DataFrame:
-    return attach_content(_raw_hits(spark, sf), source_files(spark, sf).select("raw_url", "content"))
+    """Hits on files that were landed by address, attached where they lie."""
+    landed = land_by_address(source_files(spark, sf), new_path(spark))
+    return attach_content(search(landed, _patterns(spark)), landed)
 
 
 @query(
