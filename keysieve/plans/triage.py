@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from keysieve import catalog as C
 from keysieve.functions.lineage import stored
+from keysieve.functions.paths import raw_url
 from keysieve.operators.context import add_context
 from keysieve.operators.features import add_features
 from keysieve.operators.heuristic import Scorer, baseline_scorer
@@ -50,11 +51,15 @@ def search_newest(files: DataFrame, patterns: DataFrame, pages: int = 1) -> Data
     return scan_hits(newest_per_pattern(pattern_hits(files, patterns), pages))
 
 
-def scan(files: DataFrame, patterns: DataFrame, scorer: Scorer | None = None) -> tuple[DataFrame, DataFrame]:
+def scan(
+    files: DataFrame, patterns: DataFrame, scorer: Scorer | None = None, contents: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame]:
     """All raw hits, found once and kept in the shared folder, and the analyses of the files they name.
 
-    Files of ``land_by_address`` are searched and attached where they lie. For others
-    Spark decides by the size of the stored hits whether they go to the texts.
+    ``contents`` (raw_url, content) are the texts behind the hits' addresses, the files'
+    own by default. Those of ``land_by_address`` are read where they lie; for others
+    Spark decides by the size of the stored hits whether the hits go to the texts.
     """
     hits = stored(search(files, patterns))
-    return hits, analyze(attach_content(hits, files.select("raw_url", "content"), once_per_file=True), scorer)
+    texts = files.select(raw_url(F.col("url")).alias("raw_url"), "content") if contents is None else contents
+    return hits, analyze(attach_content(hits, texts, once_per_file=True), scorer)

@@ -2,11 +2,12 @@
 
 import re
 
+from keysieve.functions.paths import raw_url
 from keysieve.operators.labeling import review_queue
 from keysieve.operators.recover import recover_candidates
 from keysieve.operators.report import build_findings, top_findings
 from keysieve.operators.search import attach_content, newest_per_pattern, pattern_hits
-from keysieve.plans.triage import analyze, find, search
+from keysieve.plans.triage import analyze, find, scan, search
 from keysieve.sources.readers import landed_by_address
 from keysieve.sources.writers import land_by_address
 
@@ -67,6 +68,7 @@ def test_search_moves_no_text(spark, files, tmp_path):
 
 def test_landed_texts_are_attached_where_they_lie(spark, files, tmp_path):
     own = files(*[(f"src/f{i}.py", f'API_KEY = "{KEY}"\n') for i in range(20)], ("src/none.py", None))
+    own = own.withColumn("raw_url", raw_url(own["url"]))
     path = str(tmp_path / "landed")
     written = land_by_address(own, path, buckets=4)
     assert written.count() == 20 and len(list((tmp_path / "landed").glob("*.parquet"))) <= 4
@@ -80,6 +82,8 @@ def test_landed_texts_are_attached_where_they_lie(spark, files, tmp_path):
         assert "Raw URL" in plan[at : at + 60] and "SelectedBucketsCount: 4 out of 4" in plan
         assert not re.search(r"\bcontent#", plan[at : plan.index("ArrowEvalPython")])
         assert sorted(r.content for r in rows.collect()) == [f'API_KEY = "{KEY}"\n'] * 20
+        hits, analyses = scan(again, patterns, contents=again)
+        assert hits.count() == analyses.count() == 20
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
