@@ -12,7 +12,7 @@ _REST = rf"[^{SPACE}'\"<>]+"
 _DATABASE = rf"(?=[pmraj])(?<![{WORD}])(?:postgres(?:ql)?|mysql|mongodb|redis|amqp|jdbc)://{_REST}"
 _URL = rf"https?://{_REST}"
 
-_DOTTED_END = r"\.(?:com|net|org|io|dev|cloud|local|internal)"
+DOTTED_END = r"\.(?:com|net|org|io|dev|cloud|local|internal)"
 
 # The catalogue's host pattern repeats a group, which the JVM engine runs by
 # recursion: a long dotted run would overflow its stack. Host labels are never
@@ -22,10 +22,10 @@ _DOTTED_END = r"\.(?:com|net|org|io|dev|cloud|local|internal)"
 _HOST = (
     rf"(?:(?=[a-zA-Z0-9])(?<![{WORD}])|(?=-)(?<=[{WORD}]))"
     rf"(?:(?<![.-])|(?<![^{WORD}][a-zA-Z0-9]{{1,64}}[.-]))"
-    r"[a-zA-Z0-9-][a-zA-Z0-9.-]*" + _DOTTED_END + rf"(?![{WORD}])"
+    r"[a-zA-Z0-9-][a-zA-Z0-9.-]*" + DOTTED_END + rf"(?![{WORD}])"
 )
 
-_HOST_WORD = r"(?<!\S)\S*" + _DOTTED_END + r"\S*"
+_HOST_WORD = r"(?<!\S)\S*" + DOTTED_END + r"\S*"
 
 ASSET_TYPE = "array<struct<reference:string,kind:string>>"
 
@@ -55,7 +55,7 @@ def asset_matches(text: Column) -> Column:
     return F.concat(
         found(addressed, F.regexp_extract_all(text, F.lit(_DATABASE), F.lit(0)), "database"),
         found(addressed, F.regexp_extract_all(text, F.lit(_URL), F.lit(0)), "url"),
-        found(text.rlike(_DOTTED_END), hosts, "host"),
+        found(text.rlike(DOTTED_END), hosts, "host"),
     )
 
 

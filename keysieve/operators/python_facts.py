@@ -6,18 +6,23 @@ literal is bound to, and the functions and classes around those literals.
 Everything that combines these facts with candidates is a column expression in
 ``context``.
 
-Recovery asks for literals by place: for each long token run of the file, the
-literals on its line that hold a value it may hold. So a literal as long as the
-file goes to a segment with that segment's runs only, not whole.
+Recovery asks for facts by segment. A segment gets, for each of its long token
+runs, the literals on the run's line that hold a value it may hold, so a literal
+as long as the file goes to a segment with that segment's runs only, not whole.
+It gets the innermost scopes of those runs' lines, found in one sweep over lines,
+and the calls that use one of those literals' variables; of the calls below its
+last line, which are there for all its candidates alike, only the first of those
+that say the same. Texts to be searched for assets are listed once per file.
 """
 
 from __future__ import annotations
 
 import ast
+import heapq
 import re
-from bisect import bisect_left, bisect_right
 import sys
 import warnings
+from bisect import bisect_left, bisect_right
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from keysieve import catalog as C
+from keysieve.functions.assets import DOTTED_END
 
 _LITERAL = T.StructType([
     T.StructField("node_ord", T.IntegerType()),
@@ -59,15 +65,23 @@ FACTS = T.StructType([
     T.StructField("scopes", T.ArrayType(_SCOPE)),
 ])
 
-_PLACE = T.StructType([T.StructField("at", T.IntegerType()), *_LITERAL.fields])
-PLACED = T.StructType([
-    FACTS["parse_error"], T.StructField("places", T.ArrayType(_PLACE)), FACTS["calls"], FACTS["scopes"],
+_IN_SOURCES = T.StructField("source", T.IntegerType())
+_SEGMENT = T.StructType([
+    T.StructField("places", T.ArrayType(_LITERAL)),
+    T.StructField("calls", T.ArrayType(T.StructType([*(_CALL[n] for n in ("call_line", "call_name", "names_loaded")), _IN_SOURCES]))),
+    T.StructField("scopes", T.ArrayType(T.StructType([_SCOPE["start_line"], _SCOPE["end_line"], _IN_SOURCES]))),
+])
+SEGMENTED = T.StructType([
+    FACTS["parse_error"], T.StructField("sources", T.ArrayType(T.StringType())), T.StructField("segments", T.ArrayType(_SEGMENT)),
 ])
 
 # Tasks use these and not the catalogue, which they can't import.
 _LEAST = C.MIN_VALUE_LENGTH
 _TOKEN_RUN = "%s{%d,}" % (C.TOKEN_CLASS, _LEAST)
 _RUN = "%s{%d}" % (C.RUN_CLASS, _LEAST)
+_TOKEN_CLASS = C.TOKEN_CLASS
+# What every text with an asset has.
+_MAY_NAME_ASSET = re.compile("://|" + DOTTED_END)
 
 _DEFS = (ast.FunctionDef, ast.AsyncFunctionDef)
 _EMPTY = {"literals": [], "calls": [], "scopes": []}
@@ -200,8 +214,8 @@ def _grams(run: str) -> set[str]:
 def placed_literals(text: str, literals: list[dict]) -> list[dict]:
     """For each long token run, the literals on its line that share a possible value with it.
 
-    An entry is the literal with ``at``, the run's place, and as ``value`` the
-    literal's own text of that value. A run inside a literal that is spelt as it
+    An entry is the literal with ``at`` and ``line``, the run's place, and as ``value``
+    the literal's own text of that value. A run inside a literal that is spelt as it
     reads is that text. Other runs are looked up by what literals hold.
     """
     raw = text.encode("utf-8")
@@ -246,7 +260,89 @@ def placed_literals(text: str, literals: list[dict]) -> list[dict]:
                 for i in {i for gram in _grams(m[0]) for i in holders.get(gram, ())}:
                     if low <= i < first or last <= i < high:
                         found.setdefault((k, i), []).append(m[0])
-    return [{**literals[k], "at": at[i], "value": "\n".join(own)} for (k, i), own in sorted(found.items())]
+    return [{**literals[k], "at": at[i], "line": lines[i], "value": "\n".join(own)} for (k, i), own in sorted(found.items())]
+
+
+def _innermost(scopes: list[dict], lines: list[int]) -> dict[int, dict]:
+    """For each line that a scope holds the last such scope in parse order, in one sweep."""
+    starting = sorted(scopes, key=lambda s: s["start_line"], reverse=True)
+    open_scopes, found = [], {}
+    for line in sorted(set(lines)):
+        while starting and starting[-1]["start_line"] <= line:
+            scope = starting.pop()
+            heapq.heappush(open_scopes, (-scope["node_ord"], scope["end_line"], id(scope), scope))
+        while open_scopes and open_scopes[0][1] < line:
+            heapq.heappop(open_scopes)
+        if open_scopes:
+            found[line] = open_scopes[0][3]
+    return found
+
+
+class _Sources:
+    """Numbers of the texts that may name assets; -1 for the others."""
+
+    def __init__(self) -> None:
+        self.numbers: dict[str, int] = {}
+
+    def number(self, text: str | None) -> int:
+        if text is None or not _MAY_NAME_ASSET.search(text):
+            return -1
+        return self.numbers.setdefault(text, len(self.numbers))
+
+
+class _Uses:
+    """Calls that load one variable, asked for by segment from the last to the first."""
+
+    def __init__(self, calls: list[dict]) -> None:
+        self.calls = sorted(calls, key=lambda c: c["call_line"])
+        self.lines = [c["call_line"] for c in self.calls]
+        self.left = len(self.calls)
+        self.later: dict[tuple, dict] = {}
+
+    def of(self, first: int, last: int) -> list[dict]:
+        """Calls from line ``first`` on; of those after ``last`` one for each name and source."""
+        while self.left and self.lines[self.left - 1] > last:
+            self.left -= 1
+            call = self.calls[self.left]
+            own = self.later.get((call["call_name"], call["number"]))
+            if own is None or call["node_ord"] < own["node_ord"]:
+                self.later[call["call_name"], call["number"]] = call
+        return [*self.later.values(), *self.calls[bisect_left(self.lines, first) : bisect_right(self.lines, last)]]
+
+
+def segment_ends(text: str, chars: int) -> list[int]:
+    """Where recovery cuts a text: after about ``chars`` characters, never inside a token run."""
+    if len(text) <= chars:
+        return [len(text)]
+    return [m.end() for m in re.finditer(r"(?s).{1,%d}%s*" % (chars, _TOKEN_CLASS), text)]
+
+
+def segmented(facts: dict, places: list[dict], ends: list[int]) -> dict:
+    """Facts by segment; ``places`` have the character and line at which they are asked for."""
+    sources = _Sources()
+    calls = [{**c, "number": sources.number(c["source"])} for c in facts["calls"]]
+    using: dict[str, list[dict]] = {}
+    for call in calls:
+        for name in call["names_loaded"]:
+            using.setdefault(name, []).append(call)
+    uses = {name: _Uses(own) for name, own in using.items()}
+    innermost = _innermost(facts["scopes"], [p["line"] for p in places])
+    by_segment: list[list[dict]] = [[] for _ in ends]
+    for place in places:
+        by_segment[min(bisect_right(ends, place["at"]), len(ends) - 1)].append(place)
+    segments = []
+    for own in reversed(by_segment):
+        lines = [p["line"] for p in own]
+        variables = {p["variable"] for p in own} & uses.keys()
+        used = {c["node_ord"]: c for v in sorted(variables) for c in uses[v].of(min(lines), max(lines))}
+        around = {s["node_ord"]: s for s in map(innermost.get, lines) if s}
+        segments.append({
+            "places": own,
+            "calls": [{**used[k], "source": used[k]["number"]} for k in sorted(used)],
+            "scopes": [{**around[k], "source": sources.number(around[k]["source"])} for k in sorted(around)],
+        })
+    segments.reverse()
+    return {"parse_error": facts["parse_error"], "sources": list(sources.numbers), "segments": segments}
 
 
 def _facts_udf(schema: T.StructType, facts_of):
@@ -277,16 +373,28 @@ def python_facts(content):
     return _facts_udf(FACTS, lambda text: file_facts(text, _holds_run))(content)
 
 
-def placed_facts(content, by_run: bool = True):
-    """Facts column whose literals stand by place; without ``by_run`` each is whole, at the start."""
+def segmented_facts(content, chars: int | None):
+    """Facts column by segment of ``chars`` characters; without ``chars`` each literal is whole, in the only one.
+
+    A file that doesn't parse has its error and empty segments.
+    """
 
     def facts_of(text: str) -> dict:
-        facts = file_facts(text, _holds_run if by_run else _holds_any)
-        literals = facts.pop("literals")
-        places = placed_literals(text, literals) if by_run else [{**own, "at": 0} for own in literals]
-        return {**facts, "places": places}
+        facts = file_facts(text, _holds_any if chars is None else _holds_run)
+        if chars is None:
+            # Any candidate may ask, on any line that the literal has.
+            return segmented_whole(facts)
+        return segmented(facts, placed_literals(text, facts["literals"]), segment_ends(text, chars))
+
+    return _facts_udf(SEGMENTED, facts_of)(content)
+
 
-    return _facts_udf(PLACED, facts_of)(content)
+def segmented_whole(facts: dict) -> dict:
+    """All facts as those of one segment."""
+    sources = _Sources()
+    numbered = lambda rows: [{**r, "source": sources.number(r["source"])} for r in rows]
+    segment = {"places": facts["literals"], "calls": numbered(facts["calls"]), "scopes": numbered(facts["scopes"])}
+    return {"parse_error": facts["parse_error"], "sources": list(sources.numbers), "segments": [segment]}
 
 
 # The function travels to the executors whole, so they need no installed package.

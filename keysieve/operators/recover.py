@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from keysieve import catalog as C
 from keysieve.functions import paths
-from keysieve.functions.assets import asset_matches
+from keysieve.functions.assets import ASSET_TYPE, asset_matches
 from keysieve.functions.reuse import built_once
 from keysieve.functions.text import (
     SPACE,
@@ -34,7 +34,7 @@ from keysieve.functions.text import (
     shannon_entropy,
     strip,
 )
-from keysieve.operators.python_facts import placed_facts
+from keysieve.operators.python_facts import segmented_facts
 
 SEGMENT_CHARS = 8192
 USAGE_CHARS = 240
@@ -152,9 +152,7 @@ def _placed_segments(content: Column, chars: int | None, lines: Column, facts: C
                     F.slice(lines, F.get(b["lines"], i) + 1, F.get(b["breaks"], i) + 1).alias("lines"),
                     lines.isNull().alias("plain"),
                     (F.size(segs) == 1).alias("whole"),
-                    _facts_in(
-                        facts, F.get(b["offsets"], i), F.get(sizes, i), F.get(b["lines"], i) + 1, F.get(b["breaks"], i)
-                    ).alias("py"),
+                    _facts_in(facts, i).alias("py"),
                 ),
             ),
         )
@@ -192,51 +190,33 @@ def _text_line(line: Column) -> Column:
 
 
 def _with_assets(facts: Column) -> Column:
-    """Python facts with the assets that calls and scopes name instead of their text."""
-    calls = F.transform(
-        facts["calls"],
-        lambda c: F.struct(
-            c["call_line"].alias("call_line"), c["call_name"].alias("call_name"),
-            c["names_loaded"].alias("names_loaded"), asset_matches(c["source"]).alias("assets"),
-        ),
-    )
-    scopes = F.transform(
-        facts["scopes"],
-        lambda s: F.struct(
-            s["start_line"].alias("start_line"), s["end_line"].alias("end_line"),
-            F.array_distinct(asset_matches(s["source"])).alias("assets"),
-        ),
-    )
-    return F.when(
-        facts.isNotNull(),
-        F.struct(
-            facts["parse_error"].alias("parse_error"), facts["places"].alias("places"),
-            calls.alias("calls"), scopes.alias("scopes"),
-        ),
-    )
+    """Python facts with the assets of the listed texts instead of the texts."""
+    assets = F.transform(facts["sources"], lambda text: F.array_distinct(asset_matches(text)))
+    return F.when(facts.isNotNull(), F.struct(facts["parse_error"], assets.alias("assets"), facts["segments"]))
 
 
-def _facts_in(facts: Column, offset: Column, size: Column, first: Column, more: Column) -> Column:
-    """The Python facts a segment's candidates can ask for."""
-    last = first + more
+def _facts_in(facts: Column, number: Column) -> Column:
+    """The Python facts that candidates of a segment ask for."""
+    none = F.array().cast(ASSET_TYPE)
 
-    def near(places: Column) -> Column:
+    def named(rows: Column, *fields: str) -> Column:
+        return F.transform(
+            rows,
+            lambda r: F.struct(
+                *(r[f].alias(f) for f in fields),
+                F.coalesce(F.when(r["source"] >= 0, F.get(facts["assets"], r["source"])), none).alias("assets"),
+            ),
+        )
+
+    def of(own: Column) -> Column:
         return F.struct(
             facts["parse_error"].alias("parse_error"),
-            places.alias("places"),
-            F.filter(
-                facts["calls"],
-                lambda c: F.arrays_overlap(
-                    c["names_loaded"], F.array_compact(F.transform(places, lambda n: n["variable"]))
-                ),
-            ).alias("calls"),
-            F.filter(
-                facts["scopes"], lambda s: (s["start_line"] <= last) & (s["end_line"] >= first)
-            ).alias("scopes"),
+            own["places"].alias("places"),
+            named(own["calls"], "call_line", "call_name", "names_loaded").alias("calls"),
+            named(own["scopes"], "start_line", "end_line").alias("scopes"),
         )
 
-    found = F.filter(facts["places"], lambda n: (n["at"] >= offset) & (n["at"] < offset + size))
-    return F.when(facts.isNotNull(), let(found, near))
+    return F.when(facts.isNotNull(), let(F.get(facts["segments"], number), of))
 
 
 def _hits_in_token(token: Column, signatures: Sequence[C.Signature]) -> Column:
@@ -402,7 +382,7 @@ def recover_candidates(
         rows = rows.where(may_hold_value(content))
 
     is_python = F.col("language") == "python"
-    rows = rows.withColumn("py_all", placed_facts(F.when(is_python, content), by_run=standard))
+    rows = rows.withColumn("py_all", segmented_facts(F.when(is_python, content), chars))
     rows = rows.withColumn("py_all", _with_assets(F.col("py_all")))
     segments = rows.select(
         *columns,

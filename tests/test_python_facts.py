@@ -1,9 +1,11 @@
 """Context of candidates in Python files."""
 
+import random
 import textwrap
 
 import pytest
 
+from keysieve.operators import python_facts as P
 from keysieve.operators.context import add_context
 from keysieve.operators.recover import recover_candidates
 
@@ -145,3 +147,54 @@ def test_task_functions_need_no_installed_package():
 
     for function in (P.file_facts, P.placed_literals, P._holds_run, P._holds_any):
         assert b"keysieve.catalog" not in cloudpickle.dumps(function)
+
+
+def program(rng, functions, shared):
+    """Nested classes and functions with literals, calls before and after them, and assets."""
+    out, depth = [], 0
+    for i in range(functions):
+        if rng.random() < 0.2:
+            depth = rng.randrange(3)
+            out += ["    " * d + f"class C{i}_{d}:" for d in range(depth)]
+        pad = "    " * depth
+        name = "token" if rng.random() < shared else f"token_{i}"
+        value = "".join(rng.choice("0123456789abcdef") for _ in range(40))
+        out += [f"{pad}def work_{i}():", f'{pad}    {name} = "{value}"']
+        if rng.random() < 0.7:
+            out.append(f"{pad}    {rng.choice(['connect', 'a.send', f'run_{i}'])}({name}, {rng.choice(['1', chr(34) + f'https://h{i % 3}.acme.io' + chr(34)])})")
+        if rng.random() < 0.3:
+            out.append(f'{pad}    url = "https://scope{i}.acme.io"')
+        if rng.random() < 0.2:
+            out.append(f'{pad}    pair = ["{value}", "{value[::-1]}"]')
+    return "\n".join(out) + "\n"
+
+
+@pytest.mark.parametrize("chars", [200, 900])
+def test_facts_by_segment_say_what_the_whole_file_says(files, chars):
+    rng = random.Random(chars)
+    sources = [(f"p{i}.py", program(rng, 25, 0.5)) for i in range(6)]
+    names = ["file_path", "sig_ord", "start_index", "variable_name", "enclosing_function", "call_name", "downstream_calls",
+             "context_asset_references", "context_asset_kinds", "usage_context", "context_evidence"]
+
+    def said(**more):
+        rows = add_context(recover_candidates(files(*sources), **more)).select(*names)
+        return sorted(map(str, rows.collect()))
+
+    assert said(segment_chars=chars) == said(segment_chars=1 << 20)
+
+
+@pytest.mark.parametrize("shared", [0.0, 1.0])
+def test_facts_grow_with_the_file(shared):
+    """Twice the file gives at most about twice the facts, whether its functions share a variable or not."""
+
+    def size(functions):
+        text = "".join(
+            f'def work_{i}():\n    {"token" if shared else f"token_{i}"} = "{i:040x}"\n    connect({"token" if shared else f"token_{i}"}, {i})\n'
+            for i in range(functions)
+        )
+        facts = P.file_facts(text, P._holds_run)
+        out = P.segmented(facts, P.placed_literals(text, facts["literals"]), P.segment_ends(text, 8192))
+        return sum(len(s[k]) for s in out["segments"] for k in ("places", "calls", "scopes"))
+
+    small, large = size(1_000), size(4_000)
+    assert 3_000 <= small <= 3_200 and large <= 4.2 * small
