@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.ml import PipelineModel, Transformer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,8 +13,9 @@ from pyspark.sql import functions as F
 
 from keysieve import catalog as C
 from keysieve.functions.text import contains_any
-from keysieve.operators.encode import assemble
+from keysieve.operators.encode import assemble, encoded
 from keysieve.operators.heuristic import Scorer, _flag, _text, decide
+from keysieve.operators.linear import LinearModel
 
 
 def approval_threshold(
@@ -63,20 +65,29 @@ def probability(rows: DataFrame) -> Column:
 
 
 def supervised_scorer(
-    model: Transformer,
+    model: LinearModel | Transformer,
     feature_order: Sequence[str] = C.FEATURE_ORDER,
     model_name: str = C.SUPERVISED_MODEL,
     approve_threshold: float = C.APPROVE_THRESHOLD,
 ) -> Scorer:
-    """Scorer that applies a fitted model to the whole table at once."""
+    """Scorer that applies a fitted model to the whole table at once.
 
-    def score(rows: DataFrame) -> DataFrame:
+    A linear model becomes one column expression over the features; any other one
+    transforms a vector of them.
+    """
+
+    def with_probability(rows: DataFrame) -> tuple[DataFrame, list[str]]:
+        if isinstance(model, LinearModel):
+            columns = dict(zip(model.feature_order, encoded(rows, feature_order).values()))
+            return rows.withColumn("raw_score", model.probability(columns)), []
         predicted = model.transform(assemble(rows, feature_order))
         made = [c for c in predicted.columns if c not in rows.columns]
+        return predicted.withColumn("raw_score", probability(predicted)), made
+
+    def score(rows: DataFrame) -> DataFrame:
+        predicted, made = with_probability(rows)
         decided = decide(
-            predicted.withColumn("raw_score", probability(predicted)).withColumn(
-                "_threshold", approval_threshold(rows, approve_threshold)
-            ),
+            predicted.withColumn("_threshold", approval_threshold(rows, approve_threshold)),
             F.col("raw_score"),
             F.col("_threshold"),
             model_name,
@@ -96,13 +107,18 @@ def supervised_scorer(
     return score
 
 
-def save_bundle(model: PipelineModel, path: str, feature_order: Sequence[str], model_name: str, metrics: dict) -> str:
-    """Model directory with a JSON side file for what the model does not hold."""
+def save_bundle(
+    model: LinearModel | PipelineModel, path: str, feature_order: Sequence[str], model_name: str, metrics: dict
+) -> str:
+    """Folder with the model and a JSON text of what belongs to it."""
     spark = SparkSession.active()
     root = path.rstrip("/")
-    model.write().overwrite().save(f"{root}/model")
-    about = json.dumps({"feature_order": list(feature_order), "model_name": model_name, "metrics": metrics})
-    spark.createDataFrame([(about,)], "value string").coalesce(1).write.mode("overwrite").text(f"{root}/about")
+    about = {"feature_order": list(feature_order), "model_name": model_name, "metrics": metrics}
+    if isinstance(model, LinearModel):
+        about["linear"] = json.loads(model.to_json())
+    else:
+        model.write().overwrite().save(f"{root}/model")
+    spark.createDataFrame([(json.dumps(about),)], "value string").coalesce(1).write.mode("overwrite").text(f"{root}/about")
     return root
 
 
@@ -111,14 +127,21 @@ def load_bundle(
 ) -> tuple[Scorer, dict]:
     """Scorer and side data of a saved bundle or a bare saved model.
 
-    Feature order: the caller's, else the bundle's, else the default.
+    Feature order: the caller's, else the bundle's, else the default. A linear model
+    takes its coefficients in the order of that list.
     """
     spark = SparkSession.active()
     root = path.rstrip("/")
-    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/about")
-    bundled = folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
-    about = json.loads(spark.read.text(f"{root}/about", wholetext=True).head()["value"]) if bundled else {}
-    model = PipelineModel.load(f"{root}/model" if bundled else root)
+    # A bare model has no such text; reading a folder that isn't there says so.
+    try:
+        about = json.loads(spark.read.text(f"{root}/about", wholetext=True).head()["value"])
+    except AnalysisException:
+        about = {}
+    linear = about.pop("linear", None)
+    if linear:
+        model = LinearModel.from_json(json.dumps(linear))
+    else:
+        model = PipelineModel.load(f"{root}/model" if about else root)
     order = list(feature_order or about.get("feature_order") or C.FEATURE_ORDER)
     name = about.get("model_name", "spark-supervised-model")
     about = {"metrics": None, **about, "feature_order": order, "model_name": name}

@@ -3,18 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import replace
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import StandardScaler
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from keysieve import catalog as C
-from keysieve.functions.lineage import checkpointed
-from keysieve.operators.encode import assemble
+from keysieve.functions.lineage import stored
+from keysieve.operators.encode import encoded
 from keysieve.operators.evaluate import report_of
 from keysieve.operators.labels import with_label
+from keysieve.operators.linear import LinearModel, fit_linear
 from keysieve.operators.supervised import save_bundle
 
 _BUCKETS = 10_000
@@ -51,39 +50,25 @@ def class_weights(rows: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(weights), "y")
 
 
-def fit(training: DataFrame, rows: int, max_iter: int = 1000) -> PipelineModel:
-    """Standardised, class-balanced, L2-regularised logistic regression.
-
-    Spark divides by the sample deviation and by the number of rows where the
-    usual objective uses the population deviation and a unit penalty;
-    ``(n-1)/n**2`` makes both the same.
-    """
-    stages = [
-        StandardScaler(inputCol="features", outputCol="scaled", withMean=True, withStd=True),
-        LogisticRegression(
-            featuresCol="scaled", labelCol="y", weightCol="weight", maxIter=max_iter, tol=1e-6,
-            regParam=(rows - 1) / rows**2, elasticNetParam=0.0, standardization=False,
-        ),
-    ]
-    return Pipeline(stages=stages).fit(training)
-
-
 def train(
     rows: DataFrame,
     label_column: str = "label",
     feature_order: Sequence[str] = C.FEATURE_ORDER,
     test_fraction: float = C.TEST_FRACTION,
     key: Sequence[str] = ("row_id",),
-) -> tuple[PipelineModel, dict]:
+) -> tuple[LinearModel, dict]:
     """Fit on labelled rows; returns the model and its metrics."""
     # Rows without a usable label are kept until they are counted, so the input is read once.
-    every = checkpointed(assemble(with_label(rows, label_column), feature_order).select(*key, "y", "features"))
+    labelled = with_label(rows, label_column)
+    names = [f"x{i}" for i in range(len(feature_order))]
+    columns = [c.alias(n) for c, n in zip(encoded(labelled, feature_order).values(), names)]
+    every = stored(labelled.select(F.concat_ws(":", *key).alias("key"), "y", *columns))
     totals = {r["y"]: r["count"] for r in every.groupBy("y").count().collect()}
     seen = sum(totals.values())
     n = seen - totals.pop(None, 0)
     if len(totals) < 2:
         raise ValueError("Training data must contain at least one positive and one negative example.")
-    vectors = every.where(F.col("y").isNotNull())
+    usable = every.where(F.col("y").isNotNull())
     metrics: dict = {
         "input_rows": seen,
         "training_rows": n,
@@ -92,14 +77,15 @@ def train(
         "ignored_review_rows": seen - n,
     }
     if n >= 6 and min(totals.values()) >= 2:
-        split = stratified_split(vectors, key, test_fraction)
-        training, held_out = split.where("NOT is_test"), split.where("is_test")
-        model = fit(class_weights(training), training.count())
-        predicted = model.transform(held_out).select("y", F.col("prediction").cast("int").alias("predicted"))
+        split = stored(stratified_split(usable, ["key"], test_fraction))
+        found = fit_linear(split.where("NOT is_test"), names)
+        positive = (found.margin({n: F.col(n) for n in names}) > 0).cast("int")
+        predicted = split.where("is_test").select("y", positive.alias("predicted"))
         metrics["classification_report"] = report_of(predicted).head().asDict(recursive=True)
     else:
-        model = fit(class_weights(vectors), n)
+        found = fit_linear(usable, names)
         metrics["classification_report"] = "Not generated: dataset too small for stratified split."
+    model = replace(found, feature_order=tuple(feature_order))
     return model, metrics
 
 

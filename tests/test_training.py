@@ -2,13 +2,13 @@
 
 import numpy as np
 import pytest
-from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from keysieve.operators.evaluate import report_of
 from keysieve.operators.labels import BOTH_FLAGS, labelled_rows, resolved_labels
+from keysieve.operators.linear import LinearModel, fit_linear
 from keysieve.operators.supervised import supervised_scorer
-from keysieve.operators.training import class_weights, fit, stratified_split, train
+from keysieve.operators.training import stratified_split, train
 
 
 def newton(x, y):
@@ -36,11 +36,23 @@ def test_fit_solves_the_usual_objective(spark):
     x = rng.normal(size=(120, 4)) * [1, 10, 0.1, 1]
     x[:, 3] = 7.0
     y = (x[:, 0] + x[:, 1] / 10 + rng.normal(size=120) > 0.8).astype(int)
-    labelled = [(i, int(t), Vectors.dense(v)) for i, (v, t) in enumerate(zip(x, y))]
-    rows = spark.createDataFrame(labelled, ["i", "y", "features"])
-    model = fit(class_weights(rows), len(y))
-    got = [r["probability"][1] for r in model.transform(rows).orderBy("i").collect()]
-    assert np.abs(np.array(got) - newton(x, y)).max() < 1e-4
+    rows = spark.createDataFrame([(i, int(t), *map(float, v)) for i, (v, t) in enumerate(zip(x, y))], "i int, y int, a double, b double, c double, d double")
+    model = fit_linear(rows.repartition(5), ["a", "b", "c", "d"])
+    assert model.scale[3] == 0 and model.coefficients[3] == 0
+    again = LinearModel.from_json(model.to_json())
+    assert again == model
+    got = [r.p for r in rows.orderBy("i").select(again.probability({n: F.col(n) for n in "abcd"}).alias("p")).collect()]
+    assert np.abs(np.array(got) - newton(x, y)).max() < 1e-9
+
+
+def test_fit_holds_where_classes_part_cleanly(spark):
+    rows = spark.createDataFrame([(int(i >= 50), float(i), float(i % 2)) for i in range(100)] , "y int, a double, b double")
+    model = fit_linear(rows, ["a", "b"])
+    x, y = np.array([(i, i % 2) for i in range(100)], float), np.arange(100) >= 50
+    got = [r.p for r in rows.select(model.probability({n: F.col(n) for n in "ab"}).alias("p")).collect()]
+    assert np.abs(np.array(got) - newton(x, y.astype(int))).max() < 1e-9
+    with pytest.raises(ValueError, match="at least one positive"):
+        fit_linear(rows.where("y = 0"), ["a", "b"])
 
 
 def test_split_keeps_class_shares_and_ignores_partitions(spark):

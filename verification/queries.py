@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,19 +11,20 @@ from keysieve import catalog as C
 from keysieve.functions import paths
 from keysieve.functions.assets import asset_matches, kinds, references
 from keysieve.functions.text import line_at, mask, shannon_entropy
-from keysieve.functions.lineage import checkpointed, new_path
+from keysieve.functions.lineage import new_path, stored
 from keysieve.operators.context import add_context
-from keysieve.operators.encode import assemble, encoded
+from keysieve.operators.encode import encoded
 from keysieve.operators.evaluate import evaluate
 from keysieve.operators.features import add_features, feature_rows
 from keysieve.operators.labeling import bootstrap_labels, bootstrap_summary, review_queue, suggested
 from keysieve.operators.labels import labelled_rows, resolved_labels, with_label
+from keysieve.operators.linear import LinearModel
 from keysieve.operators.python_facts import python_facts
 from keysieve.operators.recover import first_wins, recover_candidates
 from keysieve.operators.report import build_findings, remaining_count, report_rows, top_findings
 from keysieve.operators.routing import outcome, resolve_service, route_findings
 from keysieve.operators.search import attach_content, pattern_hits
-from keysieve.operators.supervised import approval_threshold, supervised_scorer
+from keysieve.operators.supervised import approval_threshold, load_bundle, save_bundle, supervised_scorer
 from keysieve.operators.training import class_weights, stratified_split, train
 from keysieve.plans.triage import analyze, find, search, search_newest
 from keysieve.sources.readers import clean_patterns
@@ -847,27 +847,51 @@ def split(spark: SparkSession, sf: str) -> DataFrame:
     ),
 )
 def training_report(spark: SparkSession, sf: str) -> DataFrame:
-    rows = checkpointed(_labelled_features(spark, sf))
+    rows = stored(_labelled_features(spark, sf))
     model, metrics = train(rows)
-    used = stratified_split(assemble(labelled_rows(rows)).select("row_id", "y", "features"), ["row_id"]).where("NOT is_test")
-    fitted, n = model.stages[-1], used.count()
-    slope_at = model.transform(class_weights(used)).select(
-        "weight", (F.col("weight") * (vector_to_array("probability")[1] - F.col("y"))).alias("pull"),
-        F.concat(vector_to_array("scaled"), F.array(F.lit(1.0))).alias("x"),
-    )
-    pulls = slope_at.select("weight", "pull", F.posexplode("x").alias("j", "x")).groupBy("j").agg(
-        (F.sum(F.col("pull") * F.col("x")) / F.sum("weight")).alias("slope")
-    )
-    held = F.array(*(F.lit(float(b)) for b in [*fitted.coefficients, 0.0]))
-    slope = F.col("slope") + F.get(held, F.col("j")) * F.lit((n - 1) / n**2)
+    used = labelled_rows(rows).select("row_id", "y", *(c.alias(n) for n, c in encoded(rows).items()))
+    used = class_weights(stratified_split(used, ["row_id"]).where("NOT is_test"))
+    pull = F.col("weight") * (model.probability({n: F.col(n) for n in C.FEATURE_ORDER}) - F.col("y"))
+    slopes = [
+        F.abs(F.sum(pull * (F.col(n) - m) / s) + c)
+        for n, m, s, c in zip(C.FEATURE_ORDER, model.mean, model.scale, model.coefficients) if s
+    ]
     counts = [F.lit(metrics[k]).cast("long").alias(k) for k in (
         "input_rows", "training_rows", "positive_rows", "negative_rows", "ignored_review_rows")]
-    return pulls.agg((F.max(F.abs(slope)) < 1e-4).alias("at_optimum")).select(*counts, "at_optimum")
+    return used.agg((F.greatest(F.abs(F.sum(pull)), *slopes) < 1e-6).alias("at_optimum")).select(*counts, "at_optimum")
+
+
+# A model with known coefficients, saved and read back, decides for every candidate.
+_KNOWN = LinearModel(
+    C.FEATURE_ORDER, *(tuple(float(f(j)) for j in range(len(C.FEATURE_ORDER))) for f in (
+        lambda j: j % 3 / 4, lambda j: (j % 4) / 2, lambda j: (j * 7 % 11 - 4) / 8)), intercept=0.5,
+)
+_KNOWN_MARGIN = " + ".join(["0.5::DOUBLE", *(
+    f"({c}::DOUBLE) * (({_encoded_sql(n)} - {m}::DOUBLE) / {s}::DOUBLE)"
+    for n, m, s, c in zip(C.FEATURE_ORDER, _KNOWN.mean, _KNOWN.scale, _KNOWN.coefficients) if s)])
+
+
+@query(
+    "model_scores",
+    O.chain(
+        "decided",
+        f"""SELECT {_KEY}, round(p, 6) AS confidence, CASE WHEN p >= threshold THEN 'REAL_SECRET' ELSE 'FALSE_POSITIVE' END AS label,
+      p >= threshold AS approved, 'known-v1' AS model_name, ['supervised model probability from known-v1',
+        'approval threshold=' || CASE threshold WHEN 0.62::DOUBLE THEN '0.62' WHEN 0.90::DOUBLE THEN '0.90'
+          WHEN 0.94::DOUBLE THEN '0.94' ELSE '0.99' END] AS reasons
+    FROM (SELECT {_KEY}, 1 / (1 + exp(-({_KNOWN_MARGIN}))) AS p, {_THRESHOLD} AS threshold FROM decided) scored""",
+    ),
+)
+def model_scores(spark: SparkSession, sf: str) -> DataFrame:
+    scorer, _ = load_bundle(save_bundle(_KNOWN, new_path(spark), C.FEATURE_ORDER, "known-v1", {}))
+    return analyze(source_files(spark, sf), scorer).select(
+        "file_id", "sig_ord", "start_index", F.round("confidence", 6).alias("confidence"), "label", "approved", "model_name", "reasons"
+    )
 
 
 @query("supervised_scores")
 def supervised_scores(spark: SparkSession, sf: str) -> DataFrame:
-    rows = checkpointed(_labelled_features(spark, sf))
+    rows = stored(_labelled_features(spark, sf))
     model, _ = train(rows)
     return supervised_scorer(model)(rows).select(
         "row_id", "label", "approved", F.round("confidence", 6).alias("confidence"), "model_name", "reasons"
