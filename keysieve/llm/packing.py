@@ -5,11 +5,12 @@ decreasing. Dual-feasible functions give a lower bound on the bins that its piec
 need: a group at its bound is certified and final. While all groups together use more
 bins than the bound of all pieces (taken from the 1,024 counts by length), groups with
 a gap exchange: the pieces of their bins with free room are dealt anew and packed
-again, and the new bins stay where they are fewer.
+again, and the new bins stay where they are fewer, until a round saves none.
 """
 
 from __future__ import annotations
 
+import itertools
 import sys
 import zlib
 from collections.abc import Iterator
@@ -29,7 +30,6 @@ CAPACITY = 1024
 END_ID = 2
 #: Pieces of a group, about; more pieces make more groups.
 GROUP = 40_000
-ROUNDS = 4
 
 _PIECE = "piece int, start long, length long, ids_crc32 long"
 
@@ -170,11 +170,11 @@ def packed(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     pool, waiting, final = pieces, int(counts.sum()), []
     schema = T.StructType([*pieces.schema.fields, T.StructField("group", T.LongType()), *T.StructType.fromDDL(_PLACED)])
     earlier, earlier_bins = None, None
-    for turn in range(ROUNDS):
+    for turn in itertools.count():
         groups = max(1, -(-waiting // GROUP))
         placed = K.settled(
             _dealt(pool, groups, turn).groupBy("group").applyInPandas(_pack_group(capacity), schema)
-            .withColumn("sequence_id", F.lit(turn << 58) + F.col("group") * (1 << 30) + F.col("bin"))
+            .withColumn("sequence_id", F.lit(turn << 44) + F.col("group") * (1 << 18) + F.col("bin"))
         )
         by_group = placed.groupBy("group").agg(F.first("bins").alias("bins"), F.first("bound").alias("bound"))
         bins, gaps = by_group.agg(F.coalesce(F.sum("bins"), F.lit(0)), F.count_if(F.col("bins") > F.col("bound"))).first()
@@ -183,7 +183,7 @@ def packed(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             break
         total += bins - (earlier_bins or 0)
         # Beyond the certificates of groups, rounding up in each may cost a bin: their open bins exchange too.
-        if total <= bound or groups == 1 or turn == ROUNDS - 1:
+        if total <= bound or groups == 1:
             final.append(placed)
             break
         gap = (F.col("bins") > F.col("bound")) | F.lit(gaps == 0)

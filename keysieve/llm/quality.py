@@ -6,8 +6,8 @@ lines. Forward-backward gives each line's marginal probability of being good, an
 marginals, weighted by line length, make the quality of the document. A logistic
 curve maps that to the probability of the label.
 
-The field is fitted on a bounded sample of labelled rows (``TRAIN_ROWS`` labels, of
-each text a run of at most ``TRAIN_LINES`` lines); a text's label stands for its lines.
+The field is fitted on a bounded sample of labelled rows (``TRAIN_ROWS`` labels) and on
+all lines of their texts; a text's label stands for its lines.
 Scoring always reads every line of the whole text.
 """
 
@@ -28,7 +28,8 @@ FOLDS, HELD_OUT, CURVE_FOLD = 4, 2, 3
 THRESHOLD = 0.7
 #: Bounds of the sample that the field and the curve are fitted on, each.
 TRAIN_ROWS = 2_000
-TRAIN_LINES = 64
+#: The field learns from all lines of its texts, in chains of at most so many.
+CHAIN_LINES = 64
 STEPS, RATE, RIDGE = 120, 0.08, 1e-3
 
 _BLANKS = np.isin(np.arange(256), (9, 10, 11, 12, 13, 32))
@@ -143,19 +144,19 @@ def _logsum(x: np.ndarray, axis: int) -> np.ndarray:
 
 def fit_field(texts: list[bytes], good: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Weights of line features (for good) and transitions, by Adam on the conditional likelihood."""
-    rows, text = [], []
+    rows, text, begins = [], [], []
     for lo, hi in K.blocks(texts):
         x, _, own = line_features(texts[lo:hi])
         size = np.bincount(own, minlength=hi - lo)
-        first = np.cumsum(size) - size
-        place = np.arange(len(own)) - first[own]
-        # The window's start differs from text to text and may be any line of it.
-        start = (np.arange(lo, hi) * 2654435761 % 4294967296) % np.maximum(size - TRAIN_LINES + 1, 1)
-        inside = (place >= start[own]) & (place < start[own] + TRAIN_LINES)
-        rows.append(x[inside])
-        text.append(own[inside] + lo)
+        place = np.arange(len(own)) - (np.cumsum(size) - size)[own]
+        rows.append(x)
+        text.append(own + lo)
+        begins.append(place % CHAIN_LINES == 0)
     x, text = np.concatenate(rows), np.concatenate(text)
-    chains, label = Chains(text, len(texts)), good[text]
+    # Long texts go on in another chain, so the longest chain bounds the steps of a pass.
+    label, text = good[text], np.cumsum(np.concatenate(begins)) - 1
+    count = int(text[-1]) + 1
+    chains = Chains(text, count)
     weights, link = np.zeros(WIDTH), np.zeros((2, 2))
     same = text[1:] == text[:-1]
     seen = np.zeros((2, 2))
@@ -165,8 +166,8 @@ def fit_field(texts: list[bytes], good: np.ndarray) -> tuple[np.ndarray, np.ndar
         score = np.column_stack([np.zeros(len(x)), x @ weights])
         marginal, expected, _ = chains.marginals(score, link)
         slopes = [
-            x.T @ (label - marginal[:, 1]) / len(texts) - RIDGE * weights,
-            (seen - expected) / len(texts) - RIDGE * link,
+            x.T @ (label - marginal[:, 1]) / count - RIDGE * weights,
+            (seen - expected) / count - RIDGE * link,
         ]
         for i, slope in enumerate(slopes):
             first[i] = 0.9 * first[i] + 0.1 * slope

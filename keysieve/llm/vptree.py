@@ -148,6 +148,9 @@ def _search_shards(norm: float, keep: int, factor: float):
 def _usable(vectors: DataFrame) -> DataFrame:
     """(vec_id, embedding) rows that take part: id not null, components finite and not all zero."""
     part = F.col("embedding")
+    # Floats stay as they are, all other numbers are doubles.
+    if vectors.schema["embedding"].dataType.elementType.simpleString() != "float":
+        vectors = vectors.withColumn("embedding", part.cast("array<double>"))
     return vectors.select("vec_id", "embedding").where(
         F.col("vec_id").isNotNull() & F.forall(part, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
         & F.exists(part, lambda x: x != 0)
@@ -159,7 +162,9 @@ def nearest(vectors: DataFrame, every: int = NEAREST, nearest: int = NEAREST, fa
 
     The row itself is no candidate; ties go to the smaller id; with fewer candidates all
     are returned. Vectors that are null, zero or hold null or non-finite components take no
-    part, nor do rows with a null id. Vectors of different lengths are never compared.
+    part, nor do rows with a null id. Rows that repeat id and vector are one. Vectors of
+    different lengths are never compared. Scores are double precision sums over the
+    vectors as they are given, floats or doubles.
     """
     rows = K.settled(_usable(vectors))
     sizes = [r.size for r in rows.select(F.size("embedding").alias("size")).distinct().collect()]
@@ -175,6 +180,7 @@ def nearest(vectors: DataFrame, every: int = NEAREST, nearest: int = NEAREST, fa
 
 def _nearest(rows: DataFrame, every: int, nearest: int, factor: float) -> DataFrame:
     spark = rows.sparkSession
+    kind = rows.schema["embedding"].dataType.simpleString()
     keep = nearest + 1 + SPARE
     # Only the smallest ids of equal vectors can be results; the limit runs before the shuffle too.
     same = Window.partitionBy("embedding").orderBy("vec_id")
@@ -252,14 +258,14 @@ def _nearest(rows: DataFrame, every: int, nearest: int, factor: float) -> DataFr
         return route
 
     def visited(asking: DataFrame, home: bool) -> DataFrame:
-        go = asking.mapInPandas(routed(home), "shard long, key long, embedding array<float>, floor double")
-        both = dealt.withColumn("shard", F.col("shard").cast("long")).withColumn("embedding", F.col("embedding").cast("array<float>")).unionByName(
+        go = asking.mapInPandas(routed(home), f"shard long, key long, embedding {kind}, floor double")
+        both = dealt.withColumn("shard", F.col("shard").cast("long")).unionByName(
             go.select("shard", F.lit(1).alias("kind"), "key", "embedding", F.lit(None).cast("array<long>").alias("ids"), "floor")
         )
         sorted_ = both.repartition("shard").sortWithinPartitions("shard", "kind")
         return K.settled(sorted_.mapInPandas(_search_shards(norm, keep, factor), _FOUND))
 
-    asking = K.settled(queries.select("key", F.col("embedding").cast("array<float>").alias("embedding")))
+    asking = K.settled(queries.select("key", "embedding"))
     at_home = visited(asking.withColumn("floor", F.lit(float("-inf"))), True)
     best = Window.partitionBy("query_key").orderBy(F.col("score").desc(), "key")
     floors = (
