@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from keysieve import catalog as C
 from keysieve.functions.lineage import stored
 from keysieve.functions.text import SPACE, any_of, contains_any, rlike_any, strip, truthy
+from keysieve.operators.topk import best
 
 NEAR_MISS = "near_miss_high_confidence"
-# Promoted rows are marked by a broadcast join up to this many.
 
 
 def _first_present(rows: DataFrame, names: tuple[str, ...], default: str = "") -> Column:
@@ -202,25 +202,27 @@ def _promotions(rows: DataFrame, target: int, order: Sequence[str]) -> DataFrame
     is_open = F.coalesce(F.col("_known") != "real_secret", F.lit(True))
     first = is_open & (F.col("suggested_label") == "real_secret")
     second = is_open & (F.col("suggested_label") == "review") & (F.col("review_bucket") == NEAR_MISS)
-    counts = rows.agg(
-        F.count_if(F.col("_known") == "real_secret").alias("existing"), F.count_if(first).alias("first")
-    ).head()
+    # Counted by row_id first, so that one pass also says whether an id is repeated.
+    by_id = rows.groupBy("row_id").agg(
+        F.count(F.lit(1)).alias("rows"), F.count_if(F.col("_known") == "real_secret").alias("existing"), F.count_if(first).alias("first")
+    )
+    counts = by_id.agg(
+        F.max("rows").alias("most"), *(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("existing", "first"))
+    ).first()
+    if (counts["most"] or 0) > 1:
+        raise ValueError("row_id must be unique: a repeated one would be promoted with every row it names.")
     needed = max(0, target - counts["existing"])
     taken = min(needed, counts["first"])
 
-    def best(condition: Column, limit: int, source: str) -> DataFrame:
-        return (
-            rows.where(condition)
-            .orderBy(F.desc("_score"), *order)
-            .limit(limit)
-            .select("row_id", F.lit(source).alias("_promoted"))
-        )
+    def chosen(condition: Column, limit: int, source: str) -> DataFrame:
+        open_rows = rows.where(condition).select(*dict.fromkeys(("row_id", "_score", *order)))
+        return best(open_rows, limit, "_score", order).select("row_id", F.lit(source).alias("_promoted"))
 
     if needed == 0:
         return None
-    out = best(first, needed, "bootstrap_positive")
+    out = chosen(first, needed, "bootstrap_positive")
     if needed - taken:
-        out = out.unionByName(best(second, needed - taken, "bootstrap_near_miss_positive"))
+        out = out.unionByName(chosen(second, needed - taken, "bootstrap_near_miss_positive"))
     return out
 
 
@@ -236,8 +238,6 @@ def bootstrap_labels(
     written once, since counting, ranking and marking each read them.
     """
     known = stored(suggested(rows, named_dumps))
-    if not known.groupBy("row_id").count().where("count > 1").isEmpty():
-        raise ValueError("row_id must be unique: a repeated one would be promoted with every row it names.")
     chosen = _promotions(known, target, order)
     marked = (
         known.join(chosen, "row_id", "left")

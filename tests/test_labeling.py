@@ -1,7 +1,11 @@
 """Quotas, ties, seeds and the queue."""
 
+import random
+
+import pytest
 from pyspark.sql import functions as F
 
+from keysieve.operators import topk
 from keysieve.operators.labeling import bootstrap_labels, bootstrap_summary, labelled_table, review_queue
 
 COLUMNS = "row_id int, File string, `Secret Type` string, `Classifier Confidence` double, context_window string, " \
@@ -89,3 +93,28 @@ def test_named_dump_list_is_configurable(spark):
     default = bootstrap_labels(rows).first()["review_bucket"]
     named = bootstrap_labels(rows, named_dumps=("dumps/list.md",)).first()["review_bucket"]
     assert (default, named) == ("low_priority_noise", "near_miss_high_confidence")
+
+
+def test_a_large_quota_is_cut_exactly(spark, monkeypatch):
+    """Beyond a heap's rows the same rows are chosen, ties across tasks included."""
+    rng = random.Random(2)
+    rows = [(i, rng.choice([0.1, 0.25, 0.25, 0.4, 0.5, None, float("nan")]), f"x{i:05d}") for i in range(5_000)]
+    table_ = spark.createDataFrame(rows, "row_id int, _score double, name string").repartition(7)
+    key = lambda r: (r[1] is None or r[1] != r[1], -(r[1] if r[1] and r[1] == r[1] else 0), r[2])
+    want = [r[0] for r in sorted(rows, key=key)]
+    monkeypatch.setattr(topk, "HEAP_ROWS", 10)
+    for limit in (11, 700, 2_900, 4_999, 5_000, 9_000):
+        got = {r.row_id for r in topk.best(table_, limit, "_score", ["name"]).collect()}
+        assert got == set(want[:limit])
+    plan = topk.best(table_, 700, "_score", ["name"])._jdf.queryExecution().executedPlan().toString()
+    assert "TakeOrdered" not in plan and "SinglePartition" not in plan.replace("SinglePartition, ENSURE_REQUIREMENTS", "")
+    empty = table_.limit(0)
+    assert topk.best(empty, 100, "_score", ["name"]).count() == 0
+    quota = table(spark, *[strong(i, 0.5) for i in range(60)]).repartition(5)
+    by_id = result(bootstrap_labels(quota, target=30))
+    assert [i for i in range(60) if by_id[i]["label_source"] == "bootstrap_positive"] == list(range(30))
+
+
+def test_a_repeated_row_id_is_refused(spark):
+    with pytest.raises(ValueError, match="row_id must be unique"):
+        bootstrap_labels(table(spark, strong(1, 0.5), noise(1)))
