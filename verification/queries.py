@@ -12,6 +12,7 @@ from keysieve.functions import paths
 from keysieve.functions.assets import asset_matches, kinds, references
 from keysieve.functions.text import line_at, mask, shannon_entropy
 from keysieve.functions.lineage import new_path, stored
+from keysieve.operators.chunks import read_chunks, recover_from_chunks
 from keysieve.operators.context import add_context
 from keysieve.operators.encode import encoded
 from keysieve.operators.evaluate import evaluate
@@ -130,6 +131,18 @@ def first_candidates(spark: SparkSession, sf: str) -> DataFrame:
     return first_wins(found).select("file_id", "sig_ord", "provider", "value", "start_index", "line_number")
 
 
+# All contents in a few large text files, read in chunks: where a candidate stands in its line doesn't change.
+@query(
+    "chunked_candidates",
+    O.chain("kept", "SELECT provider, value, column_number, count(*) AS n FROM kept GROUP BY provider, value, column_number"),
+)
+def chunked_candidates(spark: SparkSession, sf: str) -> DataFrame:
+    path = new_path(spark)
+    source_files(spark, sf).select("content").where("content IS NOT NULL").write.text(path)
+    found = recover_from_chunks(read_chunks(spark, path))
+    return found.groupBy("provider", "value", F.col("column_number").cast("int").alias("column_number")).agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("text_entropy", f"SELECT doc_id, round({O.entropy('text')}, 6) AS entropy FROM documents")
 def text_entropy(spark: SparkSession, sf: str) -> DataFrame:
     return spread(table(spark, sf, "documents")).select("doc_id", F.round(shannon_entropy(F.col("text")), 6).alias("entropy"))
