@@ -16,6 +16,7 @@ from keysieve.functions.text import contains_any
 from keysieve.operators.encode import assemble, encoded
 from keysieve.operators.heuristic import Scorer, _flag, _text, decide
 from keysieve.operators.linear import LinearModel
+from keysieve.sources.publish import publish
 
 
 def approval_threshold(
@@ -110,16 +111,19 @@ def supervised_scorer(
 def save_bundle(
     model: LinearModel | PipelineModel, path: str, feature_order: Sequence[str], model_name: str, metrics: dict
 ) -> str:
-    """Folder with the model and a JSON text of what belongs to it."""
+    """Folder with the model and a JSON text of what belongs to it; an earlier one stays until this is whole."""
     spark = SparkSession.active()
     root = path.rstrip("/")
     about = {"feature_order": list(feature_order), "model_name": model_name, "metrics": metrics}
     if isinstance(model, LinearModel):
         about["linear"] = json.loads(model.to_json())
-    else:
-        model.write().overwrite().save(f"{root}/model")
-    spark.createDataFrame([(json.dumps(about),)], "value string").coalesce(1).write.mode("overwrite").text(f"{root}/about")
-    return root
+
+    def write(folder: str) -> None:
+        if "linear" not in about:
+            model.write().save(f"{folder}/model")
+        spark.createDataFrame([(json.dumps(about),)], "value string").coalesce(1).write.text(f"{folder}/about")
+
+    return publish(spark, root, write)
 
 
 def load_bundle(

@@ -11,13 +11,13 @@ from pyspark.sql import functions as F
 
 from keysieve import catalog as C
 from keysieve.functions.lineage import stored
+from keysieve.sources.publish import save
 from keysieve.sources.readers import landed_by_address
 
 
 def write_csv(rows: DataFrame, path: str) -> str:
-    """CSV that the feature reader reads back unchanged."""
-    rows.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
-    return path
+    """CSV that the feature reader reads back unchanged; an earlier one stays until this is whole."""
+    return save(rows.write.option("header", True).option("escape", '"'), rows.sparkSession, path, "csv")
 
 
 def write_report(rows: DataFrame, directory: str, kind: str, now: datetime | None = None) -> str | None:
@@ -36,8 +36,7 @@ def write_features(feature_rows: DataFrame, path: str, format: str = "parquet")
     """All candidates' feature rows; Parquet to work on, CSV to exchange."""
     if format == "csv":
         return write_csv(feature_rows, path)
-    feature_rows.write.mode("overwrite").format(format).save(path)
-    return path
+    return save(feature_rows.write, feature_rows.sparkSession, path, format)
 
 
 def write_labelled(rows: DataFrame, path: str) -> str:
@@ -54,21 +53,16 @@ def write_review_queue(queue: DataFrame, labelled_path: str) -> str:
 
 def write_metrics(metrics: DataFrame, path: str) -> str:
     """One JSON document per metrics row."""
-    metrics.select(F.to_json(F.struct(*metrics.columns)).alias("value")).write.mode("overwrite").text(path)
-    return path
+    texts = metrics.select(F.to_json(F.struct(*metrics.columns)).alias("value"))
+    return save(texts.write, metrics.sparkSession, path, "text")
 
 
 def write_source_files(files: DataFrame, path: str) -> str:
     """Land files split by language, so that one language can be read alone."""
     from keysieve.functions.paths import language
 
-    (
-        files.withColumn("language", language(F.col("path")))
-        .write.mode("overwrite")
-        .partitionBy("language")
-        .parquet(path)
-    )
-    return path
+    named = files.withColumn("language", language(F.col("path")))
+    return save(named.write.partitionBy("language"), files.sparkSession, path, "parquet")
 
 
 def land_by_address(files: DataFrame, path: str, buckets: int | None = None) -> DataFrame:

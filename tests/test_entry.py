@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from keysieve import catalog as C
 from verification.queries import ORACLES, QUERIES
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -55,5 +56,21 @@ def test_query_equals_its_sql(spark, duck, name):
     assert rows_of(got.columns, rows) == rows_of(names, cursor.fetchall())
 
 
+def test_rows_reach_every_signature_tier_language_bucket_and_route(spark):
+    values = lambda query, column: {r[0] for r in QUERIES[query](spark, SF).select(column).distinct().collect()}
+    assert values("candidates", "provider") == {s.provider for s in C.SIGNATURES}
+    assert values("candidates", "signature_confidence") == {s.tier for s in C.SIGNATURES}
+    assert values("path_facts", "language") == {
+        "python", "config", "javascript", "jvm", "tree_sitter_candidate", "documentation", "plain_text"}
+    assert {"javascript", "java", "kotlin", "go", "tsx", "cpp"} <= values("path_facts", "grammar")
+    assert values("code_context", "parser_name") == {
+        "python-ast", "config-structural-parser", "line-token-parser", "line-context"}
+    assert values("check_routes", "service") == {"passive", "google", "generic"}
+    assert values("check_routes", "status") == {"skipped", "external_check_required", "unsupported"}
+    assert values("review_buckets", "review_bucket") == {
+        "operational_ids", "docs_placeholders", "near_miss_high_confidence", "low_priority_noise", "code_config_real_key", "docs_real_keys"}
+    assert values("approval_thresholds", "threshold") == {0.62, 0.90, 0.94, 0.995}
+
+
 def test_flagship_has_findings(spark):
     assert entry.entry(spark).count() > 0

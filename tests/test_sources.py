@@ -1,15 +1,20 @@
 """Readers, writers, search and attaching content."""
 
 import json
+import os
 from datetime import datetime
+from unittest import mock
 
 import pytest
+from pyspark.sql import functions as F
 
 from keysieve import catalog as C
 from keysieve.operators.features import FEATURE_ROW_COLUMNS, feature_rows
 from keysieve.operators.evaluate import evaluate, normal_rows
 from keysieve.operators.search import attach_content, newest_per_pattern, pattern_hits, scan_hits
 from keysieve.plans.triage import analyze, scan, search
+from keysieve.sources import publish
+from keysieve.sources.publish import published
 from keysieve.sources.readers import (
     builtin_patterns, read_feature_csv, read_feature_order, read_patterns, read_text_files,
 )
@@ -162,3 +167,40 @@ def test_landed_files_prune_by_language(spark, files, tmp_path):
     python = spark.read.parquet(path).where("language = 'python'")
     assert [r["path"] for r in python.collect()] == ["a.py"]
     assert "PartitionFilters: [isnotnull(language" in python._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_failed_run_leaves_the_last_report(spark, tmp_path):
+    """Neither a job that dies while it writes nor one that dies between the renames loses a report."""
+    rows = spark.createDataFrame([(1, "a"), (2, "b")], "x int, y string")
+    path = write_csv(rows, str(tmp_path / "report"))
+
+    @F.udf("string")
+    def fails(x):
+        if x == 2:
+            raise ValueError("killed")
+        return "new"
+
+    with pytest.raises(Exception, match="killed"):
+        write_csv(rows.repartition(2).withColumn("y", fails("x")), path)
+    assert published(spark, path) == path and sorted(os.listdir(tmp_path)) == ["report"]
+    assert sorted(r.y for r in spark.read.csv(path, header=True).collect()) == ["a", "b"]
+
+    rename = publish._Store.rename
+
+    def killed(self, old, new):
+        if ".staged-" in old:
+            raise KeyboardInterrupt
+        rename(self, old, new)
+
+    with mock.patch.object(publish._Store, "rename", killed), pytest.raises(KeyboardInterrupt):
+        write_csv(rows.limit(1), path)
+    assert published(spark, path) == f"{path}.previous"
+    assert spark.read.csv(published(spark, path), header=True).count() == 2
+    assert write_csv(rows.limit(1), path) == path == published(spark, path)
+    assert spark.read.csv(path, header=True).count() == 1
+    (part,) = [f for f in os.listdir(path) if f.endswith(".csv")]
+    os.remove(os.path.join(path, part))
+    with pytest.raises(OSError, match="manifest"):
+        published(spark, path)
+    with pytest.raises(FileNotFoundError):
+        published(spark, str(tmp_path / "none"))
