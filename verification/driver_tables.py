@@ -15,12 +15,25 @@ _HH = f"({_H} || md5({_H}))"
 _QUOTE, _BACK, _LF = "chr(34)", "chr(92)", "chr(10)"
 _ID = "CAST(doc_id AS STRING)"
 
-VALUE = f"""CASE doc_id % 5
+# A value of every signature.
+VALUE = f"""CASE doc_id % 17
   WHEN 0 THEN {_H}
   WHEN 1 THEN 'AKIA' || upper(substr({_H}, 1, 16))
   WHEN 2 THEN 'ghp_' || substr({_HH}, 1, 36)
   WHEN 3 THEN substr({_H}, 1, 8) || '-' || substr({_H}, 9, 4) || '-' || substr({_H}, 13, 4)
     || '-' || substr({_H}, 17, 4) || '-' || substr({_H}, 21, 12)
+  WHEN 4 THEN 'AIza' || substr({_HH}, 1, 35)
+  WHEN 5 THEN 'glpat-' || substr({_HH}, 1, 20)
+  WHEN 6 THEN 'sk_live_' || substr({_HH}, 1, 24)
+  WHEN 7 THEN 'sk-' || substr({_HH}, 1, 48)
+  WHEN 8 THEN 'sk-proj-' || substr({_HH}, 1, 24)
+  WHEN 9 THEN 'xoxb-' || substr({_HH}, 1, 24)
+  WHEN 10 THEN 'AC' || {_H}
+  WHEN 11 THEN 'key-' || {_H}
+  WHEN 12 THEN 'pypi-AgEI' || substr({_HH}, 1, 52)
+  WHEN 13 THEN substr({_HH}, 1, 24) || '.' || substr({_HH}, 25, 6) || '.' || substr({_HH}, 31, 27)
+  WHEN 14 THEN lpad({_ID}, 9, '1') || ':' || substr({_HH}, 1, 35)
+  WHEN 15 THEN substr({_HH}, 1, 40)
   ELSE {_HH} END"""
 
 NAME = """CASE doc_id % 7
@@ -36,9 +49,10 @@ PATH = f"""CASE {KIND}
   WHEN 2 THEN 'config/app_' || {_ID} || '.yml'
   WHEN 3 THEN 'tests/test_' || {_ID} || '.py'
   WHEN 4 THEN 'docs/readme_' || {_ID} || '.md'
-  WHEN 5 THEN 'web/app_' || {_ID} || '.js'
+  WHEN 5 THEN 'web/app_' || {_ID} || CASE CAST(floor(doc_id / 8) AS BIGINT) % 6
+    WHEN 0 THEN '.js' WHEN 1 THEN '.java' WHEN 2 THEN '.go' WHEN 3 THEN '.tsx' WHEN 4 THEN '.kt' ELSE '.cpp' END
   WHEN 6 THEN 'notes/notes_' || {_ID} || '.txt'
-  ELSE 'team_' || {_ID} || '/API_KEYS.md' END"""
+  ELSE 'team_' || {_ID} || CASE WHEN doc_id % 16 = 7 THEN '/API_KEYS.md' ELSE '/ReconX/Keys.md' END END"""
 
 _QUOTED = f"{_QUOTE} || planted || {_QUOTE}"
 # The whole text as a Python string constant.

@@ -101,7 +101,7 @@ SRC = f"""src AS MATERIALIZED (
   FROM ({D.SOURCE_FILES}) f)"""
 
 NAME_OF = f"""names AS (
-  SELECT doc_id, {D.NAME} AS name, source FROM documents)"""
+  SELECT doc_id, {D.NAME} AS name, source, {D.VALUE} AS planted_text FROM documents)"""
 
 
 def paths_cte(source: str = "src") -> str:
@@ -157,7 +157,7 @@ FIRST = """firsts AS (
   WHERE rn = 1)"""
 
 CONTEXT = f"""lined AS (
-  SELECT c.*, p.file_language, p.grammar, p.doc_or_test, p.template_file, n.name, n.source,
+  SELECT c.*, p.file_language, p.grammar, p.doc_or_test, p.template_file, n.name, n.source, n.planted_text,
          coalesce(string_split_regex(c.content, {text(LINE_BREAK)})[c.line_number], '') AS line_text,
          CASE WHEN p.file_language = 'python' AND c.kind = 0 AND line_number = 2 THEN 'assigned'
               WHEN p.file_language = 'python' AND c.kind = 3 AND c.doc_id % 40 = 3 THEN 'broken'
@@ -193,8 +193,8 @@ context AS (
     CASE WHEN planted = 'assigned' THEN [{{'reference': api_url, 'kind': 'url'}}, {{'reference': api_host, 'kind': 'host'}}]
          WHEN planted = 'notes' THEN {asset_list('content')} END AS context_assets,
     CASE WHEN planted = 'broken' THEN 'SyntaxError: invalid syntax' END AS parse_error,
-    CASE WHEN planted = 'assigned' THEN name || ' = "' || value || '"'
-         WHEN planted = 'argument' THEN name || '="' || value || '"'
+    CASE WHEN planted = 'assigned' THEN name || ' = "' || planted_text || '"'
+         WHEN planted = 'argument' THEN name || '="' || planted_text || '"'
          WHEN planted = 'notes' THEN left({strip("substr(content, strpos(content, chr(10) || 'NOTES = ') + 1)")}, 240)
          ELSE left({strip('line_text')}, 240) END AS usage_context
   FROM tokens),
