@@ -1,7 +1,9 @@
 """Readers, writers, search and attaching content."""
 
+import csv
 import json
 import os
+import random
 from datetime import datetime
 from unittest import mock
 
@@ -14,6 +16,7 @@ from keysieve.operators.evaluate import evaluate, normal_rows
 from keysieve.operators.search import attach_content, newest_per_pattern, pattern_hits, scan_hits
 from keysieve.plans.triage import analyze, scan, search
 from keysieve.sources import publish
+from keysieve.sources.csv_ranges import read_csv_ranges
 from keysieve.sources.publish import published
 from keysieve.sources.readers import (
     builtin_patterns, read_feature_csv, read_feature_order, read_patterns, read_text_files,
@@ -204,3 +207,28 @@ def test_a_failed_run_leaves_the_last_report(spark, tmp_path):
         published(spark, path)
     with pytest.raises(FileNotFoundError):
         published(spark, str(tmp_path / "none"))
+
+
+@pytest.mark.parametrize("split", ["1m", "2000"])
+def test_csv_of_any_ranges_is_the_same(spark, tmp_path, split):
+    rng = random.Random(6)
+    cell = lambda: rng.choice(["", "plain", 'say ""hi""'.replace('""', '"'), "two\nlines", "a,b", '\n"\n', "é日\r\nx", "w" * rng.randrange(200), " lead", "back\\slash"])
+    want, row = [], 0
+    for name in ("b.csv", "a.csv"):
+        rows = [[cell() for _ in range(3)] + [str(i)] for i in range(120)]
+        with open(tmp_path / name, "w", newline="") as out:
+            writer = csv.writer(out, lineterminator="\n")
+            writer.writerow(["x", "y", "z", "n"])
+            writer.writerows(rows)
+        want = rows + want
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        got = read_csv_ranges(spark, str(tmp_path)).orderBy("row_id").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert [r.row_id for r in got] == list(range(240))
+    assert [list(r)[:4] for r in got] == want
+    whole = read_feature_csv(spark, str(tmp_path)).orderBy("row_id").collect()
+    assert [r.row_id for r in whole] == list(range(240)) and got[0].asDict().keys() == whole[0].asDict().keys()

@@ -28,8 +28,9 @@ from keysieve.operators.search import attach_content, pattern_hits
 from keysieve.operators.supervised import approval_threshold, load_bundle, save_bundle, supervised_scorer
 from keysieve.operators.training import class_weights, stratified_split, train
 from keysieve.plans.triage import analyze, find, search, search_newest
+from keysieve.sources.csv_ranges import read_csv_ranges
 from keysieve.sources.readers import clean_patterns
-from keysieve.sources.writers import land_by_address
+from keysieve.sources.writers import land_by_address, write_features
 from verification import oracle as O
 from verification.driver_tables import NAME, VALUE, source_files, spread, table
 
@@ -375,6 +376,24 @@ def all_feature_rows(spark: SparkSession, sf: str) -> DataFrame:
     return feature_rows(_analyses(spark, sf))
 
 
+# The feature table written as CSV and read back by byte ranges: values with line breaks and quotes included.
+@query(
+    "feature_csv",
+    f"""SELECT "File", CAST("Line" AS VARCHAR) AS "Line", "Masked Value", "Secret Type", coalesce("Associated Variable", '') AS variable,
+      coalesce(context_window, '') AS context_window, coalesce(downstream_calls, '') AS calls, coalesce(asset_references, '') AS assets,
+      CAST(length AS VARCHAR) AS length, count(*) AS n
+    FROM ({O.chain('decided', FEATURE_ROW)}) f GROUP BY ALL""",
+)
+def feature_csv(spark: SparkSession, sf: str) -> DataFrame:
+    rows = read_csv_ranges(spark, write_features(feature_rows(_analyses(spark, sf)), new_path(spark), format="csv"))
+    shown = [
+        "File", "Line", "Masked Value", "Secret Type", F.col("Associated Variable").alias("variable"), "context_window",
+        F.col("downstream_calls").alias("calls"), F.col("asset_references").alias("assets"), "length",
+    ]
+    return rows.select(*shown).groupBy("File", "Line", "Masked Value", "Secret Type", "variable", "context_window", "calls", "assets", "length").agg(
+        F.count(F.lit(1)).alias("n"))
+
+
 @query(
     "baseline_scores",
     O.chain(
