@@ -1,7 +1,6 @@
 """Factor one is exact; relaxed search keeps nearly all; odd vectors take no part."""
 
 import numpy as np
-import pandas as pd
 import pytest
 
 from keysieve.llm import vptree
@@ -75,7 +74,7 @@ def test_recall_with_production_constants_and_many_cells(spark):
     rng = np.random.default_rng(8)
     centers = rng.normal(size=(40, 16))
     points = (centers[rng.integers(0, 40, 60_000)] + 0.3 * rng.normal(size=(60_000, 16))).astype(np.float32)
-    table = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(60_000), "embedding": list(points)}), "vec_id long, embedding array<float>")
+    table = spark.createDataFrame(list(enumerate(points.tolist())), "vec_id long, embedding array<float>")
     found = {}
     for r in vptree.nearest(table, every=400).collect():
         found.setdefault(r.query_id, set()).add(r.vec_id)
