@@ -19,7 +19,7 @@ import json
 import re
 import sys
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -355,7 +355,7 @@ def _says(names: str, wanted: frozenset) -> bool:
 
 
 def _contexts(wrapper: list) -> list[tuple[Slot, int, list[bool]]]:
-    """Of each slot: itself, how it stands around the article, and in which kind of region it is.
+    """Of each slot: itself, how it stands around the article, and in which kind of region it is; last, whether in a title.
 
     An article or main part undoes the names of what it stands in.
     """
@@ -375,12 +375,13 @@ def _contexts(wrapper: list) -> list[tuple[Slot, int, list[bool]]]:
                 walk(key)
             elif slot is not None:
                 inside = [any(s[2][r] for s in stack) for r in range(len(_REGIONS))]
+                title = any(s[0] in ("h1", "h2") for s in stack)
                 article = max((k for k, s in enumerate(stack) if any(s[2][:2])), default=-1)
                 around = _CLEAR
                 for k, s in enumerate(stack):
                     own = max(s[1], _CLEAR if any(inside[:2]) else s[3])
                     around = max(around, _UNDONE if own == _NAMED_SO and k < article else own)
-                out.append((slot, around, inside))
+                out.append((slot, around, [*inside, title]))
             elif key.startswith("/"):
                 close((key[1:],))
             elif key != " ":
@@ -409,11 +410,26 @@ def _contexts(wrapper: list) -> list[tuple[Slot, int, list[bool]]]:
     return out
 
 
+def _template(wrapper: list) -> Callable[[Slot | None], bool]:
+    """Test whether a slot of the wrapper holds a line of the host's template.
+
+    Such a line is the same on all pages that have it, whose contents differ, and at
+    least half of the host's pages have it, three or more. A shared quotation is on fewer.
+    """
+
+    def most(items: list) -> int:
+        return max((most(x) if isinstance(x, list) else slot.pages if slot else 0 for x, _, slot in items), default=0)
+
+    least = max(3, -(-most(wrapper) // 2))
+    return lambda slot: slot is not None and slot.pages >= least and slot.alike()
+
+
 def chosen(wrapper: list, own: list) -> list[bool]:
     """Which slots of ``own``, an expression that the host's ``wrapper`` covers, hold the article.
 
     Those inside an article, else a main part, else a part named like one; in a host
     without such, all but those that pages of different contents agree on. What stands around articles never.
+    Inside a region a line of the host's template goes too, while the larger part of the region's slots is the page's own.
     """
     # Aligning the expression with the wrapper pairs each of its slots with the wrapper's.
     paired: dict[int, Slot] = {}
@@ -431,7 +447,9 @@ def chosen(wrapper: list, own: list) -> list[bool]:
     for r, most in ((0, _CLEAR), (1, _CLEAR), (0, _UNDONE), (1, _UNDONE), (2, _CLEAR)):
         flags = [around <= most and inside[r] for _, around, inside in slots]
         if any(flags):
-            return flags
+            template = _template(wrapper)
+            own = [f and (inside[-1] or not template(paired.get(id(slot)))) for f, (slot, _, inside) in zip(flags, slots)]
+            return own if 2 * sum(own) > sum(flags) else flags
     own_text = [not paired.get(id(slot), slot).alike() for slot, _, _ in slots]
     for most in (_CLEAR, _NAMED_SO):
         flags = [around <= most and text for (_, around, _), text in zip(slots, own_text)]

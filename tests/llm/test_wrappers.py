@@ -143,3 +143,33 @@ def test_a_host_of_many_expressions_is_aligned_in_rounds(spark, monkeypatch):
     got = texts(spark, rows)
     assert all(r.endswith(f"text {i}") and r.count(str(i)) >= 1 for i, r in got.items())
     assert [got[0], got[1]] == ["text 0", "h2 1 text 1"]
+
+
+SITE = "<article><h1>Weekly</h1>{}<div class=more>Read more on our site</div></article>"
+
+
+def _own(i):
+    return "".join(f"<p>text {i}.{k}</p>" for k in range(i % 3 + 1)) + ("<pre>quoted</pre>" if i in (2, 5) else "")
+
+
+def test_a_line_on_all_pages_of_a_host_goes_from_inside_the_article(spark):
+    rows = [(i, f"http://a.test/{i}", SITE.format(_own(i))) for i in range(12)]
+    # A host of two pages, and copies of one page with another date, show no template.
+    rows += [(20 + i, f"http://b.test/{i}", SITE.format(_own(i))) for i in range(2)]
+    rows += [(30 + i, f"http://c.test/{i}", f"<p>day {i}</p>" + SITE.format("<p>same</p>")) for i in range(4)]
+    got = texts(spark, rows)
+    own = lambda i: "Weekly " + " ".join([f"text {i}.{k}" for k in range(i % 3 + 1)] + ["quoted"] * (i in (2, 5)))
+    assert {i: got[i] for i in range(12)} == {i: own(i) for i in range(12)}
+    assert [got[20], got[21]] == [own(i) + " Read more on our site" for i in (0, 1)]
+    assert {got[30 + i] for i in range(4)} == {"Weekly same Read more on our site"}
+
+
+def test_the_line_goes_by_alignment(monkeypatch):
+    own = [
+        W.wrapper_of(["article", "h1", "#", "/h1", *body, "div class=more", "#", "/div", "/article"], [1, *at, 7], [1, *at, 7], 2, i, i + 1)
+        for i, (body, at) in enumerate([(["p", "#", "/p"], [20]), (["p", "#", "/p", "pre", "#", "/pre"], [30, 31]), (["ul", "#", "/ul"], [40])])
+    ]
+    whole = W.align(W.align(own[0], own[1]), own[2])
+    assert [W.chosen(whole, x) for x in own] == [[True, True, False], [True, True, True, False], [True, True, False]]
+    monkeypatch.setattr(W, "_common", lambda a, b: [])
+    assert all(all(W.chosen(whole, x)) for x in own)
