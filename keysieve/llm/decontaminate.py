@@ -6,8 +6,10 @@ an FM-index; all phrases are searched backward through its wavelet matrix at onc
 their places come from sampled suffix positions, and overlapping finds merge into
 spans. A text longer than a shard goes in pieces that overlap by a phrase.
 
-The benchmark goes to the executors in parts of a bounded size (``PART_CHARS``): a
-larger benchmark has more parts, each searched in the same pass over the texts.
+The benchmark goes to the executors in parts of a bounded size (``PART_CHARS``). One
+part is searched where the texts are read. A larger benchmark takes a pass over the texts
+for each part, and driver and tasks hold one part at a time; what a pass finds is stored by
+the MD5 of the text, finds of all passes merge by it, and only texts that have some meet them.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import regex
-from pyspark import cloudpickle
+from pyspark import Broadcast, cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -126,22 +128,19 @@ class Phrases:
         return found
 
 
-def _parts(benchmark: DataFrame) -> list[list[tuple[str | None, bytes]]]:
-    """Benchmark rows in parts of about ``PART_CHARS`` characters, one part at a time on the driver."""
+def _parts(benchmark: DataFrame) -> tuple[DataFrame, int]:
+    """Benchmark rows (item, text, part) in parts of about ``PART_CHARS`` characters, and the number of parts."""
     rows = benchmark.select(F.col("item_id").cast("string").alias("item"), "text").where("text IS NOT NULL").distinct()
     chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     n = -(-chars // PART_CHARS) or 1
-    part = F.pmod(F.xxhash64("item", "text"), F.lit(n))
-    return [[(r.item, K.encoded([r.text])[0]) for r in rows.where(part == i).collect()] for i in range(n)]
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("item", "text"), F.lit(n)))
+    return (K.settled(rows) if n > 1 else rows), n
 
 
-def _broadcast(benchmark: DataFrame) -> list:
-    context = benchmark.sparkSession.sparkContext
-    made = []
-    for rows in _parts(benchmark):
-        p = Phrases.of(rows)
-        made.append(context.broadcast((p.vocabulary, p.patterns, p.sizes, p.items)))
-    return made
+def _broadcast(parts: DataFrame, i: int) -> Broadcast:
+    """Part ``i``; it alone comes to the driver."""
+    p = Phrases.of([(r.item, K.encoded([r.text])[0]) for r in parts.where(F.col("part") == i).collect()])
+    return parts.sparkSession.sparkContext.broadcast((p.vocabulary, p.patterns, p.sizes, p.items))
 
 
 def _merged(found: list[dict]) -> dict:
@@ -160,33 +159,93 @@ def _merged(found: list[dict]) -> dict:
     return {"n_words": found[0]["n_words"], "starts": starts, "ends": ends, "items": items}
 
 
-def _search_all(shared: list, texts: list[bytes]) -> list[dict]:
-    found = [Phrases(*part.value).search(texts) for part in shared]
-    return [_merged(list(own)) for own in zip(*found)]
-
-
-def found_column(benchmark: DataFrame, text="text"):
-    """Struct column: number of words, spans of found words (end excluded), sorted item ids.
-
-    A null text has no words. An item with a null id is searched for but not named;
-    one with a null or wordless text has no phrases.
-    """
-    shared = _broadcast(benchmark)
+def _find(shared: Broadcast):
+    """Column function: number of words, spans of found words (end excluded), sorted item ids of one part."""
 
     @F.pandas_udf(_FOUND)
     def find(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        phrases = Phrases(*shared.value)
         for batch in batches:
             texts, out = K.encoded(batch), []
             for lo, hi in K.blocks(texts, 4 * K.BLOCK_BYTES):
-                out += _search_all(shared, texts[lo:hi])
+                out += phrases.search(texts[lo:hi])
             yield pd.DataFrame(out, columns=["n_words", "starts", "ends", "items"])
 
-    return find(text)
+    return find
+
+
+_SPANS = "key string, starts array<int>, ends array<int>, items array<string>"
+
+
+def _finds(texts: DataFrame, parts: DataFrame, n: int) -> DataFrame:
+    """(key, finds) of every text (key, text) that holds a phrase: a pass for each part, then the merged finds."""
+    passes = []
+    for i in range(n):
+        shared = _broadcast(parts, i)
+
+        def search(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            phrases = Phrases(*shared.value)
+            for frame in frames:
+                keys, own = frame["key"].to_numpy(), K.encoded(frame["text"])
+                for lo, hi in K.blocks(own, 4 * K.BLOCK_BYTES):
+                    rows = [(k, f["starts"], f["ends"], f["items"]) for k, f in zip(keys[lo:hi], phrases.search(own[lo:hi])) if f["starts"]]
+                    yield pd.DataFrame(rows, columns=["key", "starts", "ends", "items"])
+
+        found = texts.where("key IS NOT NULL").select("key", "text").mapInPandas(search, _SPANS)
+        # Copies say the same.
+        passes.append(K.settled(found.dropDuplicates(["key"])))
+        shared.destroy()
+    rows = passes[0]
+    for more in passes[1:]:
+        rows = rows.unionByName(more)
+
+    @F.pandas_udf(_FOUND)
+    def merged(starts: pd.Series, ends: pd.Series, items: pd.Series) -> pd.DataFrame:
+        out = [
+            _merged([{"n_words": 0, "starts": s, "ends": e, "items": i} for s, e, i in zip(*own)])
+            for own in zip(starts, ends, items)
+        ]
+        return pd.DataFrame(out, columns=["n_words", "starts", "ends", "items"])
+
+    found = rows.groupBy("key").agg(F.collect_list(F.struct("starts", "ends", "items")).alias("f"))
+    return K.settled(found.select("key", merged("f.starts", "f.ends", "f.items").alias("finds")))
+
+
+def _met(rows: DataFrame, found: DataFrame, key: str) -> DataFrame:
+    """``rows`` with what ``found`` has of their ``key``; rows that it can't have are not shuffled."""
+    others = [F.lit(None).cast(t).alias(c) for c, t in found.dtypes if c != key]
+    may = K.may_hold(found, key)
+    return rows.where(may).join(found, key, "left").select(*rows.columns, *(c for c in found.columns if c != key)).unionByName(
+        rows.where(~may).select("*", *others)
+    )
+
+
+def _with_finds(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """(doc_id, found): number of words, spans of found words (end excluded), sorted item ids.
+
+    A null text has no words. An item with a null id is searched for but not named;
+    one with a null or wordless text has no phrases.
+    """
+    parts, n = _parts(benchmark)
+    if n == 1:
+        return documents.select("doc_id", _find(_broadcast(parts, 0))("text").alias("found"))
+
+    @F.pandas_udf("int")
+    def word_count(texts: pd.Series) -> pd.Series:
+        return pd.Series([len(words(t)) for t in K.encoded(texts)], dtype="int32")
+
+    rows = documents.select("doc_id", "text", F.md5("text").alias("key"))
+    met = _met(rows, _finds(rows, parts, n), "key")
+    return met.select("doc_id", F.struct(
+        word_count("text").alias("n_words"), *(F.coalesce(f"finds.{c}", F.array().cast(t)).alias(c) for c, t in (
+            ("starts", "array<int>"), ("ends", "array<int>"), ("items", "array<string>"),
+        ))
+    ).alias("found"))
 
 
 def report(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Per row of ``documents``: words, hit words, items found and their digest, spans."""
-    rows = K.in_batches(documents).select("doc_id", found_column(benchmark).alias("found"))
+    rows = _with_finds(K.in_batches(documents), benchmark)
     hits = F.aggregate(
         F.arrays_zip("found.starts", "found.ends"), F.lit(0).cast("long"), lambda sum_, x: sum_ + (x["ends"] - x["starts"])
     )
@@ -206,15 +265,12 @@ def cut(text: str, starts: list[int], ends: list[int]) -> str:
     return "".join(text[a:b] for a, b in zip(edges[::2], edges[1::2]))
 
 
-def cleaned(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """All rows, with benchmark passages cut from ``text`` and ``n_chars`` set anew where that happened.
-
-    What a cut brings together is searched again, until nothing is found.
-    """
-    shared = _broadcast(benchmark)
+def _clean(shared: Broadcast):
+    """Column function: a text without its passages, searched and cut until one part finds nothing."""
 
     @F.pandas_udf("string")
     def clean(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        phrases = Phrases(*shared.value)
         for batch in batches:
             texts, out = K.encoded(batch), list(batch)
             todo = list(range(len(texts)))
@@ -222,7 +278,7 @@ def cleaned(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
                 again = []
                 for lo, hi in K.blocks([texts[i] for i in todo], 4 * K.BLOCK_BYTES):
                     own = todo[lo:hi]
-                    for i, f in zip(own, _search_all(shared, [texts[i] for i in own])):
+                    for i, f in zip(own, phrases.search([texts[i] for i in own])):
                         if f["starts"]:
                             out[i] = cut(out[i], f["starts"], f["ends"])
                             texts[i] = out[i].encode("utf-8")
@@ -230,7 +286,46 @@ def cleaned(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
                 todo = again
             yield pd.Series(out, dtype=object)
 
+    return clean
+
+
+def _all_clean(texts: DataFrame, parts: DataFrame, n: int) -> DataFrame:
+    """(origin, clean) of every text (origin: its MD5) that holds a phrase: rounds of search and cut, all parts in each."""
+
+    @F.pandas_udf("string")
+    def without(texts: pd.Series, starts: pd.Series, ends: pd.Series) -> pd.Series:
+        return pd.Series([cut(*row) for row in zip(texts, starts, ends)], dtype=object)
+
+    now, rounds = texts, []
+    while True:
+        keyed = now.withColumn("key", F.md5("text"))
+        found = _finds(keyed, parts, n)
+        hit = keyed.where(K.may_hold(found, "key")).join(found, "key").dropDuplicates(["origin"])
+        now = K.settled(hit.select("origin", without("text", "finds.starts", "finds.ends").alias("text")))
+        rounds.append(now)
+        if now.isEmpty():
+            break
+    # A text's last cut is the one that the next round did not touch.
+    done = rounds[0].limit(0)
+    for own, later in zip(rounds, rounds[1:]):
+        done = done.unionByName(own.join(later.select("origin"), "origin", "left_anti"))
+    return K.settled(done.withColumnRenamed("text", "clean"))
+
+
+def cleaned(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """All rows, with benchmark passages cut from ``text`` and ``n_chars`` set anew where that happened.
+
+    What a cut brings together is searched again, until nothing is found.
+    """
+    parts, n = _parts(benchmark)
     new = K.fresh("clean", documents)
+    K.in_batches(documents)
+    if n == 1:
+        rows = documents.withColumn(new, _clean(_broadcast(parts, 0))("text"))
+    else:
+        key = K.fresh("origin", documents)
+        found = _all_clean(documents.where("text IS NOT NULL").select(F.md5("text").alias("origin"), "text"), parts, n)
+        rows = _met(documents.withColumn(key, F.md5("text")), found.toDF(key, new), key).withColumn(new, F.coalesce(new, "text"))
     changed = ~F.col(new).eqNullSafe(F.col("text"))
     columns = [
         F.col(new).alias("text") if c == "text"
@@ -238,7 +333,7 @@ def cleaned(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
         else F.col(f"`{c}`")
         for c in documents.columns
     ]
-    return K.in_batches(documents).withColumn(new, clean("text")).select(*columns)
+    return rows.select(*columns)
 
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -62,6 +62,23 @@ def test_report_equals_brute_force(spark, monkeypatch, shard):
     assert not any(r.contaminated for r in D.report(docs, items.limit(0)).collect())
 
 
+def test_a_large_benchmark_comes_in_parts_that_give_the_same(spark, monkeypatch):
+    rows = [(i, t, "en", len(t or ""), "x") for i, t in TEXTS * 2]
+    # A cut that brings two halves of a phrase together, of which one part knows only one phrase.
+    rows.append((20, "nameless words " + PASSAGE + " here tiny nameless words here item", "en", 1, None))
+    docs = spark.createDataFrame(rows, DOCS)
+    items = spark.createDataFrame(ITEMS, "item_id long, text string")
+    whole = sorted(map(tuple, D.cleaned(docs, items).collect()), key=str)
+    sizes, of = [], D.Phrases.of
+    monkeypatch.setattr(D, "PART_CHARS", 40)
+    monkeypatch.setattr(D.Phrases, "of", lambda part: sizes.append(sum(len(t) for _, t in part)) or of(part))
+    assert sorted(map(tuple, D.cleaned(docs, items).collect()), key=str) == whole
+    assert D._parts(items)[1] > 2 and max(sizes) < sum(len(t or "") for _, t in ITEMS)
+    assert D.cleaned(docs.limit(0), items).count() == 0
+    assert D.cleaned(docs, items).schema == docs.schema
+    assert next(r[1] for r in whole if r[0] == 20).strip() == ""
+
+
 def test_cleaned_texts_hold_no_passage_and_clean_ones_stay(spark):
     docs = spark.createDataFrame([(i, t, "en", len(t or ""), "x") for i, t in TEXTS], DOCS)
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
