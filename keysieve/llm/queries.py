@@ -121,7 +121,7 @@ SELECT page_id, strlen(html)::BIGINT AS payload_bytes,
 FROM p JOIN k USING (html) JOIN h USING (html)""")
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = common.shared_folder(spark)
-    warc.write_archives(table(spark, sf_dir, "pages"), folder)
+    warc.archived(table(spark, sf_dir, "pages"), folder)
     return warc.read_archives(spark, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 

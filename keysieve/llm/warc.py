@@ -1,11 +1,13 @@
 """Web archives: a deterministic sharded writer and its reader.
 
-Page ids are cut into ranges of about equal payload (from sums over at most 4,096 id
-bins), each range is one shard, sorted. A task writes its shards as WARC files, one
-gzip member to a record, and starts a new file once a compressed size is reached.
+Page ids are cut into ranges of about equal payload, found by splitting heavy ranges until
+none is; each range is one shard, sorted, and one task. A task writes its shard as WARC
+files, one gzip member to a record, and starts a new file once a compressed size is reached.
 Headers and digests are made anew from the payloads. Files are written under temporary
-names; the driver renames those that finished tasks name, then writes a manifest, so a
-lost or repeated task leaves nothing in the archive. Same input, same bytes.
+names; tasks of a second job rename those that finished tasks name (a name already given
+stays), a third writes the list of files, and the driver then puts the totals into
+``manifest.json``, without which nothing is read. So a lost or repeated task leaves nothing
+in the archive, and no row per file or page reaches the driver. Same input, same bytes.
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyarrow import fs
 from pyspark import cloudpickle
@@ -28,7 +31,10 @@ from pyspark.sql import functions as F
 
 from keysieve.llm import common as K
 
+#: Bins of one round that splits heavy id ranges, if few of them are heavy.
 ID_BINS = 4096
+#: Shards at most, so that their limits stay small; beyond it they grow with the input.
+MAX_SHARDS = 1 << 16
 SHARD_BYTES = 32 << 20
 ROLL_BYTES = 8 << 20
 #: Equal payloads shorter than this are all written in full.
@@ -108,9 +114,8 @@ class _Roller:
             self._out = None
 
 
-def _revisits(pages: DataFrame, least: int) -> DataFrame:
+def _revisits(sums: DataFrame, least: int) -> DataFrame:
     """(page_id, digest, refers_to) of pages whose payload a page with a larger id also has."""
-    sums = K.settled(pages.select("page_id", "digest", F.octet_length("payload").alias("size")))
     keepers = (
         sums.where(F.col("size") >= least).groupBy("digest")
         .agg(F.max("page_id").alias("refers_to"), F.min("page_id").alias("least_id"))
@@ -119,25 +124,74 @@ def _revisits(pages: DataFrame, least: int) -> DataFrame:
     return sums.join(keepers, "digest").where("page_id < refers_to").select("page_id", "digest", "refers_to").distinct()
 
 
-def _shards(pages: DataFrame, shard_bytes: int):
-    """Column that gives each page id its shard, from payload sums over equal id ranges."""
-    low, high = pages.agg(F.min("page_id"), F.max("page_id")).first()
-    if low is None:
-        return F.lit(0)
-    width = max(1, -(-(high - low + 1) // ID_BINS))
-    id_bin = F.floor((F.col("page_id") - low) / width).cast("int")
-    sizes = {r.bin: r.size for r in pages.groupBy(id_bin.alias("bin")).agg(F.sum(F.octet_length("payload") + 256).alias("size")).collect()}
-    shard_of, before = [], sizes.get(None, 0)
-    for b in range((high - low) // width + 1):
-        shard_of.append(before // shard_bytes)
-        before += sizes.get(b, 0)
-    return F.coalesce(F.element_at(F.array(*map(F.lit, shard_of)), id_bin + 1), F.lit(0)).cast("long")
-
-
-def write_archives(
+class _Ranges:
+    """Id ranges of about equal payload: the first id of each, its first shard and how many it has."""
+
+    def __init__(self, sums: DataFrame, shard_bytes: int):
+        ids = sums.where("page_id IS NOT NULL").select(F.col("page_id").cast("long").alias("id"), (F.col("size") + 256).alias("size"))
+        low, high, total = ids.agg(F.min("id"), F.max("id"), F.sum("size")).first()
+        self.target = max(shard_bytes, -(-(total or 0) // MAX_SHARDS))
+        leaves, heavy = [], [(low, high)] if total else []
+        while heavy:
+            found = self._split(ids, heavy)
+            leaves += [x for x in found if x[2] <= self.target or x[0] == x[1]]
+            heavy = sorted(x[:2] for x in found if x[2] > self.target and x[0] < x[1])
+        self.first, self.shard, self.shards = [], [], []
+        before, last = 0, None
+        for start, end, size, n in sorted(leaves):
+            hot = size > self.target
+            # An id of more rows than a shard takes has shards of its own.
+            now = (start,) if hot else before // self.target
+            if now != last:
+                self.first.append(start)
+                self.shard.append(self.shard[-1] + self.shards[-1] if self.shard else 0)
+                self.shards.append(min(n, -(-size // self.target)) if hot else 1)
+            before, last = before + (0 if hot else size), now
+        nameless = sums.where("page_id IS NULL").agg(F.count(F.lit(1)), F.coalesce(F.sum(F.col("size") + 256), F.lit(0))).first()
+        self.count = max(self.shard[-1] + self.shards[-1] if self.shard else 1, min(nameless[0], nameless[1] // self.target))
+
+    @staticmethod
+    def _split(ids: DataFrame, ranges: list[tuple[int, int]]) -> list[tuple[int, int, int, int]]:
+        """(first id, last id, bytes, rows) of the parts of all ``ranges``, which are sorted, that hold ids."""
+        parts = max(16, ID_BINS // len(ranges))
+        start = np.array([a for a, _ in ranges], np.int64)
+        end = np.array([b for _, b in ranges], np.int64)
+        widths = [-(-(b - a + 1) // parts) for a, b in ranges]
+        width = np.array(widths, np.uint64)
+
+        @F.pandas_udf("long")
+        def part(own: pd.Series) -> pd.Series:
+            x = own.to_numpy(np.int64)
+            at = np.searchsorted(start, x, "right") - 1
+            inside = (at >= 0) & (x <= end[at])
+            step = (x.view(np.uint64) - start[at].view(np.uint64)) // width[at]
+            return pd.Series(np.where(inside, at * parts + step.astype(np.int64), -1))
+
+        found = ids.groupBy(part("id").alias("part")).agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")).where("part >= 0").toArrow()
+        out = []
+        for p, size, n in zip(*(found[c].to_pylist() for c in ("part", "size", "n"))):
+            at, step = divmod(p, parts)
+            a = ranges[at][0] + step * widths[at]
+            out.append((a, min(a + widths[at] - 1, ranges[at][1]), size, n))
+        return out
+
+    def column(self):
+        """Shard of a row by ``page_id`` and ``digest``; rows without an id spread over all."""
+        first, shard, shards = (np.array(x, np.int64) for x in (self.first, self.shard, self.shards))
+
+        @F.pandas_udf("long")
+        def of(own: pd.Series, digest: pd.Series) -> pd.Series:
+            at = np.maximum(np.searchsorted(first, own.to_numpy(np.int64), "right") - 1, 0)
+            return pd.Series(shard[at] + digest.to_numpy(np.int64) % shards[at])
+
+        known = of(F.coalesce(F.col("page_id").cast("long"), F.lit(0)), F.xxhash64("digest")) if self.first else F.lit(0).cast("long")
+        return F.when(F.col("page_id").isNotNull(), known).otherwise(F.pmod(F.xxhash64("digest", "url"), F.lit(self.count)))
+
+
+def archived(
     pages: DataFrame, folder: str, shard_bytes: int = SHARD_BYTES, roll_bytes: int = ROLL_BYTES, least_shared: int = LEAST_SHARED
-) -> list[dict]:
-    """Write ``pages`` (page_id whole number, url, html) below ``folder`` and return the manifest.
+) -> DataFrame:
+    """Write ``pages`` (page_id whole number, url, html) below ``folder``; (final, records, bytes, sha256) of its files.
 
     A null html is an empty payload. Of equal payloads the one with the largest id is the
     response, the smaller ids revisit it; rows that repeat the largest id are responses too,
@@ -145,12 +199,14 @@ def write_archives(
     """
     rows = pages.select("page_id", "url", F.coalesce(F.col("html"), F.lit("")).alias("payload")).withColumn("digest", F.sha1("payload"))
     id_type = pages.schema["page_id"].dataType.simpleString()
-    notes = _revisits(rows, least_shared).select(
+    sums = K.settled(rows.select("page_id", "digest", F.octet_length("payload").cast("long").alias("size")))
+    notes = _revisits(sums, least_shared).select(
         "page_id", F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("payload"), "digest", "refers_to", F.lit(0).alias("kind")
     )
     both = notes.unionByName(rows.withColumns({"refers_to": F.lit(None).cast(id_type), "kind": F.lit(1)}))
+    ranges = _Ranges(sums, shard_bytes)
     dealt = (
-        both.withColumn("shard", _shards(rows, shard_bytes)).repartition("shard")
+        both.withColumn("shard", ranges.column()).repartition(ranges.count, "shard")
         .sortWithinPartitions("shard", "page_id", "kind", "digest", "url")
     )
     store, base = fs.FileSystem.from_uri(folder)
@@ -181,18 +237,34 @@ def write_archives(
             roller.close()
             yield from _manifest_rows(roller)
 
+    def name(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        store, base = fs.FileSystem.from_uri(folder)
+        for frame in frames:
+            for old, new in zip(frame["temporary"], frame["final"]):
+                if store.get_file_info(f"{base}/{old}").type == fs.FileType.File:
+                    store.move(f"{base}/{old}", f"{base}/{new}")
+                elif store.get_file_info(f"{base}/{new}").type != fs.FileType.File:
+                    raise FileNotFoundError(f"{base}/{old}")
+            yield frame.drop(columns="temporary")
+
     # Nullable ids travel as text, so that no large one turns into a float.
     sent = dealt.withColumns({"page_id": F.col("page_id").cast("string"), "refers_to": F.col("refers_to").cast("string")})
-    manifest = [r.asDict() for r in sent.mapInPandas(write, _MANIFEST).collect()]
-    manifest.sort(key=lambda r: r["final"])
-    for row in manifest:
-        store.move(f"{base}/{row['temporary']}", f"{base}/{row['final']}")
-    listed = [{k: v for k, v in row.items() if k != "temporary"} for row in manifest]
+    written = K.settled(sent.mapInPandas(write, _MANIFEST))
+    files = K.settled(written.mapInPandas(name, _MANIFEST.partition(", ")[2]))
+    files.write.json(f"{folder}/manifest")
+    totals = files.agg(F.count(F.lit(1)).alias("files"), *(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("records", "bytes"))).first()
     with store.open_output_stream(f"{base}/_temporary/manifest.json") as out:
-        out.write("".join(json.dumps(row) + "\n" for row in listed).encode())
+        out.write((json.dumps(totals.asDict()) + "\n").encode())
     store.move(f"{base}/_temporary/manifest.json", f"{base}/manifest.json")
     store.delete_dir(f"{base}/_temporary")
-    return listed
+    return files
+
+
+def write_archives(
+    pages: DataFrame, folder: str, shard_bytes: int = SHARD_BYTES, roll_bytes: int = ROLL_BYTES, least_shared: int = LEAST_SHARED
+) -> list[dict]:
+    """``archived``, whose list of files comes back sorted, for archives of few files."""
+    return [r.asDict() for r in archived(pages, folder, shard_bytes, roll_bytes, least_shared).orderBy("final").collect()]
 
 
 def _manifest_rows(roller: _Roller) -> Iterator[pd.DataFrame]:
@@ -224,8 +296,12 @@ def _page_of(uri: str | None) -> str | None:
 def read_archives(spark: SparkSession, folder: str, with_payload: bool = False, page_type: str = "long") -> DataFrame:
     """Page records of the committed files, each digest checked against its block and payload.
 
-    A file is read by one task as one row; ``ROLL_BYTES`` bounds its size.
+    A file is read by one task as one row; ``ROLL_BYTES`` bounds its size. An archive
+    without ``manifest.json`` was not finished and is refused.
     """
+    store, base = fs.FileSystem.from_uri(folder)
+    if store.get_file_info(f"{base}/manifest.json").type != fs.FileType.File:
+        raise FileNotFoundError(f"{folder}/manifest.json")
     schema = "page_id string, url string, record_type string, payload_bytes long, payload_digest string, refers_to string, payload binary"
 
     def parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -5,6 +5,7 @@ import hashlib
 
 import pytest
 from pyarrow import fs
+from pyspark.sql import functions as F
 
 from keysieve.llm import common, warc
 
@@ -50,6 +51,29 @@ def test_round_trip_and_same_bytes(spark, shard, roll, least):
     assert found[0] == found[1]
 
 
+def test_shards_stay_even_with_far_hot_and_missing_ids(spark, monkeypatch):
+    ids = [*range(400), 1 << 62, -(1 << 62), *[77] * 300, *[None] * 300]
+    sums = spark.createDataFrame([(i, str(k), 1000) for k, i in enumerate(ids)], "page_id long, digest string, size long").withColumn("url", F.lit("u"))
+    monkeypatch.setattr(warc, "ID_BINS", 32)
+    ranges = warc._Ranges(sums, 20_000)
+    sizes = [r["count"] for r in sums.groupBy(ranges.column().alias("shard")).count().collect()]
+    assert sum(sizes) == len(ids) and 40 <= len(sizes) <= ranges.count <= 80 and max(sizes) <= 60
+    rows = [(i, "http://a.test", f"<p>{i} {k % 9}</p>") for k, i in enumerate(ids)]
+    folder = common.shared_folder(spark)
+    assert warc.archived(frame(spark, rows), folder, 4000, 2000).agg(F.sum("records")).first()[0] == len(rows)
+    got = warc.read_archives(spark, folder).collect()
+    assert sorted(((r.page_id, r.url, r.record_type, r.payload_bytes, r.payload_digest, r.refers_to) for r in got), key=str) == expected(rows)
+
+
+def test_an_unfinished_archive_is_refused(spark):
+    folder = common.shared_folder(spark)
+    warc.archived(frame(spark, ROWS), folder)
+    store, base = fs.FileSystem.from_uri(folder)
+    store.move(f"{base}/manifest.json", f"{base}/manifest.gone")
+    with pytest.raises(FileNotFoundError):
+        warc.read_archives(spark, folder)
+
+
 def test_no_pages(spark):
     folder = common.shared_folder(spark)
     assert warc.write_archives(frame(spark, []), folder) == []
