@@ -206,7 +206,7 @@ def archived(
     both = notes.unionByName(rows.withColumns({"refers_to": F.lit(None).cast(id_type), "kind": F.lit(1)}))
     ranges = _Ranges(sums, shard_bytes)
     dealt = (
-        both.withColumn("shard", ranges.column()).repartition(ranges.count, "shard")
+        both.withColumn("shard", ranges.column()).repartitionById(ranges.count, F.col("shard").cast("int"))
         .sortWithinPartitions("shard", "page_id", "kind", "digest", "url")
     )
     store, base = fs.FileSystem.from_uri(folder)
