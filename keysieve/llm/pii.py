@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 from keysieve.llm import boosting
 from keysieve.llm import common as K
 
-#: Candidates of each kind and label that the trees learn from, at most.
-SAMPLE_SPANS = 4_000
+#: One in this many labelled candidates, by hash, sets the thresholds; the trees learn from all others.
+HELD_BACK = 4
 #: Share of right spans that a threshold must reach on rows held back.
 PRECISION = 0.99
 
@@ -226,40 +226,52 @@ class _Inside:
         return at >= 0 and bool(self.reach[at] >= end)
 
 
-def train(looked: DataFrame, sample: int = SAMPLE_SPANS) -> Model:
-    """Trees from at most ``sample`` candidates of each kind and label, picked by hash over all documents.
+def train(looked: DataFrame) -> Model:
+    """Trees and thresholds from every labelled candidate of all documents.
 
-    A quarter of them sets the thresholds. A kind whose held-back rows hold no pattern
-    span gets none added.
+    Candidates whose hash is divisible by ``HELD_BACK`` set the thresholds, the others
+    teach the trees. A kind whose held-back rows hold no pattern span gets none added.
     """
     size = 4 * FEATURES
-    rows = looked.select(F.xxhash64("features", "starts", "doc_id").alias("h"), "features", F.posexplode(F.arrays_zip("kinds", "starts", "marks")).alias("i", "s"))
-    rows = rows.where("s.marks >= 0").select(
-        F.xxhash64("h", "i").alias("h"), F.col("s.kinds").alias("kind"), F.col("s.marks").alias("mark"),
-        F.substring("features", F.col("i") * size + 1, F.lit(size)).alias("x"),
+    rows = looked.select(F.xxhash64("features", "starts", "doc_id").alias("h"), "features", F.posexplode(F.arrays_zip("kinds", "marks")).alias("i", "s"))
+    # What looks the same counts as one row with a weight.
+    rows = K.settled(
+        rows.where("s.marks >= 0").groupBy(
+            (F.pmod(F.xxhash64("h", "i"), F.lit(HELD_BACK)) == 0).alias("back"), F.col("s.kinds").alias("kind"), F.col("s.marks").alias("y"),
+            F.substring("features", F.col("i") * size + 1, F.lit(size)).alias("x"),
+        ).agg(F.count(F.lit(1)).alias("n"))
     )
-    rank = F.row_number().over(Window.partitionBy("kind", "mark").orderBy("h", "x"))
-    held = rows.withColumn("r", rank).where(F.col("r") <= sample).orderBy("kind", "mark", "r").toArrow()
-    x = np.frombuffer(b"".join(held["x"].to_pylist()), np.float32).reshape(-1, FEATURES).astype(float)
-    kinds, y = held["kind"].to_numpy(), held["mark"].to_numpy().astype(float)
-    back = held["r"].to_numpy() % 4 == 0
-    trees = boosting.fit(x[~back], y[~back])
-    scores = trees.scores(x)
+    trees = boosting.fit_table(rows.where("NOT back").select("x", "y", "n"), FEATURES)
+    return Model(trees, _thresholds(rows.where("back"), trees))
+
+
+def _thresholds(rows: DataFrame, trees: boosting.Trees) -> np.ndarray:
+    """Lowest score of each kind at which the spans above it reach ``PRECISION``; 2 where there is none."""
+    shared = rows.sparkSession.sparkContext.broadcast(trees)
+
+    @F.pandas_udf("double")
+    def margin(x: pd.Series) -> pd.Series:
+        return pd.Series(shared.value.margins(np.frombuffer(b"".join(x), np.float32).reshape(-1, FEATURES).astype(float)))
+
+    # A threshold takes all rows of its score. Running sums come from the order of whole ranges and the order inside each.
+    scored = rows.groupBy("kind", (-margin("x")).alias("below")).agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("y")).alias("right"))
+    ranges = K.settled(scored.repartitionByRange("kind", "below").withColumn("part", F.spark_partition_id()))
+    before = Window.partitionBy("kind").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = ranges.groupBy("kind", "part").agg(F.sum("n").alias("n"), F.sum("right").alias("right")).select(
+        "kind", "part", *(F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}_ahead") for c in ("n", "right"))
+    )
+    within = Window.partitionBy("kind", "part").orderBy("below").rowsBetween(Window.unboundedPreceding, 0)
+    running = ranges.join(F.broadcast(ahead), ["kind", "part"]).select(
+        "kind", "below", *((F.sum(c).over(within) + F.col(f"{c}_ahead")).alias(c) for c in ("n", "right"))
+    )
+    last = running.where((F.col("right") > 0) & (F.col("right") / F.col("n") >= PRECISION)).groupBy("kind").agg(F.max("below").alias("last"))
+    found = ranges.join(F.broadcast(last), "kind").where("below > last").groupBy("kind").agg(F.min("below").alias("next"))
     thresholds = np.full(len(KINDS), 2.0)
-    for kind in range(len(KINDS)):
-        own = back & (kinds == kind)
-        if not y[own].any():
-            continue
-        order = np.argsort(-scores[own], kind="stable")
-        right = np.cumsum(y[own][order])
-        # A threshold takes all rows of its score.
-        last = np.append(np.diff(scores[own][order]) < 0, True)
-        good = last & (right / np.arange(1, len(order) + 1) >= PRECISION)
-        if good.any():
-            # Half way to the next lower score, in log odds.
-            ranked, at = trees.margins(x[own])[order], np.flatnonzero(good)[-1]
-            thresholds[kind] = max(0.5, float(K.sigmoid(ranked[at : at + 2].mean())))
-    return Model(trees, thresholds)
+    for row in last.join(found, "kind", "left").collect():
+        # Half way to the next lower score, in log odds.
+        ends = [-x for x in (row["last"], row["next"]) if x is not None]
+        thresholds[row["kind"]] = max(0.5, float(K.sigmoid(np.mean(ends))))
+    return thresholds
 
 
 def looked_at(documents: DataFrame) -> DataFrame:
@@ -269,7 +281,7 @@ def looked_at(documents: DataFrame) -> DataFrame:
         return K.settled(documents.select("doc_id", looked(F.col("text")).alias("_s")).select("doc_id", "_s.*"))
 
 
-def detect(documents: DataFrame, sample: int = SAMPLE_SPANS) -> DataFrame:
+def detect(documents: DataFrame) -> DataFrame:
     """(doc_id, spans) for each row: spans are (kind, start, end, base, score), by start, kind and end.
 
     Places count code points, ends are exclusive. Null and empty texts have no spans; each
@@ -278,7 +290,7 @@ def detect(documents: DataFrame, sample: int = SAMPLE_SPANS) -> DataFrame:
     inside a pattern's span is not added. No documents give no rows.
     """
     looked = looked_at(documents)
-    model = looked.sparkSession.sparkContext.broadcast(train(looked, sample))
+    model = looked.sparkSession.sparkContext.broadcast(train(looked))
 
     def chosen(batches: Iterator[tuple]) -> Iterator[pd.Series]:
         for columns in batches:
@@ -324,12 +336,12 @@ def blanked(text: str, spans: list) -> str:
     return "".join(out) + text[last:]
 
 
-def redacted(documents: DataFrame, sample: int = SAMPLE_SPANS) -> DataFrame:
+def redacted(documents: DataFrame) -> DataFrame:
     """The documents with personal data replaced; null texts stay null, all other columns stay.
 
     Documents are matched by ``doc_id``, which must be unique and not null here.
     """
-    found = detect(documents, sample).where(F.size("spans") > 0)
+    found = detect(documents).where(F.size("spans") > 0)
     mark, name = K.fresh("_spans", documents), K.fresh("_found_id", documents)
     found = found.select(F.col("doc_id").alias(name), F.col("spans").alias(mark))
 

@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from keysieve.llm import boosting
 from keysieve.llm import pii as P
@@ -131,3 +132,31 @@ def test_trees_learn_what_no_single_split_can():
         scores = boosting.fit(np.zeros((5, 3)), ys).scores(np.zeros((2, 3)))
         assert (scores == scores[0]).all() and (scores[0] > 0.5) == bool(ys[0])
     assert 0 < boosting.fit(np.zeros((0, 3)), np.zeros(0)).scores(np.zeros((1, 3)))[0] < 1
+
+
+def test_trees_learn_from_every_candidate(spark):
+    rng = np.random.default_rng(3)
+    x = rng.integers(0, [3, 200, 90], (12_000, 3)).astype(np.float32)
+    y = ((x[:, 1] > 120) ^ (x[:, 0] == 1)).astype(int)
+    table = spark.createDataFrame([(r.tobytes(), int(v), 1) for r, v in zip(x, y)], "x binary, y int, n long").repartition(3)
+    plain = boosting.fit(x.astype(float), y.astype(float), rounds=5)
+    for most in (boosting.LOCAL_ROWS, 0):
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(boosting, "LOCAL_ROWS", most)
+            trees = boosting.fit_table(table, 3, rounds=5)
+        np.testing.assert_allclose(trees.scores(x.astype(float)), plain.scores(x.astype(float)), atol=1e-9)
+
+
+def test_no_candidate_is_left_out(spark, monkeypatch):
+    # More spans of a kind than any bound of the trees' sample had.
+    taught = []
+    fit = boosting.fit_table
+    monkeypatch.setattr(boosting, "fit_table", lambda rows, *a, **k: taught.append(rows) or fit(rows, *a, rounds=2, **k))
+    held = []
+    at = P._thresholds
+    monkeypatch.setattr(P, "_thresholds", lambda rows, trees: held.append(rows) or at(rows, trees))
+    texts = spark.range(0, 9_000, numPartitions=4).selectExpr("id AS doc_id", "concat('to ann', id, '@mail.example.com now') AS text")
+    model = P.train(P.looked_at(texts))
+    counted = [rows.where("y = 1").agg(F.sum("n")).first()[0] for rows in (taught[0], held[0])]
+    assert sum(counted) == 9_000 and 2_000 < counted[1] < 2_500
+    assert model.thresholds[P.EMAIL] <= 1
