@@ -14,6 +14,11 @@ from keysieve.operators.topk import best
 
 NEAR_MISS = "near_miss_high_confidence"
 
+# Whether a binding stands in a text: what precedes its name doesn't matter, and what follows it holds no white space and
+# no sign. Trying each start of a name with each of its lengths takes the JVM engine quadratic time.
+_NAME_REST = "[A-Za-z0-9_.-]*"
+_BINDING = C.SENSITIVE_BINDING_REGEX.replace("(" + _NAME_REST, "(", 1).replace(_NAME_REST + ")", _NAME_REST + "+)", 1)
+
 
 def _first_present(rows: DataFrame, names: tuple[str, ...], default: str = "") -> Column:
     for name in names:
@@ -72,7 +77,7 @@ def review_flags(rows: DataFrame, named_dumps: Sequence[str] = C.NAMED_DUMP_PATH
         "sensitive_variable": flag("variable_is_sensitive"),
         "is_assignment": flag("is_assignment_context"),
         "has_binding": variable.rlike("(?i)" + C.SENSITIVE_NAME_REGEX)
-        | window.rlike("(?i)" + C.SENSITIVE_BINDING_REGEX.replace(r"\s", f"[{SPACE}]")),
+        | window.rlike("(?i)" + _BINDING.replace(r"\s", f"[{SPACE}]")),
         "is_named_dump": any_of(path.contains(d) for d in named_dumps),
         "is_operational_id": (kind == C.UUID_PROVIDER) & contains_any(window, C.OPERATIONAL_ID_TERMS),
         "is_fake_key": window.contains("fake_key") | window.contains("false_key"),

@@ -40,10 +40,11 @@ SEGMENT_CHARS = 8192
 USAGE_CHARS = 240
 LONG_LINE = 8192
 
-# Both are tried at the start of a run only.
-_RUN = "(?<!{0}){0}{{{1},}}".format(C.RUN_CLASS, C.MIN_VALUE_LENGTH)
-_TOKEN = "(?<!{0}){0}{{{1},}}".format(C.TOKEN_CLASS, C.MIN_VALUE_LENGTH)
-_LONG_RUN = "(?<!{0}){0}{{{1},}}".format(C.RUN_CLASS, C.LONG_RUN)
+# Runs are searched for with the character before them, in a text with a blank in front: letters inside a word then
+# cost one test each, a third less time than a look-behind.
+_RUN = "[^{0}{1}{{{2}}}".format(C.RUN_CLASS[1:], C.RUN_CLASS, C.MIN_VALUE_LENGTH)
+_TOKEN = "[^{0}{1}{{{2},}}".format(C.TOKEN_CLASS[1:], C.TOKEN_CLASS, C.MIN_VALUE_LENGTH)
+_LONG_RUN = "[^{0}{1}{{{2}}}".format(C.RUN_CLASS[1:], C.RUN_CLASS, C.LONG_RUN)
 _HIT_TYPE = "array<struct<sig_ord:int,provider:string,tier:string,value:string,start:int>>"
 
 _LINE_TOKENS = "struct<usage:string,config_key:string,variable:string,call:string>"
@@ -74,7 +75,7 @@ def may_hold_value(text: Column) -> Column:
     hints = [s.hint for s in short if s.hint]
     # Bound, because a filter is pushed to where ``text`` may be a long expression.
     return let(
-        text,
+        F.concat(F.lit(" "), text),
         lambda t: t.rlike(_LONG_RUN)
         | (contains_any(t, literals) & t.rlike(_RUN))
         | any_of(t.rlike(hint) for hint in hints),
@@ -277,7 +278,8 @@ def _hits_in_segment(text: Column, signatures: Sequence[C.Signature], tokenise:
             ),
         )
 
-    return let(F.regexp_extract_all(text, F.lit(_TOKEN), F.lit(0)), over)
+    found = F.regexp_extract_all(F.concat(F.lit(" "), text), F.lit(_TOKEN), F.lit(0))
+    return let(F.transform(found, lambda t: F.substring(t, 2, F.length(t))), over)
 
 
 @built_once
