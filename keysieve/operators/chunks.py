@@ -13,7 +13,9 @@ import re
 import sys
 from collections.abc import Iterator, Sequence
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -29,11 +31,15 @@ _HALO = C.ASSET_WINDOW
 # Neighbours that a halo reaches over at most; chunks shorter than a halo are merged within their range.
 _NEIGHBOURS = 4
 _TOKEN = re.compile(C.TOKEN_CLASS + "*")
+_PACKED = pa.schema([("path", pa.string()), ("block", pa.int64()), ("number", pa.int64()), ("content", pa.string())])
 
 
 def _packed(chars: int, least: int):
-    def pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Runs of lines of one file and byte range, of about ``chars`` characters, longer lines cut between runs."""
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Runs of lines of one file and byte range, of about ``chars`` characters, longer lines cut between runs.
+
+        Lines are measured and joined by Arrow, so that only whole chunks become Python texts.
+        """
         now, number, held, parts, size = None, 0, None, [], 0
 
         def row(text: str) -> tuple:
@@ -53,33 +59,56 @@ def _packed(chars: int, least: int):
                     yield row(text)
             held = None
 
-        for frame in frames:
+        def sent(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays(
+                [pa.array(column, kind) for column, kind in zip(zip(*rows), _PACKED.types)], schema=_PACKED
+            )
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
             out = []
-            for path, block, line in zip(frame["path"], frame["block"], frame["line"]):
-                if (path, block) != now:
+            paths_, blocks, lines = (batch.column(c) for c in ("path", "block", "line"))
+            same = pc.and_(pc.equal(paths_[1:], paths_[:-1]), pc.equal(blocks[1:], blocks[:-1])).to_numpy(zero_copy_only=False)
+            edges = [0, *(np.flatnonzero(~same.astype(bool)) + 1).tolist(), len(lines)]
+            ends = np.cumsum(pc.utf8_length(lines).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
+            for at, stop in zip(edges, edges[1:]):
+                own = (paths_[at].as_py(), blocks[at].as_py())
+                if own != now:
                     if now is not None:
                         out.extend(ended())
-                    now, number = (path, block), 0
-                parts.append(line + "\n")
-                size += len(line) + 1
-                while size >= chars:
-                    whole = "".join(parts)
-                    cut = len(whole)
-                    if cut >= 2 * chars:
-                        cut = _TOKEN.match(whole, chars).end()
-                    if held:
-                        out.append(row(held))
-                    held, parts = whole[:cut], [whole[cut:]]
-                    size = len(parts[0])
+                    now, number = own, 0
+                while at < stop:
+                    before = int(ends[at - 1]) if at else 0
+                    # Up to the line that fills the chunk.
+                    upto = min(int(np.searchsorted(ends, before + chars - size)) + 1, stop)
+                    parts.append(_joined(lines[at:upto]))
+                    size += int(ends[upto - 1]) - before
+                    at = upto
+                    while size >= chars:
+                        whole = "".join(parts)
+                        cut = len(whole)
+                        if cut >= 2 * chars:
+                            cut = _TOKEN.match(whole, chars).end()
+                        if held:
+                            out.append(row(held))
+                        held, parts = whole[:cut], [whole[cut:]]
+                        size = len(parts[0])
             if out:
-                yield pd.DataFrame(out, columns=["path", "block", "number", "content"])
+                yield sent(out)
         out = list(ended()) if now is not None else []
         if out:
-            yield pd.DataFrame(out, columns=["path", "block", "number", "content"])
+            yield sent(out)
 
     return pack
 
 
+def _joined(lines: pa.Array) -> str:
+    """The text of the lines, each with its break."""
+    offsets = pa.array([0, len(lines)], pa.int64())
+    return pc.binary_join(pa.LargeListArray.from_arrays(offsets, lines), pa.scalar("\n", lines.type))[0].as_py() + "\n"
+
+
 def read_chunks(
     spark: SparkSession, path: str, repository: str = "", base_url: str = "", chunk_chars: int = CHUNK_CHARS
 ) -> DataFrame:
@@ -96,9 +125,11 @@ def read_chunks(
     rows = lines.select(
         F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"),
         F.make_valid_utf8("value").alias("line"),
-    ).where(paths.language(F.col("path")) != "python")
+    )
     least = min(_HALO, chunk_chars)
-    chunks = stored(rows.mapInPandas(_packed(chunk_chars, least), "path string, block long, number long, content string"))
+    packed = rows.mapInArrow(_packed(chunk_chars, least), "path string, block long, number long, content string")
+    # Asked of chunks, not of every line.
+    chunks = stored(packed.where(paths.language(F.col("path")) != "python"))
     after_break = F.length(F.substring_index("content", "\n", -1))
     sizes = chunks.select(
         "path", "block", "number", F.length("content").alias("chars"), (F.size(F.split("content", "\n", -1)) - 1).alias("breaks"),
