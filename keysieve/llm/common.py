@@ -34,14 +34,21 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{named.rstrip('/')}/{uuid.uuid4().hex}"
 
 
-def settled(rows: DataFrame) -> DataFrame:
+def settled(rows: DataFrame, path: str | None = None) -> DataFrame:
     """``rows`` written to the shared folder and read back: no lineage, safe from lost executors."""
     spark = rows.sparkSession
-    path = shared_folder(spark)
+    path = path or shared_folder(spark)
     rows.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(rows.schema).parquet(path)
 
 
+def forget(spark: SparkSession, *paths: str) -> None:
+    """Delete settled tables that nothing reads any more."""
+    for path in paths:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def in_batches(texts: DataFrame) -> DataFrame:
     """``texts`` as they are; from now on the session sends at most ``BATCH_ROWS`` rows to a worker at a time."""
     conf, name = texts.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -63,6 +70,18 @@ def small_batches(spark: SparkSession) -> Iterator[None]:
         conf.set(name, before)
 
 
+@contextmanager
+def freed_shuffles(spark: SparkSession) -> Iterator[None]:
+    """While it lasts, each job's shuffle files go when the job ends; for jobs whose results are settled."""
+    conf, name = spark.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(name)
+    conf.set(name, "true")
+    try:
+        yield
+    finally:
+        conf.set(name, before)
+
+
 #: Size of a map of ids: a fixed number of bits, whatever it maps.
 MAP_BITS = 22
 

@@ -9,19 +9,27 @@ most telling words and word pairs; a logistic
 curve, fitted on labelled rows that gave no counts, turns these into a score.
 
 Counts come from every labelled row of the counting folds and are exact: words are told
-apart by 64-bit hashes, stems by their bytes. The table of all words and stems is stored
-and grows with the corpus. Its most frequent rows, a bounded number, go to the tasks;
-texts meet the others by a join on the words that a map of bits does not rule out.
+apart by 64-bit hashes, stems by their bytes. The tables of all words, stems and pairs are
+stored and grow with the corpus. The most frequent words and stems, a bounded number, go to
+the tasks; texts meet the others by a join on the words that a map of bits does not rule out.
+
+Pairs travel as sorted, packed blocks: those of two frequent words as differences of their
+ranks, the others by hash. A block of texts asks each part of the table for the counts of its
+different pairs and gets them back in the order it asked; the block itself, words as ranks,
+lies in a table with buckets, so it is written once and never shuffled.
 """
 
 from __future__ import annotations
 
 import math
+import pickle
 import sys
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,14 +37,24 @@ from pyspark.sql import functions as F
 from keysieve.llm import common as K
 
 STEM_BYTES = 4
-#: Rows of each kind, the most frequent, that go to the tasks at most; the others are joined.
+#: Words and stems, the most frequent, that go to the tasks at most; the others are joined.
 TOP_ROWS = 1 << 19
-#: Size of the map of all words: it only spares texts the join, whatever it holds.
+#: Size of the map of all other words: it only spares texts the join, whatever it holds.
 MAP_BITS = 26
-WORD, STEM, PAIR, TEXT = 0, 1, 2, 9
+#: Words of the texts that a task turns into one block.
+BLOCK_WORDS = 1 << 19
+#: Labelled words for each part of the table of pairs.
+PART_WORDS = 1 << 20
+#: Pairs after this many of the most frequent words are spread over all parts.
+HEAVY = 1 << 10
+#: Rows of rare words or stems that a task packs at a time.
+FACT_ROWS = 1 << 18
+PAIR, WORD, STEM = 0, 1, 2
 TELLING = 4
 #: Labels, in hash order of their ids, that the logistic curve is fitted on at most.
 CURVE_ROWS = 50_000
+#: Labels that go to the texts at most; more meet them by a shuffle.
+SENT_LABELS = 1 << 20
 FOLDS = 5
 
 # Letters in lower case and all non-ASCII bytes make words.
@@ -63,65 +81,506 @@ def _words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return K.SpanHashes(buffer).of(starts, ends), stem, np.searchsorted(at, starts, "right") - 1
 
 
-def _prior(word: np.ndarray, text: np.ndarray) -> np.ndarray:
-    """The word before each word; 0 at a text's start."""
-    return np.where(np.diff(text, prepend=-1) == 0, np.roll(word, 1), np.uint64(0))
+def _prior(word: np.ndarray, text: np.ndarray, start) -> np.ndarray:
+    """The word before each word; ``start`` at a text's start."""
+    return np.where(np.diff(text, prepend=-1) == 0, np.roll(word, 1), start)
 
 
 def _pair(prior: np.ndarray, word: np.ndarray) -> np.ndarray:
     return K.mixed(word ^ K.mixed(prior + np.uint64(1)))
 
 
-def _counted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Counts of each word after each other word, by class, block by block."""
+def _parsed(frames: Iterator[pd.DataFrame], column: str) -> Iterator[tuple]:
+    """(values of ``column``, word, stem, text number) of about ``BLOCK_WORDS`` words at a time."""
+    held, texts_held, size = [], 0, 0
     for frame in frames:
-        texts, toxic = K.encoded(frame["text"]), frame["toxic"].to_numpy(np.int64)
+        texts, values = K.encoded(frame["text"]), frame[column].to_numpy(np.int64)
         for lo, hi in K.blocks(texts):
             word, stem, text = _words(texts[lo:hi])
-            if not len(word):
-                continue
-            prior = _prior(word, text)
-            _, first, which = np.unique(_pair(prior, word), return_index=True, return_inverse=True)
-            bad = np.bincount(which, toxic[lo:hi][text], len(first)).astype(np.int64)
-            yield pd.DataFrame({
-                "word": word[first].view(np.int64), "stem": stem[first], "prior": prior[first].view(np.int64),
-                "c1": bad, "c0": np.bincount(which, minlength=len(first)) - bad,
-            })
+            held.append((values[lo:hi], word, stem, text + texts_held))
+            texts_held, size = texts_held + hi - lo, size + hi - lo + len(word)
+            if size >= BLOCK_WORDS:
+                yield tuple(np.concatenate(x) for x in zip(*held))
+                held, texts_held, size = [], 0, 0
+    if held:
+        yield tuple(np.concatenate(x) for x in zip(*held))
+
+
+def _tallied(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """How often each word stands and how often a word follows it, by class; word 0 is a text's start."""
+    for toxic, word, stem, text in _parsed(frames, "toxic"):
+        if not len(word):
+            continue
+        bad = toxic[text]
+        which, own = pd.factorize(word)
+        stems = np.zeros(len(own), np.int64)
+        stems[which] = stem
+        leads, opens = np.diff(text, append=-1) == 0, np.diff(text, prepend=-1) != 0
+        c1, c = np.bincount(which, bad, len(own)), np.bincount(which, minlength=len(own))
+        n1, n = np.bincount(which[leads], bad[leads], len(own)), np.bincount(which[leads], minlength=len(own))
+        yield pd.DataFrame({
+            "word": own.view(np.int64), "stem": stems, "c0": c - c1.astype(np.int64), "c1": c1.astype(np.int64),
+            "n0": n - n1.astype(np.int64), "n1": n1.astype(np.int64),
+        })
+        begun, begun_bad = int(opens.sum()), int(bad[opens].sum())
+        yield pd.DataFrame({
+            "word": [0], "stem": pd.array([None], "Int64"), "c0": [0], "c1": [0], "n0": [begun - begun_bad], "n1": [begun_bad],
+        })
+
+
+def _packed(values: np.ndarray) -> bytes:
+    """Whole numbers, none negative, in few bytes: bytes of one weight together, compressed."""
+    values = np.ascontiguousarray(values, np.min_scalar_type(int(values.max(initial=0))))
+    planes = np.ascontiguousarray(values.view(np.uint8).reshape(len(values), values.itemsize).T)
+    return bytes([values.itemsize]) + len(values).to_bytes(8, "little") + pa.compress(planes.tobytes(), "zstd", asbytes=True)
+
+
+def _unpacked(load: bytes, kind=np.int64) -> np.ndarray:
+    width, n = load[0], int.from_bytes(load[1:9], "little")
+    if not n:
+        return np.zeros(0, kind)
+    planes = np.frombuffer(pa.decompress(load[9:], n * width, "zstd", asbytes=True), np.uint8).reshape(width, n)
+    return np.ascontiguousarray(planes.T).view(f"<u{width}").ravel().astype(kind)
+
+
+def _rising(values: np.ndarray) -> bytes:
+    """``_packed`` for sorted numbers of 64 bits."""
+    return _packed(np.diff(values, prepend=np.uint64(0)))
+
+
+def _risen(load: bytes) -> np.ndarray:
+    return np.cumsum(_unpacked(load, np.uint64), dtype=np.uint64)
+
+
+def _grouped(code: np.ndarray) -> list[bytes]:
+    """Sorted pairs of ranks: first ranks as differences, how many pairs each has, and the second ranks as differences."""
+    first, second = (code >> np.uint64(32)).astype(np.int64), (code & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    new = np.diff(first, prepend=-1) != 0
+    at = np.flatnonzero(new)
+    second[1:] -= np.where(new[1:], 0, second[:-1])
+    return [_packed(np.diff(first[at], prepend=0)), _packed(np.diff(at, append=len(code))), _packed(second)]
+
+
+def _ungrouped(load: list[bytes]) -> np.ndarray:
+    first, n, second = map(_unpacked, load)
+    run = np.cumsum(second)
+    begin = np.cumsum(n) - n
+    second = run - np.repeat(run[begin] - second[begin], n)
+    return (np.repeat(np.cumsum(first), n) << 32 | second).astype(np.uint64)
+
+
+def _sent(spark: SparkSession, value):
+    """A compressed broadcast; its files lie on the disks of driver and executors until it is destroyed."""
+    return spark.sparkContext.broadcast(pa.compress(raw := cloudpickle.dumps(value), "zstd", asbytes=True) + len(raw).to_bytes(8, "little"))
+
+
+def _opener(shared) -> Callable:
+    """Gives what ``_sent`` sent, opened once in a task."""
+    held = []
+
+    def value():
+        if not held:
+            load = shared.value
+            held.append(pickle.loads(pa.decompress(load[:-8], int.from_bytes(load[-8:], "little"), "zstd", asbytes=True)))
+        return held[0]
+
+    return value
+
+
+class Names:
+    """Ranks of the most frequent words; the last rank is that of word 0, a text's start."""
+
+    def __init__(self, number: np.ndarray, count: np.ndarray):
+        self.__setstate__(np.append(number[np.lexsort((number, -count))], 0).astype(np.int64).view(np.uint64))
+
+    def __getstate__(self):
+        return self.word
+
+    def __setstate__(self, word: np.ndarray) -> None:
+        self.word, self.start = word, len(word) - 1
+        self._order = np.argsort(word)
+        self._sorted = word[self._order]
+
+    def rank(self, word: np.ndarray) -> np.ndarray:
+        """Ranks, -1 for other words."""
+        at = np.minimum(np.searchsorted(self._sorted, word), len(self._sorted) - 1)
+        return np.where(self._sorted[at] == word, self._order[at], -1)
+
+
+class Pairs:
+    """Different pairs of a block by part and number; ``which`` leads from each occurrence to its pair.
+
+    Pairs stay with their first word; those after a frequent word are spread by the second.
+    """
+
+    def __init__(self, number: np.ndarray, prior: np.ndarray, word: np.ndarray, heavy: np.ndarray, parts: int):
+        order = np.argsort(number)
+        number = number[order]
+        new = np.ones(len(number), bool)
+        new[1:] = number[1:] != number[:-1]
+        first = order[new]
+        salt = np.where(heavy[first], (K.mixed(word[first]) >> np.uint64(58)) + np.uint64(1), np.uint64(0))
+        part = (K.mixed(prior[first] + K.mixed(salt)) % np.uint64(parts)).astype(np.uint16 if parts < 1 << 16 else np.uint32)
+        by = np.argsort(part, kind="stable")
+        place = np.empty(len(by), np.int64)
+        place[by] = np.arange(len(by))
+        self.which = np.empty(len(order), np.int64)
+        self.which[order] = place[np.cumsum(new) - 1]
+        self.first, self.number = first[by], number[new][by]
+        self.edges = np.searchsorted(part[by], np.arange(parts + 1))
+
+
+def _both_kinds(prior_rank: np.ndarray, prior: np.ndarray, rank: np.ndarray, word: np.ndarray, names: Names, parts: int) -> list:
+    """(occurrences, their ``Pairs``) of pairs of two ranks, numbered by these, and of all others, numbered by hash."""
+    heavy = (prior_rank == names.start) | ((prior_rank >= 0) & (prior_rank < HEAVY))
+    named = (prior_rank >= 0) & (rank >= 0)
+    out = []
+    for at in (np.flatnonzero(named), np.flatnonzero(~named)):
+        if out:
+            number = _pair(prior[at], word[at])
+        else:
+            number = (prior_rank[at] << 32 | rank[at]).astype(np.uint64)
+        out.append((at, Pairs(number, prior[at], word[at], heavy[at], parts)))
+    return out
+
+
+_TABLE = "part int, load array<binary>"
+_TABLES = "part int, kind int, load array<binary>"
+
+
+def _counted(shared, parts: int):
+    """Counts of each word after each other word, by class: for each block and part one packed row."""
+
+    opened = _opener(shared)
+
+    def counted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = opened()
+        for toxic, word, _, text in _parsed(frames, "toxic"):
+            which, own = pd.factorize(word)
+            rank = names.rank(own)[which]
+            prior = _prior(word, text, np.uint64(0))
+            loads = []
+            for at, pairs in _both_kinds(_prior(rank, text, names.start), prior, rank, word, names, parts):
+                n = len(pairs.first)
+                c1 = np.bincount(pairs.which, toxic[text[at]], n).astype(np.int64)
+                c0 = np.bincount(pairs.which, minlength=n) - c1
+                own = at[pairs.first]
+                loads.append((pairs, c0, c1, prior[own], word[own]))
+            rows = []
+            for part in range(parts):
+                (a, b), (c, d) = ((x[0].edges[part], x[0].edges[part + 1]) for x in loads)
+                if a < b or c < d:
+                    (pairs, c0, c1, _, _), (_, d0, d1, q, w) = loads
+                    rows.append((part, _table_load(pairs.number[a:b], c0[a:b], c1[a:b], q[c:d], w[c:d], d0[c:d], d1[c:d])))
+            yield pd.DataFrame(rows, columns=["part", "load"])
+
+    return counted
+
+
+def _table_load(code, c0, c1, prior, word, d0, d1) -> list[bytes]:
+    order = np.argsort(prior)
+    return [*_grouped(code), _packed(c0), _packed(c1), _rising(prior[order]), *(_packed(x[order]) for x in (word, d0, d1))]
+
+
+def _table(load) -> tuple:
+    """Codes, their counts; words of the other pairs, their counts."""
+    return (
+        _ungrouped(load[:3]), _unpacked(load[3]), _unpacked(load[4]), _risen(load[5]), _unpacked(load[6], np.uint64),
+        _unpacked(load[7]), _unpacked(load[8]),
+    )
+
+
+def _summed(number: np.ndarray, *counts: np.ndarray) -> tuple:
+    """Different numbers, sorted, the place of one of each, and their summed counts."""
+    order = np.argsort(number)
+    number = number[order]
+    new = np.ones(len(number), bool)
+    new[1:] = number[1:] != number[:-1]
+    at = np.flatnonzero(new)
+    return number[at], order[at], *(np.add.reduceat(c[order], at) if len(at) else c for c in counts)
+
+
+def _merged(rows: pd.DataFrame) -> pd.DataFrame:
+    """One part of the table from the rows of all blocks."""
+    code, c0, c1, prior, word, d0, d1 = (np.concatenate(x) for x in zip(*map(_table, rows["load"])))
+    code, _, c0, c1 = _summed(code, c0, c1)
+    _, at, d0, d1 = _summed(_pair(prior, word), d0, d1)
+    return pd.DataFrame({"part": rows["part"][:1], "load": [_table_load(code, c0, c1, prior[at], word[at], d0, d1)]})
+
+
+def _marginals(shared):
+    """After how many words each word stands, and by class how many follow it."""
+
+    opened = _opener(shared)
+
+    def marginals(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        named = opened().word
+        for frame in frames:
+            for load in frame["load"]:
+                code, c0, c1, prior, word, d0, d1 = _table(load)
+                prior = np.concatenate([named[(code >> np.uint64(32)).astype(np.int64)], prior])
+                word = np.concatenate([named[(code & np.uint64(0xFFFFFFFF)).astype(np.int64)], word])
+                which, own = pd.factorize(np.concatenate([word, prior]))
+                n, first = len(own), which[len(word):]
+                yield pd.DataFrame({
+                    "word": own.view(np.int64), "contexts": np.bincount(which[: len(word)], minlength=n),
+                    **{f"k{c}": np.bincount(first[np.concatenate(x) > 0], minlength=n) for c, x in enumerate(((c0, d0), (c1, d1)))},
+                })
+
+    return marginals
+
+
+def _rare_counts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """How many pairs stand once and twice, by class."""
+    for frame in frames:
+        for load in frame["load"]:
+            _, c0, c1, _, _, d0, d1 = _table(load)
+            own = {0: np.concatenate([c0, d0]), 1: np.concatenate([c1, d1])}
+            yield pd.DataFrame({f"c{c}_{k}": [int((own[c] == k).sum())] for c in (0, 1) for k in (1, 2)})
+
+
+_STORE = "block long, load array<binary>"
+
+
+def _stored(shared):
+    """Blocks of different texts. Ids of words: their rank; beyond the start's, the other words that may be in the table; then stems."""
+
+    opened = _opener(shared)
+
+    def stored(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names, bits, _, _ = opened()
+        seen: set[int] = set()
+
+        def unseen():
+            for frame in frames:
+                # Copies need to be looked up once.
+                new = ~(frame["key"].duplicated() | frame["key"].isin(seen)).to_numpy()
+                seen.update(frame["key"][new])
+                yield frame[new]
+
+        for keys, word, stem, text in _parsed(unseen(), "key"):
+            which, own = pd.factorize(word)
+            stems = np.zeros(len(own), np.int64)
+            stems[which] = stem
+            ids = names.rank(own)
+            rare = np.flatnonzero((ids < 0) & _marked(bits, own))
+            ids[rare] = names.start + 1 + np.arange(len(rare))
+            left = np.flatnonzero(ids < 0)
+            code, other = pd.factorize(stems[left])
+            ids[left] = names.start + 1 + len(rare) + code
+            load = [keys.view(np.uint64), np.bincount(text, minlength=len(keys)), ids[which], own[rare], stems[rare], other]
+            yield pd.DataFrame({"block": [uuid.uuid4().int >> 65], "load": [[_packed(x) for x in load]]})
+
+    return stored
+
+
+class Dealt:
+    """Numbers in order of their part, sorted in each."""
+
+    def __init__(self, number: np.ndarray, parts: int):
+        part = K.mixed(number) % np.uint64(parts)
+        self.order = np.lexsort((number, part))
+        self.number = number[self.order]
+        self.edges = np.searchsorted(part[self.order], np.arange(parts + 1).astype(np.uint64))
+
+
+class Block:
+    """A stored block: texts by key, its words' ids, its pairs that may be in the table, and what else it needs from there."""
+
+    def __init__(self, load, names: Names, roots: Top, parts: int):
+        self.keys, self.size, self.ids, self.rare, stems, other = (
+            _unpacked(x, kind) for x, kind in zip(load, (np.uint64, np.int64, np.int64, np.uint64, np.int64, np.int64))
+        )
+        self.text = np.repeat(np.arange(len(self.size)), self.size)
+        may = names.start + 1 + len(self.rare)
+        prior = _prior(self.ids, self.text, names.start)
+        self.at = np.flatnonzero((self.ids < may) & (prior < may))
+        word = np.concatenate([names.word, self.rare])
+        self.prior, own = prior[self.at], self.ids[self.at]
+        rank = lambda x: np.where(x <= names.start, x, -1)
+        self.kinds = _both_kinds(rank(self.prior), word[self.prior], rank(own), word[own], names, parts)
+        self.stems = np.concatenate([stems, other])
+        self.root, self.root_gain = roots.find(self.stems)
+        self.words = Dealt(self.rare, parts)
+        self.far = np.unique(self.stems[~self.root])
+        self.far_stems = Dealt(self.far.astype(np.uint64), parts)
+
+
+def _asked(shared, parts: int):
+    """What each block asks each part of the tables for."""
+    opened = _opener(shared)
+
+    def asked(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names, _, roots, _ = opened()
+        for frame in frames:
+            for block, load in zip(frame["block"], frame["load"]):
+                own, rows = Block(load, names, roots, parts), []
+                kinds = [*(x for _, x in own.kinds), own.words, own.far_stems]
+                for part in range(parts):
+                    code, *others = (x.number[x.edges[part] : x.edges[part + 1]] for x in kinds)
+                    if len(code) or any(map(len, others)):
+                        rows.append((part, block, [*_grouped(code), *map(_rising, others)]))
+                yield pd.DataFrame(rows, columns=["part", "block", "load"])
+
+    return asked
+
+
+def _facts_by_part(kind: int, columns: tuple, parts: int):
+    """Rows of words or stems, packed for each part."""
+
+    def packed(rows: list[pd.DataFrame]) -> pd.DataFrame:
+        rows = pd.concat(rows)
+        own = Dealt(rows["number"].to_numpy(np.int64).view(np.uint64), parts)
+        values, out = [rows[x].to_numpy(float)[own.order].view(np.uint64) for x in columns], []
+        for part in range(parts):
+            lo, hi = own.edges[part], own.edges[part + 1]
+            if lo < hi:
+                out.append((part, kind, [_rising(own.number[lo:hi]), *(_packed(x[lo:hi]) for x in values)]))
+        return pd.DataFrame(out, columns=["part", "kind", "load"])
+
+    def facts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, size = [], 0
+        for frame in frames:
+            held.append(frame)
+            size += len(frame)
+            if size >= FACT_ROWS:
+                yield packed(held)
+                held, size = [], 0
+        if size:
+            yield packed(held)
+
+    return facts
+
+
+def _no_rows(*columns: str) -> pd.DataFrame:
+    return pd.DataFrame({x: pd.Series([], dtype=object) for x in columns})
+
+
+def _found(number: np.ndarray, ask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether each number asked for is among the sorted ones, and the places of those that are."""
+    at = np.searchsorted(number, ask)
+    found = np.zeros(len(ask), bool)
+    inside = at < len(number)
+    found[inside] = number[at[inside]] == ask[inside]
+    return found, at[found]
+
+
+def _answered(asked: pd.DataFrame, table: pd.DataFrame) -> pd.DataFrame:
+    """What blocks ask one part for, in the order asked: counts of pairs (zero for those it lacks), and rare words and stems that it has."""
+    if not len(asked) or not len(table):
+        return _no_rows("block", "part", "load")
+    loads = {k: [load for kind, load in zip(table["kind"], table["load"]) if kind == k] for k in (PAIR, WORD, STEM)}
+    code, c0, c1, prior, word, d0, d1 = _table(loads[PAIR][0] if loads[PAIR] else _NO_PAIRS)
+    pair = _pair(prior, word)
+    order = np.argsort(pair)
+    pairs = ((code, c0, c1), (pair[order], d0[order], d1[order]))
+    facts = []
+    for kind, width in ((WORD, len(_FACTS)), (STEM, 1)):
+        none = np.zeros(0, np.uint64)
+        number = np.concatenate([none, *(_risen(x[0]) for x in loads[kind])])
+        order = np.argsort(number)
+        facts.append((number[order], *(np.concatenate([none, *(_unpacked(x[1 + k], np.uint64) for x in loads[kind])])[order] for k in range(width))))
+    out = []
+    for load in asked["load"]:
+        own = []
+        for (number, *counts), ask in zip(pairs, (_ungrouped(load[:3]), _risen(load[3]))):
+            found, at = _found(number, ask)
+            for count in counts:
+                told = np.zeros(len(ask), np.int64)
+                told[found] = count[at]
+                own.append(_packed(told))
+        for (number, *values), ask in zip(facts, map(_risen, load[4:])):
+            found, at = _found(number, ask)
+            own += [_packed(found), *(_packed(x[at]) for x in values)]
+        out.append(own)
+    return pd.DataFrame({"block": asked["block"], "part": asked["part"], "load": out})
 
 
 class Top:
-    """The most frequent rows of one kind: gains and shifts by number."""
+    """The most frequent rows of one kind: gains by number."""
 
-    def __init__(self, number: np.ndarray, gain: np.ndarray, shift: np.ndarray):
+    def __init__(self, number: np.ndarray, gain: np.ndarray):
         order = np.argsort(number)
-        self.number, self.gain, self.shift = number[order], gain[order], shift[order]
+        self.number, self.gain = number[order], gain[order]
 
-    def find(self, number: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Whether each number is here, and its gain and shift if so."""
+    def find(self, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Whether each number is here, and its gain if so."""
         if not len(self.number):
-            return np.zeros(len(number), bool), np.zeros(len(number)), np.zeros(len(number))
+            return np.zeros(len(number), bool), np.zeros(len(number))
         at = np.minimum(np.searchsorted(self.number, number), len(self.number) - 1)
-        return self.number[at] == number, self.gain[at], self.shift[at]
-
-
-def _top_of(text: np.ndarray, gain: np.ndarray, times: np.ndarray, texts: int) -> np.ndarray:
-    """The ``TELLING`` largest gains of each text, each as often as it stands there; NaN where there are fewer."""
-    out = np.full((texts, TELLING), np.nan)
-    again = np.minimum(times, TELLING)
-    text, gain = np.repeat(text, again), np.repeat(gain, again)
-    order = np.lexsort((-gain, text))
-    text, gain = text[order], gain[order]
-    place = np.arange(len(text)) - np.searchsorted(text, text)
-    few = place < TELLING
-    out[text[few], place[few]] = gain[few]
+        return self.number[at] == number, self.gain[at]
+
+
+def _top_of(text: np.ndarray, gain: np.ndarray, texts: int) -> np.ndarray:
+    """The ``TELLING`` largest gains of each text, whose words stand together; zero where there are fewer."""
+    out, gain = np.zeros((texts, TELLING)), gain.copy()
+    starts = np.flatnonzero(np.diff(text, prepend=-1))
+    for k in range(TELLING if len(text) else 0):
+        most = np.full(texts, -np.inf)
+        most[text[starts]] = np.maximum.reduceat(gain, starts)
+        out[:, k] = np.where(most > -np.inf, most, 0.0)
+        at = np.flatnonzero((gain == most[text]) & (gain > -np.inf))
+        gain[at[np.diff(text[at], prepend=-1) != 0]] = -np.inf
     return out
 
 
-_NEEDS = "key long, kind byte, number long, of long, times long, leads long, other double, known array<double>"
+_FACTS = ("p0", "p1", "n0", "n1", "left0", "left1")
+_NO_PAIRS = _table_load(*(np.zeros(0, x) for x in (np.uint64, int, int, np.uint64, np.uint64, int, int)))
+
+
+def _signs(shared, parts: int, unseen: float, cut: list[float]):
+    """Signs of the texts of one block from its own row and what the tables told."""
+    opened = _opener(shared)
+
+    def signs(stored: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
+        if not len(stored):
+            return _no_rows("key", "signs")
+        names, _, roots, known = opened()
+        own = Block(stored["load"].iloc[0], names, roots, parts)
+        n, rare = len(own.keys), len(own.rare)
+        counts = [np.zeros((2, len(pairs.first))) for _, pairs in own.kinds]
+        more, far = np.full((len(_FACTS), rare), np.nan), np.full(len(own.far), unseen)
+        for part, load in zip(told["part"], told["load"]):
+            for k, (_, pairs) in enumerate(own.kinds):
+                counts[k][:, pairs.edges[part] : pairs.edges[part + 1]] = [_unpacked(x) for x in load[2 * k : 2 * k + 2]]
+            for dealt, values, load in ((own.words, more, load[4 : 5 + len(_FACTS)]), (own.far_stems, far[None], load[5 + len(_FACTS) :])):
+                places = dealt.order[dealt.edges[part] : dealt.edges[part + 1]][_unpacked(load[0], bool)]
+                values[:, places] = [_unpacked(x, np.uint64).view(float) for x in load[1:]]
+        facts = np.concatenate([known, more], axis=1)
+        other = own.root_gain
+        other[~own.root] = far[np.searchsorted(own.far, own.stems[~own.root])]
+        p0, p1, _, _, left0, left1 = facts
+        # A word that the table lacks has its stem's gain and no shift.
+        gain = np.log(p1 / p0)
+        lacks = np.flatnonzero(np.isnan(more[0]))
+        gain[names.start + 1 + lacks] = other[lacks]
+        gain = np.concatenate([gain, other[rare:]])
+        shift = np.concatenate([np.nan_to_num(np.log(left1 / left0)), np.zeros(len(other) - rare)])
+        word_gain = gain[own.ids]
+        leads = np.diff(own.text, append=-1) == 0
+        size = np.maximum(own.size, 1)
+        after = np.bincount(own.text[leads], shift[own.ids[leads]], n) + shift[names.start] * (own.size > 0)
+
+        pair_gain = np.full(len(own.text), -np.inf)
+        for (at, pairs), count in zip(own.kinds, counts):
+            first = at[pairs.first]
+            here = count.sum(0) > 0
+            q, w = own.prior[first][here], own.ids[own.at[first]][here]
+            likely = [np.maximum(count[c, here] - cut[c], 0.0) / np.maximum(facts[2 + c, q], 1) + facts[4 + c, q] * facts[c, w] for c in (0, 1)]
+            value, beyond = np.full(len(here), -np.inf), np.zeros(len(here))
+            value[here] = np.log(likely[1] / likely[0])
+            beyond[here] = value[here] - gain[w] - shift[q]
+            pair_gain[own.at[at]] = value[pairs.which]
+            after += np.bincount(own.text[own.at[at]], beyond[pairs.which], n)
+        mean = np.bincount(own.text, word_gain, n) / size
+        out = np.column_stack([mean, _top_of(own.text, word_gain, n), mean + after / size, _top_of(own.text, pair_gain, n)])
+        return pd.DataFrame({"key": own.keys.view(np.int64), "signs": list(out)})
+
+    return signs
 
 
 class KneserNey:
-    """Both class models: ``rows`` (kind, number, count, gain, shift) holds every word, stem and pair of words.
+    """Both class models: ``words`` and ``roots`` (stems) with what they add, ``pairs`` with the packed counts of each part.
 
     A gain is a word's toxic minus ordinary log-likelihood. A word that stands in no
     labelled text has the gain of its stem, a new stem has ``unseen``. A pair's gain is
@@ -130,114 +589,47 @@ class KneserNey:
     shift is what it gains beyond that.
     """
 
-    def __init__(self, rows: DataFrame, totals: dict[str, float]):
-        self.rows, self.totals = rows, totals
-        self.unseen = _unseen(totals)
-        self.top, self.least = {}, {}
-        for kind in (WORD, STEM, PAIR):
-            self.top[kind], self.least[kind] = _most_frequent(rows.where(F.col("kind") == kind))
-        self.bits = _bits(rows.where(F.col("kind") != STEM))
-
-    def _needs(self, shared):
-        """What texts say by themselves, one row each, and what they need from the table."""
-
-        def needs(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            top, bits, unseen, start = shared.value
-            seen: set[int] = set()
-            for frame in frames:
-                # Copies need to be looked up once.
-                new = ~(frame["key"].duplicated() | frame["key"].isin(seen)).to_numpy()
-                seen.update(frame["key"][new])
-                keys, texts = frame["key"].to_numpy(np.int64)[new], K.encoded(frame["text"][new])
-                for lo, hi in K.blocks(texts):
-                    yield from _asked(keys[lo:hi], texts[lo:hi], top, bits, unseen, start)
-
-        return needs
+    def __init__(self, words: DataFrame, roots: DataFrame, pairs: DataFrame, names: Names, least: int, parts: int, totals: dict, paths: list):
+        self.words, self.roots, self.pairs, self.names, self.parts, self.totals = words, roots, pairs, names, parts, totals
+        self.unseen, self.paths = _unseen(totals), paths
+        self.rare = words.where(F.col("count") < least)
+        self.bits = _bits(self.rare)
+        got = words.where(F.col("count") >= least).select("number", *_FACTS).toArrow()
+        self.known = np.full((len(_FACTS), names.start + 1), np.nan)
+        self.known[:, names.rank(got["number"].to_numpy().view(np.uint64))] = [got[x].to_numpy() for x in _FACTS]
+        self.known[:, names.start] = totals["start"]
+        self.least_root = _least(roots)
+        top = roots.where(F.col("count") >= self.least_root).select("number", "gain").toArrow()
+        self.top_roots = Top(top["number"].to_numpy(), top["gain"].to_numpy())
 
     def signs(self, documents: DataFrame) -> DataFrame:
         """(key, signs) of each different text: the length-normalised difference and its largest single ones, by words and by pairs.
 
         ``key`` is the 64-bit hash of a text.
         """
-        shared = documents.sparkSession.sparkContext.broadcast((self.top, self.bits, self.unseen, self.totals["start"]))
-        asked = documents.select(F.xxhash64("text").alias("key"), "text").mapInPandas(self._needs(shared), _NEEDS)
-        rare = F.lit(False)
-        for kind, least in self.least.items():
-            rare = rare | ((F.col("kind") == kind) & (F.col("count") < least))
-        table = self.rows.where(rare).select("kind", "number", "gain", "shift")
-        told = asked.join(table, ["kind", "number"], "left").repartition("key")
-        # A word that the table lacks has its stem's gain; copies of a text say the same.
-        role = F.when(F.col("kind") == STEM, WORD).otherwise(F.col("kind")).alias("role")
-        one = told.groupBy("key", F.coalesce("of", "number").alias("of"), role).agg(
-            F.max("known").alias("known"), F.max("times").alias("times"), F.max("leads").alias("leads"),
-            F.max(F.when(F.col("kind") != STEM, F.col("shift"))).alias("shift"),
-            F.coalesce(
-                F.max(F.when(F.col("kind") != STEM, F.col("gain"))), F.max(F.when(F.col("kind") == STEM, F.col("gain"))), F.max("other")
-            ).alias("gain"),
-        )
-        largest = F.array_repeat("gain", F.least("times", F.lit(TELLING)).cast("int"))
-        word, pair = F.col("role") == WORD, (F.col("role") == PAIR) & F.col("gain").isNotNull()
-        signs = one.groupBy("key").agg(
-            F.max("known").alias("known"), F.sum(F.when(word, F.col("gain") * F.col("times"))).alias("more"),
-            F.sum(F.when(word | pair, F.col("shift") * F.col("leads"))).alias("after"),
-            F.flatten(F.collect_list(F.when(word, largest))).alias("gains"),
-            F.flatten(F.collect_list(F.when(pair, largest))).alias("pair_gains"),
-        )
-
-        def ranked(at: int, more: str) -> list:
-            own = F.sort_array(F.filter(F.concat(F.slice("known", at, TELLING), more), lambda x: ~F.isnan(x) & x.isNotNull()), asc=False)
-            return [F.coalesce(F.get(own, F.lit(k)), F.lit(0.0)) for k in range(TELLING)]
-
-        size = F.greatest(F.get("known", F.lit(0)), F.lit(1.0))
-        mean = (F.get("known", F.lit(1)) + F.coalesce("more", F.lit(0.0))) / size
-        after = mean + (F.get("known", F.lit(2)) + F.coalesce("after", F.lit(0.0))) / size
-        return signs.select("key", F.array(mean, *ranked(4, "gains"), after, *ranked(4 + TELLING, "pair_gains")).alias("signs"))
-
-
-def _asked(keys: np.ndarray, texts: list[bytes], top: dict, bits: np.ndarray, unseen: float, start: float) -> Iterator[pd.DataFrame]:
-    """Rows of ``_NEEDS`` for one block."""
-    n = len(texts)
-    word, stem, text = _words(texts)
-    size = np.bincount(text, minlength=n)
-    pair = _pair(_prior(word, text), word)
-    own = text.astype(np.uint64)
-    _, first, times = np.unique(_pair(own, pair), return_index=True, return_counts=True)
-    pair, pair_text, pair_times = pair[first].view(np.int64), text[first], times
-    _, first, which, times = np.unique(_pair(own, word), return_index=True, return_inverse=True, return_counts=True)
-    # How often a word has one after it.
-    leads = np.bincount(which[:-1][text[:-1] == text[1:]], minlength=len(first)) if len(text) else times
-    word, stem, text = word[first].view(np.int64), stem[first], text[first]
-
-    has, gain, shift = top[WORD].find(word)
-    root, other, _ = top[STEM].find(stem)
-    other = np.where(root, other, unseen)
-    maybe = ~has & _marked(bits, word)
-    final = has | (~maybe & root)
-    gain = np.where(has, gain, other)
-    told, pair_gain, pair_shift = top[PAIR].find(pair)
-    rare = ~told & _marked(bits, pair)
-    shifts = (
-        start * (size > 0) + np.bincount(text[has], shift[has] * leads[has], n)
-        + np.bincount(pair_text[told], pair_shift[told] * pair_times[told], n)
-    )
-    known = np.column_stack([
-        size, np.bincount(text[final], gain[final] * times[final], n), shifts, _top_of(text[final], gain[final], times[final], n),
-        _top_of(pair_text[told], pair_gain[told], pair_times[told], n),
-    ])
-    none = np.zeros(n, np.int64)
-    yield pd.DataFrame({
-        "key": keys, "kind": none + TEXT, "number": keys, "of": pd.array(keys, "Int64"), "times": none, "leads": none, "other": np.nan,
-        "known": list(known),
-    })
-    for kind, ask, number in ((WORD, maybe, word), (STEM, ~has & ~root, stem)):
-        yield pd.DataFrame({
-            "key": keys[text[ask]], "kind": np.full(ask.sum(), kind), "number": number[ask], "of": pd.array(word[ask], "Int64"),
-            "times": times[ask], "leads": leads[ask], "other": other[ask], "known": None,
-        })
-    yield pd.DataFrame({
-        "key": keys[pair_text[rare]], "kind": np.full(rare.sum(), PAIR), "number": pair[rare], "of": None,
-        "times": pair_times[rare], "leads": pair_times[rare], "other": None, "known": None,
-    })
+        spark, parts = documents.sparkSession, self.parts
+        shared = _sent(spark, (self.names, self.bits, self.top_roots, self.known))
+        blocks = documents.select(F.xxhash64("text").alias("key"), "text").mapInPandas(_stored(shared), _STORE)
+        name, path, buckets = f"toxicity_{uuid.uuid4().hex}", K.shared_folder(spark), int(spark.conf.get("spark.sql.shuffle.partitions"))
+        blocks.write.bucketBy(buckets, "block").option("path", path).option("compression", "uncompressed").format("parquet").saveAsTable(name)
+        try:
+            stored = spark.table(name)
+            kind = lambda k: F.lit(k).alias("kind")
+            far = self.roots.where(F.col("count") < self.least_root).select("number", "gain")
+            tables = self.pairs.select("part", kind(PAIR), "load").unionByName(
+                self.rare.select("number", *_FACTS).mapInPandas(_facts_by_part(WORD, _FACTS, parts), _TABLES)
+            ).unionByName(far.mapInPandas(_facts_by_part(STEM, ("gain",), parts), _TABLES))
+            told = stored.mapInPandas(_asked(shared, parts), "part int, block long, load array<binary>").groupBy("part").cogroup(
+                tables.groupBy("part")
+            ).applyInPandas(_answered, "block long, part int, load array<binary>")
+            rows = stored.groupBy("block").cogroup(told.groupBy("block")).applyInPandas(
+                _signs(shared, parts, self.unseen, self.totals["pair_cut"]), "key long, signs array<double>"
+            )
+            return K.settled(rows.dropDuplicates(["key"]))
+        finally:
+            spark.sql(f"DROP TABLE {name}")
+            K.forget(spark, path)
+            shared.destroy()
 
 
 def _marked(bits: np.ndarray, number: np.ndarray) -> np.ndarray:
@@ -256,17 +648,16 @@ def _bits(rows: DataFrame) -> np.ndarray:
     return bits.view(np.uint64)
 
 
-def _most_frequent(rows: DataFrame) -> tuple[Top, int]:
-    """At most ``TOP_ROWS`` rows, and the least count that they have; all rows with that count are among them."""
+def _least(rows: DataFrame) -> int:
+    """The least count of the most frequent rows, at most ``TOP_ROWS``; all rows with that count are among them."""
     found = rows.groupBy(F.floor(F.log2("count")).cast("int").alias("power")).agg(F.count(F.lit(1)).alias("n")).collect()
-    least, room = 63, TOP_ROWS
+    least, room = 62, TOP_ROWS
     for power, n in sorted(found, reverse=True):
         room -= n
         if room < 0:
             break
         least = power
-    got = rows.where(F.col("count") >= 1 << least if least < 63 else F.lit(False)).select("number", "gain", "shift").toArrow()
-    return Top(*(got[c].to_numpy() for c in ("number", "gain", "shift"))), 1 << min(least, 62)
+    return 1 << least
 
 
 def _cut(ones: float, twos: float) -> float:
@@ -293,25 +684,36 @@ def _unseen(t: dict) -> float:
 
 def fit_models(labelled: DataFrame) -> KneserNey:
     """Both models from all rows of ``labelled`` (text, toxic 0/1)."""
-    pairs = labelled.select("text", F.col("toxic").cast("long").alias("toxic")).mapInPandas(
-        _counted, "word long, stem long, prior long, c1 long, c0 long"
-    )
-    after = K.settled(
-        pairs.groupBy("word", "prior").agg(F.first("stem").alias("stem"), F.sum("c0").alias("c0"), F.sum("c1").alias("c1"))
+    spark = labelled.sparkSession
+    at = {x: K.shared_folder(spark) for x in ("counts", "facts", "stems", "pairs", "words", "roots")}
+    labelled = labelled.select("text", F.col("toxic").cast("long").alias("toxic"))
+    counts = K.settled(
+        labelled.mapInPandas(_tallied, "word long, stem long, c0 long, c1 long, n0 long, n1 long").groupBy("word")
+        .agg(F.max("stem").alias("stem"), *(F.sum(x).alias(x) for x in ("c0", "c1", "n0", "n1"))), at["counts"]
     )
+    count = (F.col("c0") + F.col("c1")).alias("count")
+    frequent = counts.where("c0 + c1 > 0").select("word", count)
+    least = _least(frequent)
+    got = frequent.where(F.col("count") >= least).toArrow()
+    names = Names(got["word"].to_numpy(), got["count"].to_numpy())
+    shared = _sent(spark, names)
+    parts = 1 + (counts.agg(F.sum("c0") + F.sum("c1")).first()[0] or 0) // PART_WORDS
+    after = K.settled(labelled.mapInPandas(_counted(shared, parts), _TABLE).groupBy("part").applyInPandas(_merged, _TABLE), at["pairs"])
     # A word's counts, and as a context the counts and kinds of what follows it; context 0 is a text's start.
     zero = F.lit(0).cast("long")
-    sides = after.select(
-        "word", "stem", "c0", "c1", F.lit(1).cast("long").alias("contexts"), *(zero.alias(x) for x in ("n0", "n1", "k0", "k1"))
-    ).unionByName(after.select(
-        F.col("prior").alias("word"), F.lit(None).cast("long").alias("stem"), *(zero.alias(x) for x in ("c0", "c1", "contexts")),
-        F.col("c0").alias("n0"), F.col("c1").alias("n1"), *((F.col(f"c{c}") > 0).cast("long").alias(f"k{c}") for c in (0, 1)),
-    ))
+    sides = counts.select("*", *(zero.alias(x) for x in ("contexts", "k0", "k1"))).unionByName(
+        after.mapInPandas(_marginals(shared), "word long, contexts long, k0 long, k1 long")
+        .select("*", F.lit(None).cast("long").alias("stem"), *(zero.alias(x) for x in ("c0", "c1", "n0", "n1")))
+    )
     facts = K.settled(sides.groupBy("word").agg(
         F.max("stem").alias("stem"), *(F.sum(x).alias(x) for x in ("c0", "c1", "contexts", "n0", "n1", "k0", "k1"))
-    ))
+    ), at["facts"])
+    shared.destroy()
+    K.forget(spark, at["counts"])
     words = facts.where("contexts > 0")
-    stems = K.settled(words.groupBy("stem").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1"), F.sum("contexts").alias("contexts")))
+    stems = K.settled(
+        words.groupBy("stem").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1"), F.sum("contexts").alias("contexts")), at["stems"]
+    )
 
     def summed(rows: DataFrame) -> dict:
         parts = [F.count(F.lit(1)).alias("kinds"), F.sum("contexts").alias("contexts")]
@@ -328,11 +730,12 @@ def fit_models(labelled: DataFrame) -> KneserNey:
             f"n{c}": w[f"c{c}"], f"kinds{c}": w[f"c{c}_kinds"], f"stem_kinds{c}": s[f"c{c}_kinds"],
             f"cut{c}": _cut(w[f"c{c}_ones"], w[f"c{c}_twos"]), f"stem_cut{c}": _cut(s[f"c{c}_ones"], s[f"c{c}_twos"]),
         }
-    tally = after.agg(*(F.count_if(F.col(f"c{c}") == k).alias(f"c{c}_{k}") for c in (0, 1) for k in (1, 2))).first()
-    cut = [_cut(tally[f"c{c}_1"] or 0, tally[f"c{c}_2"] or 0) for c in (0, 1)]
-    left = [F.when(F.col(f"n{c}") > 0, cut[c] * F.col(f"k{c}") / F.col(f"n{c}")).otherwise(1.0) for c in (0, 1)]
-    begin = facts.where("word = 0").select(F.log(left[1] / left[0]).alias("shift")).first()
-    t["start"] = begin["shift"] if begin else 0.0
+    names_of = [f"c{c}_{k}" for c in (0, 1) for k in (1, 2)]
+    tally = after.mapInPandas(_rare_counts, ", ".join(f"{x} long" for x in names_of)).agg(*(F.sum(x).alias(x) for x in names_of)).first()
+    cut = t["pair_cut"] = [_cut(tally[f"c{c}_1"] or 0, tally[f"c{c}_2"] or 0) for c in (0, 1)]
+    left = [F.when(F.col(f"n{c}") > 0, cut[c] * F.col(f"k{c}") / F.col(f"n{c}")).otherwise(1.0).alias(f"left{c}") for c in (0, 1)]
+    begin = facts.where("word = 0").select(F.lit(None).cast("double").alias("p0"), F.lit(None).cast("double").alias("p1"), "n0", "n1", *left).first()
+    t["start"] = [math.nan, math.nan, *begin[2:]] if begin else [math.nan, math.nan, 0, 0, 1.0, 1.0]
     shared_stem = (F.col("contexts") + 0.5) / (t["contexts"] + 0.5 * t["stems"] + 1)
     roots = stems.select(
         "stem", (F.col("c0") + F.col("c1")).alias("count"), shared_stem.alias("shared_stem"),
@@ -343,42 +746,12 @@ def fit_models(labelled: DataFrame) -> KneserNey:
         F.greatest(F.col(f"c{c}") - t[f"cut{c}"], F.lit(0.0)) / max(1.0, t[f"n{c}"]) + _left(t, c) * F.col(f"backed{c}") * ending for c in (0, 1)
     ]
     root_gain = F.log(_left(t, 1) * F.col("backed1") / (_left(t, 0) * F.col("backed0")))
-    count = (F.col("c0") + F.col("c1")).alias("count")
     known = K.settled(words.join(roots.drop("count"), "stem").select(
-        "word", count, *(p.alias(f"p{c}") for c, p in enumerate(likely)), F.log(likely[1] / likely[0]).alias("gain"),
-        F.log(left[1] / left[0]).alias("shift"),
-    ))
-    leading = facts.where("n0 + n1 > 0").select(
-        F.col("word").alias("prior"), (F.col("n0") + F.col("n1")).alias("count"), "n0", "n1", left[0].alias("left0"), left[1].alias("left1"),
-        F.log(left[1] / left[0]).alias("prior_shift"),
-    )
-    both = _met(_met(after.drop("stem"), leading, "prior"), known.drop("shift"), "word")
-    after_it = [
-        F.greatest(F.col(f"c{c}") - cut[c], F.lit(0.0)) / F.greatest(F.col(f"n{c}"), F.lit(1)) + F.col(f"left{c}") * F.col(f"p{c}") for c in (0, 1)
-    ]
-    pair_gain = F.log(after_it[1] / after_it[0])
-
-    @F.pandas_udf("long")
-    def number(prior: pd.Series, word: pd.Series) -> pd.Series:
-        return pd.Series(_pair(prior.to_numpy(np.int64).view(np.uint64), word.to_numpy(np.int64).view(np.uint64)).view(np.int64))
-
-    def of_kind(kind: int, rows: DataFrame, own, gain, shift) -> DataFrame:
-        return rows.select(F.lit(kind).cast("byte").alias("kind"), own.alias("number"), count if kind == PAIR else F.col("count"), gain.alias("gain"), shift.alias("shift"))
-
-    rows = of_kind(WORD, known, F.col("word"), F.col("gain"), F.col("shift")).unionByName(
-        of_kind(STEM, roots, F.col("stem"), root_gain, F.lit(0.0))
-    ).unionByName(of_kind(PAIR, both, number("prior", "word"), pair_gain, pair_gain - F.col("gain") - F.col("prior_shift")))
-    return KneserNey(K.settled(rows), t)
-
-
-def _met(rows: DataFrame, facts: DataFrame, on: str) -> DataFrame:
-    """``rows`` with their ``facts``: the most frequent facts go to the rows, the others meet theirs by a shuffle."""
-    first = K.fresh("_frequent", facts)
-    least = facts.agg(F.expr("cast(sum(count) / 200000 as long)")).first()[0] or 0
-    top, rest = facts.where(F.col("count") > least).drop("count"), facts.where(F.col("count") <= least).drop("count")
-    found = rows.join(F.broadcast(top.withColumn(first, F.lit(True))), on, "left")
-    missing = rows.join(F.broadcast(top.select(on)), on, "left_anti")
-    return found.where(first).drop(first).unionByName(missing.join(rest, on))
+        F.col("word").alias("number"), count, *(p.alias(f"p{c}") for c, p in enumerate(likely)), "n0", "n1", *left
+    ), at["words"])
+    stem_gains = K.settled(roots.select(F.col("stem").alias("number"), "count", root_gain.alias("gain")), at["roots"])
+    K.forget(spark, at["facts"], at["stems"])
+    return KneserNey(known, stem_gains, after, names, least, parts, t, [at[x] for x in ("pairs", "words", "roots")])
 
 
 class Scorer:
@@ -420,20 +793,23 @@ def fit_scorer(documents: DataFrame, labels: DataFrame) -> Scorer:
     the same number for every text, the share of toxic ones; without any label it is zero.
     """
     documents = K.in_batches(documents)
-    marks = labels.select("doc_id", "toxic").where("toxic IN (0, 1)").dropDuplicates(["doc_id", "toxic"])
-    marks = marks.withColumn("_fold", fold("doc_id"))
-    counting = marks.where((F.col("_fold") > 0) & (F.col("_fold") < FOLDS - 1)).drop("_fold")
-    texts = documents.select("doc_id", "text").where("doc_id IS NOT NULL")
-    inside = texts.where((fold("doc_id") > 0) & (fold("doc_id") < FOLDS - 1))
-    # Texts without a label are not shuffled.
-    model = fit_models(inside.where(K.may_hold(counting)).join(counting, "doc_id"))
-    scorer = Scorer(K.settled(model.signs(documents)))
-    curve = (
-        marks.where(F.col("_fold") == FOLDS - 1).drop("_fold").orderBy(F.xxhash64("doc_id"), "toxic").limit(CURVE_ROWS)
-    )
-    last = texts.where(fold("doc_id") == FOLDS - 1).select("doc_id", F.xxhash64("text").alias("key"))
-    scorer.fit_curve(last.join(F.broadcast(curve), "doc_id"))
-    return scorer
+    with K.freed_shuffles(documents.sparkSession):
+        marks = labels.select("doc_id", "toxic").where("toxic IN (0, 1)").dropDuplicates(["doc_id", "toxic"])
+        marks = marks.withColumn("_fold", fold("doc_id"))
+        counting = marks.where((F.col("_fold") > 0) & (F.col("_fold") < FOLDS - 1)).drop("_fold")
+        texts = documents.select("doc_id", "text").where("doc_id IS NOT NULL")
+        inside = texts.where((fold("doc_id") > 0) & (fold("doc_id") < FOLDS - 1))
+        few = counting.limit(SENT_LABELS + 1).count() <= SENT_LABELS
+        # Texts without a label are not shuffled.
+        model = fit_models(inside.where(K.may_hold(counting)).join(F.broadcast(counting) if few else counting, "doc_id"))
+        scorer = Scorer(model.signs(documents))
+        K.forget(documents.sparkSession, *model.paths)
+        curve = (
+            marks.where(F.col("_fold") == FOLDS - 1).drop("_fold").orderBy(F.xxhash64("doc_id"), "toxic").limit(CURVE_ROWS)
+        )
+        last = texts.where(fold("doc_id") == FOLDS - 1).select("doc_id", F.xxhash64("text").alias("key"))
+        scorer.fit_curve(last.join(F.broadcast(curve), "doc_id"))
+        return scorer
 
 
 def scored(documents: DataFrame, labels: DataFrame) -> DataFrame:
