@@ -800,8 +800,13 @@ def fit_scorer(documents: DataFrame, labels: DataFrame) -> Scorer:
         texts = documents.select("doc_id", "text").where("doc_id IS NOT NULL")
         inside = texts.where((fold("doc_id") > 0) & (fold("doc_id") < FOLDS - 1))
         few = counting.limit(SENT_LABELS + 1).count() <= SENT_LABELS
-        # Texts without a label are not shuffled.
-        model = fit_models(inside.where(K.may_hold(counting)).join(F.broadcast(counting) if few else counting, "doc_id"))
+        if few:
+            # Sent labels pick the texts alone: a map of ids would only keep a second Python worker for each task.
+            labelled = inside.join(F.broadcast(counting), "doc_id")
+        else:
+            # Texts without a label are not shuffled.
+            labelled = inside.where(K.may_hold(counting)).join(counting, "doc_id")
+        model = fit_models(labelled)
         scorer = Scorer(model.signs(documents))
         K.forget(documents.sparkSession, *model.paths)
         curve = (

@@ -32,3 +32,28 @@ def test_scoring_leaves_less_on_disk_than_the_texts(spark, tmp_path, monkeypatch
     assert np.mean([r.predicted == (r.doc_id % 4 == 0) for r in rows]) > 0.97
     left = sum(os.path.getsize(os.path.join(at, f)) for at, _, files in os.walk(tmp_path) for f in files)
     assert left < sum(len(text) for _, text in docs) / 2
+
+
+@pytest.mark.parametrize("labels_sent", [0, 1 << 20])
+def test_counting_holds_one_python_worker_for_each_task(spark, monkeypatch, labels_sent):
+    class Fitted(Exception):
+        pass
+
+    def fit_models(labelled):
+        raise Fitted(labelled)
+
+    rows = [(1, "a"), (1, "b"), (2, "c"), (5, "d"), (9, "e"), (None, "f"), (77, "g")]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)] + [(1, 0), (1, 1), (None, 1), (2, None)], "doc_id long, toxic int")
+    monkeypatch.setattr(T, "SENT_LABELS", labels_sent)
+    monkeypatch.setattr(T, "fit_models", fit_models)
+    with pytest.raises(Fitted) as stopped:
+        T.fit_scorer(table, labels)
+    labelled = stopped.value.args[0]
+    folds = {r.doc_id: r.f for r in table.select("doc_id", T.fold("doc_id").alias("f")).collect()}
+    marks = {(1, 0), (1, 1), (2, 0), (5, 1), (9, 1)}
+    want = sorted((i, t, m) for i, t in rows for j, m in marks if i == j and 0 < folds[i] < T.FOLDS - 1)
+    assert sorted((r.doc_id, r.text, r.toxic) for r in labelled.collect()) == want and want
+    # A shuffle parts the map of ids from the counting; without one, both would hold a worker in the same task.
+    steps = labelled._jdf.queryExecution().sparkPlan().toString()
+    assert ("ArrowEvalPython" in steps) == (labels_sent == 0)
